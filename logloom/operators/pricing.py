@@ -61,7 +61,8 @@ def match_prices(models: DataFrame, prices: DataFrame, raw_id_first: bool = Fals
     if raw_id_first:
         probes.append(F.struct(F.lit(0).alias("tier"), F.array(key).alias("names")))
     catalog = (
-        prices.select(_rank(key).alias("rank"), F.explode(F.array(*probes)).alias("p"))
+        prices.select(_rank(key).alias("rank"), F.array(*probes).alias("probes"))
+        .select("rank", F.explode("probes").alias("p"))
         .select("rank", "p.tier", F.explode("p.names").alias("probe"))
         .filter("probe is not null")
         .groupBy("tier", "probe")
