@@ -209,8 +209,8 @@ LANGUAGE_LABEL = {
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """Value of a small fixed table, NULL for unknown keys."""
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def file_extension(path: Column) -> Column:

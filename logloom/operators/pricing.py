@@ -69,7 +69,7 @@ def match_prices(models: DataFrame, prices: DataFrame, raw_id_first: bool = Fals
         .agg(F.min("rank").alias("rank"))
     )
 
-    wanted = models.select("model").distinct().withColumn("id", normalise_model(key)).filter("id <> ''")
+    wanted = models.select("model").distinct().withColumn("id", normalise_model(key))
     probes = F.array(
         F.struct(F.lit(1).alias("tier"), F.array(F.col("id")).alias("names")),
         F.struct(F.lit(2).alias("tier"), _dash_prefixes(F.col("id")).alias("names")),
