@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import details as D
 from logloom.functions import variants as V
-from logloom.functions.text import extract_command, non_empty, trim_space
+from logloom.functions.text import extract_command, non_blank, non_empty, trim_space
 from logloom.operators.records import content, is_user, usage_columns
 
 AT = ["project_id", "session_id", "seq"]
@@ -182,6 +182,7 @@ def classify_messages(records: DataFrame) -> DataFrame:
         *AT, "timestamp", "is_meta", "type", _record_kind(body).alias("kind"), trim_space(text).alias("text"),
         extract_command(plain).alias("command"), calls.alias("tools"), result_ids.alias("result_ids"),
         F.coalesce(F.size(F.filter(blocks, _shown_thinking)), F.lit(0)).alias("n_thinking"), result_only.alias("bare"),
+        F.coalesce(F.exists(blocks, lambda b: _is(b, "thinking") & non_blank(V.string_at(b, "thinking"))), F.lit(False)).alias("thought"),
         V.string_at(F.col("message"), "id").alias("message_id"), V.string_at(F.col("message"), "model").alias("model"),
         V.string_at(F.col("message"), "stop_reason").alias("stop_reason"), *usage_columns(),
     )
@@ -205,5 +206,5 @@ def classify_messages(records: DataFrame) -> DataFrame:
         F.when(kind == "assistant", F.col("has_usage")).otherwise(F.lit(False)).alias("has_usage"),
         *[F.when(kind == "assistant", F.col(c)).alias(c) for c in own],
         F.when(F.col("role") == "tool-result", V.first_of(F.col("result_ids"), lambda s: s.isNotNull())).alias("result_id"),
-        F.when(kind == "assistant", F.col("n_thinking") > 0).otherwise(F.lit(False)).alias("has_thinking"),
+        F.when(kind == "assistant", F.col("thought")).otherwise(F.lit(False)).alias("has_thinking"),
     )

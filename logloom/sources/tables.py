@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 BASE_DATE = "2024-01-15"
-HOUR_MICROS = 3_600_000_000
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,7 +47,6 @@ def events_base(spark: SparkSession, folder: str) -> DataFrame:
         F.when(top, F.concat(session, F.lit(".jsonl")))
         .otherwise(F.concat(session, F.lit("/subagents/a.jsonl"))).alias("file_path"),
         iso(F.col("ts")).alias("timestamp"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
     )
 
 
@@ -116,7 +114,7 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
     return events_base(spark, folder).select(
         "project_id", "session_id", "file_path", key.alias("turn_key"), F.col("event_id").alias("seq"),
-        F.col("event_id").alias("chunk_seq"), "top_level",
+        "top_level",
         F.when(k % 6 != 0, F.col("timestamp")).alias("timestamp"),
         F.when(k % 4 != 0, _model()).alias("model"), has_usage.alias("has_usage"),
         used(F.floor(F.col("value") * 10)).alias("input_tokens"), used(F.floor("value")).alias("output_tokens"),
@@ -160,11 +158,15 @@ def flow(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "view", "assistant").when(kind == "signup", "user").otherwise("system")
     )
     return events_base(spark, folder).select(
-        F.col("project_id").alias("session_id"), F.col("micros").alias("seq"), role.alias("role"),
+        F.col("project_id").alias("session_id"), F.col("event_id").alias("seq"), role.alias("role"),
         F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("content"), "timestamp",
         F.when(kind.isin("click", "purchase"), F.concat(F.lit("t"), (k % 3).cast("string"))).alias("tool_id"),
         F.when(kind == "click", F.get(F.array(*[F.lit(n) for n in TOOL_NAMES]), (k % 5).cast("int"))).alias("tool_name"),
-        "event_id",
+    ).select(
+        "session_id", "seq", "role", "content", "timestamp", F.when(F.col("role") == "tool-result", F.col("tool_id")).alias("result_id"),
+        F.when(
+            F.col("role") == "tool-use", F.array(F.struct(F.col("tool_id").alias("id"), F.col("tool_name").alias("name")))
+        ).alias("tools"),
     )
 
 
@@ -175,3 +177,43 @@ def line_ranges(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_partkey").cast("string").alias("file_key"), start.cast("bigint").alias("start"),
         (start + F.col("l_linenumber") - 1).cast("bigint").alias("end"),
     )
+
+
+def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON log lines made from the events: one file per user, lines in event order.
+
+    Clicks are tool calls, purchases tool results, views thinking and text with usage, sign-ups user
+    texts or commands, errors attachments or compactions. Some lines are broken or wrongly typed.
+    """
+    file = "concat('src/f', k % 10, '.ts')"
+    call_input = f"""named_struct(
+        'command', if(k % 4 = 2, concat('run ', k), null), 'timeout', if(k % 4 = 2, k * 1000, null),
+        'query', if(k % 4 = 3, concat('q', k), null), 'file_path', if(k % 4 < 2, {file}, null),
+        'startLine', if(k % 4 = 0 or (k % 4 = 1 and k % 8 = 1), k + 1, null), 'endLine', if(k % 4 = 0, k + 10, null),
+        'old_string', if(k % 4 = 1, concat('line ', k % 12, '\\nkeep ', k % 5), null),
+        'new_string', if(k % 4 = 1, concat('line ', k % 12 + 4, '\\nkeep ', k % 5, '\\nadded'), null))"""
+    name = "case k % 4 when 0 then 'Read' when 1 then 'Edit' when 2 then 'Bash' else 'Grep' end"
+    usage = """named_struct('input_tokens', cast(floor(value * 10) as bigint), 'output_tokens', cast(floor(value) as bigint),
+        'cache_creation_input_tokens', k * 10, 'cache_read_input_tokens', k * 1000)"""
+    message = lambda role, content, more="": f"'message', named_struct('role', '{role}', 'content', {content}{more})"
+    own = "'id', concat('m', event_id), 'model', model, 'usage', " + usage
+    bodies = {
+        "click": "'type', 'assistant', " + message("assistant", f"array(named_struct('type', 'tool_use', 'id', concat('t', k % 3), 'name', {name}, 'input', {call_input}))", ", 'stop_reason', 'tool_use', " + own),
+        "purchase": "'type', 'user', " + message("user", "array(named_struct('type', 'tool_result', 'tool_use_id', concat('t', k % 3), 'content', concat('line ', k % 12, '\\nkeep ', k % 5)))")
+        + f", 'toolUseResult', named_struct('type', 'text', 'filePath', {file}, 'numLines', k, 'totalLines', k * 2, 'exitCode', k % 3)",
+        "view": "'type', 'assistant', " + message("assistant", "array(named_struct('type', 'thinking', 'thinking', if(k % 2 = 0, concat('Thought ', k), ''), 'signature', 'sig', 'text', null), named_struct('type', 'text', 'thinking', null, 'signature', null, 'text', concat('Seen ', event_id)))", ", 'stop_reason', 'end_turn', " + own),
+        "signup": "'type', 'user', 'cwd', concat('/home/', user_id), " + message("user", "if(k % 5 = 0, concat('<command-name>/go</command-name><command-args>', k, '</command-args>'), concat('Question ', k))"),
+    }
+    attachment = f"'type', 'attachment', 'attachment', named_struct('type', 'file', 'displayPath', {file}, 'content', named_struct('file', named_struct('filePath', concat('/home/', user_id, '/', {file}), 'numLines', k, 'totalLines', k + 5, 'content', concat('text ', k))))"
+    compaction = "'type', 'system', 'subtype', 'compact_boundary', 'compactMetadata', named_struct('trigger', 'auto', 'preTokens', k)"
+    stamp = "'uuid', concat('u', event_id), 'timestamp', timestamp, "
+    json = lambda body: f"to_json(named_struct({stamp}{body}))"
+    cases = " ".join(f"when event_type = '{kind}' then {json(body)}" for kind, body in bodies.items())
+    line = f"case {cases} when k % 2 = 0 then {json(attachment)} else {json(compaction)} end"
+    base = events_base(spark, folder).withColumns({"model": _model(), "line": F.expr(line)})
+    broken = F.when(F.col("event_id") % 97 == 5, F.substring("line", 1, 40)).when(
+        F.col("event_id") % 97 == 6, F.regexp_replace("line", '"timestamp":"[^"]*"', '"timestamp":5')
+    ).when(F.col("event_id") % 97 == 7, F.lit("  ")).otherwise(F.col("line"))
+    project = F.concat(F.lit("-home-p"), (F.col("user_id") % 5).cast("string"))
+    path = F.concat(F.lit("/logs/projects/"), project, F.lit("/u"), F.col("user_id").cast("string"), F.lit(".jsonl"))
+    return base.select(broken.alias("value"), path.alias("file_path"), F.col("event_id").alias("seq"))
