@@ -93,9 +93,11 @@ def humanise(key: Column) -> Column:
 
 
 def truncate_inline(text: Column, width: int = INLINE) -> Column:
-    line = trim_space(F.regexp_replace(text, f"{SPACE}+", " "))
-    cut = F.concat(trim_end(F.substring(line, 1, width - 3)), F.lit("..."))
-    return F.when(F.length(line) <= width, line).otherwise(cut)
+    def fit(line: Column) -> Column:
+        cut = F.concat(trim_end(F.substring(line, 1, width - 3)), F.lit("..."))
+        return F.when(F.length(line) <= width, line).otherwise(cut)
+
+    return V.let(trim_space(F.regexp_replace(text, f"{SPACE}+", " ")), fit)
 
 
 def summarise_large(text: Column) -> Column:

@@ -22,6 +22,11 @@ class Doc(NamedTuple):
         return Doc(get(self.value, name), F.get_json_object(self.text, f"$.{name}"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def get(value: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 

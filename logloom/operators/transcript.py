@@ -165,11 +165,11 @@ def tool_steps(grouped: DataFrame, keys: list[str] = SESSION) -> tuple[DataFrame
 
 
 def match_first_in_first_out(uses: DataFrame, results: DataFrame, keys: list[str], span: int = LINE_SPAN) -> DataFrame:
-    """Add ``rank`` to the union of calls and results: equal ranks of one tool id and section match.
+    """Calls and the results that answer them: keys, use_seq, use_pos, answer_seq.
 
-    Each result answers the earliest open call before it. With +1 per call and -1 per result, the
-    results without an open call are exactly those at which the running sum reaches a new low below
-    zero; the others match calls in order. ``rank`` is NULL for them.
+    Each result answers the earliest open call of its tool id and section before it. With +1 per call
+    and -1 per result, the results without an open call are exactly those at which the running sum
+    reaches a new low below zero; the others match calls in order, so equal ranks meet.
     """
     by = [*keys, "section", "tool_id"]
     rows = uses.select(*by, "seq", "pos", F.lit(1).alias("step")).unionByName(
@@ -195,7 +195,13 @@ def match_first_in_first_out(uses: DataFrame, results: DataFrame, keys: list[str
     low = F.least(zero, F.col("_cl"), F.col("_cb") + F.col("_low"))
     before = F.least(zero, F.col("_cl"), F.col("_cb") + F.col("_plow"))
     rank = F.when(F.col("step") == 1, F.col("_cu") + F.col("_u")).when(low == before, F.col("_cr") + F.col("_r") + low)
-    return out.select(*by, "seq", "pos", "step", rank.alias("rank"))
+    ranked = out.select(*by, "seq", "pos", "step", rank.alias("rank")).filter("rank is not null")
+    call, answer = F.col("step") == 1, F.col("step") == -1
+    met = ranked.groupBy(*by, "rank").agg(
+        F.max(F.when(call, F.col("seq"))).alias("use_seq"), F.max(F.when(call, F.col("pos"))).alias("use_pos"),
+        F.max(F.when(answer, F.col("seq"))).alias("answer_seq"),
+    )
+    return met.filter("use_seq is not null and answer_seq is not null").select(*keys, "use_seq", "use_pos", "answer_seq")
 
 
 def pair_tools(grouped: DataFrame, keys: list[str] = SESSION, span: int = LINE_SPAN) -> DataFrame:
@@ -205,33 +211,27 @@ def pair_tools(grouped: DataFrame, keys: list[str] = SESSION, span: int = LINE_S
     assistant text appear only when answered.
     """
     uses, results = tool_steps(grouped, keys)
-    ranked = match_first_in_first_out(uses, results, keys, span)
-    by = [*keys, "section", "tool_id"]
-    calls = ranked.filter("step = 1").select(*by, "rank", F.col("seq").alias("use_seq"), F.col("pos").alias("use_pos"))
-    answers = ranked.filter("step = -1 and rank is not null").select(*by, "rank", F.col("seq").alias("answer_seq"))
-    matched = calls.join(answers, [*by, "rank"]).select(*keys, "use_seq", "use_pos", "answer_seq")
-
-    used = uses.join(
-        matched.select(*keys, F.col("use_seq").alias("seq"), F.col("use_pos").alias("pos"), "answer_seq"), [*keys, "seq", "pos"], "left"
-    )
-    spare = results.join(matched.select(*keys, F.col("answer_seq").alias("seq")), [*keys, "seq"], "left_anti")
-    follows = spare.filter("after_assistant and prev_role = 'tool-use'").select(
-        *keys, F.col("prev_seq").alias("seq"), F.lit(0).alias("pos"), F.col("seq").alias("next_seq")
-    )
-    used = used.join(follows, [*keys, "seq", "pos"], "left")
-    taken = F.when(F.col("answer_seq").isNull() & F.col("after_assistant"), F.col("next_seq"))
-    used = used.withColumns({"result_seq": F.coalesce("answer_seq", taken), "by_position": taken.isNotNull()})
-    pairs = used.filter("not inline or result_seq is not null").select(
-        *keys, "group_id", F.col("seq").alias("use_seq"), "pos", "tool_id", "tool_name", "result_seq", "by_position",
-        F.col("timestamp").alias("use_at"),
+    met = match_first_in_first_out(uses, results, keys, span)
+    answered = met.select(*keys, F.col("answer_seq").alias("seq"), "use_seq", "use_pos")
+    # Is the first call of the message before already answered?
+    before = met.filter("use_pos = 0").select(*keys, F.col("use_seq").alias("prev_seq"), F.lit(True).alias("_met"))
+    placed = results.join(answered, [*keys, "seq"], "left").join(before, [*keys, "prev_seq"], "left")
+    behind = F.col("use_seq").isNull() & F.col("after_assistant") & (F.col("prev_role") == "tool-use") & F.col("_met").isNull()
+    behind = F.coalesce(behind, F.lit(False))
+    # Results without a call get a key of their own, so they do not meet in one task.
+    own = -F.col("seq") - 2
+    placed = placed.select(
+        *keys, F.when(behind, F.col("prev_seq")).otherwise(F.coalesce("use_seq", own)).alias("_use"),
+        F.when(behind, 0).otherwise(F.coalesce("use_pos", F.lit(0))).alias("pos"), F.col("seq").alias("result_seq"),
+        F.col("group_id").alias("_group"), F.col("tool_id").alias("_tool"), behind.alias("by_position"),
     )
-    stolen = pairs.filter("by_position").select(*keys, F.col("result_seq").alias("seq"))
-    orphans = spare.join(stolen, [*keys, "seq"], "left_anti").select(
-        *keys, "group_id", F.lit(None).cast("bigint").alias("use_seq"), F.lit(0).alias("pos"), "tool_id",
-        F.lit(None).cast("string").alias("tool_name"), F.col("seq").alias("result_seq"), F.lit(False).alias("by_position"),
-        F.lit(None).cast("string").alias("use_at"),
+    calls = uses.withColumns({"_use": F.col("seq"), "use_seq": F.col("seq")})
+    both = calls.join(placed, [*keys, "_use", "pos"], "full").filter("use_seq is null or not inline or result_seq is not null")
+    return both.select(
+        *keys, F.coalesce("group_id", "_group").alias("group_id"), "use_seq", "pos",
+        F.when(F.col("use_seq").isNull(), F.col("_tool")).otherwise(F.col("tool_id")).alias("tool_id"), "tool_name", "result_seq",
+        F.coalesce("by_position", F.lit(False)).alias("by_position"), F.col("timestamp").alias("use_at"),
     )
-    return pairs.unionByName(orphans)
 
 
 def transcript_groups(grouped: DataFrame, pairs: DataFrame, keys: list[str] = SESSION) -> DataFrame:
