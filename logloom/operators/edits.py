@@ -35,7 +35,7 @@ def detail_path(details: Column) -> Column:
 def detail_start(details: Column) -> Column:
     """Explicit start line of a call or block, at least 1."""
     found = F.coalesce(*[parse_line_number(detail_lookup(details, [k])) for k in START_KEYS])
-    return F.greatest(found, F.lit(1).cast("bigint"))
+    return F.when(found.isNotNull(), F.greatest(found, F.lit(1).cast("bigint")))
 
 
 def session_edits(tool_calls: DataFrame) -> DataFrame:

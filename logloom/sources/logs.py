@@ -68,8 +68,10 @@ def with_path_dims(df: DataFrame) -> DataFrame:
 def parse_envelope(lines: DataFrame) -> DataFrame:
     """Typed envelope of each line; blank, unparsable and wrongly typed lines are dropped."""
     other = [c for c in lines.columns if c not in ("value",)]
+    # The generator keeps the optimizer from pushing the checks below the parse, which would repeat
+    # the parse once per check.
     rows = lines.filter(non_blank(F.col("value"))).select(
-        *other, F.col("value").alias("line"), F.try_parse_json("value").alias("record")
+        *other, F.col("value").alias("line"), F.explode(F.array(F.try_parse_json("value"))).alias("record")
     )
     record = F.col("record")
 

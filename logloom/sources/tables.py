@@ -210,7 +210,8 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     json = lambda body: f"to_json(named_struct({stamp}{body}))"
     cases = " ".join(f"when event_type = '{kind}' then {json(body)}" for kind, body in bodies.items())
     line = f"case {cases} when k % 2 = 0 then {json(attachment)} else {json(compaction)} end"
-    base = events_base(spark, folder).withColumns({"model": _model(), "line": F.expr(line)})
+    base = events_base(spark, folder).withColumn("model", _model())
+    base = base.select("event_id", "user_id", F.explode(F.array(F.expr(line))).alias("line"))
     broken = F.when(F.col("event_id") % 97 == 5, F.substring("line", 1, 40)).when(
         F.col("event_id") % 97 == 6, F.regexp_replace("line", '"timestamp":"[^"]*"', '"timestamp":5')
     ).when(F.col("event_id") % 97 == 7, F.lit("  ")).otherwise(F.col("line"))
