@@ -31,28 +31,29 @@ def get(value: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 
 
-def kind_of(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
-def is_string(value: Column) -> Column:
-    return F.coalesce(kind_of(value) == "STRING", F.lit(False))
+def is_array(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
-def is_boolean(value: Column) -> Column:
-    return F.coalesce(kind_of(value) == "BOOLEAN", F.lit(False))
+def scalar_kind(value: Column) -> Column:
+    """Type name of a scalar, NULL for objects and arrays, whose full schema would be costly to derive."""
+    return F.when(~is_object(value) & ~is_array(value), F.schema_of_variant(value))
 
 
-def is_number(value: Column) -> Column:
-    return F.coalesce(kind_of(value).rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+def is_string(value: Column) -> Column:
+    return F.coalesce(scalar_kind(value) == "STRING", F.lit(False))
 
 
-def is_array(value: Column) -> Column:
-    return F.coalesce(F.startswith(kind_of(value), F.lit("ARRAY")), F.lit(False))
+def is_boolean(value: Column) -> Column:
+    return F.coalesce(scalar_kind(value) == "BOOLEAN", F.lit(False))
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(kind_of(value), F.lit("OBJECT")), F.lit(False))
+def is_number(value: Column) -> Column:
+    return F.coalesce(scalar_kind(value).rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
 
 
 def is_null(value: Column) -> Column:
@@ -79,11 +80,11 @@ def number_at(value: Column, name: str) -> Column:
 
 def items(value: Column) -> Column:
     """Elements of an array, NULL for anything else."""
-    return F.when(is_array(value), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def fields(value: Column) -> Column:
-    return F.when(is_object(value), F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def entries(doc: Doc) -> Column:
