@@ -59,4 +59,4 @@ def model_share(usage: DataFrame, mode: str | None = None) -> DataFrame:
     rows = usage.select("model", model_display(F.col("model")).alias("display_name"), tokens.alias("tokens"), usd_rounded(pick_cost(mode)).alias("cost"))
     total = rows.agg(F.sum("tokens").alias("total")).select(F.lit(1).alias("one"), "total")
     share = F.when(F.col("total") > 0, F.floor((F.col("tokens") * 200 + F.col("total")) / (F.col("total") * 2))).otherwise(0)
-    return rows.withColumn("one", F.lit(1)).join(total, "one").select("model", "display_name", "tokens", "cost", share.cast("bigint").alias("percent"))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("model", "display_name", "tokens", "cost", share.cast("bigint").alias("percent"))

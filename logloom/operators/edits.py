@@ -21,7 +21,11 @@ for _module in (linediff, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
 SESSION = ["project_id", "session_id"]
-DIFF_ROWS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
+# Diff rows carry how many old and new lines come before them, so numbering is an addition.
+DIFF_ROWS = T.ArrayType(T.StructType([
+    T.StructField("type", T.StringType()), T.StructField("old_at", T.LongType()), T.StructField("new_at", T.LongType()),
+    T.StructField("text", T.StringType()),
+]))
 HUNK_ROW = "struct<type:string,old_line:bigint,new_line:bigint,text:string>"
 
 
@@ -67,9 +71,15 @@ def file_snapshots(blocks: DataFrame, tool_calls: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DIFF_ROWS)
 def _diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series(
-        [[{"type": t, "text": s} for t, s in diff_lines(to_lines(a or ""), to_lines(b or ""))] for a, b in zip(old, new)]
-    )
+    def one(before: str, after: str) -> list[dict]:
+        rows, i, j = [], 0, 0
+        for kind, text in diff_lines(to_lines(before or ""), to_lines(after or "")):
+            rows.append({"type": kind, "old_at": i, "new_at": j, "text": text})
+            i += kind != "add"
+            j += kind != "remove"
+        return rows
+
+    return pd.Series([one(a, b) for a, b in zip(old, new)])
 
 
 def count_rows(rows: Column, *types: str) -> Column:
@@ -278,16 +288,12 @@ def session_hunks(edits: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def number_rows(rows: Column, old_start: Column, new_start: Column) -> Column:
-    """Line numbers for diff rows on the JVM: start plus the rows of that side before."""
-
-    def number(i: Column, start: Column, skip: str) -> Column:
-        return (start + count_rows(F.slice(rows, F.lit(1), i), "context", "remove" if skip == "add" else "add")).cast("bigint")
-
+    """Line numbers for diff rows: the hunk's start plus the lines of that side before the row."""
     return F.transform(
         rows,
-        lambda r, i: F.struct(
-            r["type"].alias("type"), F.when(r["type"] != "add", number(i, old_start, "add")).alias("old_line"),
-            F.when(r["type"] != "remove", number(i, new_start, "remove")).alias("new_line"), r["text"].alias("text"),
+        lambda r: F.struct(
+            r["type"].alias("type"), F.when(r["type"] != "add", old_start + r["old_at"]).alias("old_line"),
+            F.when(r["type"] != "remove", new_start + r["new_at"]).alias("new_line"), r["text"].alias("text"),
         ),
     )
 

@@ -12,6 +12,7 @@ DIMS = ["project_id", "session_id", "file_path", "top_level", "seq"]
 
 
 def content() -> V.Doc:
+    """Content of a record's message; the text side is read only by operators that need key order."""
     return V.Doc(V.get(F.col("message"), "content"), F.get_json_object("line", "$.message.content"))
 
 
@@ -41,15 +42,19 @@ def usage_columns() -> list[Column]:
     ]
 
 
-def record_facts(records: DataFrame) -> DataFrame:
-    """What session summaries need of each record."""
+def _fact_columns() -> list[Column]:
     saved = V.number_at(F.col("microcompact_metadata"), "tokensSaved")
-    return records.select(
-        *DIMS, "type", V.string_at(F.col("message"), "role").alias("role"), "timestamp", "cwd", "git_branch", "version",
+    return [
+        F.col("type"), V.string_at(F.col("message"), "role").alias("role"), F.col("timestamp"), F.col("cwd"), F.col("git_branch"), F.col("version"),
         F.col("compact_metadata").isNotNull().alias("is_compaction"),
         F.col("microcompact_metadata").isNotNull().alias("is_microcompaction"),
         F.coalesce(saved, F.lit(0).cast("bigint")).alias("tokens_saved"),
-    )
+    ]
+
+
+def record_facts(records: DataFrame) -> DataFrame:
+    """What session summaries need of each record."""
+    return records.select(*DIMS, *_fact_columns())
 
 
 def compaction_events(records: DataFrame) -> DataFrame:
@@ -71,8 +76,7 @@ def turn_key() -> Column:
     )
 
 
-def snapshots(records: DataFrame) -> DataFrame:
-    """One row per assistant record, as :func:`turns.collapse_turns` expects it."""
+def _snapshot_columns() -> list[Column]:
     body = content().value
     blocks = V.items(body)
     thinking = lambda b: V.is_object(b) & F.coalesce(V.string_at(b, "type") == "thinking", F.lit(False))
@@ -82,12 +86,54 @@ def snapshots(records: DataFrame) -> DataFrame:
     )
     only = F.coalesce((F.size(blocks) > 0) & F.forall(blocks, thinking), F.lit(False))
     visible = F.when(V.is_string(body), non_blank(V.as_string(body))).otherwise(F.coalesce(F.exists(blocks, shown), F.lit(False)))
-    return records.filter(F.col("type") == "assistant").select(
-        *DIMS, turn_key().alias("turn_key"), "timestamp", V.string_at(F.col("message"), "model").alias("model"),
+    return [
+        turn_key().alias("turn_key"), V.string_at(F.col("message"), "model").alias("model"),
         V.string_at(F.col("message"), "id").alias("message_id"), *usage_columns(),
-        only.alias("thinking_only"), visible.alias("visible"),
-        V.string_at(F.col("message"), "stop_reason").alias("stop_reason"),
-    )
+        only.alias("thinking_only"), visible.alias("visible"), V.string_at(F.col("message"), "stop_reason").alias("stop_reason"),
+    ]
+
+
+def snapshots(records: DataFrame) -> DataFrame:
+    """One row per assistant record, as :func:`turns.collapse_turns` expects it."""
+    return records.filter(F.col("type") == "assistant").select(*DIMS, "timestamp", *_snapshot_columns())
+
+
+def _tool_column() -> Column:
+    """(pos, tool_id, tool_name) of the tool uses of an assistant record."""
+
+    def one(b: Column, i: Column) -> Column:
+        name = F.coalesce(non_empty(V.string_at(b, "name")), F.lit("unknown"))
+        ident = F.coalesce(non_empty(V.string_at(b, "id")), F.concat_ws("-", name, i.cast("string")))
+        used = F.when(V.string_at(b, "type") == "tool_use", F.struct(i.alias("pos"), ident.alias("tool_id"), name.alias("tool_name")))
+        return used
+
+    return F.filter(F.transform(V.items(content().value), one), lambda t: t.isNotNull())
+
+
+def log_facts(records: DataFrame) -> DataFrame:
+    """Everything the session, turn and rollup operators need, in one pass and without the JSON.
+
+    Materialise this table once; :func:`facts_of`, :func:`snapshots_of` and :func:`tool_uses_of` are
+    projections of it.
+    """
+    said = F.col("type") == "assistant"
+    tools = F.when(said & F.col("top_level"), _tool_column())
+    return records.select(*DIMS, *_fact_columns(), *_snapshot_columns(), tools.alias("tools"))
+
+
+def facts_of(slim: DataFrame) -> DataFrame:
+    names = ["type", "role", "timestamp", "cwd", "git_branch", "version", "is_compaction", "is_microcompaction", "tokens_saved"]
+    return slim.select(*DIMS, *names)
+
+
+def snapshots_of(slim: DataFrame) -> DataFrame:
+    return slim.filter("type = 'assistant'").drop("type", "role", "cwd", "git_branch", "version", "is_compaction", "is_microcompaction", "tokens_saved", "tools")
+
+
+def tool_uses_of(slim: DataFrame) -> DataFrame:
+    """Tool uses of top-level files by turn."""
+    rows = slim.filter("tools is not null").select(*DIMS, "turn_key", F.explode("tools").alias("t"))
+    return rows.select(*DIMS, "turn_key", "t.pos", "t.tool_id", "t.tool_name")
 
 
 def explode_blocks(records: DataFrame) -> DataFrame:

@@ -81,22 +81,20 @@ def hour_counts(turns: DataFrame, after: str | None = None) -> DataFrame:
 
 def totals(facts: DataFrame, turns: DataFrame, matched: DataFrame, after: str | None = None) -> DataFrame:
     """One row: sessions, messages, tokens and costs."""
-    users = _dated(user_records(facts), after).agg(F.count("*").alias("n_user"))
-    said = _dated(turns, after).agg(
-        F.count_if("top_level").alias("n_turn"),
-        F.coalesce(F.sum(F.when(F.col("has_usage"), sum((F.coalesce(F.col(t), F.lit(0)) for t in TOKENS), F.lit(0)))), F.lit(0)).alias("total_tokens"),
+    used = F.when(F.col("has_usage"), sum((F.coalesce(F.col(t), F.lit(0)) for t in TOKENS), F.lit(0)))
+    parts = (
+        _dated(user_records(facts), after).agg(F.count("*").alias("message_count")),
+        _dated(turns, after).agg(F.count_if("top_level").alias("message_count"), F.sum(used).alias("total_tokens")),
+        session_days(facts, turns, after).agg(F.count("*").alias("session_count")),
+        model_usage(turns, matched, after).agg(*sum_micro()),
     )
-    n_sessions = session_days(facts, turns, after).agg(F.count("*").alias("session_count"))
-    cost = model_usage(turns, matched, after).agg(*sum_micro())
-    # Four single-row results side by side.
-    one = F.lit(1).alias("one")
-    out = users.select(one, "*")
-    for part in (said, n_sessions, cost):
-        out = out.join(part.select(one, "*"), "one")
-    zero = F.lit(0).cast("decimal(38,10)")
-    return out.select(
-        "session_count", (F.col("n_user") + F.col("n_turn")).alias("message_count"), "total_tokens",
-        *[F.coalesce(F.col(m), zero).alias(m) for m in MICRO],
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    zero = F.lit(0).cast("bigint")
+    return rows.agg(
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("session_count", "message_count", "total_tokens")],
+        *[F.coalesce(F.sum(m).cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)")).alias(m) for m in MICRO],
     )
 
 

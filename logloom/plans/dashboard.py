@@ -15,22 +15,17 @@ def headline_stats(sessions: DataFrame, totals: DataFrame, base_totals: DataFram
     ``totals`` is the delta's :func:`rollups.totals`; ``base_totals`` (session_count, message_count) the
     base's. Tokens and costs come from the sessions where those are above zero.
     """
-    one = F.lit(1).alias("one")
     whole = sessions.agg(
         F.count_distinct("project_id").alias("project_count"),
         F.sum(sum((F.col(t) for t in TOKENS), F.lit(0))).alias("session_tokens"),
         *[F.sum(m).cast("decimal(38,10)").alias(f"session_{m}") for m in MICRO],
     )
-    out = totals.select(one, "*").join(whole.select(one, "*"), "one")
-    out = out.join(longest_session(sessions).select(one, "*"), "one")
+    rows = totals.unionByName(whole, allowMissingColumns=True).unionByName(longest_session(sessions), allowMissingColumns=True)
     if base_totals is not None:
-        base = base_totals.select(one, F.col("session_count").alias("bs"), F.col("message_count").alias("bm"))
-        out = out.join(base, "one", "left").withColumns(
-            {
-                "session_count": F.col("session_count") + F.coalesce("bs", F.lit(0)),
-                "message_count": F.col("message_count") + F.coalesce("bm", F.lit(0)),
-            }
-        )
+        rows = rows.unionByName(base_totals.select("session_count", "message_count"), allowMissingColumns=True)
+    # One row per source; counts add up, every other column has a single value.
+    added = ("session_count", "message_count")
+    out = rows.agg(*[(F.sum(c) if c in added else F.max(c)).alias(c) for c in rows.columns])
     own = F.col("session_micro_api") > 0
     return out.select(
         "session_count", "message_count",

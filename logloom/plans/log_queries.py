@@ -12,10 +12,10 @@ from logloom.operators import messages as M
 from logloom.operators import records as R
 from logloom.operators import sessions as S
 from logloom.operators import transcript as T
-from logloom.operators import turns as TU
 from logloom.operators.pricing import MICRO, costs_rounded
 from logloom.operators.scans import chunk_of
 from logloom.plans import sqlparts as q
+from logloom.plans.session_logs import summarise_logs
 from logloom.session import cut_lineage
 from logloom.sources import logs, tables as t
 from logloom.sources.prices import default_prices, normalise_prices
@@ -67,10 +67,7 @@ def compaction_log(spark: SparkSession, d: str) -> DataFrame:
 
 def log_session_summary(spark: SparkSession, d: str) -> DataFrame:
     """From JSON lines to session totals: parse, collapse turns, count, price."""
-    records = _records(spark, d)
-    tools = TU.turn_tools(R.extract_tool_uses(R.explode_blocks(records)).filter("top_level"))
-    turns = TU.collapse_turns(R.snapshots(records))
-    out = S.session_summary(R.record_facts(records), turns, tools, default_prices(spark))
+    out = summarise_logs(_records(spark, d), default_prices(spark))
     keep = ["session_id", "user_count", "assistant_count", "message_count", "tool_count", "compactions", "cwd", "input_tokens",
             "output_tokens", "cache_write_tokens", "cache_read_tokens"]
     return out.select(*keep, *costs_rounded()).drop(*MICRO)

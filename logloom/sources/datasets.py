@@ -41,7 +41,8 @@ def import_dataset(spark: SparkSession, source: str, target: str) -> DataFrame:
         F.count_distinct("project_id").alias("project_count"), F.count_if(top).alias("session_count"),
         F.count("*").alias("file_count"), F.sum("bytes").alias("total_bytes"),
     )
-    manifest = counted.join(meta.limit(1)).withColumn("imported_at", F.current_timestamp().cast("string"))
+    both = counted.unionByName(meta, allowMissingColumns=True)
+    manifest = both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn("imported_at", F.current_timestamp().cast("string"))
     manifest.coalesce(1).write.mode("overwrite").json(f"{target}/{MANIFEST}")
     return spark.read.json(f"{target}/{MANIFEST}")
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from logloom.operators import records as R
 from logloom.operators import rollups, turns as TU
 from logloom.operators.pricing import match_prices, price_usage
-from logloom.sources.logs import list_files, read_records
+from logloom.session import cut_lineage
+from logloom.sources.logs import list_files, parse_envelope, read_lines, with_path_dims
 
 KEY = ["project_id", "session_id"]
 
@@ -27,20 +28,20 @@ def changed_sessions(files: DataFrame, seen: DataFrame | None = None, after_date
     return fresh.select(*KEY).distinct()
 
 
-def turns_with_tools(records: DataFrame) -> DataFrame:
-    """Collapsed turns of parsed records with their number of distinct tool calls."""
-    uses = R.extract_tool_uses(R.explode_blocks(records.filter("top_level")))
-    return TU.with_tool_counts(TU.collapse_turns(R.snapshots(records)), TU.turn_tools(uses))
+def turns_with_tools(slim: DataFrame) -> DataFrame:
+    """Collapsed turns with their number of distinct tool calls, from :func:`records.log_facts`."""
+    return TU.with_tool_counts(TU.collapse_turns(R.snapshots_of(slim)), TU.turn_tools(R.tool_uses_of(slim)))
 
 
 def refresh_rollups(spark: SparkSession, root: str, prices: DataFrame, base: dict[str, DataFrame], after_date: str) -> dict[str, DataFrame]:
     """Rollups of everything after ``after_date`` added to a base (see ``read_rollup_base``).
 
-    Only files of sessions that changed since then are kept before the JSON is parsed into turns.
+    Only lines of sessions that changed since then are parsed, and they are parsed once.
     """
     changed = changed_sessions(list_files(spark, root), after_date=after_date)
-    records = read_records(spark, root).join(changed, KEY, "left_semi")
-    facts, turns = R.record_facts(records), turns_with_tools(records)
+    lines = with_path_dims(read_lines(spark, root)).join(changed, KEY, "left_semi")
+    slim = cut_lineage(R.log_facts(parse_envelope(lines)))
+    facts, turns = R.facts_of(slim), cut_lineage(turns_with_tools(slim))
     matched = match_prices(turns.select("model"), prices)
     usage = rollups.model_usage(turns, matched, after_date)
     merged_usage = rollups.merge_rollup(price_usage(base["models"], prices), usage, ["model"])
