@@ -15,6 +15,7 @@ from logloom.operators import transcript as T
 from logloom.operators.pricing import MICRO, costs_rounded
 from logloom.operators.scans import chunk_of
 from logloom.plans import sqlparts as q
+from logloom.plans.flow_queries import FLOW, PAIRS
 from logloom.plans.session_logs import summarise_logs
 from logloom.session import cut_lineage
 from logloom.sources import logs, tables as t
@@ -215,3 +216,51 @@ ORACLE = {
         case when p_size % 11 <> 0 then p_size / 1000000.0::double end i, p_size / 250000.0::double o, case when p_size % 2 = 0 then p_size / 10000000.0::double end c from part) where g < 3 and i is not null""",
     "prompt_history": q.with_(["ev"], "select 'ask '||event_id display, project_id project, strftime(make_timestamp((micros // 1000) * 1000), '%Y-%m-%d %H:%M') as minute, k pasted from ev where event_id % 50 <> 3"),
 }
+
+# --- contributions, context and pairs of the log lines ---------------------------------------
+
+
+def _count(text: str) -> str:
+    return f"coalesce(len(regexp_extract_all({text}, '\\w{{1,6}}|[^\\w\\s]')), 0)::bigint"
+
+
+_NL = "chr(92)||'n'"
+GIVEN = f"""calls as (select *, '{{"name":"'||(['Read','Edit','Bash','Grep'])[(k % 4)+1]||'","input":{{'||case k % 4
+      when 0 then '"endLine":'||(k+10)||',"file_path":"'||path||'","startLine":'||(k+1)
+      when 1 then '"file_path":"'||path||'","new_string":"line '||(k % 12 + 4)||{_NL}||'keep '||(k % 5)||{_NL}||'added","old_string":"line '||(k % 12)||{_NL}||'keep '||(k % 5)||'"'||case when k % 8 = 1 then ',"startLine":'||(k+1) else '' end
+      when 2 then '"command":"run '||k||'","timeout":'||(k*1000) else '"query":"q'||k||'"' end||'}}}}' call from lines where event_type = 'click'),
+given as (
+  select sid, event_id seq, 'assistant' as "type", 0::bigint system, 0::bigint conversation, 0::bigint files, 0::bigint thinking, {_count('call')} tool, 0::bigint other, 0::bigint hid, value, k from calls
+  union all select sid, event_id, 'user', 0, 0, 0, 0, {_count("'{\"exitCode\":'||(k % 3)||',\"filePath\":\"'||path||'\",\"numLines\":'||k||',\"totalLines\":'||(k*2)||',\"type\":\"text\"}'")}, 0, 0, value, k from lines where event_type = 'purchase'
+  union all select sid, event_id, 'assistant', 0, {_count("'Seen '||event_id")}, 0, case when k % 2 = 0 then {_count("'Thought '||k")} else 0 end, 0, 0, k % 2, value, k from lines where event_type = 'view'
+  union all select sid, event_id, 'user', case when k % 5 = 0 then {_count("'<command-name>/go</command-name><command-args>'||k||'</command-args>'")} else 0 end, case when k % 5 = 0 then 0 else {_count("'Question '||k")} end, 0, 0, 0, 0, 0, value, k from lines where event_type = 'signup'
+  union all select sid, event_id, 'attachment', 0, 0, {_count("path||' text '||k")}, 0, 0, 0, 0, value, k from lines where event_type = 'error' and k % 2 = 0
+  union all select sid, event_id, 'system', 0, 0, 0, 0, 0, 0, 0, value, k from lines where event_type = 'error' and k % 2 = 1)"""
+_SIX = ("system", "conversation", "files", "thinking", "tool", "other")
+_REST = "greatest(billed - known, 0)"
+CONTEXT = (
+    """g1 as (select *, lag("type") over (partition by sid order by seq) pt, """
+    + ", ".join(f"coalesce(sum({b}) over b, 0)::bigint p_{b}" for b in (*_SIX, "hid"))
+    + """ from given window b as (partition by sid order by seq rows between unbounded preceding and 1 preceding)),
+g2 as (select *, "type" <> 'assistant' or pt is null or pt <> 'assistant' f from g1),
+g3 as (select sid, seq, "type", (floor(value * 10) + k * 10 + k * 1000)::bigint billed, """
+    + ", ".join(f"last_value(case when f then p_{b} end ignore nulls) over w c_{b}" for b in (*_SIX, "hid"))
+    + """ from g2 window w as (partition by sid order by seq)),
+g4 as (select *, """
+    + " + ".join(f"c_{b}" for b in _SIX)
+    + """ known from g3 where "type" = 'assistant')"""
+)
+_LOG_FLOW = """f0 as (
+  select sid, event_id seq, tstamp, k, case event_type when 'click' then 'tool-use' when 'purchase' then 'tool-result' when 'view' then 'assistant'
+      when 'signup' then case when k % 5 = 0 then 'system' else 'user' end else 'system' end as "role",
+    case when event_type in ('click','purchase') then 't'||(k % 3) end tid, case when event_type = 'click' then (['Read','Edit','Bash','Grep'])[(k % 4)+1] end tool
+  from lines),
+f1 as""" + FLOW.split("f1 as", 1)[1]
+
+ORACLE |= {
+    "prompt_contributions": q.with_(["ev"], f"""select sid session_id, seq, "type", {", ".join(_SIX)}, hid hidden_thinking from given""", LINES, GIVEN),
+    "context_before_replies": q.with_(["ev"], f"""select sid session_id, seq, c_system system_tokens, c_conversation conversation_tokens, c_files files_tokens,
+      c_thinking + case when c_hid > 0 then {_REST} else 0 end thinking_tokens, c_tool tool_tokens, c_other + case when c_hid > 0 then 0 else {_REST} end other_tokens,
+      billed total_tokens, known > billed as overflow from g4""", LINES, GIVEN, CONTEXT),
+    "log_tool_pairs": q.with_(["ev"], "select sid session_id, gid group_id, use_seq, tid tool_id, tool tool_name, result_seq, by_position from pairs", LINES, _LOG_FLOW, PAIRS),
+}
