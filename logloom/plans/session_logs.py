@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logloom.operators import records as R
 from logloom.operators import rollups, sessions
@@ -32,7 +33,8 @@ def dashboard(spark: SparkSession, root: str, prices: DataFrame) -> dict[str, Da
     return {
         "headline": headline_stats(summary, totals),
         "recent_sessions": sessions.list_sessions(summary, limit=10),
-        "projects": sessions.project_summary(summary, list_files(spark, root)).join(sessions.project_names(facts), "project_id", "left"),
+        "projects": sessions.project_summary(summary, list_files(spark, root))
+        .join(sessions.project_names(facts), "project_id", "left").orderBy(F.desc_nulls_last("last_active"), "project_id"),
         "project_models": sessions.project_models(turns),
         "daily_activity": rollups.daily_activity(facts, turns),
         "daily_models": rollups.daily_model(turns, matched),
