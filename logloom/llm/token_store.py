@@ -215,7 +215,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     Only narrow manifest rows are shuffled. The running start is a window over one row per shard.
     """
     keyed = manifest.select("file", "doc_id", "copy", "shard")
-    found = keyed.repartition("file").sortWithinPartitions("file", "doc_id", "copy").mapInPandas(
+    # A task per shard: the manifest's own small size says nothing about the payload that its rows read.
+    shards = manifest.agg(F.coalesce(F.max("shard") + 1, F.lit(1))).first()[0]
+    found = keyed.repartition(shards, "file").sortWithinPartitions("file", "doc_id", "copy").mapInPandas(
         _lookup, "doc_id bigint, shard int, place bigint, n_tokens bigint, ids_crc32 bigint"
     )
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
