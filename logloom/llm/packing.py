@@ -32,6 +32,7 @@ from logloom.llm.tokens import default_vocabulary, encoder, ids_crc32
 CAPACITY = 2048
 PROBLEM_ITEMS = 8192
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
+ISLANDS_PER_TASK = 8
 INJECTED_SHARE = 0.1
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint"
 _ORDER = ["length", "doc_id", "piece", "ids_crc32", "nth"]
@@ -195,12 +196,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     cut = texts.mapInArrow(_cutter(vocabulary or default_vocabulary(), capacity), PIECES)
     pieces = scratch.save(cut, "pieces")
     problems = tasks_for(pieces.count(), PROBLEM_ITEMS)
+    tasks = tasks_for(problems * ISLANDS, ISLANDS_PER_TASK)
     dealt = pieces.withColumn("problem", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth"), F.lit(problems)))
     lengths = dealt.select("problem", "length").groupBy("problem").applyInPandas(_lengths, "problem bigint, lengths binary")
     nothing = F.lit(None).cast("binary")
     islands = (
         lengths.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
-        .withColumns({"own": nothing, "migrant": nothing}).repartition("problem", "island")
+        .withColumns({"own": nothing, "migrant": nothing}).repartition(tasks, "problem", "island")
     )
     state = None
     for epoch in range(EPOCHS):
@@ -211,7 +213,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
         moved = state.select(
             "problem", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.col("own").alias("migrant")
         )
-        islands = state.drop("score").join(moved, ["problem", "island"]).repartition("problem", "island")
+        islands = state.drop("score").join(moved, ["problem", "island"]).repartition(tasks, "problem", "island")
     best = state.groupBy("problem").agg(F.max_by("own", F.struct("score", -F.col("island"))).alias("own"))
     placed = dealt.groupBy("problem").cogroup(best.groupBy("problem")).applyInPandas(
         _place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"

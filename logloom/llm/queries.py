@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import packing, token_store
+from logloom.llm import packing, suffix_dedup, token_store
 from logloom.llm.common import table
 
 
@@ -12,9 +12,13 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, d, "documents")).drop("row_key")
+
+
 def op6_token_store(spark: SparkSession, d: str) -> DataFrame:
     return token_store.store_and_read(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store)}
 ORACLE: dict[str, str] = {}
