@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import packing, suffix_dedup, token_store
+from logloom.llm import packing, substring_dedup, suffix_dedup, token_store
 from logloom.llm.common import table
 
 
@@ -20,5 +20,9 @@ def op6_token_store(spark: SparkSession, d: str) -> DataFrame:
     return token_store.store_and_read(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store)}
+def op7_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.remove_windows(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup)}
 ORACLE: dict[str, str] = {}
