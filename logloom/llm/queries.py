@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import packing, substring_dedup, suffix_dedup, token_store
+from logloom.llm import minhash, packing, substring_dedup, suffix_dedup, token_store
 from logloom.llm.common import table
 
 
@@ -24,5 +24,9 @@ def op7_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return substring_dedup.remove_windows(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup)}
+def op9_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash)}
 ORACLE: dict[str, str] = {}
