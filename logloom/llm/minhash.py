@@ -10,9 +10,10 @@ link is confirmed on the full sets.
 2. A bucket yields star edges only: from its hub, the member that meets others in most bands, to the rest.
    In a group of near copies this is the common original. Pairs number at most the bucket entries.
 3. After the confirmed star edges are joined to components, buckets that still hold several components are
-   looked at once more: members are compared by signature with members of other components, in blocks, and
-   pairs that agree in at least 72 % of the bins (four standard errors below 85 %) are confirmed too. So a link
-   that runs past a hub is not lost, and pairs inside a component, which a large group is full of, never arise.
+   looked at once more: members pass by the members of other components, in blocks, and pairs that agree in at
+   least 72 % of the bins (four standard errors below 85 %) are confirmed on the spot. So a link that runs past
+   a hub is not lost. Pairs inside a component, which a large group is full of, are not looked at, a pair is
+   looked at in one bucket only, and no more links come out than join the components.
 
 Sets with fewer than six shingles can only be linked when equal (5 of 6 is below 85 %) and get no signature.
 
@@ -116,11 +117,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row_of = np.cumsum(large) - 1
         member = large[doc]
         bins = signatures(row_of[doc[member]], hashed[member], int(large.sum()))
-        bands, short = band_keys(bins), (bins & np.uint32(0xFFFF)).astype("<u2")
+        bands, raw = band_keys(bins), bins.astype("<u4")
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column(0).fill_null(LAST_ID), "n_shingles": pa.array(sizes.astype(np.int64)),
             "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64)),
-            "bins": pa.array([short[r].tobytes() if x else None for r, x in zip(row_of, large)], pa.binary()),
+            "bins": pa.array([raw[r].tobytes() if x else None for r, x in zip(row_of, large)], pa.binary()),
             "bands": pa.array([bands[r] if x else None for r, x in zip(row_of, large)], pa.list_(pa.int64())),
         })
 
@@ -144,42 +145,92 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _likely(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block's seekers with its members of other components that agree in many bins."""
-    seek, stand = rows[rows["seeks"]], rows[~rows["seeks"]]
-    out = {"a": [], "b": []}
-    if len(seek) and len(stand):
-        bins = np.stack([np.frombuffer(x, "<u2") for x in stand["bins"]])
-        ids, of = stand["doc_id"].to_numpy(), stand["component"].to_numpy()
-        for row in seek.itertuples(index=False):
-            alike = (bins == np.frombuffer(row.bins, "<u2")).sum(axis=1) >= LIKELY_BINS
-            found = ids[alike & (of != row.component)]
-            out["a"] += np.minimum(found, row.doc_id).tolist()
-            out["b"] += np.maximum(found, row.doc_id).tolist()
-    return pd.DataFrame(out, dtype="int64")
+class _Members:
+    """Members of one bucket block: ids, components, signatures and full sets."""
 
+    def __init__(self, batch: pa.RecordBatch, low: int, high: int):
+        part = batch.slice(low, high - low)
+        take = lambda name: part.column(name).to_numpy(zero_copy_only=False)
+        self.ids, self.of, self.main = take("doc_id"), take("component"), take("main")
+        self.bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), "<u4").reshape(-1, BINS)
+        self.sets = [x.values.to_numpy().view(np.uint64) for x in part.column("shingles")]
+        self.sizes = np.array([len(x) for x in self.sets])
 
-def second_look(entries: DataFrame, labels: DataFrame, bins: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs between different components of one bucket.
 
-    Members outside the bucket's most frequent component seek; they meet all members, a block at a time.
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two ascending sets have at least ``PERCENT`` of their union in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    n = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * n >= PERCENT * (len(x) + len(y) - n)
+
+
+def _meet(seek: _Members, stand: list[_Members], band: int) -> Iterator[tuple[int, int]]:
+    """Confirmed links of seekers with standing members, no more than join their components."""
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    for i, me in enumerate(seek.ids.tolist()):
+        for others in stand:
+            same = others.bins == seek.bins[i]
+            likely = (same.sum(axis=1) >= LIKELY_BINS) & (others.of != seek.of[i])
+            likely &= 100 * np.minimum(others.sizes, seek.sizes[i]) >= PERCENT * np.maximum(others.sizes, seek.sizes[i])
+            likely &= (others.of == others.main) | (others.ids < me)  # two seekers meet once
+            at = np.flatnonzero(likely)
+            # A pair is looked at in its first common band only.
+            at = at[same[at].reshape(len(at), BANDS, BAND_BINS).all(axis=2).argmax(axis=1) == band] if len(at) else at
+            for k in at.tolist():
+                mine, theirs = root(int(seek.of[i])), root(int(others.of[k]))
+                if mine != theirs and linked(seek.sets[i], others.sets[k]):
+                    joined[mine] = theirs
+                    other = int(others.ids[k])
+                    yield min(me, other), max(me, other)
+
+
+def _seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket block, standing members first; these are held while seekers pass by."""
+    group, stand = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("band", "block", "seeks")]
+        new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)])
+        cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        found = []
+        for low, high in zip(cuts, cuts[1:]):
+            here = (key[0][low], key[1][low])
+            if here != group:
+                group, stand = here, []
+            members = _Members(batch, low, high)
+            if key[2][low]:
+                found += _meet(members, stand, batch.column("band_no")[low].as_py())
+            else:
+                stand.append(members)
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
+def second_look(entries: DataFrame, labels: DataFrame, details: DataFrame, scratch: Scratch) -> DataFrame:
+    """Confirmed links between different components of one bucket.
+
+    Members outside the bucket's most frequent component seek; they pass by all members, a block at a time.
     """
     known = entries.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     known = known.withColumn("component", F.coalesce("component", "doc_id"))
     share = known.groupBy("band", "component").agg(F.count("*").alias("n"))
     split = share.groupBy("band").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("parts")
-    ).filter("parts > 1").drop("parts")
-    open_entries = known.join(split, "band").join(bins, "doc_id")
-    open_entries = scratch.save(open_entries, "open")
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts")
+    ).filter("parts > 1").select("band", F.col("top.component").alias("main"), "members")
+    rows = scratch.save(known.join(split, "band"), "open").join(details, "doc_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    stand = open_entries.select(
-        "band", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.lit(False).alias("seeks"), "doc_id", "component", "bins"
-    )
-    seek = open_entries.filter("component <> main").select(
-        "band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("seeks"), "doc_id", "component", "bins"
-    )
-    return stand.union(seek).groupBy("band", "block").applyInPandas(_likely, "a bigint, b bigint").distinct()
+    columns = ["band", "band_no", "block", "seeks", "doc_id", "component", "main", "bins", "shingles"]
+    stand = rows.withColumns({"block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), "seeks": F.lit(False)})
+    seek = rows.filter("component <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), blocks - 1)), "seeks": F.lit(True)})
+    ordered = stand.select(columns).union(seek.select(columns)).repartition("band", "block").sortWithinPartitions("band", "block", "seeks")
+    return ordered.mapInArrow(_seek, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("name"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
     )
     classes = scratch.save(classes, "classes")
-    entries = classes.filter("bands IS NOT NULL").select(F.col("name").alias("doc_id"), F.explode("bands").alias("band"))
+    entries = classes.filter("bands IS NOT NULL").select(F.col("name").alias("doc_id"), F.posexplode("bands").alias("band_no", "band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     entries = scratch.save(entries.join(shared.select("band"), "band"), "entries")
     met = entries.groupBy("doc_id").agg(F.count("*").alias("met"))
@@ -208,9 +259,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = scratch.save(wanted.mapInArrow(_sets, "doc_id bigint, shingles array<bigint>").distinct(), "sets")
     links = scratch.save(confirm(stars, sets), "links")
     labels = components(links, scratch, "first")
-    bins = classes.filter("bins IS NOT NULL").select(F.col("name").alias("doc_id"), "bins")
-    more = second_look(entries, labels, bins, scratch).join(stars, ["a", "b"], "left_anti")
-    late = scratch.save(confirm(scratch.save(more, "more"), sets), "late")
+    details = classes.filter("bins IS NOT NULL").select(F.col("name").alias("doc_id"), "bins").join(sets, "doc_id")
+    late = scratch.save(second_look(entries, labels, details, scratch), "late")
     if not late.isEmpty():
         labels = components(links.union(late), scratch, "second")
     groups = classes.select(*same, "name").join(labels.withColumnRenamed("node", "name"), "name", "left")
