@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logloom.llm import minhash, packing, substring_dedup, suffix_dedup, token_store
+from logloom.llm import minhash, mixing, packing, sharding, substring_dedup, suffix_dedup, token_store
 from logloom.llm.common import table
 
 
@@ -28,5 +29,14 @@ def op9_minhash(spark: SparkSession, d: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash)}
+def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard_records(table(spark, d, "documents"))
+
+
+def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
+    taken = (F.col("size") * F.size("shards")).alias("taken")
+    return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", taken)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash, op3_sharding, op8_mixing)}
 ORACLE: dict[str, str] = {}
