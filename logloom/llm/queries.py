@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import minhash, mixing, packing, sharding, substring_dedup, suffix_dedup, token_store
+from logloom.llm import minhash, mixing, nearest, packing, quality, sharding, substring_dedup, suffix_dedup, token_store
 from logloom.llm.common import table
 
 
@@ -38,5 +38,13 @@ def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", taken)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash, op3_sharding, op8_mixing)}
+def op4_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.nearest(table(spark, d, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash, op3_sharding, op8_mixing, op4_quality, op10_nearest)}
 ORACLE: dict[str, str] = {}
