@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from logloom.llm.common import Scratch, tasks_for, utf8
 
@@ -24,7 +26,7 @@ BUCKET_BYTES = 16 << 20
 BROADCAST_BYTES = 48 << 20
 CHUNK_ROWS = 2
 LAST_ID = (1 << 63) - 1
-CHUNKS = "chunk bigint, n_docs bigint, n_bytes bigint, n_words bigint, doc_ids binary, row_keys binary, sizes binary, texts binary"
+CHUNKS = "chunk bigint, n_docs bigint, n_bytes bigint, n_words bigint, doc_ids binary, sizes binary, texts binary, carry binary"
 RUNS = "bucket int, chunk bigint, run binary"
 
 
@@ -33,27 +35,34 @@ def _gather(chunk_bytes: int):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        ids, keys, texts, held = [], [], [], 0
+        ids, texts, others, held, fields = [], [], [], 0, None
 
         def row() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], np.int64)
+            carried = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*others), fields)], schema=pa.schema(fields))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, carried.schema) as stream:
+                stream.write_batch(carried)
             values = [
                 number, len(texts), int(sizes.sum()), sum(len(t.split()) for t in texts), np.array(ids, np.int64).tobytes(),
-                np.array(keys, np.int64).tobytes(), sizes.tobytes(), b"".join(texts),
+                sizes.tobytes(), b"".join(texts), sink.getvalue().to_pybytes(),
             ]
             kinds = [pa.int64()] * 4 + [pa.binary()] * 4
             names = [c.split()[0] for c in CHUNKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
 
         for batch in batches:
-            for key, row_key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            fields = list(batch.schema)[2:]
+            columns = [c.to_pylist() for c in batch.columns]
+            rest = zip(*columns[2:]) if fields else [()] * batch.num_rows
+            for key, text, other in zip(columns[0], columns[1], rest):
                 raw = utf8(text)
                 if texts and held + len(raw) > chunk_bytes:
                     yield row()
-                    ids, keys, texts, held, number = [], [], [], 0, number + 1
+                    ids, texts, others, held, number = [], [], [], 0, number + 1
                 ids.append(LAST_ID if key is None else key)
-                keys.append(row_key)
                 texts.append(raw)
+                others.append(other)
                 held += len(raw)
         if texts:
             yield row()
@@ -61,10 +70,14 @@ def _gather(chunk_bytes: int):
     return gather
 
 
-def stage_chunks(docs: DataFrame, scratch: Scratch, row_key: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Write the texts as chunks. A NULL doc_id becomes ``LAST_ID``, larger than every other."""
-    key = F.lit(0) if row_key is None else F.col(row_key)
-    texts = docs.select(F.col("doc_id").cast("bigint"), key.cast("bigint").alias("key"), F.col("text").cast("string"))
+def stage_chunks(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Write the texts as chunks. A NULL doc_id becomes ``LAST_ID``, larger than every other.
+
+    ``carry`` names further columns; they stay with their documents.
+    """
+    texts = docs.select(
+        F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *[F.col(c).alias(f"in_{c}") for c in carry or []]
+    )
     return scratch.save(texts.mapInArrow(_gather(chunk_bytes), CHUNKS), "chunks", compression="zstd")
 
 
@@ -79,14 +92,19 @@ class Chunk:
     def __init__(self, row: dict):
         self.number = row["chunk"]
         self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
-        self.row_keys = np.frombuffer(row["row_keys"], np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.raw = row["texts"]
+        self.raw, self._carry = row["texts"], row["carry"]
         self.answers = {
             name: {a["bucket"]: a["answer"] for a in row[name] or []} for name in row if name.startswith("answers")
         }
 
+    def carried(self) -> dict:
+        """The further columns of the documents."""
+        with pa.ipc.open_stream(self._carry) as stream:
+            batch = stream.read_next_batch()
+        return dict(zip(batch.schema.names, batch.columns))
+
     def texts(self) -> Iterator[bytes]:
         for end, size in zip(self.ends.tolist(), self.sizes.tolist()):
             yield self.raw[end - size:end]
@@ -102,13 +120,9 @@ def _over_chunks(make: Callable[[Chunk], Iterator[dict]], schema: pa.Schema):
     return run
 
 
-_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-
-
 def over_chunks(chunks: DataFrame, make: Callable[[Chunk], Iterator[dict]], schema: str) -> DataFrame:
     """Apply ``make``, which yields columns of rows, to every chunk."""
-    fields = pa.schema([(n, _KINDS[t]) for n, t in (c.split() for c in schema.split(", "))])
-    return chunks.mapInArrow(_over_chunks(make, fields), schema)
+    return chunks.mapInArrow(_over_chunks(make, to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
 def exchange(

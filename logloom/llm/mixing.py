@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import Scratch, word_count
@@ -32,7 +32,7 @@ SHARDS = 8
 BLOCK_DOCS = 512
 MOST_BLOCKS = 65_536
 SEED = 20_011
-_DRAWN = "doc_id bigint, row_key bigint, source string, size bigint, mixer bigint, source_size bigint, target double, block int, position bigint, whole int, extra boolean, room double"
+_DRAWN = "doc_id bigint, source string, size bigint, mixer bigint, source_size bigint, target double, block int, position bigint, whole int, extra boolean, room double"
 
 
 def targets(stats: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
@@ -69,7 +69,7 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """Draw documents of the last block in mixed order while they fit; then the smallest if that comes nearer."""
-    rows = rows.sort_values(["mixer", "doc_id", "row_key", "size"]).reset_index(drop=True)
+    rows = rows.sort_values(["mixer", "doc_id", "size"]).reset_index(drop=True)
     left, sizes = float(rows["room"].iloc[0]), rows["size"].to_numpy()
     taken = np.zeros(len(rows), bool)
     for i, size in enumerate(sizes.tolist()):
@@ -82,16 +82,20 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def mix(docs: DataFrame, row_key: str | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, row_key, size, source_size, target, shards (one entry per draw), mixer.
+def mixer_of(seed: int) -> Column:
+    """The place of a document in mixed order, from its id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.lit(seed))
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, shards (one entry per draw), mixer.
 
     ``taken`` words are size times the number of draws. Shards are shuffled inside by ``mixer``.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
-    key = F.lit(0) if row_key is None else F.col(row_key)
     sized = scratch.save(docs.select(
-        F.col("doc_id").cast("bigint"), key.cast("bigint").alias("row_key"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"),
-        F.xxhash64("doc_id", "text", F.lit(seed)).alias("mixer"),
+        F.col("doc_id").cast("bigint"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"),
+        mixer_of(seed).alias("mixer"),
     ), "sized")
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     blocks_of = F.least(F.ceil(F.col("docs") / BLOCK_DOCS), F.lit(MOST_BLOCKS)).cast("int")
@@ -135,5 +139,19 @@ def mix(docs: DataFrame, row_key: str | None = None, shards: int = SHARDS, seed:
     # The last pass holds fewer blocks, but its positions come first in mixed order.
     chosen = F.when(F.col("whole") + F.col("extra").cast("int") > 0, F.transform(passes, shard)).otherwise(F.array().cast("array<int>"))
     return scratch.save(rows.select(
-        "doc_id", "row_key", "size", "source_size", "target", chosen.alias("shards"), "mixer"
+        "doc_id", "size", "source_size", "target", chosen.alias("shards"), "mixer"
     ), "mixed")
+
+
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The documents of the mix with the column ``_shard``, as often as drawn, each shard shuffled inside.
+
+    Repeated rows meet their draws by number. A shard is written by as many tasks as its size asks for.
+    """
+    nth = F.row_number().over(Window.partitionBy("_id", "_mixer").orderBy(F.lit(0)))
+    drawn = mix(docs, shards, seed).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("mixer").alias("_mixer"), F.col("shards").alias("_shards"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_mixer": mixer_of(seed)})
+    both = keyed.withColumn("_nth", nth).join(drawn.withColumn("_nth", nth), ["_id", "_mixer", "_nth"])
+    copies = both.select(*docs.columns, "_mixer", F.posexplode("_shards").alias("_pass", "_shard"))
+    copies = copies.withColumn("_place", F.xxhash64("_mixer", "_pass", F.lit(seed)))
+    return copies.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place").select(*docs.columns, "_shard")

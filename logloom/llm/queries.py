@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import minhash, mixing, nearest, packing, quality, sharding, substring_dedup, suffix_dedup, token_store
+from logloom.llm import licenses, minhash, mixing, nearest, packing, quality, sharding, substring_dedup, suffix_dedup, token_store
 from logloom.llm.common import table
 
 
@@ -14,7 +14,7 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, d, "documents")).drop("row_key")
+    return suffix_dedup.remove_repeats(table(spark, d, "documents"))
 
 
 def op6_token_store(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_records(table(spark, d, "documents"))
 
 
+def op5_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.license_scan(licenses.as_files(table(spark, d, "documents")))
+
+
 def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
     taken = (F.col("size") * F.size("shards")).alias("taken")
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", taken)
@@ -46,5 +50,5 @@ def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest(table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash, op3_sharding, op8_mixing, op4_quality, op10_nearest)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash, op3_sharding, op5_licenses, op8_mixing, op4_quality, op10_nearest)}
+ORACLE: dict[str, str] = {"op5_licenses": licenses.SQL}

@@ -41,7 +41,7 @@ LEFT = PLACES - 1
 KEY = LENGTH + LEFT + 2
 _BLOCK = 1 << 18
 _BYTE_CODES = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(11)) >> np.uint64(32)).astype(np.uint32)
-ROWS = "doc_id bigint, row_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+ROWS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def _place_hash(text: np.ndarray) -> np.ndarray:
@@ -375,25 +375,26 @@ def _results(buckets: int, texts: bool):
             if texts:
                 kept_texts.append(kept.decode("utf-8", "ignore"))
         ids = [None if i == LAST_ID else i for i in chunk.doc_ids.tolist()]
-        yield {"doc_id": ids, "row_key": chunk.row_keys.tolist(), **columns} | ({"text": kept_texts} if texts else {})
+        yield {"doc_id": ids, **columns} | ({"text": kept_texts} if texts else {}) | chunk.carried()
 
     return results
 
 
-def remove_repeats(docs: DataFrame, row_key: str | None = None, texts: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: doc_id, row_key, n_bytes, n_removed, n_spans, kept_sha256.
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, texts: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     ``texts`` adds the remaining text; bytes of a character that was cut in half are left out of it.
-    ``row_key`` names a column that is handed through as row_key.
+    ``carry`` names columns of the documents that are handed through as in_<name>.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    chunks = stage_chunks(docs, scratch, row_key, chunk_bytes)
+    chunks = stage_chunks(docs, scratch, carry, chunk_bytes)
     buckets = bucket_count(chunks)
     grams = exchange(chunks, scratch, "grams", buckets, _send_grams(buckets), _merge_grams)
     flagged = with_answers(chunks, grams, "answers_grams")
     suffixes = exchange(flagged, scratch, "suffixes", buckets, _send_suffixes(buckets), _merge_suffixes)
     answered = with_answers(flagged, suffixes, "answers_suffixes")
-    out = over_chunks(answered, _results(buckets, texts), ROWS + (", text string" if texts else ""))
+    more = "".join(f", in_{c} {docs.schema[c].dataType.simpleString()}" for c in carry or [])
+    out = over_chunks(answered, _results(buckets, texts), ROWS + (", text string" if texts else "") + more)
     result = scratch.save(out, "results", rows=CHUNK_ROWS)
     scratch.drop("chunks", "grams", "suffixes")
     return result

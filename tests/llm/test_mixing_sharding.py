@@ -53,6 +53,15 @@ def test_mix(spark):
     assert set(per_shard) <= set(range(8))
 
 
+def test_mixed_documents(spark):
+    df = documents(spark, rows())
+    plan = Counter()
+    for r in mixing.mix(df).collect():
+        plan[str(r.doc_id), r.size] += len(r.shards)
+    got = Counter((str(r.doc_id), len((r.text or "").split())) for r in mixing.mixed_documents(df).collect())
+    assert got == +plan
+
+
 def test_split_tree():
     quotas = [1000, 17, 3, 0, 260]
     split = mixing.split_tree(quotas, 8)

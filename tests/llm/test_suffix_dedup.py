@@ -46,7 +46,7 @@ def cases():
 @pytest.mark.parametrize("chunk_bytes", [300, 5000, 1 << 22])
 def test_equals_brute_force(spark, chunk_bytes):
     rows = cases()
-    got = remove_repeats(clashing(documents(spark, rows)), chunk_bytes=chunk_bytes).drop("row_key").collect()
+    got = remove_repeats(clashing(documents(spark, rows)), chunk_bytes=chunk_bytes).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
@@ -56,14 +56,15 @@ def test_small_buckets_and_shuffled_answers(spark, monkeypatch):
     monkeypatch.setattr(chunks, "BUCKET_BYTES", 2000)
     monkeypatch.setattr(chunks, "BROADCAST_BYTES", -1)
     rows = cases()
-    got = remove_repeats(documents(spark, rows).repartition(5), chunk_bytes=2000).drop("row_key").collect()
+    got = remove_repeats(documents(spark, rows).repartition(5), chunk_bytes=2000).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
 def test_empty_and_texts(spark):
     assert remove_repeats(documents(spark, [])).count() == 0
     base = prose(1, 60)
-    rows = remove_repeats(documents(spark, [(1, base), (2, "new " + base)]), texts=True).collect()
+    rows = remove_repeats(documents(spark, [(1, base), (2, "new " + base)]), texts=True, carry=["source"]).collect()
+    assert {r.in_source for r in rows} == {"s"}
     assert {r.doc_id: r.text for r in rows} == {1: base, 2: "new "}
 
 
