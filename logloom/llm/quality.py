@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, mix64, utf8
+from logloom.llm.common import ROWS_PER_BATCH, mix64, utf8
 
 SAMPLE_DOCS = 600
 CONTENT_SHARE = 0.5
@@ -222,7 +222,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS
 
 def _judge(field: LineField | None):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (big.slice(at, ROWS_PER_BATCH) for big in batches for at in range(0, big.num_rows, ROWS_PER_BATCH)):
             b = Batch(batch.column(1).to_pylist())
             content = field.decode(b.features, b.n_lines) if field else np.ones(len(b.features), bool)
             ends = np.concatenate([[0], np.cumsum(b.n_lines)])
@@ -239,10 +239,12 @@ def _judge(field: LineField | None):
 
 
 def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Counts and verdict of every document; ``carry`` names columns handed through beside them."""
-    scratch = Scratch(docs.sparkSession, "quality")
+    """Counts and verdict of every document; ``carry`` names columns handed through beside them as in_<name>.
+
+    The result is a single pass over the texts and is not written in between.
+    """
     field = fit_field(docs, labels)
     carry = carry or []
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *[F.col(c).alias(f"in_{c}") for c in carry])
     more = "".join(f", in_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return scratch.save(texts.mapInArrow(_judge(field), ROWS + more), "judged")
+    return texts.mapInArrow(_judge(field), ROWS + more)
