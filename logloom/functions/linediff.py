@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# A line number as file viewers print it, and lines of brackets only.
 NUMBERED = re.compile(r"^\s*\d+\s*(?::|\||\s{2,})\s?")
 BRACKETS = re.compile(r"^[{}()\[\];,]+$")
 
@@ -14,32 +15,30 @@ def to_lines(text: str) -> list[str]:
     return plain.split("\n") if plain else []
 
 
-def without_number(line: str) -> str:
-    """Line without the line-number prefix a file viewer adds."""
+def plain_line(line: str) -> str:
+    """Line as it stands in the file, without a viewer's line number."""
     return NUMBERED.sub("", line, count=1)
 
 
-def find_lines(haystack: list[str], needle: list[str]) -> int:
-    """Index of the first place where ``needle`` occurs, ignoring line numbers on a second try; else -1."""
-    size = len(needle)
-    if size == 0:
-        return 0
-    if size > len(haystack):
-        return -1
-    for view in (lambda lines: lines, lambda lines: [without_number(x) for x in lines]):
-        hay, want = view(haystack), view(needle)
-        for at in range(len(hay) - size + 1):
-            if hay[at] == want[0] and hay[at : at + size] == want:
-                return at
-    return -1
+def _offset(text: list[str], part: list[str]) -> int:
+    """Index of ``part`` in ``text`` by one substring search over lines framed by line breaks; -1 if absent."""
+    joined = "\n" + "\n".join(text) + "\n"
+    found = joined.find("\n" + "\n".join(part) + "\n")
+    return found if found < 0 else joined.count("\n", 0, found)
+
+
+def find_lines(text: list[str], part: list[str]) -> int:
+    """First index at which ``part`` stands in ``text``, line numbers included or else left out; -1 if absent."""
+    if not part or len(part) > len(text):
+        return -1 if part else 0
+    exact = _offset(text, part)
+    return exact if exact >= 0 else _offset([plain_line(x) for x in text], [plain_line(x) for x in part])
 
 
 def is_distinctive(lines: list[str]) -> bool:
-    """Whether finding these lines says anything: two real lines, or one longer than brackets."""
-    real = [s for s in (without_number(x).strip() for x in lines) if s]
-    if len(real) >= 2:
-        return True
-    return bool(real) and len(real[0]) > 2 and not BRACKETS.match(real[0])
+    """Whether finding these lines says anything: two lines that are not blank, or one with a word in it."""
+    said = [x for x in (plain_line(line).strip() for line in lines) if x]
+    return len(said) > 1 or any(len(x) > 2 and BRACKETS.match(x) is None for x in said)
 
 
 def diff_lines(old: list[str], new: list[str]) -> list[tuple[str, str]]:

@@ -194,11 +194,11 @@ def running_context(
     return out.drop("_a", "_prev", *[f"{p}{m}" for p in ("_v_", "_p_", "_s_", "_c_", "_open_") for m in measures])
 
 
-def prompt_breakdown(ctx: DataFrame, compat: bool = False) -> DataFrame:
+def prompt_breakdown(ctx: DataFrame, drop_overflow: bool = False) -> DataFrame:
     """Reconcile the running context of assistant rows with the billed prompt tokens.
 
     The unexplained rest goes to thinking when hidden thinking was seen, else to other. More known
-    than billed tokens sets ``overflow``; ``compat`` drops such rows.
+    than billed tokens sets ``overflow``; ``drop_overflow`` drops such rows.
     """
     known = sum((F.col(f"ctx_{b}") for b in BUCKETS), F.lit(0))
     tokens = ("input_tokens", "cache_write_tokens", "cache_read_tokens")
@@ -210,7 +210,7 @@ def prompt_breakdown(ctx: DataFrame, compat: bool = False) -> DataFrame:
     out = ctx.withColumns(
         {**columns, "total_tokens": F.coalesce(billed, known), "overflow": F.coalesce(known > billed, F.lit(False))}
     ).drop(*[f"ctx_{b}" for b in BUCKETS], "ctx_hidden_thinking")
-    return out.filter(~F.col("overflow")) if compat else out
+    return out.filter(~F.col("overflow")) if drop_overflow else out
 
 
 def _segments(df: DataFrame, keys: list[str], parts: dict[str, str], total: Column) -> DataFrame:

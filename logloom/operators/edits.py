@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.functions import linediff
 from logloom.functions.details import FILE_KEYS, START_KEYS, TOOL_ID_KEYS, detail_lookup
-from logloom.functions.linediff import diff_lines, find_lines, is_distinctive, to_lines
+from logloom.functions.linediff import diff_lines, find_lines, is_distinctive, plain_line, to_lines
 from logloom.functions.text import edit_path, parse_line_number, trim_space
 
 # Ship these helpers with the tasks, so executors need no copy of the package.
@@ -92,100 +94,139 @@ def line_diff(edits: DataFrame) -> DataFrame:
     return out.withColumns({"added": count_rows(F.col("rows"), "add"), "removed": count_rows(F.col("rows"), "remove")})
 
 
-class Drift:
-    """How earlier edits of a file moved its lines."""
+class LineShifts:
+    """Shifts of a file's lines, kept in line order: ``at[k]`` is the line behind which ``by[k]`` lines came or went."""
 
     def __init__(self) -> None:
-        self.moves: list[tuple[int, int]] = []
+        self.at: list[int] = []
+        self.by: list[int] = []
+        self._limits: list[int] | None = None
+
+    def add(self, line: int | None, lines: int) -> None:
+        if line is None or not lines:
+            return
+        k = bisect_right(self.at, line)
+        self.at.insert(k, line)
+        self.by.insert(k, lines)
+        self._limits = None
+
+    def back(self, line: int) -> int:
+        """Where a line stood before all shifts: undo them from the last one before the line on."""
+        k = bisect_left(self.at, line)
+        while k:
+            line -= self.by[k - 1]
+            k = min(k - 1, bisect_left(self.at, line))
+        return max(1, line)
 
-    def record(self, line: int | None, delta: int) -> None:
-        if line is not None and delta:
-            self.moves.append((line, delta))
-            self.moves.sort(key=lambda m: m[0])
+    def forth(self, line: int) -> int:
+        """Where a line stands after all shifts.
 
-    def original(self, line: int) -> int:
-        for at, delta in reversed(self.moves):
-            line -= delta if line > at else 0
-        return max(1, line)
+        A line crosses shift k if it lies behind ``at[k]`` less all shifts before k; the largest of these limits so
+        far only grows, so the first shift not crossed is found by bisection.
+        """
+        if self._limits is None:
+            before = [0, *accumulate(self.by)]
+            self._limits = list(accumulate((at - b for at, b in zip(self.at, before)), max))
+        return max(1, line + sum(self.by[: bisect_left(self._limits, line)]))
+
+
+class SeenTexts:
+    """Texts of a file by the lines in them, so that a search opens only texts that hold its first line."""
+
+    def __init__(self) -> None:
+        self.texts: dict[tuple, tuple[int, list[str]]] = {}
+        self.holders: dict[str, set[tuple]] = {}
+
+    def put(self, order: tuple, start: int, lines: list[str]) -> None:
+        self.texts[order] = (start, lines)
+        for line in {plain_line(x) for x in lines}:
+            self.holders.setdefault(line, set()).add(order)
+
+    def drop(self, order: tuple) -> None:
+        for line in {plain_line(x) for x in self.texts.pop(order)[1]}:
+            self.holders[line].discard(order)
+
+    def line_of(self, wanted: list[str], before: int | None = None) -> int | None:
+        """File line at which the text of highest order holds ``wanted``; ``before`` bounds the message."""
+        for order in sorted(self.holders.get(plain_line(wanted[0]), ()), reverse=True):
+            if before is None or order[0] < before:
+                start, lines = self.texts[order]
+                at = find_lines(lines, wanted)
+                if at >= 0:
+                    return start + at
+        return None
 
-    def current(self, line: int) -> int:
-        for at, delta in self.moves:
-            line += delta if line > at else 0
-        return max(1, line)
 
+class FileHistory:
+    """Edits and snapshots of one file of one session, in order.
 
-class FileFold:
-    """Edits and snapshots of one file of one session, in order."""
+    A passage is the net effect of edits that touch each other: its first line, its lines before and now.
+    """
 
     def __init__(self) -> None:
-        self.drift = Drift()
-        self.earlier: list[tuple[int, list[str]]] = []
-        self.snapshots: dict[tuple[int, str], int] = {}
-        self.regions: list[dict] = []
-        self.edits: list[dict] = []
-
-    def see(self, content: str, start: int, seq: int) -> None:
-        """Remember a snapshot; a repeated one only moves to the end."""
-        self.snapshots.pop((start, content), None)
-        self.snapshots[(start, content)] = seq
-
-    def infer(self, old: list[str], seq: int) -> int | None:
-        """Line at which ``old`` was last seen, in an earlier edit, else in a snapshot."""
-        if not old:
+        self.shifts = LineShifts()
+        self.written, self.shown = SeenTexts(), SeenTexts()
+        self.last_shown: dict[tuple[int, str], tuple] = {}
+        self.passages: list[dict] = []
+
+    def show(self, content: str, start: int, seq: int, pos: int) -> None:
+        """Note a snapshot; a repeated one counts where it was seen last. In one message the first block leads."""
+        order = (seq, -pos)
+        old = self.last_shown.get((start, content))
+        if old is not None:
+            if old[0] == seq:
+                return
+            self.shown.drop(old)
+        self.last_shown[start, content] = order
+        self.shown.put(order, start, to_lines(content))
+
+    def place(self, lines: list[str], seq: int) -> int | None:
+        """Line of an edit that names none: where its old text was last written, else last shown."""
+        if not lines:
             return 1
-        if not is_distinctive(old):
+        if not is_distinctive(lines):
             return None
-        for start, lines in reversed(self.earlier):
-            at = find_lines(lines, old)
-            if at >= 0:
-                return start + at
-        for (start, content), seen in reversed(self.snapshots.items()):
-            at = find_lines(to_lines(content), old) if seen < seq else -1
-            if at >= 0:
-                return start + at
-        return None
+        found = self.written.line_of(lines)
+        return self.shown.line_of(lines, seq) if found is None else found
 
     def edit(self, row: dict) -> dict:
         old, new = to_lines(row["old_text"]), to_lines(row["new_text"])
-        start = row["start_line"]
-        start = self.infer(old, row["seq"]) if start is None else start
-        origin = None if start is None else self.drift.original(start)
-        if start is not None:
-            self.earlier.append((start, new))
-        placed = {**row, "start_line": start, "original_line": origin}
-        if not self._merge(placed, old, new):
-            self.regions.append({"start": start, "origin": origin, "before": old, "now": list(new), "last": placed})
-        self.drift.record(start, row["added"] - row["removed"])
+        line = self.place(old, row["seq"]) if row["start_line"] is None else row["start_line"]
+        first = None if line is None else self.shifts.back(line)
+        if line is not None:
+            self.written.put((len(self.written.texts),), line, new)
+        placed = {**row, "start_line": line, "original_line": first}
+        passage, at = self._touched(line, old)
+        if passage is None:
+            self.passages.append({"line": line, "first": first, "before": old, "now": list(new), "edit": placed})
+        else:
+            passage["now"][at : at + len(old)] = new
+            passage["edit"] = placed
+        self.shifts.add(line, row["added"] - row["removed"])
         return placed
 
-    def _merge(self, edit: dict, old: list[str], new: list[str]) -> bool:
-        """Apply the edit to the first region it touches; False when it needs a region of its own."""
-        start = edit["start_line"]
-        for region in self.regions:
-            at = find_lines(region["now"], old)
-            if at < 0:
-                first = region["start"]
-                if first is None or start is None:
-                    continue
-                near = start <= first + len(region["before"]) and start + max(len(old), 1) - 1 >= first - 1
-                if not near:
-                    continue
-                at = start - first
-                if not 0 <= at <= len(region["now"]):
-                    return False
-            region["now"][at : at + len(old)] = new
-            region["last"] = edit
-            return True
-        return False
-
-    def hunks(self) -> Iterator[dict]:
-        """Net hunks; regions that ended where they began are left out."""
-        for number, region in enumerate(self.regions):
-            origin = region["origin"]
-            now_at = region["start"] if origin is None else self.drift.current(origin)
-            rows = numbered(diff_lines(to_lines("\n".join(region["before"])), to_lines("\n".join(region["now"]))), origin, now_at)
-            if any(r["type"] != "context" for r in rows):
-                yield {"hunk_no": number, "old_start": origin, "new_start": now_at, "rows": rows, "last": region["last"]}
+    def _touched(self, line: int | None, old: list[str]) -> tuple[dict | None, int]:
+        """The first passage that holds the old text or whose lines the edit meets, and the place inside."""
+        for passage in self.passages:
+            at = find_lines(passage["now"], old)
+            if at >= 0:
+                return passage, at
+            top = passage["line"]
+            if line is None or top is None:
+                continue
+            meets = top - max(len(old), 1) <= line <= top + len(passage["before"])
+            if meets:
+                inside = top <= line <= top + len(passage["now"])
+                return (passage, line - top) if inside else (None, 0)
+        return None, 0
+
+    def net(self) -> Iterator[dict]:
+        """Net change of every passage that does not end as it began."""
+        for number, p in enumerate(self.passages):
+            here = p["line"] if p["first"] is None else self.shifts.forth(p["first"])
+            change = diff_lines(to_lines("\n".join(p["before"])), to_lines("\n".join(p["now"])))
+            if any(kind != "context" for kind, _ in change):
+                yield {"hunk_no": number, "old_start": p["first"], "new_start": here, "rows": numbered(change, p["first"], here), "last": p["edit"]}
 
 
 def numbered(rows: list[tuple[str, str]], old_line: int | None, new_line: int | None) -> list[dict]:
@@ -211,13 +252,13 @@ FOLD_SCHEMA = (
 
 def _fold_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stream sorted edits and snapshots through one fold per file; only the open file is held."""
-    key, fold = None, FileFold()
+    key, fold = None, FileHistory()
 
     def close() -> list[dict]:
         if key is None:
             return []
         out = []
-        for h in fold.hunks():
+        for h in fold.net():
             last, old = h["last"], h["old_start"]
             out.append({
                 "project_id": key[0], "session_id": key[1], "path": key[2], "hunk_kind": "net", "hunk_no": h["hunk_no"],
@@ -235,11 +276,11 @@ def _fold_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             here = (row["project_id"], row["session_id"], row["path"])
             if here != key:
                 out += close()
-                key, fold = here, FileFold()
+                key, fold = here, FileHistory()
             for name in ("start_line", "added", "removed", "seq", "pos"):
                 row[name] = None if row[name] is None else int(row[name])
             if row["content"] is not None:
-                fold.see(row["content"], row["start_line"], row["seq"])
+                fold.show(row["content"], row["start_line"], row["seq"], row["pos"])
                 continue
             placed = fold.edit(row)
             start = placed["start_line"]
@@ -339,7 +380,9 @@ def hunk_patch(hunks: DataFrame) -> DataFrame:
 
 
 def patch_lines(hunks: DataFrame, mode: str = "net", keys: list[str] = SESSION) -> DataFrame:
-    """Unified patch in long form, ordered by (path, part): one header row and one row per hunk of a file.
+    """Unified patch in long form, ordered by (file_rank, part): one header row and one row per hunk of a file.
+
+    ``file_rank`` puts the files with the most changed lines first.
 
     Net mode falls back to the edits of a file whose net change is empty. Joined by line breaks the
     parts of a file are its patch; files are joined by blank lines.
@@ -359,4 +402,7 @@ def patch_lines(hunks: DataFrame, mode: str = "net", keys: list[str] = SESSION)
     )
     minus = F.lit(-1).cast("bigint")
     heads = chosen.select(*keys, "path").distinct().select(*keys, "path", F.struct(minus.alias("a"), minus.alias("b")).alias("part"), header.alias("patch"))
-    return heads.unionByName(body)
+    churn = file_changes(hunks, keys).select(*keys, "path", (F.col("added") + F.col("removed")).alias("churn"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("churn"), "path"))
+    ranks = churn.select(*keys, "path", rank.alias("file_rank"))
+    return heads.unionByName(body).join(ranks, [*keys, "path"])

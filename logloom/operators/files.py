@@ -180,6 +180,22 @@ def file_coverage(merged: DataFrame, keys: list[str], totals: DataFrame | None =
     return out.withColumns({"percent": percent, "is_partial": percent < 100})
 
 
+def context_coverage(mentions: DataFrame, files: DataFrame) -> DataFrame:
+    """Coverage of every context file: ranges cut to the file, else its loaded count as reported."""
+    keys = [*SESSION, "file_key"]
+    totals = files.select(*keys, "total_count")
+    ranges = mention_ranges(mentions, files).join(totals, keys, "left")
+    merged = merge_ranges(clamp_ranges(ranges, F.col("total_count")).select(*keys, "start", "end"), keys)
+    covered = file_coverage(merged, keys)
+    out = files.select(*keys, "total_count", "loaded_count").join(covered, keys, "left")
+    out = out.filter("loaded_lines IS NOT NULL OR loaded_count IS NOT NULL").withColumns({
+        "loaded_lines": F.coalesce("loaded_lines", "loaded_count").cast("bigint"), "range_count": F.coalesce("range_count", F.lit(0).cast("bigint")),
+    })
+    share = F.floor(F.col("loaded_lines") * 100 / F.col("total_count") + 0.5)
+    percent = F.when(F.col("total_count") > 0, F.least(F.lit(100), share)).otherwise(F.lit(100)).cast("bigint")
+    return out.select(*keys, "loaded_lines", "range_count", "total_count", percent.alias("percent"), (percent < 100).alias("is_partial"))
+
+
 def range_labels(merged: DataFrame) -> DataFrame:
     """Ranges with their display label ``L1-10``."""
     label = F.concat(F.lit("L"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))

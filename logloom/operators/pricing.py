@@ -95,6 +95,11 @@ def match_prices(models: DataFrame, prices: DataFrame, raw_id_first: bool = Fals
     return best.join(named, "price_key")
 
 
+def bounded(matched: DataFrame, most: int = 10_000) -> DataFrame:
+    """Matched prices with a broadcast hint if they are few, as counted; a large table is joined by a shuffle."""
+    return F.broadcast(matched) if matched.limit(most + 1).count() <= most else matched
+
+
 def with_costs(df: DataFrame, matched: DataFrame) -> DataFrame:
     """Add ``micro_*`` for token sums per ``model``; models without a price cost 0."""
     priced = df.join(matched.select("model", *_PRICES), "model", "left")
@@ -188,10 +193,14 @@ def price_reference(prices: DataFrame, models: DataFrame | None = None) -> DataF
 def daily_cost_wide(daily: DataFrame, mode: str | None = None, names: list[str] | None = None) -> DataFrame:
     """One row per day, one column per display name, missing = 0, dollars to the cent.
 
-    ``daily`` has date, model and ``micro_*``. Pass ``names`` to skip the extra pass that lists them.
+    ``daily`` has date, model and ``micro_*``. With ``names`` the extra pass that lists them is skipped, and the column
+    ``other`` keeps the cost of all further names.
     """
-    named = daily.select("date", model_display(F.col("model")).alias("name"), pick_cost(mode).alias("micro"))
-    grouped = named.groupBy("date").pivot("name", names) if names else named.groupBy("date").pivot("name")
+    name = model_display(F.col("model"))
+    if names:
+        name = F.when(name.isin(names), name).otherwise("other")
+    named = daily.select("date", name.alias("name"), pick_cost(mode).alias("micro"))
+    grouped = named.groupBy("date").pivot("name", [*names, "other"]) if names else named.groupBy("date").pivot("name")
     wide = grouped.agg(F.sum("micro").cast("decimal(38,10)"))
     zero = F.lit(0).cast("decimal(38,10)")
     return wide.select(

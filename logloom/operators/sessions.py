@@ -170,7 +170,7 @@ def list_sessions(sessions: DataFrame, limit: int | None = 50, offset: int = 0,
     return page if limit is None else page.limit(limit)
 
 
-def search_sessions(texts: DataFrame, sessions: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def search_sessions(texts: DataFrame, sessions: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
     """Sessions with a user text or assistant text block containing ``query``, newest first.
 
     ``texts`` holds one searchable text per row (session key, ``text``). The filter runs before the

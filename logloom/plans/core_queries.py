@@ -53,7 +53,7 @@ def price_match(spark: SparkSession, d: str) -> DataFrame:
 def turn_costs(spark: SparkSession, d: str) -> DataFrame:
     """Cost of every single turn in all modes."""
     rows = t.turns(spark, d).select("turn_key", "model", *TOKENS)
-    return _drop_micro(pricing.with_costs(rows, _matched(spark, d))).select("turn_key", "model", *COST)
+    return _drop_micro(pricing.with_costs(rows, pricing.bounded(_matched(spark, d)))).select("turn_key", "model", *COST)
 
 
 def cost_mode_pick(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def price_reference(spark: SparkSession, d: str) -> DataFrame:
 
 def daily_cost_wide(spark: SparkSession, d: str) -> DataFrame:
     daily = rollups.daily_model(t.turns(spark, d), _matched(spark, d))
-    return pricing.daily_cost_wide(daily, "api", ["Haiku", "Opus", "Sonnet", "mystery-model"])
+    return pricing.daily_cost_wide(daily, "api", ["Haiku", "Opus", "Sonnet"])
 
 
 def allocated_daily_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +175,7 @@ def project_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_project_tools(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.top_project_tools(sessions.tool_usage(t.turn_tools(spark, d)), 3)
+    return sessions.top_project_tools(sessions.tool_usage(t.turn_tools(spark, d)))
 
 
 def top_session_tools(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,7 @@ def activity_heatmap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peak_hours(spark: SparkSession, d: str) -> DataFrame:
-    return charts.peak_hours(rollups.hour_counts(t.turns(spark, d).filter(F.substring("timestamp", 12, 1) != "2")))
+    return charts.peak_hours(rollups.hour_counts(t.turns(spark, d)))
 
 
 def usage_over_time(spark: SparkSession, d: str) -> DataFrame:
@@ -382,8 +382,8 @@ ORACLE = {
     "cost_by_project": q.with_(SUMMARY_CTES, f"select project_id, {q.usd('micro_api', 2)} cost from projects where micro_api > 0 order by micro_api desc, project_id limit 10", SESSION_USAGE, SPAN, SUMMARY, PROJECTS),
     "price_reference": q.with_(q.PRICED, "select price_key model, provider, cast(pi as double) input_price, cast(po as double) output_price, cast(pw as double) cache_write_price, cast(pr as double) cache_read_price from prices where price_key in (select price_key from pm)"),
     "daily_cost_wide": q.with_(q.PRICED, "select d as date, " + ", ".join(
-        f"{q.usd(f'coalesce(sum(micro_api) filter (where n = {chr(39)}{n}{chr(39)}), 0)', 2)} as \"{n}\"" for n in ("Haiku", "Opus", "Sonnet", "mystery-model")
-    ) + f" from (select *, {DISPLAY} n from dm) group by d", DM),
+        f"{q.usd(f'coalesce(sum(micro_api) filter (where n = {chr(39)}{n}{chr(39)}), 0)', 2)} as \"{n}\"" for n in ("Haiku", "Opus", "Sonnet")
+    ) + f", {q.usd(f'coalesce(sum(micro_api) filter (where n not in ({chr(39)}Haiku{chr(39)}, {chr(39)}Opus{chr(39)}, {chr(39)}Sonnet{chr(39)}) or n is null), 0)', 2)} as other" + f" from (select *, {DISPLAY} n from dm) group by d", DM),
     "allocated_daily_cost": q.with_(q.PRICED, "select d as date, model, tokens, " + ", ".join(f"{q.usd(f'micro_{m}', 2)} cost_{m}" for m in q.SHARES) + " from alloc", q.USAGE, DM, ALLOC),
     "collapsed_turns": q.with_(["ev", "snaps"], "select project_id, file_path, turn_key, first_seq, top_level, tstamp as timestamp, model, has_usage, it input_tokens, ot output_tokens, cw + extra cache_write_tokens, cr cache_read_tokens, snapshots from collapsed", COLLAPSED),
     "recovered_cache_writes": q.with_(["ev", "snaps"], "select file_path, turn_key, has_usage, cw + extra cache_write_tokens, extra recovered_cache_write from collapsed", COLLAPSED),
@@ -402,7 +402,7 @@ ORACLE = {
     "project_sessions": q.with_(["ev", "facts"], "select project_id, session_id, started_at from span where project_id = '8'", SPAN),
     "text_search": "select cast(conv_id as varchar) session_id, count(*) message_count, 'p' project_id, lpad(cast(conv_id as varchar), 12, '0') started_at from conversations where conv_id in (select conv_id from conversations where role in ('user','assistant') and contains(lower(text), 'the by')) group by conv_id order by started_at desc limit 50",
     "project_detail": q.with_(SUMMARY_CTES, f"select project_id, count(*) session_count, sum(message_count)::bigint message_count, sum(tool_count)::bigint tool_count, {q.sum_costs()} from summary group by project_id", SESSION_USAGE, SPAN, SUMMARY),
-    "top_project_tools": q.with_(["ev", "tools"], "select * from (select *, row_number() over (partition by project_id order by calls desc, tool_name)::int rank from (select project_id, tool_name, count(*) calls from tools group by all)) where rank <= 3"),
+    "top_project_tools": q.with_(["ev", "tools"], "select * from (select *, row_number() over (partition by project_id order by calls desc, tool_name)::int rank from (select project_id, tool_name, count(*) calls from tools group by all)) where rank <= 8"),
     "top_session_tools": q.with_(["ev", "tools"], "select * from (select *, row_number() over (partition by project_id, session_id order by calls desc, tool_name)::int rank, cast(calls as double) / cast(max(calls) over (partition by project_id, session_id) as double) share_of_max from (select project_id, session_id, tool_name, count(*) calls from tools group by all)) where rank <= 10"),
     "daily_activity": q.with_(["ev", "turns", "facts"], "select d as date, message_count, session_count, tool_call_count from daily", *_all_daily),
     "daily_activity_delta": q.with_(["ev", "turns", "facts"], "select d as date, message_count, session_count, tool_call_count from daily", *_daily(BASE)),
@@ -427,7 +427,7 @@ ORACLE = {
       from (select max(d)::date today, greatest(max(message_count),1)::double top from daily) b,
         unnest(generate_series(0, 167)) g(i), lateral (select (today - 161 - cast(dayofweek(today - 161) as int) + cast(i as int))::date as day)
       left join daily on daily.d = strftime(day,'%Y-%m-%d')""", *_all_daily),
-    "peak_hours": "select cast(h as int) as hour, case when h = 0 then '12a' when h < 12 then h||'a' when h = 12 then '12p' else (h-12)||'p' end as label, coalesce(n,0)::bigint turn_count from range(24) r(h) left join (select hour(ts) hh, count(*) n from events where hour(ts) < 20 group by 1) on hh = h",
+    "peak_hours": "select cast(h as int) as hour, case when h = 0 then '12a' when h < 12 then h||'a' when h = 12 then '12p' else (h-12)||'p' end as label, coalesce(n,0)::bigint turn_count from range(24) r(h) left join (select hour(ts) hh, count(*) n from events group by 1) on hh = h",
     "usage_over_time": q.with_(["ev", "turns", "facts"], "select d as date, strftime(d::date,'%b %-d') as label, tool_call_count as value from daily", *_all_daily),
     "model_share": q.with_(q.PRICED, f"select model, {DISPLAY} display_name, it+ot+cw+cr tokens, {q.usd('micro_subscription')} cost, ((it+ot+cw+cr)*200 + tot) // (tot*2) percent from usage, (select sum(it+ot+cw+cr)::bigint tot from turns)", q.USAGE),
     "usage_composition": q.with_(["ev", "turns"], """select project_id, session_id, segment, cast(v as bigint) as tokens, cast(total as bigint) as total from (

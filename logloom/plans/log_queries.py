@@ -77,7 +77,7 @@ def log_session_summary(spark: SparkSession, d: str) -> DataFrame:
 def log_search(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d)
     span = S.session_span(R.record_facts(records)).select(*SESSION, "started_at")
-    return S.search_sessions(R.search_texts(records), span, "SEEN 12", 100000)
+    return S.search_sessions(R.search_texts(records), span, "SEEN 12", None)
 
 
 def prompt_contributions(spark: SparkSession, d: str) -> DataFrame:
@@ -108,9 +108,7 @@ def context_files(spark: SparkSession, d: str) -> DataFrame:
 def context_file_coverage(spark: SparkSession, d: str) -> DataFrame:
     mentions = cut_lineage(FI.file_mentions(*_calls_and_blocks(spark, d)))
     files = cut_lineage(FI.context_files(mentions))
-    keys = [*SESSION, "file_key"]
-    merged = FI.merge_ranges(FI.mention_ranges(mentions, files), keys)
-    return FI.file_coverage(merged, keys, files.select(*keys, "total_count"))
+    return FI.context_coverage(mentions, files)
 
 
 def log_tool_pairs(spark: SparkSession, d: str) -> DataFrame:

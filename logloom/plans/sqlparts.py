@@ -21,7 +21,7 @@ CTE = {
     cast(user_id as varchar)||'-'||strftime(ts,'%Y-%m-%d')||(case when (event_id % 10) <> 0 then '.jsonl' else '/subagents/a.jsonl' end) file_path,
     strftime(ts,'%Y-%m-%dT%H:%M:%S.%g')||'Z' as tstamp, epoch_us(ts) micros,
     case event_type when 'view' then 'claude-opus-4-7' when 'click' then 'claude-sonnet-4-6-20260504'
-      when 'purchase' then 'claude-haiku-4-5-20251001' when 'signup' then 'claude-opus-4' else 'mystery-model' end model
+      when 'purchase' then 'claude-haiku-4-5-20251001' when 'signup' then 'claude-opus-4' else 'unlisted-model' end model
   from events)""",
     "turns": """turns as (
   select project_id, session_id, file_path, event_id, top_level, tstamp, strftime(ts,'%Y-%m-%d') as d, model,

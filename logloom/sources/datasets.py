@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.sources.logs import TOP_FILE, list_files, read_lines, with_path_dims
+from logloom.sources.logs import list_files, read_lines, with_path_dims
 
 MANIFEST = "manifest"
 DATA = "lines"
@@ -13,12 +13,11 @@ DATA = "lines"
 
 def export_dataset(spark: SparkSession, root: str, target: str, exported_from: str) -> DataFrame:
     """Write all log lines (sub-agents included) by project, with a one-row manifest; returns the manifest."""
-    lines = with_path_dims(read_lines(spark, root))
+    lines = with_path_dims(read_lines(spark, root), root)
     relative = F.regexp_extract("file_path", r"projects/[^/]+/(.+)\z", 1)
-    # One writer per project and slice of its files keeps big projects parallel and files large.
-    spread = F.pmod(F.xxhash64("file_path", F.floor(F.col("seq") / (1 << 22))), F.lit(64))
-    out = lines.select("project_id", "session_id", relative.alias("file"), "seq", "value", spread.alias("_slice"))
-    out.repartition("project_id", "_slice").drop("_slice").write.mode("overwrite").partitionBy("project_id").parquet(f"{target}/{DATA}")
+    out = lines.select("project_id", "session_id", relative.alias("file"), "seq", "value")
+    # A rebalance splits big projects by size, so their number of writers follows the data.
+    out.hint("rebalance", "project_id").write.mode("overwrite").partitionBy("project_id").parquet(f"{target}/{DATA}")
     manifest = spark.range(1).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("exported_at"), F.lit(exported_from).alias("exported_from")
     )
@@ -57,6 +56,6 @@ def read_dataset(spark: SparkSession, target: str) -> DataFrame:
 def dataset_counts(spark: SparkSession, root: str) -> DataFrame:
     """Projects, sessions, files and bytes of a live log tree."""
     return list_files(spark, root).agg(
-        F.count_distinct("project_id").alias("project_count"), F.count_if(F.col("file_path").rlike(TOP_FILE)).alias("session_count"),
+        F.count_distinct("project_id").alias("project_count"), F.count_if("top_level").alias("session_count"),
         F.count("*").alias("file_count"), F.sum("bytes").alias("total_bytes"),
     )

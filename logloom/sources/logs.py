@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ OBJECT_FIELDS = {
     "message": "message", "attachment": "attachment", "compactMetadata": "compact_metadata",
     "microcompactMetadata": "microcompact_metadata", "toolUseResult": "tool_use_result",
 }
-TOP_FILE = r"\A(?:.*/)?projects/([^/]+)/([^/]+)\.jsonl\z"
-SUB_FILE = r"\A(?:.*/)?projects/([^/]+)/([^/]+)/subagents/.+\.jsonl\z"
+# Below the projects folder: a session's own log, and the logs of its sub-agents.
+TOP_FILE = r"\A([^/]+)/([^/]+)\.jsonl\z"
+SUB_FILE = r"\A([^/]+)/([^/]+)/subagents/.+\.jsonl\z"
 
 
 def _plain_path() -> Column:
@@ -48,17 +51,25 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
         .load(f"{root}/projects")
         .select(
-            F.regexp_replace("path", r"\Afile:", "").alias("file_path"),
+            _plain_path().alias("file_path"),
             F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"),
         )
     )
     signature = F.concat_ws(":", F.unix_millis("modified_at"), "bytes")
-    return with_path_dims(files).withColumn("signature", signature)
+    return with_path_dims(files, root).withColumn("signature", signature)
+
 
+def with_path_dims(df: DataFrame, root: str | None = None) -> DataFrame:
+    """Project, session and top-level flag from the path; sub-agent files belong to their session.
 
-def with_path_dims(df: DataFrame) -> DataFrame:
-    """Project, session and top-level flag from the path; sub-agent files belong to their session."""
+    The project folder is the one below ``<root>/projects``, without a root the one below the first ``projects``.
+    """
     path = F.col("file_path")
+    if root is not None:
+        folder = re.sub(r"\A[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "", root).strip("/")
+        inside = F.instr(path, F.lit(f"{folder}/projects/"))
+        path = F.when(inside > 0, F.substring(path, inside + F.lit(len(folder) + 1), F.length(path))).otherwise(path)
+    path = F.regexp_extract(path, r"(?:\A|/)projects/(.*)\z", 1)
     top = path.rlike(TOP_FILE)
     project = F.coalesce(group_or_null(path, TOP_FILE, 1), group_or_null(path, SUB_FILE, 1))
     session = F.coalesce(group_or_null(path, TOP_FILE, 2), group_or_null(path, SUB_FILE, 2))
@@ -95,7 +106,7 @@ def parse_envelope(lines: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
     """Parsed records of a log tree with path dimensions and line order."""
-    return parse_envelope(with_path_dims(read_lines(spark, root, modified_after)))
+    return parse_envelope(with_path_dims(read_lines(spark, root, modified_after), root))
 
 
 def parse_history(lines: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def _model() -> Column:
         .when(kind == "click", "claude-sonnet-4-6-20260504")
         .when(kind == "purchase", "claude-haiku-4-5-20251001")
         .when(kind == "signup", "claude-opus-4")
-        .otherwise("mystery-model")
+        .otherwise("unlisted-model")
     )
 
 

@@ -49,8 +49,8 @@ def test_an_edit_taken_back_leaves_no_net_hunk(spark):
 def test_start_lines_come_from_earlier_edits_and_snapshots(spark):
     _, _, edit = hunks(
         spark,
-        [("f", "unused old", "first new\nsecond new", 20), ("f", "second new", "third new", None), ("g", "const target = 1;", "const target = 2;", None), ("g", "}", "};", None)],
-        [("g", 1, 80, " 80: line before\n 81: const target = 1;\n 82: }"), ("g", 9, 500, "const target = 1;")],
+        [("f", "unused old", "first new\nsecond new", 20), ("f", "second new", "third new", None), ("g", "limit_rows = 1;", "limit_rows = 2;", None), ("g", "}", "};", None)],
+        [("g", 1, 80, " 80: line before\n 81: limit_rows = 1;\n 82: }"), ("g", 9, 500, "limit_rows = 1;")],
     )
     assert [r["old_start"] for r in edit] == [20, 21, 81, None]
     assert edit[2]["location"] == "line 81" and edit[2]["rows"][0]["old_line"] == 81
@@ -102,3 +102,36 @@ def test_find_lines_ignores_line_numbers_on_the_second_try():
     assert find_lines(["1: a", "2: b", "b"], ["b"]) == 2
     assert find_lines(["1: a", "2: b"], ["b"]) == 1
     assert find_lines(["a"], ["a", "b"]) == -1 and find_lines(["a"], []) == 0
+
+
+def test_first_block_of_the_newest_message_places_an_edit(spark):
+    shown = [("f", 1, 80, "sum_of_rows = 4"), ("f", 1, 500, "sum_of_rows = 4"), ("g", 1, 10, "width_of = 2"), ("g", 2, 90, "width_of = 2")]
+    rows = [("p", "s", path, seq, pos, line, text) for pos, (path, seq, line, text) in enumerate(shown)]
+    edits = [("p", "s", path, 5, 0, "t", "Edit", "e", None, old, "x = 1", None) for path, old in (("f", "sum_of_rows = 4"), ("g", "width_of = 2"))]
+    out = E.session_hunks(spark.createDataFrame(edits, EDIT), spark.createDataFrame(rows, SNAP)).filter("hunk_kind = 'edit'")
+    assert {r["path"]: r["old_start"] for r in out.collect()} == {"f": 80, "g": 90}
+
+
+def test_shifts_equal_a_walk():
+    rng = random.Random(4)
+    for _ in range(300):
+        shifts, moves = E.LineShifts(), []
+        for _ in range(rng.randrange(8)):
+            at, by = rng.randrange(1, 40), rng.randrange(-6, 7)
+            shifts.add(at, by)
+            if by:
+                moves.append((at, by))
+        moves.sort(key=lambda m: m[0])
+        for line in range(1, 60):
+            now, then = line, line
+            for at, by in moves:
+                now += by if now > at else 0
+            for at, by in moves[::-1]:
+                then -= by if then > at else 0
+            assert (shifts.forth(line), shifts.back(line)) == (max(1, now), max(1, then))
+
+
+def test_many_edits_of_one_file_are_quick(spark):
+    edits = [("f", f"value_{i} = old", f"value_{i} = new\nmore", 20 * i + 1) for i in range(1500)]
+    _, net, _ = hunks(spark, edits)
+    assert len(net) == 1500 and E.patch_lines(hunks(spark, edits[:2] + [("b", "k one", "k\nl\nm\nn two\no\np", 3)])[0]).filter("path = 'b'").first()["file_rank"] == 1

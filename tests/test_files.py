@@ -25,3 +25,17 @@ def test_bare_names_join_their_full_path(spark, tmp_path):
     row = cover.first()
     assert (row["file_key"], row["loaded_lines"], row["percent"], row["is_partial"]) == ("src/helper.ts", 22, 11, True)
     assert FI.line_token_estimate(cover, ["session_id"]).first()["token_estimate"] == 88
+
+
+def test_coverage_is_cut_to_the_file_and_falls_back_to_the_loaded_count(spark):
+    from logloom.operators import files as FI
+
+    mentions = spark.createDataFrame(
+        [("p", "s", "one.py", 1, 10), ("p", "s", "one.py", 4, 30)], "project_id string, session_id string, path string, start long, end long"
+    )
+    files = spark.createDataFrame(
+        [("p", "s", "one.py", "one.py", True, 8, None), ("p", "s", "two.py", "two.py", True, 40, 10), ("p", "s", "no.py", "no.py", True, 5, None)],
+        "project_id string, session_id string, file_key string, full_path string, is_home boolean, total_count long, loaded_count long",
+    )
+    got = {r.file_key: (r.loaded_lines, r.range_count, r.percent, r.is_partial) for r in FI.context_coverage(mentions, files).collect()}
+    assert got == {"one.py": (8, 1, 100, False), "two.py": (10, 0, 25, True)}

@@ -56,7 +56,8 @@ def test_delta_is_merged_into_the_base(spark, tree):
     # The base day is priced by the model's average cost per token.
     assert days["2026-01-02", "claude-opus-4"] == (10, pytest.approx(usage_cost["claude-opus-4"] * 10 / 115, abs=1e-3))
     assert days["2026-01-03", "claude-opus-4"][0] == 105
-    assert out["totals"].first()["session_count"] == 1
+    # Two sessions of the base and one of the delta.
+    assert out["totals"].first()["session_count"] == 3
 
 
 def test_export_and_import(spark, tree, tmp_path):

@@ -148,3 +148,14 @@ def test_base_and_history_files(spark, tmp_path):
     assert base["totals"].first()["longest_duration_ms"] == 5
     (tmp_path / "history.jsonl").write_text('{"display":"a","timestamp":1000,"project":"p"}\nbroken\n\n')
     assert [(r["display"], r["at"].year) for r in read_history(spark, str(tmp_path)).collect()] == [("a", 1970)]
+
+
+def test_project_folder_is_the_one_below_the_root(spark):
+    from logloom.sources.logs import with_path_dims
+
+    paths = ["/a/projects/x/projects/p/s.jsonl", "/a/projects/x/projects/p/s/subagents/projects/q/y.jsonl"]
+    df = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    got = [(r.project_id, r.session_id, r.top_level) for r in with_path_dims(df, "file:/a/projects/x").orderBy("file_path").collect()]
+    assert got == [("p", "s", True), ("p", "s", False)]
+    free = spark.createDataFrame([("/r/projects/p/s/subagents/projects/q/y.jsonl",)], "file_path string")
+    assert [(r.project_id, r.session_id, r.top_level) for r in with_path_dims(free).collect()] == [("p", "s", False)]

@@ -22,7 +22,7 @@ def test_million_tokens_in_all_modes(spark):
 
 
 def test_fallbacks(spark):
-    names = ["claude-sonnet-4-6-20260504", "internal-haiku-experiment", "mystery-model", "", None]
+    names = ["claude-sonnet-4-6-20260504", "inhouse-haiku-7", "nameless-1", "", None]
     got = costs(spark, [(n, M, M, 0, 0) for n in names])
     assert [got[n][0] for n in names] == [18.0, 6.0, 0.0, 0.0, 0.0]
 
@@ -52,6 +52,6 @@ def test_price_file_and_reference_order(spark, tmp_path):
 
 
 def test_cache_savings(spark):
-    usage = spark.createDataFrame([("claude-opus-4-7", 0, 0, 0, M), ("mystery-model", 0, 0, 0, M)], SCHEMA)
+    usage = spark.createDataFrame([("claude-opus-4-7", 0, 0, 0, M), ("nameless-1", 0, 0, 0, M)], SCHEMA)
     row = cache_savings(usage, default_prices(spark)).first()
     assert row["cache_read_tokens"] == 2 * M and float(row["micro_saved"]) == pytest.approx(4.5e6)
