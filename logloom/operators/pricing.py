@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.models import model_display, model_family, normalise_model, version_rank
+from logloom.session import cut_lineage
 
 MODES = ("api", "conservative", "subscription")
 DEFAULT_MODE = "subscription"
@@ -97,6 +98,7 @@ def match_prices(models: DataFrame, prices: DataFrame, raw_id_first: bool = Fals
 
 def bounded(matched: DataFrame, most: int = 10_000) -> DataFrame:
     """Matched prices with a broadcast hint if they are few, as counted; a large table is joined by a shuffle."""
+    matched = cut_lineage(matched)
     return F.broadcast(matched) if matched.limit(most + 1).count() <= most else matched
 
 
@@ -145,13 +147,19 @@ def pick_cost(mode: str | None = None) -> Column:
 
 
 def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Match the models that occur in ``usage`` and add the cost columns."""
-    return with_costs(usage, match_prices(usage, prices))
+    """Match the models that occur in ``usage`` and add the cost columns.
+
+    ``usage`` should be aggregated: it is written once, as the match and the costs both read it. No
+    row of it moves when the matched prices are few.
+    """
+    usage = cut_lineage(usage)
+    return with_costs(usage, bounded(match_prices(usage, prices)))
 
 
 def cache_savings(model_usage: DataFrame, prices: DataFrame) -> DataFrame:
     """What cache reads would have cost as plain input, minus what they cost (one row)."""
-    priced = model_usage.join(match_prices(model_usage, prices), "model", "left")
+    model_usage = cut_lineage(model_usage)
+    priced = model_usage.join(bounded(match_prices(model_usage, prices)), "model", "left")
     tokens = F.col("cache_read_tokens").cast("decimal(18,0)")
     saved = tokens * (F.col("input_price") - F.col("cache_read_price"))
     zero = F.lit(0).cast("decimal(38,10)")

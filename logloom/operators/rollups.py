@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import non_empty
-from logloom.operators.pricing import MICRO, TOKENS, allocate_costs, sum_micro, with_costs
+from logloom.operators.pricing import MICRO, TOKENS, allocate_costs, price_usage, sum_micro
+from logloom.session import cut_lineage
 
 KEY = ["project_id", "session_id"]
 
@@ -58,18 +59,18 @@ def _token_sums() -> list[Column]:
     return [F.sum(F.coalesce(F.col(t), F.lit(0))).alias(t) for t in TOKENS]
 
 
-def daily_model(turns: DataFrame, matched: DataFrame, after: str | None = None) -> DataFrame:
-    """Tokens and costs per day and model; ``matched`` comes from ``match_prices``."""
+def daily_model(turns: DataFrame, prices: DataFrame, after: str | None = None) -> DataFrame:
+    """Tokens and costs per day and model."""
     used = _dated(turns, after).filter("has_usage and model <> ''")
     sums = used.groupBy("date", "model").agg(*_token_sums())
     total = sum((F.col(t) for t in TOKENS), F.lit(0))
-    return with_costs(sums, matched).select("date", "model", total.alias("tokens"), *MICRO)
+    return price_usage(sums, prices).select("date", "model", total.alias("tokens"), *MICRO)
 
 
-def model_usage(turns: DataFrame, matched: DataFrame, after: str | None = None) -> DataFrame:
+def model_usage(turns: DataFrame, prices: DataFrame, after: str | None = None) -> DataFrame:
     """The four token counters and costs per model."""
     used = _dated(turns, after).filter("has_usage and model <> ''")
-    return with_costs(used.groupBy("model").agg(*_token_sums()), matched)
+    return price_usage(used.groupBy("model").agg(*_token_sums()), prices)
 
 
 def hour_counts(turns: DataFrame, after: str | None = None) -> DataFrame:
@@ -79,19 +80,30 @@ def hour_counts(turns: DataFrame, after: str | None = None) -> DataFrame:
     return used.groupBy(hour.alias("hour")).agg(F.count("*").alias("turn_count"))
 
 
-def totals(facts: DataFrame, turns: DataFrame, matched: DataFrame, after: str | None = None) -> DataFrame:
-    """One row: sessions, messages, tokens and costs."""
-    used = F.when(F.col("has_usage"), sum((F.coalesce(F.col(t), F.lit(0)) for t in TOKENS), F.lit(0)))
-    parts = (
-        _dated(user_records(facts), after).agg(F.count("*").alias("message_count")),
-        _dated(turns, after).agg(F.count_if("top_level").alias("message_count"), F.sum(used).alias("total_tokens")),
-        session_days(facts, turns, after).agg(F.count("*").alias("session_count")),
-        model_usage(turns, matched, after).agg(*sum_micro()),
-    )
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
+def totals(facts: DataFrame, turns: DataFrame, prices: DataFrame, after: str | None = None) -> DataFrame:
+    """One row: sessions, messages, tokens and costs.
+
+    Records and turns are each read once and reduced to one row per session and model, from which
+    all totals follow. Only turns with usage and a model name are priced.
+    """
     zero = F.lit(0).cast("bigint")
+    said = F.when(F.col("top_level"), 1).otherwise(0).cast("bigint")
+    users = _dated(user_records(facts), after).select(
+        *KEY, F.lit(None).cast("string").alias("model"), F.lit(1).cast("bigint").alias("messages"), *[zero.alias(t) for t in TOKENS]
+    )
+    used = _dated(turns, after).select(
+        *KEY, F.when(F.col("has_usage"), non_empty(F.col("model"))).alias("model"), said.alias("messages"),
+        *[F.when(F.col("has_usage"), F.coalesce(F.col(t), zero)).otherwise(zero).alias(t) for t in TOKENS],
+    )
+    sums = users.unionByName(used).groupBy(*KEY, "model").agg(F.sum("messages").alias("messages"), *[F.sum(t).alias(t) for t in TOKENS])
+    sums = cut_lineage(sums)
+    total = sum((F.col(t) for t in TOKENS), F.lit(0))
+    counts = sums.groupBy(*KEY).agg(F.sum("messages").alias("messages"), F.sum(total).alias("tokens")).agg(
+        F.count("*").alias("session_count"), F.sum("messages").alias("message_count"), F.sum("tokens").alias("total_tokens")
+    )
+    by_model = sums.filter("model IS NOT NULL").groupBy("model").agg(*[F.sum(t).alias(t) for t in TOKENS])
+    costs = price_usage(by_model, prices).agg(*sum_micro())
+    rows = counts.unionByName(costs, allowMissingColumns=True)
     return rows.agg(
         *[F.coalesce(F.sum(c), zero).alias(c) for c in ("session_count", "message_count", "total_tokens")],
         *[F.coalesce(F.sum(m).cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)")).alias(m) for m in MICRO],

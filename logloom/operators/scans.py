@@ -2,7 +2,9 @@
 
 A plain window sends every row of a key to one task. Here the order axis of each key is cut into
 chunks of bounded size; windows run inside (key, chunk), one small row per chunk is carried across
-chunks, and the carried value is joined back. The result equals the plain window.
+chunks, and the carried value is joined back. The result equals the plain window. The windowed rows
+are written once, as both the chunk rows and the join read them: the input is computed once, however
+deep scans are nested.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from logloom.session import cut_lineage
+
 Stage = dict[str, Callable[[WindowSpec], Column]]
 
 # Rows of one chunk of a log file: ``seq`` grows by at least one per line.
@@ -43,6 +47,7 @@ def chunk_scan(
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*_ordered(order, descending))
     for stage in local:
         parts = parts.withColumns({name: make(inside) for name, make in stage.items()})
+    parts = cut_lineage(parts)
     table = parts.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in summary.items()])
     across = Window.partitionBy(*keys).orderBy(*_ordered(["_chunk"], descending))
     for stage in carry:

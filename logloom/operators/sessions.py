@@ -23,17 +23,18 @@ def _instant(text: Column) -> Column:
     return F.unix_millis(text.try_cast("timestamp"))
 
 
+def _compaction_counts() -> list[Column]:
+    """Aggregates over the records of a session's own log."""
+    full, micro = F.col("top_level") & F.col("is_compaction"), F.col("top_level") & F.col("is_microcompaction")
+    return [
+        F.count_if(full).alias("compactions"), F.count_if(micro).alias("microcompactions"),
+        F.sum(F.when(micro, F.coalesce("tokens_saved", F.lit(0))).otherwise(0)).alias("tokens_saved"),
+    ]
+
+
 def compaction_stats(facts: DataFrame) -> DataFrame:
     """Full and micro compactions and tokens saved per session."""
-    return (
-        facts.filter(F.col("top_level"))
-        .groupBy(*KEY)
-        .agg(
-            F.count_if("is_compaction").alias("compactions"),
-            F.count_if("is_microcompaction").alias("microcompactions"),
-            F.sum(F.when(F.col("is_microcompaction"), F.coalesce("tokens_saved", F.lit(0))).otherwise(0)).alias("tokens_saved"),
-        )
-    )
+    return facts.filter("top_level").groupBy(*KEY).agg(*_compaction_counts())
 
 
 def compaction_times(facts: DataFrame) -> DataFrame:
@@ -44,10 +45,11 @@ def compaction_times(facts: DataFrame) -> DataFrame:
     ).select(*KEY, "seq", "timestamp")
 
 
-def session_span(facts: DataFrame) -> DataFrame:
+def session_span(facts: DataFrame, *more: Column) -> DataFrame:
     """First-seen metadata, start, end and duration per session that has a top-level file.
 
-    The end is the last top-level line with a timestamp, raised by later sub-agent lines.
+    The end is the last top-level line with a timestamp, raised by later sub-agent lines. ``more``
+    aggregates are computed in the same pass.
     """
     top = F.col("top_level")
     ts = non_empty(F.col("timestamp"))
@@ -62,6 +64,7 @@ def session_span(facts: DataFrame) -> DataFrame:
         _first(F.col("git_branch"), top).alias("git_branch"),
         _first(F.col("cwd"), top).alias("cwd"),
         _first(F.col("version"), top).alias("version"),
+        *more,
     )
     end = F.greatest("_last", "_sub_last")
     duration = F.coalesce(_instant(end) - _instant(F.col("started_at")), F.lit(0).cast("bigint"))
@@ -117,10 +120,9 @@ def session_summary(facts: DataFrame, turns: DataFrame, turn_tools: DataFrame, p
     )
     calls = turn_tools.groupBy(*KEY).agg(F.count("*").alias("tool_count"))
     joined = (
-        session_span(facts)
+        session_span(facts, *_compaction_counts())
         .join(totals, KEY, "left")
         .join(calls, KEY, "left")
-        .join(compaction_stats(facts), KEY, "left")
     )
     zero = F.lit(0).cast("bigint")
     counts = ["assistant_count", "tool_count", "model_count", "compactions", "microcompactions", "tokens_saved", *TOKENS]

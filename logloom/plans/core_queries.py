@@ -20,7 +20,7 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _usage(spark: SparkSession, d: str, after: str | None = None) -> DataFrame:
-    return rollups.model_usage(t.turns(spark, d), _matched(spark, d), after)
+    return rollups.model_usage(t.turns(spark, d), default_prices(spark), after)
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
@@ -80,23 +80,23 @@ def price_reference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily_cost_wide(spark: SparkSession, d: str) -> DataFrame:
-    daily = rollups.daily_model(t.turns(spark, d), _matched(spark, d))
+    daily = rollups.daily_model(t.turns(spark, d), default_prices(spark))
     return pricing.daily_cost_wide(daily, "api", ["Haiku", "Opus", "Sonnet"])
 
 
 def allocated_daily_cost(spark: SparkSession, d: str) -> DataFrame:
     turns = _base_turns(spark, d)
-    base = rollups.daily_model(turns, _matched(spark, d)).select("date", "model", "tokens")
+    base = rollups.daily_model(turns, default_prices(spark)).select("date", "model", "tokens")
     return _drop_micro(pricing.allocate_costs(base, _usage(spark, d)), 2)
 
 
 def collapsed_turns(spark: SparkSession, d: str) -> DataFrame:
-    out = turn_ops.collapse_turns(t.snapshots(spark, d), span=4096)
+    out = turn_ops.collapse_turns(t.snapshots(spark, d))
     return out.drop("session_id", "recovered_cache_write")
 
 
 def recovered_cache_writes(spark: SparkSession, d: str) -> DataFrame:
-    return turn_ops.collapse_turns(t.snapshots(spark, d), span=4096).select(
+    return turn_ops.collapse_turns(t.snapshots(spark, d)).select(
         "file_path", "turn_key", "has_usage", "cache_write_tokens", "recovered_cache_write"
     )
 
@@ -191,7 +191,7 @@ def daily_activity_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily_model(spark: SparkSession, d: str) -> DataFrame:
-    return _drop_micro(rollups.daily_model(t.turns(spark, d), _matched(spark, d)))
+    return _drop_micro(rollups.daily_model(t.turns(spark, d), default_prices(spark)))
 
 
 def model_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -203,11 +203,11 @@ def hour_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def totals(spark: SparkSession, d: str) -> DataFrame:
-    return _drop_micro(rollups.totals(t.facts(spark, d), t.turns(spark, d), _matched(spark, d)))
+    return _drop_micro(rollups.totals(t.facts(spark, d), t.turns(spark, d), default_prices(spark)))
 
 
 def merged_model_usage(spark: SparkSession, d: str) -> DataFrame:
-    base = rollups.model_usage(_base_turns(spark, d), _matched(spark, d))
+    base = rollups.model_usage(_base_turns(spark, d), default_prices(spark))
     return _drop_micro(rollups.merge_rollup(base, _usage(spark, d, BASE), ["model"]))
 
 
@@ -219,9 +219,9 @@ def merged_daily_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_daily_models(spark: SparkSession, d: str) -> DataFrame:
-    matched = _matched(spark, d)
-    base = rollups.daily_model(_base_turns(spark, d), matched).select("date", "model", "tokens")
-    delta = rollups.daily_model(t.turns(spark, d), matched, BASE)
+    prices = default_prices(spark)
+    base = rollups.daily_model(_base_turns(spark, d), prices).select("date", "model", "tokens")
+    delta = rollups.daily_model(t.turns(spark, d), prices, BASE)
     return _drop_micro(rollups.merge_daily_models(base, delta, _usage(spark, d)), 2)
 
 
@@ -233,7 +233,7 @@ def merged_hours(spark: SparkSession, d: str) -> DataFrame:
 def headline(spark: SparkSession, d: str) -> DataFrame:
     from logloom.plans.dashboard import headline_stats
 
-    out = headline_stats(_summary(spark, d), rollups.totals(t.facts(spark, d), t.turns(spark, d), _matched(spark, d)))
+    out = headline_stats(_summary(spark, d), rollups.totals(t.facts(spark, d), t.turns(spark, d), default_prices(spark)))
     return _drop_micro(out)
 
 

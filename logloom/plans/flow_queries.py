@@ -107,7 +107,7 @@ def _context(spark: SparkSession, d: str) -> DataFrame:
         *[F.lit(0).cast("bigint").alias(b) for b in ("files", "thinking", "tool", "other")],
         F.when((role == "user") & (F.col("seq") % 4 == 2), 1).otherwise(0).cast("bigint").alias("hidden_thinking"),
     )
-    return C.running_context(rows, ["session_id"], "seq", chunk_of(F.col("seq"), 3), role == "assistant", [*C.BUCKETS, "hidden_thinking"])
+    return C.running_context(rows, ["session_id"], "seq", chunk_of(F.col("seq"), SPAN), role == "assistant", [*C.BUCKETS, "hidden_thinking"])
 
 
 def running_context(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,7 @@ def range_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return FI.merge_ranges(t.line_ranges(spark, d), ["file_key"], span=16)
+    return FI.merge_ranges(t.line_ranges(spark, d), ["file_key"])
 
 
 def file_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from logloom.operators import records as R
 from logloom.operators import rollups, sessions
 from logloom.operators import turns as TU
-from logloom.operators.pricing import match_prices
 from logloom.plans.dashboard import headline_stats
 from logloom.session import cut_lineage
 from logloom.sources.logs import list_files, read_records
@@ -27,9 +26,8 @@ def dashboard(spark: SparkSession, root: str, prices: DataFrame) -> dict[str, Da
     facts = R.facts_of(slim)
     tools = TU.turn_tools(R.tool_uses_of(slim))
     turns = cut_lineage(TU.with_tool_counts(TU.collapse_turns(R.snapshots_of(slim)), tools))
-    matched = cut_lineage(match_prices(turns, prices))
     summary = cut_lineage(sessions.session_summary(facts, turns, tools, prices))
-    totals = rollups.totals(facts, turns, matched)
+    totals = rollups.totals(facts, turns, prices)
     return {
         "headline": headline_stats(summary, totals),
         "recent_sessions": sessions.list_sessions(summary, limit=10),
@@ -37,8 +35,8 @@ def dashboard(spark: SparkSession, root: str, prices: DataFrame) -> dict[str, Da
         .join(sessions.project_names(facts), "project_id", "left").orderBy(F.desc_nulls_last("last_active"), "project_id"),
         "project_models": sessions.project_models(turns),
         "daily_activity": rollups.daily_activity(facts, turns),
-        "daily_models": rollups.daily_model(turns, matched),
-        "models": rollups.model_usage(turns, matched),
+        "daily_models": rollups.daily_model(turns, prices),
+        "models": rollups.model_usage(turns, prices),
         "hours": rollups.hour_counts(turns),
         "tool_usage": sessions.tool_usage(tools),
     }

@@ -21,6 +21,8 @@ OBJECT_FIELDS = {
 }
 # Below the projects folder: a session's own log, and the logs of its sub-agents.
 TOP_FILE = r"\A([^/]+)/([^/]+)\.jsonl\z"
+# Long tool outputs and inline images make long strings. Deeper nesting than this is rejected, as parsing is recursive.
+JSON_BOUNDS = {"maxStringLen": str((1 << 31) - 1), "maxNumLen": "100000", "maxNestingDepth": "3000"}
 SUB_FILE = r"\A([^/]+)/([^/]+)/subagents/.+\.jsonl\z"
 
 
@@ -76,26 +78,49 @@ def with_path_dims(df: DataFrame, root: str | None = None) -> DataFrame:
     return df.withColumns({"project_id": project, "session_id": session, "top_level": top}).filter("session_id is not null")
 
 
-def parse_envelope(lines: DataFrame) -> DataFrame:
-    """Typed envelope of each line; blank, unparsable and wrongly typed lines are dropped."""
+def _json(text: Column) -> Column:
+    """A JSON text as VARIANT, NULL where it is none."""
+    return F.from_json(text, "variant", JSON_BOUNDS)
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Non-blank lines with their ``record``, NULL where the line is no JSON."""
     other = [c for c in lines.columns if c not in ("value",)]
     # The generator keeps the optimizer from pushing the checks below the parse, which would repeat
     # the parse once per check.
-    rows = lines.filter(non_blank(F.col("value"))).select(
-        *other, F.col("value").alias("line"), F.explode(F.array(F.try_parse_json("value"))).alias("record")
+    return lines.filter(non_blank(F.col("value"))).select(
+        *other, F.col("value").alias("line"), F.explode(F.array(_json(F.col("value")))).alias("record")
     )
-    record = F.col("record")
+
+
+def _well_typed(record: Column) -> Column:
+    """Whether a record is an object whose declared fields have their types."""
 
     def fits(name: str, test) -> Column:
         field = V.get(record, name)
         return field.isNull() | test(field)
 
-    valid = V.is_object(record) & fits("isMeta", V.is_boolean)
+    valid = F.coalesce(V.is_object(record), F.lit(False)) & fits("isMeta", V.is_boolean)
     for name in STRING_FIELDS:
         valid = valid & fits(name, V.is_string)
     for name in OBJECT_FIELDS:
         valid = valid & fits(name, V.is_object)
-    return rows.filter(valid).select(
+    return valid
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """The non-blank lines that :func:`parse_envelope` leaves out: their place, size in bytes and the reason."""
+    other = [c for c in lines.columns if c not in ("value",)]
+    reason = F.when(F.col("record").isNull(), "unparsable").otherwise("wrong type")
+    bad = _parsed(lines).filter(~F.coalesce(_well_typed(F.col("record")), F.lit(False)))
+    return bad.select(*other, F.octet_length("line").alias("bytes"), reason.alias("reason"))
+
+
+def parse_envelope(lines: DataFrame) -> DataFrame:
+    """Typed envelope of each line; blank, unparsable and wrongly typed lines are dropped (see :func:`rejected_lines`)."""
+    other = [c for c in lines.columns if c not in ("value",)]
+    record = F.col("record")
+    return _parsed(lines).filter(_well_typed(record)).select(
         *other,
         *[V.get(record, n, "string").alias(c) for n, c in STRING_FIELDS.items()],
         V.get(record, "isMeta", "boolean").alias("is_meta"),
@@ -111,7 +136,7 @@ def read_records(spark: SparkSession, root: str, modified_after: str | None = No
 
 def parse_history(lines: DataFrame) -> DataFrame:
     """Prompt history rows (``value`` = one JSON line); malformed lines are skipped."""
-    record = F.try_parse_json("value")
+    record = _json(F.col("value"))
     rows = lines.filter(F.col("value") != "").select(record.alias("record")).filter(V.is_object(F.col("record")))
     r = F.col("record")
     return rows.select(
@@ -126,7 +151,7 @@ def read_history(spark: SparkSession, root: str) -> DataFrame:
 
 def read_rollup_base(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Long tables of ``stats-cache.json``: activity, daily_models, models, hours, totals."""
-    doc = spark.read.text(f"{root}/stats-cache.json", wholetext=True).select(F.try_parse_json("value").alias("v"))
+    doc = spark.read.text(f"{root}/stats-cache.json", wholetext=True).select(_json(F.col("value")).alias("v"))
     v = F.col("v")
 
     def rows(path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import records as R
 from logloom.operators import rollups, turns as TU
-from logloom.operators.pricing import MICRO, TOKENS, match_prices, price_usage
+from logloom.operators.pricing import MICRO, TOKENS, price_usage
 from logloom.session import cut_lineage
 from logloom.sources.logs import parse_envelope, read_lines, with_path_dims
 
@@ -54,13 +54,12 @@ def refresh_rollups(spark: SparkSession, root: str, prices: DataFrame, base: dic
     lines = with_path_dims(read_lines(spark, root, f"{after_date}T23:59:59"), root)
     slim = cut_lineage(R.log_facts(parse_envelope(lines)))
     facts, turns = R.facts_of(slim), cut_lineage(turns_with_tools(slim))
-    matched = match_prices(turns.select("model"), prices)
-    usage = rollups.model_usage(turns, matched, after_date)
+    usage = rollups.model_usage(turns, prices, after_date)
     merged_usage = rollups.merge_rollup(price_usage(base["models"], prices), usage, ["model"])
     return {
         "models": merged_usage,
         "activity": rollups.merge_rollup(base["activity"], rollups.daily_activity(facts, turns, after_date), ["date"]),
-        "daily_models": rollups.merge_daily_models(base["daily_models"], rollups.daily_model(turns, matched, after_date), merged_usage),
+        "daily_models": rollups.merge_daily_models(base["daily_models"], rollups.daily_model(turns, prices, after_date), merged_usage),
         "hours": rollups.merge_rollup(base["hours"], rollups.hour_counts(turns, after_date), ["hour"]),
-        "totals": _merged_totals(base["totals"], merged_usage, rollups.totals(facts, turns, matched, after_date)),
+        "totals": _merged_totals(base["totals"], merged_usage, rollups.totals(facts, turns, prices, after_date)),
     }
