@@ -127,19 +127,28 @@ def _number_text(value: Column) -> Column:
 
 
 def _scalar_text(value: Column) -> Column:
+    return V.let(V.scalar_kind(value), lambda kind: _text_of(kind, value))
+
+
+def _text_of(kind: Column, value: Column) -> Column:
+    """Text of a value of a known scalar kind, NULL for other kinds."""
     return (
-        F.when(V.is_string(value), trim_space(V.as_string(value))).when(V.is_number(value), _number_text(value))
-        .when(V.is_boolean(value), V.as_string(value))
+        F.when(kind == "STRING", trim_space(V.as_string(value))).when(kind.rlike(V.NUMBER), _number_text(value))
+        .when(kind == "BOOLEAN", V.as_string(value))
     )
 
 
 def _typed(key: Column, value: Column) -> Column:
     """Plain fields of a JSON value: its type, scalar text, number, element texts and field count."""
+    return V.let(V.scalar_kind(value), lambda kind: _described(key, value, kind))
+
+
+def _described(key: Column, value: Column, kind: Column) -> Column:
     return F.struct(
         key.alias("key"),
-        F.when(V.is_null(value), "null").when(V.is_string(value), "string").when(V.is_number(value), "number")
-        .when(V.is_boolean(value), "boolean").when(V.is_array(value), "array").otherwise("object").alias("type"),
-        _scalar_text(value).alias("text"),
+        F.when(V.is_null(value), "null").when(kind == "STRING", "string").when(kind.rlike(V.NUMBER), "number")
+        .when(kind == "BOOLEAN", "boolean").when(V.is_array(value), "array").otherwise("object").alias("type"),
+        _text_of(kind, value).alias("text"),
         F.try_variant_get(value, "$", "double").alias("number"),
         F.filter(F.transform(V.items(value), _scalar_text), lambda s: s.isNotNull() & (s != "")).alias("texts"),
         F.size(V.items(value)).alias("n_items"),
@@ -231,6 +240,10 @@ def clip_preview(text: Column, limit: int | None = PREVIEW_CHARS) -> Column:
 
 def raw_preview(value: Column) -> Column:
     """First usable text of a string, array or object, uncut; NULL when there is none."""
+    return V.let(value, _preview_of)
+
+
+def _preview_of(value: Column) -> Column:
     part = lambda v: F.coalesce(
         F.when(V.is_string(v), trim_space(V.as_string(v))),
         trim_space(V.string_at(v, "text")), trim_space(V.string_at(v, "content")),

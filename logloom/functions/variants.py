@@ -8,10 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+NUMBER = r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+
+
 class Doc(NamedTuple):
     """One JSON value as VARIANT and as text (the text keeps key order)."""
 
@@ -27,6 +30,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``df.select(*columns)`` behind a generator, so that no later filter repeats the columns' work."""
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("_row")).select("_row.*")
+
+
 def get(value: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 
@@ -44,6 +52,11 @@ def scalar_kind(value: Column) -> Column:
     return F.when(~is_object(value) & ~is_array(value), F.schema_of_variant(value))
 
 
+def kind_at(value: Column, name: str) -> Column:
+    """Type name of a field that is normally a scalar, NULL where it is absent."""
+    return F.schema_of_variant(get(value, name))
+
+
 def is_string(value: Column) -> Column:
     return F.coalesce(scalar_kind(value) == "STRING", F.lit(False))
 
@@ -53,7 +66,7 @@ def is_boolean(value: Column) -> Column:
 
 
 def is_number(value: Column) -> Column:
-    return F.coalesce(scalar_kind(value).rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+    return F.coalesce(scalar_kind(value).rlike(NUMBER), F.lit(False))
 
 
 def is_null(value: Column) -> Column:
@@ -68,14 +81,12 @@ def as_string(value: Column) -> Column:
 
 def string_at(value: Column, name: str) -> Column:
     """Text of a field if it is a JSON string, otherwise NULL."""
-    field = get(value, name)
-    return F.when(is_string(field), as_string(field))
+    return F.when(kind_at(value, name) == "STRING", get(value, name, "string"))
 
 
 def number_at(value: Column, name: str) -> Column:
     """Whole number of a numeric field, otherwise NULL."""
-    field = get(value, name)
-    return F.when(is_number(field), F.try_variant_get(field, "$", "double").try_cast("bigint"))
+    return F.when(kind_at(value, name).rlike(NUMBER), get(value, name, "double").try_cast("bigint"))
 
 
 def items(value: Column) -> Column:
@@ -89,21 +100,23 @@ def fields(value: Column) -> Column:
 
 def entries(doc: Doc) -> Column:
     """Fields of an object in document order: array<struct(key, text, value)>."""
-    by_name = fields(doc.value)
     texts = F.map_entries(F.from_json(doc.text, "map<string,string>"))
-    return F.transform(
-        texts,
-        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text"), F.try_element_at(by_name, e["key"]).alias("value")),
-    )
+
+    def paired(by_name: Column) -> Column:
+        return F.transform(
+            texts,
+            lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text"), F.try_element_at(by_name, e["key"]).alias("value")),
+        )
+
+    return let(fields(doc.value), paired)
 
 
 def elements(doc: Doc) -> Column:
     """Elements of an array in order: array<struct(text, value)>."""
-    texts = F.from_json(doc.text, "array<string>")
-    return F.when(
-        is_array(doc.value),
-        F.transform(items(doc.value), lambda v, i: F.struct(F.get(texts, i).alias("text"), v.alias("value"))),
-    )
+    def paired(texts: Column) -> Column:
+        return F.transform(items(doc.value), lambda v, i: F.struct(F.get(texts, i).alias("text"), v.alias("value")))
+
+    return F.when(is_array(doc.value), let(F.from_json(doc.text, "array<string>"), paired))
 
 
 def flatten(doc: Doc) -> Column:

@@ -48,8 +48,11 @@ def message_blocks(records: DataFrame) -> DataFrame:
     The structured result of a record belongs to its first tool-result block only; without any
     block it makes one of its own.
     """
-    body = content()
-    staged = records.filter("top_level").withColumn("kind", _record_kind(body)).filter("kind in ('user','assistant','event')")
+    body = V.Doc(F.col("_body"), F.get_json_object("line", "$.message.content"))
+    staged = V.computed_once(
+        records.filter("top_level").withColumn("_body", content().value),
+        *AT, "type", "source_uuid", "tool_use_result", "attachment", "record", "line", "_body", _record_kind(body).alias("kind"),
+    ).filter("kind in ('user','assistant','event')")
     empty = F.lit(None).cast("variant")
     no_text = F.lit(None).cast("string")
 
@@ -144,11 +147,13 @@ def tool_calls(records: DataFrame) -> DataFrame:
     )
     rows = D.add_details(rows, "input", "input_text", D.tool_wanted(F.col("tool_name")), 6, False)
     rows = rows.withColumns({"summary": D.tool_summary(F.col("tool_name"), F.col("details")), **edit_texts("input")})
-    return rows.drop("_pairs", "input", "input_text")
+    both = F.col("old_text").isNotNull() & F.col("new_text").isNotNull()
+    kept = {c: F.when(both, F.col(c)) for c in ("old_text", "new_text", "location")}
+    return rows.withColumns(kept).drop("_pairs", "input", "input_text")
 
 
 def edit_texts(tool: str) -> dict[str, Column]:
-    """old_text, new_text and location of an edit call; NULL unless both texts are non-blank. Never cut."""
+    """old_text, new_text and location of an edit call, NULL where blank. Never cut."""
 
     def text(*names: str) -> Column:
         fields = [F.when(~V.is_null(V.get(F.col(tool), n)), V.get(F.col(tool), n)) for n in names]
@@ -156,9 +161,9 @@ def edit_texts(tool: str) -> dict[str, Column]:
 
     old, new = text("old_string", "oldString"), text("new_string", "newString")
     line = V.get(F.col(tool), "startLine")
-    at = F.when(V.is_string(line) | V.is_number(line), F.concat(F.lit("line "), V.as_string(line)))
-    both = old.isNotNull() & new.isNotNull()
-    return {"old_text": F.when(both, old), "new_text": F.when(both, new), "location": F.when(both, at)}
+    kind = V.kind_at(F.col(tool), "startLine")
+    at = F.when((kind == "STRING") | kind.rlike(V.NUMBER), F.concat(F.lit("line "), V.as_string(line)))
+    return {"old_text": old, "new_text": new, "location": at}
 
 
 def classify_messages(records: DataFrame) -> DataFrame:
@@ -167,7 +172,7 @@ def classify_messages(records: DataFrame) -> DataFrame:
     Roles: command, user, tool-result (results, no text), assistant, tool-use (calls, no text), system.
     ``tools`` lists id and name of the calls; ``result_id`` is the call a tool result answers.
     """
-    body = content()
+    body = V.Doc(F.col("_body"), F.lit(None).cast("string"))
     blocks = V.items(body.value)
     texts = F.filter(F.transform(blocks, lambda b: F.when(_is(b, "text"), V.string_at(b, "text"))), lambda s: s.isNotNull())
     plain = F.when(V.is_string(body.value), V.as_string(body.value))
@@ -178,7 +183,8 @@ def classify_messages(records: DataFrame) -> DataFrame:
     )
     result_ids = F.transform(F.filter(blocks, lambda b: _is(b, "tool_result")), lambda b: V.string_at(b, "tool_use_id"))
     result_only = F.when(F.col("tool_use_result").isNotNull(), 1).otherwise(0)
-    staged = records.filter("top_level").select(
+    staged = V.computed_once(
+        records.filter("top_level").withColumn("_body", content().value),
         *AT, "timestamp", "is_meta", "type", _record_kind(body).alias("kind"), trim_space(text).alias("text"),
         extract_command(plain).alias("command"), calls.alias("tools"), result_ids.alias("result_ids"),
         F.coalesce(F.size(F.filter(blocks, _shown_thinking)), F.lit(0)).alias("n_thinking"), result_only.alias("bare"),

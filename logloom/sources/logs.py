@@ -96,15 +96,14 @@ def _parsed(lines: DataFrame) -> DataFrame:
 def _well_typed(record: Column) -> Column:
     """Whether a record is an object whose declared fields have their types."""
 
-    def fits(name: str, test) -> Column:
-        field = V.get(record, name)
-        return field.isNull() | test(field)
+    def scalar(name: str, kind: str) -> Column:
+        return F.coalesce(V.kind_at(record, name) == kind, F.lit(True))
 
-    valid = F.coalesce(V.is_object(record), F.lit(False)) & fits("isMeta", V.is_boolean)
+    valid = F.coalesce(V.is_object(record), F.lit(False)) & scalar("isMeta", "BOOLEAN")
     for name in STRING_FIELDS:
-        valid = valid & fits(name, V.is_string)
+        valid = valid & scalar(name, "STRING")
     for name in OBJECT_FIELDS:
-        valid = valid & fits(name, V.is_object)
+        valid = valid & (V.get(record, name, "struct<>").isNotNull() | V.get(record, name).isNull())
     return valid
 
 

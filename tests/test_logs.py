@@ -8,6 +8,7 @@ from logloom.operators import records as R
 from logloom.operators import sessions as S
 from logloom.operators import turns as TU
 from logloom.operators.scans import chunk_of
+from logloom.sources import logs
 from logloom.sources.logs import list_files, read_history, read_records, read_rollup_base
 from logloom.sources.prices import default_prices
 from pyspark.sql import functions as F
@@ -159,3 +160,15 @@ def test_project_folder_is_the_one_below_the_root(spark):
     assert got == [("p", "s", True), ("p", "s", False)]
     free = spark.createDataFrame([("/r/projects/p/s/subagents/projects/q/y.jsonl",)], "file_path string")
     assert [(r.project_id, r.session_id, r.top_level) for r in with_path_dims(free).collect()] == [("p", "s", False)]
+
+
+def test_long_and_deep_lines_are_kept_and_rejects_are_listed(spark):
+    long = '{"type":"user","message":{"role":"user","content":"' + "x" * 40_000_000 + '"}}'
+    deep = '{"type":"user","extra":' + "[" * 1200 + "]" * 1200 + "}"
+    lines = [long, deep, "{broken", '{"type":5}', '{"message":[]}', "[1]", "  ", '{"type":null}', '{"isMeta":true}']
+    rows = [(line, "/logs/projects/p/s.jsonl", i, "p", "s", True) for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "value string, file_path string, seq long, project_id string, session_id string, top_level boolean")
+    kept = logs.parse_envelope(df).select("seq", F.length(F.expr("try_variant_get(message, '$.content', 'string')")).alias("n"))
+    assert sorted((r["seq"], r["n"]) for r in kept.collect()) == [(0, 40_000_000), (1, None), (8, None)]
+    bad = {r["seq"]: (r["reason"], r["bytes"]) for r in logs.rejected_lines(df).collect()}
+    assert bad == {2: ("unparsable", 7), 3: ("wrong type", 10), 4: ("wrong type", 14), 5: ("wrong type", 3), 7: ("wrong type", 13)}

@@ -116,3 +116,19 @@ def test_range_union_covers_the_same_lines(spark):
     assert cover(data) == cover([tuple(r) for r in merged])
     ends = sorted((r["k"], r["start"], r["end"]) for r in merged)
     assert all(a[0] != b[0] or b[1] > a[2] + 1 for a, b in zip(ends, ends[1:]))
+
+
+def test_scan_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(rows(), "k string, seq long, label string, v int")
+    df = df.mapInPandas(count, df.schema)
+    chunk = chunk_of(F.col("seq"), 7)
+    out = running_sum(df, ["k"], ["seq"], chunk, {"total": F.col("v")})
+    out = running_extreme(out, ["k"], ["seq"], chunk, "low", F.col("v"))
+    assert out.count() == len(rows()) and seen.value == len(rows())
