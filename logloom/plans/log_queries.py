@@ -262,3 +262,36 @@ ORACLE |= {
       billed total_tokens, known > billed as overflow from g4""", LINES, GIVEN, CONTEXT),
     "log_tool_pairs": q.with_(["ev"], "select sid session_id, gid group_id, use_seq, tid tool_id, tool tool_name, result_seq, by_position from pairs", LINES, _LOG_FLOW, PAIRS),
 }
+
+# --- files in context: Read calls, tool results and attached files ----------------------------
+
+_MENTIONED = """reads as (select sid, 't'||(k % 3) tid, arg_max(k, event_id) rk from lines where event_type = 'click' and k % 4 = 0 group by all),
+mentioned as (
+  select pid project_id, sid session_id, event_id seq, 0 pos, path, false in_context, false attached, null::bigint loaded_count, null::bigint total_count, k + 1 as "start", k + 10 as "end"
+  from lines where event_type = 'click' and k % 4 = 0
+  union all select l.pid, l.sid, l.event_id, 0, l.path, true, false, l.k, l.k * 2, r.rk + 1, r.rk + 10
+  from lines l left join reads r on r.sid = l.sid and r.tid = 't'||(l.k % 3) where l.event_type = 'purchase'
+  union all select pid, sid, event_id, 0, '/home/'||user_id||'/'||path, true, true, k, k + 5, null, null from lines where event_type = 'error' and k % 2 = 0)"""
+_FILES = """per_path as (
+  select project_id, session_id, path file_key, path full_path, bool_or(in_context) in_context, bool_or(attached) attached, min(seq) first_seq,
+    max(loaded_count) loaded_count, max(total_count) total_count, count(*) mentions, regexp_extract(path, '[^/]+$') file_name from mentioned group by all),
+found as (select *, first_seq = min(first_seq) over (partition by project_id, session_id, file_name) is_home from per_path)"""
+_COVERED = """limits as (
+  select m.project_id, m.session_id, path file_key, "start", max("end") as "end", any_value(case when f.total_count > 0 then f.total_count else 9007199254740991 end) top
+  from mentioned m join found f on f.project_id = m.project_id and f.session_id = m.session_id and f.file_key = m.path
+  where "start" is not null group by m.project_id, m.session_id, path, "start"),
+cut as (select *, least(greatest(1, "start"), top) s from limits),
+closed as (select *, least(greatest(s, "end"), top) e from cut),
+seen as (select *, max(e) over (partition by project_id, session_id, file_key order by s, e rows between unbounded preceding and 1 preceding) before from closed),
+islands as (select *, count(*) filter (where before is null or s > before + 1) over (partition by project_id, session_id, file_key order by s, e rows unbounded preceding) island from seen),
+merged as (select project_id, session_id, file_key, island, max(e) - min(s) + 1 n from islands group by all),
+covered as (select project_id, session_id, file_key, sum(n)::bigint n, count(*) ranges from merged group by all)"""
+
+ORACLE |= {
+    "file_mentions": q.with_(["ev"], "select * from mentioned", LINES, _MENTIONED),
+    "context_files": q.with_(["ev"], "select * from found", LINES, _MENTIONED, _FILES),
+    "context_file_coverage": q.with_(["ev"], """select *, percent < 100 is_partial from (
+      select project_id, session_id, file_key, coalesce(n, loaded_count) loaded_lines, coalesce(ranges, 0) range_count, total_count,
+        case when total_count > 0 then least(100, floor(coalesce(n, loaded_count) * 100 / total_count + 0.5))::bigint else 100 end percent
+      from found left join covered using (project_id, session_id, file_key) where coalesce(n, loaded_count) is not null)""", LINES, _MENTIONED, _FILES, _COVERED),
+}
