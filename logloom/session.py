@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one of its own only in local tests that name none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="logloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
