@@ -128,6 +128,30 @@ def merge_daily_models(base_daily: DataFrame, delta_daily: DataFrame, merged_usa
     return merge_rollup(allocate_costs(base_daily, merged_usage), delta_daily, ["date", "model"])
 
 
+def merged_totals(base: DataFrame, usage: DataFrame, delta: DataFrame) -> DataFrame:
+    """One row: counts of base and delta added; tokens and costs from the merged model usage."""
+    counts = base.select("session_count", "message_count").unionByName(delta.select("session_count", "message_count"))
+    tokens = usage.select(sum((F.coalesce(F.col(t), F.lit(0)) for t in TOKENS), F.lit(0)).alias("total_tokens"), *MICRO)
+    both = counts.unionByName(tokens, allowMissingColumns=True)
+    zero = F.lit(0).cast("bigint")
+    return both.agg(
+        *[F.coalesce(F.sum(c), zero).cast("bigint").alias(c) for c in ("session_count", "message_count", "total_tokens")],
+        *[F.coalesce(F.sum(m).cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)")).alias(m) for m in MICRO],
+    )
+
+
+def merged_rollups(facts: DataFrame, turns: DataFrame, prices: DataFrame, base: dict[str, DataFrame], after: str | None) -> dict[str, DataFrame]:
+    """Rollups of everything after the day ``after`` added to those of a base (see ``read_rollup_base``)."""
+    usage = merge_rollup(price_usage(base["models"], prices), model_usage(turns, prices, after), ["model"])
+    return {
+        "models": usage,
+        "activity": merge_rollup(base["activity"], daily_activity(facts, turns, after), ["date"]),
+        "daily_models": merge_daily_models(base["daily_models"], daily_model(turns, prices, after), usage),
+        "hours": merge_rollup(base["hours"], hour_counts(turns, after), ["hour"]),
+        "totals": merged_totals(base["totals"], usage, totals(facts, turns, prices, after)),
+    }
+
+
 def longest_session(sessions: DataFrame) -> DataFrame:
     """First session date and longest session, one row."""
     order = F.struct("duration_ms", F.col("session_id").alias("id"))

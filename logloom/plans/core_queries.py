@@ -9,6 +9,7 @@ from logloom.functions.models import model_display, normalise_model
 from logloom.operators import charts, pricing, rollups, sessions, turns as turn_ops
 from logloom.operators.pricing import COST, MICRO, TOKENS, costs_rounded, usd_rounded
 from logloom.plans import sqlparts as q
+from logloom.session import cut_lineage
 from logloom.sources import tables as t
 from logloom.sources.prices import default_prices
 
@@ -237,6 +238,21 @@ def headline(spark: SparkSession, d: str) -> DataFrame:
     return _drop_micro(out)
 
 
+def merged_headline(spark: SparkSession, d: str) -> DataFrame:
+    """The headline where logs up to the base date are gone and only their rollup is left."""
+    from logloom.plans.dashboard import headline_stats
+
+    prices, old = default_prices(spark), F.substring("session_id", -10, 10) <= BASE
+    facts, turns, summary = t.facts(spark, d), t.turns(spark, d), cut_lineage(_summary(spark, d))
+    ended = rollups.longest_session(summary.filter(old)).withColumnRenamed("first_started_at", "first_session_date")
+    base_totals = rollups.totals(facts.filter(old), turns.filter(old), prices).unionByName(ended, allowMissingColumns=True)  # one row each
+    base_totals = cut_lineage(base_totals.agg(*[F.max(c).alias(c) for c in base_totals.columns]))
+    usage = rollups.model_usage(turns.filter(old), prices).drop(*MICRO)
+    usage = rollups.merge_rollup(pricing.price_usage(usage, prices), rollups.model_usage(turns.filter(~old), prices), ["model"])
+    both = rollups.merged_totals(base_totals, usage, rollups.totals(facts.filter(~old), turns.filter(~old), prices))
+    return _drop_micro(headline_stats(summary.filter(~old), both, base_totals))
+
+
 def activity_heatmap(spark: SparkSession, d: str) -> DataFrame:
     daily = rollups.daily_activity(t.facts(spark, d), t.turns(spark, d))
     return charts.activity_heatmap(daily, F.max(F.col("date").cast("date")))
@@ -269,7 +285,7 @@ QUERIES = {
         compaction_times, project_summary, project_models, project_names, session_page, project_sessions,
         text_search, project_detail, top_project_tools, top_session_tools, daily_activity, daily_activity_delta,
         daily_model, model_usage, hour_counts, totals, merged_model_usage, merged_daily_activity,
-        merged_daily_models, merged_hours, headline, activity_heatmap, peak_hours, usage_over_time, model_share,
+        merged_daily_models, merged_hours, headline, merged_headline, activity_heatmap, peak_hours, usage_over_time, model_share,
         usage_composition,
     )
 }
@@ -421,6 +437,12 @@ ORACLE = {
       min(started_at) first_started_at,
       first(session_id order by duration_ms desc, session_id desc) longest_session_id, max(duration_ms) longest_duration_ms,
       first(message_count order by duration_ms desc, session_id desc) longest_message_count, {q.sum_costs()} from summary""", SESSION_USAGE, SPAN, SUMMARY, _all_daily[0]),
+    "merged_headline": q.with_(SUMMARY_CTES, f"""select session_count, message_count, total_tokens, project_count, first_started_at, longest_session_id, longest_duration_ms, longest_message_count, cost_api, cost_conservative, cost_subscription from (
+      select (select count(*) from sdays) session_count,
+      (select count(*) from facts where top_level and "type"='user' and tstamp is not null) + (select count(*) from turns where top_level) message_count,
+      min(started_at) first_started_at, first(session_id order by duration_ms desc, session_id desc) longest_session_id, max(duration_ms) longest_duration_ms,
+      first(message_count order by duration_ms desc, session_id desc) longest_message_count from summary),
+      (select sum(it+ot+cw+cr)::bigint total_tokens, count(distinct project_id) project_count, {q.sum_costs()} from summary where right(session_id, 10) > '{BASE}')""", SESSION_USAGE, SPAN, SUMMARY, _all_daily[0]),
     "activity_heatmap": q.with_(["ev", "turns", "facts"], """select strftime(day,'%Y-%m-%d') as date, cast(dayofweek(day) + 1 as int) weekday, coalesce(message_count,0)::bigint message_count,
       case when coalesce(message_count,0) = 0 then 0 when message_count / top < 0.25 then 1 when message_count / top < 0.5 then 2 when message_count / top < 0.75 then 3 else 4 end as level,
       day > today is_future

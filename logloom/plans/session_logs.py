@@ -20,23 +20,35 @@ def summarise_logs(records: DataFrame, prices: DataFrame) -> DataFrame:
     return sessions.session_summary(R.facts_of(slim), turns, TU.turn_tools(R.tool_uses_of(slim)), prices)
 
 
-def dashboard(spark: SparkSession, root: str, prices: DataFrame) -> dict[str, DataFrame]:
-    """All dashboard tables of a log tree: headline, recent sessions, projects, daily, models, hours."""
+def dashboard(spark: SparkSession, root: str, prices: DataFrame, base: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All dashboard tables of a log tree: headline, recent sessions, projects, daily, models, hours.
+
+    With ``base`` (see ``read_rollup_base``) days up to its last date count as the base has them, even where their logs
+    are gone, and logs only for later days. Sessions and projects are always those of the logs.
+    """
     slim = cut_lineage(R.log_facts(read_records(spark, root)))
     facts = R.facts_of(slim)
     tools = TU.turn_tools(R.tool_uses_of(slim))
     turns = cut_lineage(TU.with_tool_counts(TU.collapse_turns(R.snapshots_of(slim)), tools))
     summary = cut_lineage(sessions.session_summary(facts, turns, tools, prices))
-    totals = rollups.totals(facts, turns, prices)
+    if base is None:
+        rolled = {
+            "activity": rollups.daily_activity(facts, turns), "daily_models": rollups.daily_model(turns, prices),
+            "models": rollups.model_usage(turns, prices), "hours": rollups.hour_counts(turns),
+            "totals": rollups.totals(facts, turns, prices),
+        }
+    else:
+        last = base["totals"].agg(F.max("last_date")).first()[0]  # one row of the base file
+        rolled = rollups.merged_rollups(facts, turns, prices, base, last)
     return {
-        "headline": headline_stats(summary, totals),
+        "headline": headline_stats(summary, rolled["totals"], base["totals"] if base else None),
         "recent_sessions": sessions.list_sessions(summary, limit=10),
         "projects": sessions.project_summary(summary, list_files(spark, root))
         .join(sessions.project_names(facts), "project_id", "left").orderBy(F.desc_nulls_last("last_active"), "project_id"),
         "project_models": sessions.project_models(turns),
-        "daily_activity": rollups.daily_activity(facts, turns),
-        "daily_models": rollups.daily_model(turns, prices),
-        "models": rollups.model_usage(turns, prices),
-        "hours": rollups.hour_counts(turns),
+        "daily_activity": rolled["activity"],
+        "daily_models": rolled["daily_models"],
+        "models": rolled["models"],
+        "hours": rolled["hours"],
         "tool_usage": sessions.tool_usage(tools),
     }

@@ -180,5 +180,6 @@ def read_rollup_base(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             V.number_at(v, "totalMessages").alias("message_count"), V.get(v, "firstSessionDate", "string").alias("first_session_date"),
             V.get(v, "longestSession.sessionId", "string").alias("longest_session_id"),
             V.number_at(v, "longestSession.duration").alias("longest_duration_ms"),
+            V.number_at(v, "longestSession.messageCount").alias("longest_message_count"),
         ),
     }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from logloom.operators import records as R
 from logloom.operators import rollups, turns as TU
-from logloom.operators.pricing import MICRO, TOKENS, price_usage
 from logloom.session import cut_lineage
 from logloom.sources.logs import parse_envelope, read_lines, with_path_dims
 
@@ -33,18 +32,6 @@ def turns_with_tools(slim: DataFrame) -> DataFrame:
     return TU.with_tool_counts(TU.collapse_turns(R.snapshots_of(slim)), TU.turn_tools(R.tool_uses_of(slim)))
 
 
-def _merged_totals(base: DataFrame, usage: DataFrame, delta: DataFrame) -> DataFrame:
-    """One row: counts of base and delta added; tokens and costs from the merged model usage."""
-    counts = base.select("session_count", "message_count").unionByName(delta.select("session_count", "message_count"))
-    tokens = usage.select(sum((F.coalesce(F.col(t), F.lit(0)) for t in TOKENS), F.lit(0)).alias("total_tokens"), *MICRO)
-    both = counts.unionByName(tokens, allowMissingColumns=True)
-    zero = F.lit(0).cast("bigint")
-    return both.agg(
-        *[F.coalesce(F.sum(c), zero).cast("bigint").alias(c) for c in ("session_count", "message_count", "total_tokens")],
-        *[F.coalesce(F.sum(m).cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)")).alias(m) for m in MICRO],
-    )
-
-
 def refresh_rollups(spark: SparkSession, root: str, prices: DataFrame, base: dict[str, DataFrame], after_date: str) -> dict[str, DataFrame]:
     """Rollups of everything after ``after_date`` added to a base (see ``read_rollup_base``).
 
@@ -54,12 +41,4 @@ def refresh_rollups(spark: SparkSession, root: str, prices: DataFrame, base: dic
     lines = with_path_dims(read_lines(spark, root, f"{after_date}T23:59:59"), root)
     slim = cut_lineage(R.log_facts(parse_envelope(lines)))
     facts, turns = R.facts_of(slim), cut_lineage(turns_with_tools(slim))
-    usage = rollups.model_usage(turns, prices, after_date)
-    merged_usage = rollups.merge_rollup(price_usage(base["models"], prices), usage, ["model"])
-    return {
-        "models": merged_usage,
-        "activity": rollups.merge_rollup(base["activity"], rollups.daily_activity(facts, turns, after_date), ["date"]),
-        "daily_models": rollups.merge_daily_models(base["daily_models"], rollups.daily_model(turns, prices, after_date), merged_usage),
-        "hours": rollups.merge_rollup(base["hours"], rollups.hour_counts(turns, after_date), ["hour"]),
-        "totals": _merged_totals(base["totals"], merged_usage, rollups.totals(facts, turns, prices, after_date)),
-    }
+    return rollups.merged_rollups(facts, turns, prices, base, after_date)
