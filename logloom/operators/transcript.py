@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import non_empty, trim_space
+from logloom.operators.pricing import MICRO, TOKENS
 from logloom.operators.scans import LINE_SPAN, chunk_of, chunk_scan, number_runs
+from logloom.operators.turns import merge_usage
 
 # Roles each preset shows.
 PRESETS = {
@@ -19,6 +21,7 @@ PRESETS = {
     "all": ("user", "assistant", "tool-use", "tool-result", "command", "system"),
 }
 SESSION = ["session_id"]
+USAGE = [*TOKENS, "cache_5m_tokens", "cache_1h_tokens", "usage_messages"]
 
 
 def filter_preset(messages: DataFrame, preset: str) -> DataFrame:
@@ -234,6 +237,25 @@ def pair_tools(grouped: DataFrame, keys: list[str] = SESSION, span: int = LINE_S
     )
 
 
+def _speaks() -> Column:
+    """Whether a message makes up the text of its group: an assistant message, or a call that no assistant message precedes."""
+    return (F.col("role") == "assistant") | ((F.col("role") == "tool-use") & ~F.coalesce("after_assistant", F.lit(False)))
+
+
+def group_usage(grouped: DataFrame, prices: DataFrame, keys: list[str] = SESSION) -> DataFrame:
+    """Merged usage and costs per group (see :func:`turns.merge_usage`) of the messages that make up its text.
+
+    Needs message_id, model, has_usage, the token counters, cache_5m_tokens, cache_1h_tokens and service_tier beside
+    what :func:`assign_groups` gives. Groups without any usage are absent.
+    """
+    return merge_usage(grouped.filter(_speaks()), prices, [*keys, "group_id"]).withColumnRenamed("messages", "usage_messages")
+
+
+def with_usage(groups: DataFrame, usage: DataFrame, keys: list[str] = SESSION) -> DataFrame:
+    """Add :func:`group_usage` to groups; :func:`merge_adjacent` then sums it over the groups it joins."""
+    return groups.join(usage, [*keys, "group_id"], "left")
+
+
 def transcript_groups(grouped: DataFrame, pairs: DataFrame, keys: list[str] = SESSION) -> DataFrame:
     """One row per group: kind, size, pair counts and time range.
 
@@ -242,7 +264,7 @@ def transcript_groups(grouped: DataFrame, pairs: DataFrame, keys: list[str] = SE
     """
     rows = _shown(grouped)
     ts = non_empty(F.col("timestamp"))
-    speaks = (F.col("role") == "assistant") | ((F.col("role") == "tool-use") & ~F.col("after_assistant"))
+    speaks = _speaks()
     step = (F.col("group_kind") != "assistant") | F.col("role").isin("tool-use", "tool-result")
     size = rows.groupBy(*keys, "group_id").agg(
         F.min_by("group_kind", "seq").alias("kind"), F.count("*").alias("messages"), F.max("seq").alias("last_seq"),
@@ -269,7 +291,7 @@ def _with_range(groups: DataFrame) -> DataFrame:
 
 
 def merge_adjacent(groups: DataFrame, keys: list[str] = SESSION, span: int = LINE_SPAN) -> DataFrame:
-    """Join neighbouring assistant groups into one (the tools preset)."""
+    """Join neighbouring assistant groups into one (the tools preset); usage, where there is any, is added up."""
     runs = number_runs(
         groups, keys, "group_id", chunk_of(F.col("group_id"), span), F.col("kind"), F.col("kind") != "assistant"
     )
@@ -280,6 +302,9 @@ def merge_adjacent(groups: DataFrame, keys: list[str] = SESSION, span: int = LIN
         F.max("last_seq").alias("last_seq"), F.coalesce(F.max_by("message_at", shown), F.max_by("message_at", F.when(at.isNotNull(), F.col("group_id")))).alias("message_at"),
         F.min("step_start").alias("step_start"), F.max("step_end").alias("step_end"),
         *[F.sum(c).alias(c) for c in ("messages", "visible_messages", "tool_pairs", "answered_pairs")],
+        *[F.sum(c).alias(c) for c in USAGE if c in runs.columns],
+        *[F.sum(c).cast("decimal(38,10)").alias(c) for c in MICRO if c in runs.columns],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("group_id"))).alias(c) for c in ("service_tier",) if c in runs.columns],
     )
     return _with_range(merged.drop("run_no"))
 

@@ -9,10 +9,12 @@ from logloom.operators import context as C
 from logloom.operators import files as FI
 from logloom.operators import transcript as T
 from logloom.operators.edits import change_totals, file_changes
+from logloom.operators.pricing import costs_rounded
 from logloom.operators.scans import chunk_of
 from logloom.plans import sqlparts as q
 from logloom.session import cut_lineage
 from logloom.sources import tables as t
+from logloom.sources.prices import default_prices
 
 # Rows per chunk of the event id axis.
 SPAN = 1 << 20
@@ -61,6 +63,23 @@ def adjacent_groups(spark: SparkSession, d: str) -> DataFrame:
     return T.merge_adjacent(groups, span=SPAN).select("session_id", "group_id", "kind", "merged_groups", "messages", "last_seq", "tool_pairs")
 
 
+def group_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Usage and costs of the groups that the tools preset shows, neighbours joined; every third message repeats an id."""
+    ev = t.events_base(spark, d).select(
+        F.col("event_id").alias("seq"), t.model_of_event().alias("model"), (F.col("k") % 6 != 0).alias("has_usage"),
+        F.concat(F.lit("m"), F.floor(F.col("event_id") / 3).cast("string")).alias("message_id"),
+        F.floor(F.col("value") * 10).cast("bigint").alias("input_tokens"), F.floor("value").cast("bigint").alias("output_tokens"),
+        (F.col("k") * 10).alias("cache_write_tokens"), (F.col("k") * 1000).alias("cache_read_tokens"),
+        (F.col("k") * 7).alias("cache_5m_tokens"), (F.col("k") * 3).alias("cache_1h_tokens"),
+        F.when(F.col("k") % 2 == 0, "standard").otherwise("batch").alias("service_tier"),
+    )
+    grouped = _flow(spark, d, "tools")
+    usage = T.group_usage(grouped.join(ev, "seq"), default_prices(spark))
+    groups = T.transcript_groups(grouped, T.pair_tools(grouped, span=SPAN))
+    merged = T.merge_adjacent(cut_lineage(T.with_usage(groups, usage)), span=SPAN).filter("usage_messages > 0")
+    return merged.select("session_id", "group_id", "merged_groups", *T.USAGE, *costs_rounded(4))
+
+
 def tool_filter(spark: SparkSession, d: str) -> DataFrame:
     grouped = _flow(spark, d)
     uses, _ = T.tool_steps(grouped)
@@ -195,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         preset_counts, assistant_runs, run_texts, message_groups, system_batches, tool_pairs, transcript_groups, adjacent_groups,
-        tool_filter, compaction_markers, running_context, prompt_breakdown, window_composition, range_resolution, merged_ranges,
+        group_usage, tool_filter, compaction_markers, running_context, prompt_breakdown, window_composition, range_resolution, merged_ranges,
         file_coverage, range_labels, line_tokens, change_summary, change_total,
     )
 }
@@ -273,6 +292,14 @@ ORACLE = {
     "transcript_groups": q.with_(["ev"], "select sid session_id, gid group_id, kind, messages, last_seq, visible visible_messages, n_pairs tool_pairs, n_answered answered_pairs, start_at, end_at from groups", F_ALL, PAIRS, GROUPS),
     "adjacent_groups": q.with_(["ev"], """select sid session_id, min(gid) group_id, first(kind order by gid) kind, count(*) merged_groups, sum(messages)::bigint messages, max(last_seq) last_seq, sum(n_pairs)::bigint tool_pairs
       from (select *, sum(case when pk is null or kind <> 'assistant' or pk <> kind then 1 else 0 end) over (partition by sid order by gid) rn from (select *, lag(kind) over (partition by sid order by gid) pk from groups)) group by sid, rn""", F_TOOLS, PAIRS, GROUPS),
+    "group_usage": q.with_(["ev", "turns", "prices", "scored", "pm"], f"""select sid session_id, min(gid) group_id, count(*) merged_groups, {q.SUM_TOKENS}, sum(c5)::bigint cache_5m_tokens, sum(c1)::bigint cache_1h_tokens,
+      sum(n)::bigint usage_messages, {q.sum_costs()} from (select *, sum(case when pk is null or kind <> 'assistant' or pk <> kind then 1 else 0 end) over (partition by sid order by gid) rn
+        from (select *, lag(kind) over (partition by sid order by gid) pk from groups)) left join gu using (sid, gid) group by sid, rn having sum(n) > 0""", F_TOOLS, PAIRS, GROUPS,
+        "um as (select f.sid, f.gid, f.seq, event_id // 3 ident, e.model, cast(floor(value*10) as bigint) it, cast(floor(value) as bigint) ot, e.k*10 cw, e.k*1000 cr, e.k*7 c5, e.k*3 c1 from flow f join ev e on e.event_id = f.seq "
+        "where e.k % 6 <> 0 and (f.\"role\" = 'assistant' or (f.\"role\" = 'tool-use' and not coalesce(f.after_a, false))))",
+        "ul as (select * from um qualify row_number() over (partition by sid, gid, ident order by seq desc) = 1)",
+        "gm as (select sid, gid, model, sum(it)::bigint it, sum(ot)::bigint ot, sum(cw)::bigint cw, sum(cr)::bigint cr, sum(c5)::bigint c5, sum(c1)::bigint c1, count(*) n from ul group by all)",
+        f"gu as (select sid, gid, sum(it) it, sum(ot) ot, sum(cw) cw, sum(cr) cr, sum(c5) c5, sum(c1) c1, sum(n) n, {q.sum_micros()} from (select gm.*, {q.micros()} from gm left join pm using (model)) group by all)"),
     "tool_filter": q.with_(["ev"], """select sid session_id, gid group_id, first(kind order by seq) kind from flow group by all having first(kind order by seq) = 'user' or (first(kind order by seq) = 'assistant' and bool_or(tool = 'Read'))""", F_ALL),
     "compaction_markers": q.with_(["ev"], """select m.sid session_id, marker_no, at_ms, m.gid group_id, case when m.gid is null then 'tail' when at_ms < start_ms then 'before' else 'inside' end placement from (
       select a.sid, a.seq marker_no, a.ms at_ms, (select min(gid) from gr where gr.sid = a.sid and gr.end_ms >= a.ms) gid from e0 a where event_type = 'error') m left join gr on gr.sid = m.sid and gr.gid = m.gid""",

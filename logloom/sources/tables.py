@@ -24,7 +24,7 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-def _model() -> Column:
+def model_of_event() -> Column:
     kind = F.col("event_type")
     return (
         F.when(kind == "view", "claude-opus-4-7")
@@ -62,7 +62,7 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
     return events_base(spark, folder).select(
         "project_id", "session_id", "file_path",
         F.col("event_id").cast("string").alias("turn_key"), F.col("event_id").alias("first_seq"),
-        "top_level", "timestamp", _model().alias("model"), F.lit(True).alias("has_usage"),
+        "top_level", "timestamp", model_of_event().alias("model"), F.lit(True).alias("has_usage"),
         *[c.alias(n) for n, c in tokens.items()],
         F.when(uses_tools, F.col("k") % 4).otherwise(0).cast("bigint").alias("tool_count"),
     )
@@ -116,7 +116,7 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
         "project_id", "session_id", "file_path", key.alias("turn_key"), F.col("event_id").alias("seq"),
         "top_level",
         F.when(k % 6 != 0, F.col("timestamp")).alias("timestamp"),
-        F.when(k % 4 != 0, _model()).alias("model"), has_usage.alias("has_usage"),
+        F.when(k % 4 != 0, model_of_event()).alias("model"), has_usage.alias("has_usage"),
         used(F.floor(F.col("value") * 10)).alias("input_tokens"), used(F.floor("value")).alias("output_tokens"),
         used(k * 10).alias("cache_write_tokens"), used(k * 1000).alias("cache_read_tokens"),
         F.when(has_usage, F.when(k % 2 == 0, "standard").otherwise("batch")).alias("service_tier"),
@@ -210,7 +210,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     json = lambda body: f"to_json(named_struct({stamp}{body}))"
     cases = " ".join(f"when event_type = '{kind}' then {json(body)}" for kind, body in bodies.items())
     line = f"case {cases} when k % 2 = 0 then {json(attachment)} else {json(compaction)} end"
-    base = events_base(spark, folder).withColumn("model", _model())
+    base = events_base(spark, folder).withColumn("model", model_of_event())
     base = base.select("event_id", "user_id", F.explode(F.array(F.expr(line))).alias("line"))
     broken = F.when(F.col("event_id") % 97 == 5, F.substring("line", 1, 40)).when(
         F.col("event_id") % 97 == 6, F.regexp_replace("line", '"timestamp":"[^"]*"', '"timestamp":5')
