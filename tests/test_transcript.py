@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from logloom.operators import transcript as T
+from logloom.sources.prices import default_prices
 
 SCHEMA = "session_id string, seq long, role string, content string, timestamp string, tools array<struct<id:string,name:string>>, result_id string"
 
@@ -60,6 +61,24 @@ def test_collapsed_run_of_three(spark):
     assert groups == [(0, "assistant", 3)] and pairs == [(0, "a", 1), (2, "b", 3), (4, "c", 5)]
 
 
+def test_usage_of_collapsed_groups(spark):
+    flow = [say("user"), use("a"), result("a"), use("b"), result("b"), use("c"), result("c"), say("user"), say("assistant"), use("d"), say("assistant"), say("assistant")]
+    spent = {1: ("m1", 100, 10), 3: ("m2", 200, 20), 5: ("m3", 300, 30), 8: ("m4", 1, 1), 9: ("m5", 7, 7), 10: ("m6", 2, 2), 11: ("m6", 5, 4)}
+    parts = "input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long, cache_5m_tokens long, cache_1h_tokens long"
+    usage = spark.createDataFrame(
+        [(seq, ident, "claude-opus-4-7", True, i, o, 0, 0, 0, 0, "standard") for seq, (ident, i, o) in spent.items()],
+        f"seq long, message_id string, model string, has_usage boolean, {parts}, service_tier string",
+    )
+    grouped = T.assign_groups(T.filter_preset(frame(spark, flow), "tools"))
+    merged = T.group_usage(grouped.join(usage, "seq", "left"), default_prices(spark))
+    groups = T.with_usage(T.transcript_groups(grouped, T.pair_tools(grouped)), merged)
+    out = {r["group_id"]: r for r in T.merge_adjacent(groups).collect()}
+    tokens = lambda g: (out[g]["input_tokens"], out[g]["output_tokens"], out[g]["usage_messages"])
+    # The last snapshot of a message counts; a call behind an assistant message is a step of it and adds nothing.
+    assert tokens(1) == (600, 60, 3) and tokens(8) == (6, 5, 2) and out[0]["input_tokens"] is None
+    assert float(out[1]["micro_api"]) == 600 * 5 + 60 * 25 and out[1]["service_tier"] == "standard"
+
+
 def test_unanswered_call_after_an_assistant_takes_the_next_result(spark):
     flow = [say("assistant"), use("a"), result("other"), use("b"), result("b")]
     grouped = T.assign_groups(frame(spark, flow))
