@@ -1,13 +1,23 @@
 """Licences of files: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by folder.
 
-Every line with a licence word is a header. Term weights come from all headers of the corpus: a term in n of N header
-lines weighs its count times ln((1 + N) / (1 + n)) + 1. A header's licence is the template with the largest cosine,
-from ``LEAST_COSINE`` on. A file without one inherits from the licence file (LICENSE, COPYING, NOTICE, ...) in
-its nearest ancestor folder, by a join of folder prefixes.
+A file is scored in units, and its best unit counts:
 
-Only DataFrame operations. Headers are made distinct before they are scored, so a line in a third of all files is
-scored once; inheritance is settled per folder, not per file; the template terms, a fixed table of some dozens of
-rows, are the only broadcast. The texts themselves are never shuffled.
+1. Every line with a licence word, against the one-line ``TEMPLATES``. Term weights come from all such lines of the
+   corpus: a term in n of N lines weighs its count times ln((1 + N) / (1 + n)) + 1.
+2. The same lines, every paragraph with a word of ``MARK``, the leading comment block with one, and the whole of a
+   licence file, against full texts, standard headers and short statements (``known_forms``). Here a term that occurs
+   c times weighs 1 + ln(c) times its inverse frequency among the forms, so common words of a long text weigh little
+   and scores do not depend on the corpus. All words of a unit count, on whatever line they stand.
+3. Identifiers behind SPDX-License-Identifier are looked up; a known one scores 1.
+
+A unit's licence is the one with the largest cosine, from ``LEAST_COSINE`` on. A file without one inherits from
+the licence file (LICENSE, COPYING, NOTICE, ...) in its nearest ancestor folder, by a join of folder prefixes.
+
+Only DataFrame operations. Units are made distinct before they are scored, so a line in a third of all files is
+scored once; inheritance is settled per folder, not per file; the terms of the templates and forms, fixed tables, are
+the only broadcasts.
+
+The SQL answer covers part 1 only; it agrees where all licences are stated in such lines, as in the test tables.
 
 Edge cases: a NULL text has no header; a NULL path stands in the root folder; of equal cosines the alphabetically
 first licence wins, of several licence files in one folder the best match, then the first path; repeated rows give
@@ -17,6 +27,10 @@ repeated results; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +53,44 @@ TEMPLATES = {
 HEADER = "licen[cs]e|copyright|spdx|redistribution"
 TERM = "[a-z]+|[0-9]+([.][0-9]+)*"
 LICENCE_FILE = "^(LICEN[CS]E|COPYING|NOTICE)"
+# Words of which a paragraph or comment block that grants a licence has at least one.
+MARK = HEADER + "|permission|permitted|warrant|liabilit|public domain|creative commons|creativecommons|free software|mozilla public|[^a-z][al]?gpl"
+SPDX = "spdx-license-identifier:([^\n]*)"
+# A blank line may hold comment marks.
+BLANK = r"\n[^\p{L}\p{N}]*\n"
+COMMENT = r"^\s*(#|//|/[*]|[*]|--|;|%|<!--|!|\.\.|@?rem |dnl |$)"
+TEXTS = Path(__file__).parent / "licence_texts"
+_GPL = "the terms of the GNU {} as published by the Free Software Foundation, {}"
+_GPL_HEADER = (
+    "This program is free software{}you can redistribute it and/or modify it under " + _GPL + ". This program is distributed in the hope that it will be "
+    "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details."
+)
+_KEPT_NOTICE = " You should have received a copy of the GNU {} along with this program. If not, see <https://www.gnu.org/licenses/>."
+_GNU = {
+    "GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-2.1": ("Lesser General Public License", "2.1"),
+    "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3"),
+}
+_CC = {
+    "CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial", "CC-BY-ND-4.0": "Attribution-NoDerivatives",
+    "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike", "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives",
+}
+_SHORT = {
+    "MIT": ["MIT License", "The MIT License (MIT)", "Licensed under the MIT license.", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."],
+    "Apache-2.0": [
+        "Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "Licensed under the Apache License 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "Modified BSD License", "Licensed under the BSD 3-Clause License."],
+    "ISC": ["ISC License", "The ISC License", "Licensed under the ISC license."],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0", "Licensed under the Mozilla Public License 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "Released under CC0 1.0.", "http://creativecommons.org/publicdomain/zero/1.0/"],
+}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,6 +124,95 @@ def header_licences(headers: DataFrame) -> DataFrame:
     return best.select("line", "best.license", (-F.col("best.minus")).alias("score"))
 
 
+@cache
+def known_forms() -> list[tuple[str, str]]:
+    """(licence, wording): the one-line templates, full texts, standard headers and short statements.
+
+    The AGPL is the GPL's text under its own name, and the CC variants without a text here are that of CC BY-SA under
+    theirs: what differs otherwise is a few hundredths of the text.
+    """
+    texts = {f.stem: f.read_text() for f in sorted(TEXTS.glob("*.txt"))}
+    texts["AGPL-3.0"] = texts["GPL-3.0"].replace("GNU Affero General", "GNU General").replace("GENERAL PUBLIC", "AFFERO GENERAL PUBLIC").replace("GNU General", "GNU Affero General")
+    for name, title in _CC.items():
+        if name not in texts:
+            body = texts["CC-BY-SA-4.0"].replace("Attribution-ShareAlike", title)
+            texts[name] = body if "ShareAlike" in title else re.sub("ShareAlike|Share Alike", "", body)
+    forms = [*TEMPLATES.items(), *texts.items(), *((k, w) for k, words in _SHORT.items() for w in words)]
+    for name, (title, version) in _GNU.items():
+        later = f"either version {version} of the License, or (at your option) any later version"
+        only = f"version {version}"
+        for when, sign in ((later, ": "), (only, "; ")):
+            forms.append((name, _GPL_HEADER.format(sign, title, when, title)))
+            forms.append((name, _GPL_HEADER.format(sign, title, when, title) + _KEPT_NOTICE.format(title)))
+            forms.append((name, "under " + _GPL.format(title, when)))
+        forms += [(name, f"GNU {title} Version {version}"), (name, f"This work is licensed under the GNU {title}, version {version}."), (name, f"Licensed under the {name.split('-')[0]} v{version}.")]
+    for name, title in _CC.items():
+        short = name.removesuffix("-4.0").replace("CC-", "CC ")
+        forms += [
+            (name, f"This work is licensed under a Creative Commons {title} 4.0 International License."), (name, f"Creative Commons {title} 4.0 International Public License"),
+            (name, f"Licensed under {short} 4.0."), (name, f"https://creativecommons.org/licenses/{short[3:].lower()}/4.0/"),
+        ]
+    return forms
+
+
+def spdx_ids() -> list[tuple[str, str]]:
+    """(identifier in lower case, licence)."""
+    names = {name for name, _ in known_forms()}
+    ends = {name: ("-only", "-or-later", "+") if name in _GNU else () for name in names}
+    return sorted((f"{name}{end}".lower(), name) for name in names for end in ("", *ends[name]))
+
+
+@cache
+def form_terms() -> tuple[list[tuple[int, str, str, float]], list[tuple[str, float]], float]:
+    """(form, licence, term, weight) with unit length per form, (term, idf), and the idf of other terms."""
+    counts = [(name, Counter(m.group() for m in re.finditer(TERM, text.translate(str.maketrans(_UPPER, _LOWER))))) for name, text in known_forms()]
+    held = Counter(t for _, c in counts for t in c)
+    idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in held.items()}
+    rows = []
+    for number, (name, c) in enumerate(counts):
+        weights = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        rows += [(number, name, t, w / norm) for t, w in weights.items()]
+    return rows, sorted(idf.items()), math.log(1 + len(counts)) + 1
+
+
+def form_licences(units: DataFrame) -> DataFrame:
+    """(unit, license, score) of the distinct units (unit, line) that match a known form."""
+    spark, (rows, idf, unseen) = units.sparkSession, form_terms()
+    known = spark.createDataFrame(rows, "form int, license string, term string, known double")
+    weight_of = spark.createDataFrame(idf, "term string, idf double")
+    counts = units.select("unit", F.explode(_terms(F.col("line"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    weights = counts.join(F.broadcast(weight_of), "term", "left").withColumn("weight", (1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen)))
+    norms = weights.groupBy("unit").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+        F.sqrt(F.sum(F.when(F.col("idf").isNotNull(), F.col("weight") * F.col("weight")).otherwise(0.0))).alias("shared"),
+    )
+    # No cosine exceeds the part of the unit's length that lies on terms of the forms.
+    near = norms.filter(F.col("shared") >= (LEAST_COSINE - 1e-6) * F.col("norm")).select("unit", "norm")
+    pairs = weights.filter("idf IS NOT NULL").join(near, "unit").join(F.broadcast(known), "term")
+    cosine = pairs.groupBy("unit", "license", "form").agg(F.round(F.sum(F.col("weight") * F.col("known") / F.col("norm")), 6).alias("score"))
+    best = cosine.filter(F.col("score") >= LEAST_COSINE).groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
+    return best.select("unit", "best.license", (-F.col("best.minus")).alias("score"))
+
+
+def _leading_block(text: Column) -> Column:
+    """The comment that a text opens with; nothing if it opens otherwise."""
+    lines = F.split(text, "\n")
+    stop = F.array_position(F.transform(lines, lambda line: _lower(line).rlike(COMMENT)), False).cast("int")
+    run = F.when(stop == 0, text).otherwise(F.array_join(F.slice(lines, 1, F.greatest(stop - 1, F.lit(0))), "\n"))
+    opening = F.ltrim(text)
+    return (
+        F.when(opening.startswith("/*"), F.substring_index(text, "*/", 1)).when(opening.startswith("<!--"), F.substring_index(text, "-->", 1))
+        .when(opening.startswith('"""'), F.substring_index(text, '"""', 2)).when(opening.startswith("'''"), F.substring_index(text, "'''", 2)).otherwise(run)
+    )
+
+
+def _units(text: Column, whole: Column) -> Column:
+    """Paragraphs and the leading block with a word of ``MARK``, and the text of a licence file."""
+    marked = F.filter(F.concat(F.split(text, BLANK), F.array(_leading_block(text))), lambda u: _lower(u).rlike(MARK))
+    return F.array_distinct(F.concat(F.when(_lower(text).rlike(MARK), marked).otherwise(F.array().cast("array<string>")), F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
+
+
 def license_scan(files: DataFrame) -> DataFrame:
     """Files (doc_id, path, text) to doc_id, path, license, origin, score, licence_path.
 
@@ -87,12 +228,21 @@ def license_scan(files: DataFrame) -> DataFrame:
     lines = marked.select("path", "text_key", F.explode(F.split("text", "\n")).alias("line")).filter(_lower(F.col("line")).rlike(HEADER))
     lines = scratch.save(lines, "lines")
     matched = header_licences(lines.groupBy("line").agg(F.count("*").alias("n")))
-    own = lines.join(matched, "line").groupBy("path", "text_key").agg(
+    named = F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE)
+    parts = keyed.select("path", "text_key", F.explode(_units(F.col("text"), named)).alias("line"))
+    parts = parts.union(lines.select("path", "text_key", "line")).withColumn("unit", F.md5("line"))
+    parts = scratch.save(parts, "units")
+    formed = parts.join(form_licences(parts.select("unit", "line").dropDuplicates(["unit"])), "unit").select("path", "text_key", "license", "score")
+    ids = parts.select("path", "text_key", F.explode(F.regexp_extract_all(_lower(F.col("line")), F.lit(SPDX), 1)).alias("ids"))
+    ids = ids.select("path", "text_key", F.explode(F.regexp_extract_all("ids", F.lit("[a-z0-9.+-]+"), 0)).alias("id"))
+    spdx = ids.join(F.broadcast(files.sparkSession.createDataFrame(spdx_ids(), "id string, license string")), "id")
+    found = lines.join(matched, "line").select("path", "text_key", "license", "score").union(formed)
+    own = found.union(spdx.select("path", "text_key", "license", F.lit(1.0))).groupBy("path", "text_key").agg(
         F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best")
     )
     own = scratch.save(own.select("path", "text_key", "best.license", (-F.col("best.minus")).alias("score")), "own")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    granted = own.filter(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE)).withColumn("folder", folder)
+    granted = own.filter(named).withColumn("folder", folder)
     granted = granted.groupBy("folder").agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "license")).alias("given"))
     all_files = keyed.select("doc_id", "path", "text_key").withColumn("folder", folder)
     folders = all_files.select("folder").distinct()

@@ -33,3 +33,30 @@ def test_empty(spark):
     assert licenses.license_scan(licenses.as_files(documents(spark, []))).count() == 0
     got = licenses.license_scan(licenses.as_files(documents(spark, [(1, None, None), (2, "Released under the MIT License.\nx", None)]))).collect()
     assert sorted((r.doc_id, r.license, r.origin) for r in got) == [(1, "MIT", "inherited"), (2, "MIT", "own")]
+
+
+HEADERS = {
+    "# SPDX-License-Identifier: MIT\nimport os\n": "MIT", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;": "GPL-2.0", "/* SPDX-License-Identifier: Zlib */\nint x;": None,
+    "MIT License": "MIT", "x\nThis work is licensed under the GNU General Public License, version 2.\ny": "GPL-2.0",
+    "Photo notes.\n\nThis work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0\nInternational License.": "CC-BY-NC-SA-4.0",
+    # A header over several lines, none of which states the licence.
+    "/*\n * calc, a desk calculator\n * Copyright (C) 2011 A. Person\n *\n * This library is free software: you can redistribute it and/or modify\n * it under the terms of the GNU Lesser General\n"
+    " * Public License as published by\n * the Free Software Foundation, either version 3 of the\n * License, or (at your option) any later version.\n */\nint main;\n": "LGPL-3.0",
+    "#!/bin/sh\n# Copyright 2019 The Tool Authors\n#\n# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n"
+    "# copyright notice and this permission notice appear in all copies.\necho\n": "ISC",
+    "The permission to stay was granted by the council, and the warranty of the house went with it.": None,
+}
+
+
+def test_wordings_beyond_single_lines(spark):
+    rows = [(k, f"d{k}/x.c", text) for k, text in enumerate(HEADERS)]
+    wanted = dict(enumerate(HEADERS.values()))
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC-BY-SA-4.0"):
+        k, text = len(rows), (licenses.TEXTS / f"{name}.txt").read_text()
+        # Other holders, another line width and one passage left out.
+        words = text.replace("Regents of the University of California", "Tool Authors").split()
+        words = words[: len(words) // 2] + words[len(words) // 2 + 9:]
+        rows.append((k, f"d{k}/COPYING", "\n".join(" ".join(words[i:i + 6]) for i in range(0, len(words), 6))))
+        wanted[k] = name
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    assert {r.doc_id: r.license for r in licenses.license_scan(df).collect()} == wanted
