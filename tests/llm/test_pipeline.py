@@ -47,3 +47,15 @@ def test_odd_rows(spark):
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, docs, FOLDER).count() > 0
         assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b, c, d = (prose(n, 60) for n in (11, 12, 13, 14))
+    rows = [(1, a)] * 5 + [(None, a + " tail"), (None, b), (None, b + " tail"), (None, b), (None, c), (9, c), (3, d), (3, d + " tail"), (3, prose(15, 60))]
+    rows += [(5, None), (5, None), (None, "")]
+    got = corpus_pipeline.near_dedup(spark, documents(spark, rows).repartition(3), FOLDER)
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert [x for x in found if x[1] in (a, a + " tail")] == [(1, a)]
+    assert sum(t in (b, b + " tail") for _, t in found) == 1
+    assert sum(t in (d, d + " tail") for _, t in found) == 1 and (3, prose(15, 60)) in found
+    assert [x for x in found if x[1] == c] == [(9, c)] and len([x for x in found if not x[1]]) == 3
