@@ -1,16 +1,18 @@
 """Sharding over fixed virtual slots with a versioned slot-to-shard map.
 
-A record's slot is a hash of its key over 4,096 slots and never changes. A small table maps slots to shards, one
+A record's slot is a hash of its key, its text and its number among equal records over 4,096 slots and never changes,
+so records that share one key, or have none, are dealt over the slots like all others. A small table maps slots to shards, one
 version after the other, each written to the shared folder. The first version deals slots round; a rebalancing
 reads the bytes per slot and edits the map: it moves single slots from the heaviest shard to the lightest, always
 the slot that comes nearest to half their difference, until no move narrows the gap. So sizes come out near
 equal while few records change their shard.
 
-The table is read for a record's size and key only; slot loads are summed before the shuffle; the map has a fixed
+Equal records are numbered by input part, with the counts of earlier parts added, so no task holds all copies of one.
+The table is read for a record's size, key and text hash only; slot loads are summed before the shuffle; the map has a fixed
 number of rows, which bounds what reaches the driver and what is broadcast. Row numbers inside a shard
 are the rows of earlier slots plus a window inside one slot, so no task holds a shard.
 
-Edge cases: a NULL text has size 1; a NULL key has a slot like any other; rows with one key share a slot; an empty
+Edge cases: a NULL text has size 1; a NULL key is hashed like any other; equal records are interchangeable; an empty
 table gives no rows and a map that deals slots round; other columns are ignored.
 """
 
@@ -63,12 +65,24 @@ def edit_map(shards: list[int], loads: dict[int, int], n_shards: int) -> list[in
         total[light] += loads[best]
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+def slotted(docs: DataFrame, scratch: Scratch, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot) of every record."""
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(
+    read = docs.select(
         F.col("doc_id").cast("bigint"), (F.octet_length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64(raw).alias("text_hash"), F.spark_partition_id().alias("part"),
+    )
+    read = scratch.save(read, "read")
+    key = ["doc_id", "text_hash"]
+    counts = read.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter("before > 0")
+    before = before.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("part").alias("of_part"), "before")
+    numbered = read.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "part").orderBy("size")) - 1)
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")) & (F.col("part") == F.col("of_part"))
+    number = F.col("nth") + F.coalesce("before", F.lit(0))
+    return numbered.join(before, same, "left").select(
+        "doc_id", "size", "text_crc32", F.pmod(F.xxhash64(*key, number.cast("bigint")), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -85,7 +99,7 @@ def shard_records(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) ->
     scratch = Scratch(spark, "sharding")
     slot_map = SlotMap(spark, f"{scratch.path}/map", slots)
     slot_map.store([s % shards for s in range(slots)])
-    records = scratch.save(slotted(docs, slots), "records")
+    records = scratch.save(slotted(docs, scratch, slots), "records")
     rebalance(records, slot_map, shards)
     counts = records.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(slot_map.table(), "virtual_slot", "right")
     earlier = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)

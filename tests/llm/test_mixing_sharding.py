@@ -83,6 +83,18 @@ def test_shards_are_disjoint_and_even(spark):
     assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
 
 
+def test_one_key_on_many_records(spark):
+    rows = [(7, "one row that stands often")] * 900 + [(7, f"text {k}") for k in range(900)] + [(None, f"none {k}") for k in range(900)] + [(k, "x" * 10) for k in range(100, 1000)]
+    df = documents(spark, rows)
+    got = sharding.shard_records(df.repartition(5)).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert len(got) == len(rows) and max(load.values()) - min(load.values()) <= 100
+    slot = lambda found: sorted((str(r.doc_id), r.text_crc32, r.virtual_slot) for r in found)
+    assert slot(got) == slot(sharding.shard_records(df.coalesce(1)).collect())
+
+
 def test_edits_move_few_slots(spark):
     rng = np.random.default_rng(1)
     loads = {s: int(v) for s, v in enumerate(rng.integers(50, 150, 4096))}
