@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import centroids, licenses, minhash, mixing, nearest, negatives, packing, quality, sharding, substring_dedup, suffix_dedup, token_store
+from logloom.llm import centroids, licenses, minhash, mixing, nearest, negatives, packing, quality, secrets, sharding, substring_dedup, suffix_dedup, token_store
 from logloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest(table(spark, d, "embeddings"))
 
 
+def op11_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.scan(table(spark, d, "documents"))
+
+
 def op12_centroids(spark: SparkSession, d: str) -> DataFrame:
     return centroids.cluster(table(spark, d, "embeddings"))
 
@@ -58,5 +62,5 @@ def op13_negatives(spark: SparkSession, d: str) -> DataFrame:
     return negatives.mine(table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash, op3_sharding, op5_licenses, op8_mixing, op4_quality, op10_nearest, op12_centroids, op13_negatives)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op6_token_store, op7_substring_dedup, op9_minhash, op3_sharding, op5_licenses, op8_mixing, op4_quality, op10_nearest, op11_secrets, op12_centroids, op13_negatives)}
 ORACLE: dict[str, str] = {"op5_licenses": licenses.SQL, "op12_centroids": centroids.SQL, "op13_negatives": negatives.SQL}
