@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed value: words are maximal runs of characters other than ASCII white space.
@@ -71,6 +71,35 @@ def tasks_for(n_bytes: int, per_task: int, least: int = 1) -> int:
     return max(least, -(-n_bytes // per_task))
 
 
+def number_copies(rows: DataFrame, key: list[str], part: str = "part", name: str = "nth") -> DataFrame:
+    """Number the rows of every key from 0 in ``name``; NULL keys count as equal.
+
+    ``rows`` is a written table and ``part`` any column that spreads a frequent key over tasks. Rows are numbered inside
+    (key, part), and what earlier parts of a key hold is carried over, so no task sees a whole key. ``part`` is dropped.
+    """
+    counts = rows.groupBy(*key, part).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter("_before > 0")
+    carried = carried.select(*[F.col(c).alias(f"_of_{c}") for c in [*key, part]], "_before")
+    inside = Window.partitionBy(*key, part).orderBy(F.lit(0))
+    numbered = rows.withColumn("_inside", F.row_number().over(inside) - 1)
+    same = F.col(part) == F.col(f"_of_{part}")
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    number = (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("bigint")
+    return numbered.join(carried, same, "left").select(*[c for c in rows.columns if c != part], number.alias(name))
+
+
+def row_digest(df: DataFrame, seed: int = 0) -> Column:
+    """A 64-bit hash of all columns of a row, whatever their types; equal rows have equal ones."""
+    parts = []
+    for field in df.schema:
+        kind, value = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        plain = not any(k in kind for k in ("map<", "variant"))
+        parts += [value if plain else F.to_json(F.struct(value)), value.isNull()]
+    return F.xxhash64(*parts, F.lit(seed))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for NULL."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")

@@ -277,3 +277,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     result = scratch.save(result, "result")
     scratch.drop("signed", "classes", "entries", "sets", "open")
     return result
+
+
+def _told_apart(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, digest, key, copies) of the texts under a repeated or NULL doc_id; no key is a doc_id or stands twice.
+
+    ``docs``: doc_id, text.
+    """
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("often"))
+    often = scratch.save(often, "often")
+    few = often.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(often) if few else often, F.col("doc_id").eqNullSafe(F.col("often")), "left_semi")
+    texts = rows.groupBy("doc_id", F.md5("text").alias("digest")).agg(F.count("*").alias("copies"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    key = F.lit(low or 0) - 1 - number if (low or 0) > -(1 << 62) else F.lit(high) + 1 + number
+    return scratch.save(texts.withColumn("key", key), "texts")
+
+
+def first_of_groups(documents: DataFrame) -> DataFrame:
+    """The first document of every near-duplicate group: the smallest doc_id, NULL last, then the smallest text digest.
+
+    Rows are told apart by doc_id and text, so repeated rows, rows that share a doc_id and rows without one are reduced
+    like all others; of a text that stands several times under one doc_id the row with the smallest hash of its
+    JSON form stays. Blank and NULL texts are like nothing and stay. An empty table gives none. Columns of any name
+    and type are handed through: a document travels as one column.
+    """
+    scratch = Scratch(documents.sparkSession, "first")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    told = _told_apart(docs.select("doc_id", "text"), scratch)
+    n_told = told.count()
+    if not n_told:
+        groups = near_duplicates(docs)
+        dropped = scratch.save(groups.filter("NOT kept").select("doc_id"), "ids")
+        few = dropped.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select("row.*")
+    names = told.select(F.col("doc_id").alias("told_id"), "digest", "key", "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("told_id")) & F.md5("text").eqNullSafe(F.col("digest"))
+    few = n_told <= BROADCAST_IDS // 4
+    keyed = docs.join(F.broadcast(names) if few else names, same, "left").withColumn("key", F.coalesce("key", "doc_id"))
+    groups = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).filter("n_shingles > 0")
+    members = groups.select(F.col("doc_id").alias("key"), "component_id").distinct().join(told, "key", "left")
+    name = F.when(F.col("copies").isNull(), F.col("key")).otherwise(F.col("doc_id"))
+    rank = F.struct(name.isNull().alias("no_id"), name.alias("id"), "digest", "key")
+    members = scratch.save(members.select("key", "component_id", rank.alias("rank"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
+    first = members.groupBy("component_id").agg(F.min("rank").alias("first"))
+    judged = members.join(first, "component_id").select("key", "copies", (F.col("rank.key") == F.col("first.key")).alias("kept"))
+    apart = scratch.save(judged.filter("NOT kept OR copies > 1"), "apart")
+    few = apart.count() <= BROADCAST_IDS
+    apart = F.broadcast(apart) if few else apart
+    once = keyed.join(apart.filter("kept").select("key"), "key").groupBy("key").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return keyed.join(apart.select("key"), "key", "left_anti").select("row").unionByName(once.select("row")).select("row.*")

@@ -11,10 +11,16 @@
    out in stretches, so shards are disjoint, and a shard is shuffled by a hash of its rows.
 
 Only per-source totals (one row per entry of the mix) reach the driver; windows run over sources and over the
-blocks of a source. A source with a third of all rows has as many times more blocks.
+blocks of a source. A source with a third of all rows has as many times more blocks: the number of documents of a block
+and the number of blocks both grow with the root of a large source.
+
+Repeated rows are numbered, and the number goes into their place in mixed order, so a row that stands a third of the
+time is dealt over all blocks. ``mixed_documents`` tells rows apart by doc_id, source and a hash of all
+columns; one text under two sources is drawn for each by its own plan. Rows equal in all columns are written from one of them.
 
 Edge cases: NULL source is a source of its own, last; a NULL or blank text has size 0, is drawn with its block and adds
-nothing; repeated rows are drawn separately; an empty source has target 0; an empty table gives no rows.
+nothing; repeated rows are drawn separately; an empty source has target 0; an empty table gives no rows. Columns of any
+name and type are handed through.
 """
 
 from __future__ import annotations
@@ -24,15 +30,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, word_count
+from logloom.llm.common import Scratch, number_copies, row_digest, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SHARDS = 8
 BLOCK_DOCS = 512
-MOST_BLOCKS = 65_536
+# Keys of repeated rows up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 SEED = 20_011
-_DRAWN = "doc_id bigint, source string, size bigint, mixer bigint, source_size bigint, target double, block int, position bigint, whole int, extra boolean, room double"
+_DRAWN = "doc_id bigint, source string, size bigint, digest bigint, place bigint, source_size bigint, target double, block int, position bigint, whole int, extra boolean, room double"
 
 
 def targets(stats: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
@@ -69,7 +76,7 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """Draw documents of the last block in mixed order while they fit; then the smallest if that comes nearer."""
-    rows = rows.sort_values(["mixer", "doc_id", "size"]).reset_index(drop=True)
+    rows = rows.sort_values(["place", "doc_id", "size"]).reset_index(drop=True)
     left, sizes = float(rows["room"].iloc[0]), rows["size"].to_numpy()
     taken = np.zeros(len(rows), bool)
     for i, size in enumerate(sizes.tolist()):
@@ -87,18 +94,23 @@ def mixer_of(seed: int) -> Column:
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.lit(seed))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, shards (one entry per draw), mixer.
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, digest: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, shards (one entry per draw), digest, place.
 
-    ``taken`` words are size times the number of draws. Shards are shuffled inside by ``mixer``.
+    ``taken`` words are size times the number of draws. Shards are shuffled inside by ``place``, which comes from id, text
+    and the number among rows equal in these and the source. ``digest`` sets the order of such rows and is handed through.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
-    sized = scratch.save(docs.select(
+    read = scratch.save(docs.select(
         F.col("doc_id").cast("bigint"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"),
-        mixer_of(seed).alias("mixer"),
-    ), "sized")
+        mixer_of(seed).alias("mixer"), (F.lit(0).cast("bigint") if digest is None else digest).alias("digest"), F.spark_partition_id().alias("task"),
+    ), "read")
+    place = F.when(F.col("nth") > 0, F.xxhash64("mixer", "nth")).otherwise(F.col("mixer"))
+    parted = read.select("doc_id", "source", "size", "mixer", "digest", F.struct("digest", "task").alias("part"))
+    sized = number_copies(parted, ["doc_id", "source", "mixer"]).withColumn("place", place).drop("nth", "mixer")
+    sized = scratch.save(sized, "sized")
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    blocks_of = F.least(F.ceil(F.col("docs") / BLOCK_DOCS), F.lit(MOST_BLOCKS)).cast("int")
+    blocks_of = F.ceil(F.col("docs") / F.greatest(F.lit(BLOCK_DOCS), F.ceil(F.sqrt("docs")))).cast("int")
     sources = targets(stats).withColumn("blocks", blocks_of).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     )
@@ -113,7 +125,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
         return left.join(right, same).drop("_source", *[f"_{n}" for n in more])
 
     placed = by_source(sized, sources.select("source", "source_size", "target", "blocks"))
-    placed = placed.withColumn("block", F.pmod("mixer", F.col("blocks")).cast("int")).drop("blocks")
+    placed = placed.withColumn("block", F.pmod("place", F.col("blocks")).cast("int")).drop("blocks")
     blocks = by_source(
         placed.groupBy("source", "block").agg(F.sum("size").alias("words")), sources.select("source", "whole", "rest")
     )
@@ -139,19 +151,39 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     # The last pass holds fewer blocks, but its positions come first in mixed order.
     chosen = F.when(F.col("whole") + F.col("extra").cast("int") > 0, F.transform(passes, shard)).otherwise(F.array().cast("array<int>"))
     return scratch.save(rows.select(
-        "doc_id", "size", "source_size", "target", chosen.alias("shards"), "mixer"
+        "doc_id", "source", "size", "source_size", "target", chosen.alias("shards"), "digest", "place"
     ), "mixed")
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The documents of the mix with the column ``_shard``, as often as drawn, each shard shuffled inside.
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, shard: str | None = "_shard") -> DataFrame:
+    """The documents of the mix, as often as drawn, each shard shuffled inside; ``shard`` names a column for its number.
 
-    Repeated rows meet their draws by number. A shard is written by as many tasks as its size asks for.
+    A row meets its draws by doc_id, source and a hash of all its columns. Where rows are equal in all
+    of these, one stands for all, so draws of a frequent row are joined to a single one and can be split.
     """
-    nth = F.row_number().over(Window.partitionBy("_id", "_mixer").orderBy(F.lit(0)))
-    drawn = mix(docs, shards, seed).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("mixer").alias("_mixer"), F.col("shards").alias("_shards"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_mixer": mixer_of(seed)})
-    both = keyed.withColumn("_nth", nth).join(drawn.withColumn("_nth", nth), ["_id", "_mixer", "_nth"])
-    copies = both.select(*docs.columns, "_mixer", F.posexplode("_shards").alias("_pass", "_shard"))
-    copies = copies.withColumn("_place", F.xxhash64("_mixer", "_pass", F.lit(seed)))
-    return copies.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place").select(*docs.columns, "_shard")
+    scratch = Scratch(docs.sparkSession, "mixed")
+    digest = row_digest(docs, seed)
+    key = ["id", "of", "digest"]
+    drawn = mix(docs, shards, seed, digest).select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "digest", "place", "shards")
+    # The documents travel as one column, so theirs cannot clash with those made here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("source").cast("string").alias("of"), digest.alias("digest"), row)
+    often = scratch.save(drawn.groupBy(*key).count().filter("count > 1").select(*key), "often")
+    n_often = often.count()
+    if n_often:
+        often = F.broadcast(often) if n_often <= BROADCAST_KEYS else often
+        one = _same(keyed, often, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        keyed = _same(keyed, often, "left_anti").unionByName(one)
+    both = _same(keyed, drawn.filter(F.size("shards") > 0), "inner")
+    copies = both.select("row", "place", F.posexplode("shards").alias("turn", "shard"))
+    copies = copies.select("row", "shard", F.xxhash64("place", "turn", F.lit(seed)).alias("at"))
+    ordered = copies.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at")
+    return ordered.select("row.*", *([F.col("shard").alias(shard)] if shard else []))
+
+
+def _same(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join on id, source and digest, NULL equal to NULL; the key of ``rows`` stays."""
+    key = ["id", "of", "digest"]
+    right = keys.withColumnsRenamed({c: f"{c}_" for c in key})
+    same = F.col("id").eqNullSafe(F.col("id_")) & F.col("of").eqNullSafe(F.col("of_")) & (F.col("digest") == F.col("digest_"))
+    return rows.join(right, same, how).drop(*[f"{c}_" for c in key])

@@ -113,3 +113,35 @@ def test_edits_move_few_slots(spark):
 def test_empty(spark):
     assert sharding.shard_records(documents(spark, [])).count() == 0
     assert mixing.mix(documents(spark, [])).count() == 0
+
+
+def test_one_row_under_two_sources(spark):
+    text = prose(1, 20)
+    df = documents(spark, [(1, text, "a")] * 600 + [(1, text, "b")] * 600 + [(k, prose(k, 20), "b") for k in range(10, 400)] + [(None, None, "c")] * 50)
+    target, words = {}, Counter()
+    for r in mixing.mix(df).collect():
+        target[r.source] = r.target
+    for r in mixing.mixed_documents(df.repartition(3)).collect():
+        words[r.source] += len((r.text or "").split())
+    assert all(abs(words[s] - t) <= max(20, 0.01 * t) for s, t in target.items())
+
+
+def test_frequent_rows_fill_no_block(spark):
+    df = documents(spark, [(7, "one row that stands often", "a")] * 4000 + [(k, prose(k, 5), "a") for k in range(100, 2100)])
+    got = mixing.mix(df.repartition(6)).collect()
+    blocks = Counter(r.place % 12 for r in got if r.doc_id == 7)
+    assert len(blocks) == 12 and max(blocks.values()) < 500
+    again = mixing.mix(df.coalesce(1)).collect()
+    key = lambda r: (r.doc_id, r.place, r.shards)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_number_copies(spark):
+    from logloom.llm.common import number_copies
+
+    rows = [(k % 3 if k % 3 else None, k % 5) for k in range(400)]
+    df = spark.createDataFrame(rows, "k bigint, part int")
+    seen = defaultdict(list)
+    for r in number_copies(df, ["k"]).collect():
+        seen[r.k].append(r.nth)
+    assert all(sorted(v) == list(range(sum(k == key for k, _ in rows))) for key, v in seen.items()) and len(seen) == 3

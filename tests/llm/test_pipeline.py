@@ -59,3 +59,20 @@ def test_repeated_and_missing_ids(spark):
     assert sum(t in (b, b + " tail") for _, t in found) == 1
     assert sum(t in (d, d + " tail") for _, t in found) == 1 and (3, prose(15, 60)) in found
     assert [x for x in found if x[1] == c] == [(9, c)] and len([x for x in found if not x[1]]) == 3
+
+
+def test_clashing_names_and_maps_pass_every_stage(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, prose(1, 50)), (1, prose(1, 50)), (2, None), (None, prose(2, 40)), (None, prose(2, 40)), (3, ""), (4, prose(1, 50) + " " + prose(3, 60)), (5, prose(6, 80))]
+    names = ["key", "copies", "digest", "told_id", "row", "id", "of", "mixer", "place", "shard", "_shard", "_id", "part", "nth", "in_text", "chunk", "piece", "size"]
+    docs = documents(spark, rows).withColumns({n: F.concat(F.lit(n), F.coalesce("doc_id", F.lit(0))) for n in names} | {"tags": F.create_map(F.lit("a"), F.col("doc_id"))})
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, FOLDER)
+        assert n == 4 or got.columns == docs.columns
+        found = got.collect()
+        assert found
+        if n < 4:
+            assert all(r.tags == {"a": r.doc_id} and r.told_id == f"told_id{r.doc_id or 0}" for r in found)
+    kept = corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 2, 3, 4, 5, None]
