@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from logloom.llm import minhash, mixing, packing, quality, suffix_dedup
 from logloom.llm.common import Scratch, table
 
-# Ids of dropped documents up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the base rules or the line labels reject."""
@@ -25,46 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("kept").select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
-def _told_apart(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, digest, key, copies) of the texts under a repeated or NULL doc_id; no key is a doc_id or stands twice."""
-    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("often"))
-    often = scratch.save(often, "often")
-    few = often.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(often) if few else often, F.col("doc_id").eqNullSafe(F.col("often")), "left_semi")
-    texts = rows.groupBy("doc_id", F.md5("text").alias("digest")).agg(F.count("*").alias("copies"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    number = F.monotonically_increasing_id()
-    key = F.lit(low or 0) - 1 - number if (low or 0) > -(1 << 62) else F.lit(high) + 1 + number
-    return scratch.save(texts.withColumn("key", key), "texts")
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of every near-duplicate group: the smallest doc_id, NULL last, then the smallest text digest."""
-    scratch = Scratch(spark, "dropped")
-    told = _told_apart(docs, scratch)
-    n_told = told.count()
-    if not n_told:
-        groups = minhash.near_duplicates(docs)
-        dropped = scratch.save(groups.filter("NOT kept").select("doc_id"), "ids")
-        few = dropped.count() <= BROADCAST_IDS
-        return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
-    names = told.select(F.col("doc_id").alias("told_id"), "digest", "key", "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("told_id")) & F.md5("text").eqNullSafe(F.col("digest"))
-    few = n_told <= BROADCAST_IDS // 4
-    keyed = docs.join(F.broadcast(names) if few else names, same, "left").withColumn("key", F.coalesce("key", "doc_id"))
-    groups = minhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).filter("n_shingles > 0")
-    members = groups.select(F.col("doc_id").alias("key"), "component_id").distinct().join(told, "key", "left")
-    name = F.when(F.col("copies").isNull(), F.col("key")).otherwise(F.col("doc_id"))
-    rank = F.struct(name.isNull().alias("no_id"), name.alias("id"), "digest", "key")
-    members = scratch.save(members.select("key", "component_id", rank.alias("rank"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
-    first = members.groupBy("component_id").agg(F.min("rank").alias("first"))
-    judged = members.join(first, "component_id").select("key", "copies", (F.col("rank.key") == F.col("first.key")).alias("kept"))
-    # Of a kept text that stands several times under one doc_id one row is taken, the smallest by its other columns.
-    apart = scratch.save(judged.filter("NOT kept OR copies > 1"), "apart")
-    few = apart.count() <= BROADCAST_IDS
-    apart = F.broadcast(apart) if few else apart
-    once = keyed.join(apart.filter("kept").select("key"), "key").groupBy("key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return keyed.join(apart.select("key"), "key", "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
+    """Keep the first document of every near-duplicate group."""
+    return minhash.first_of_groups(docs)
 
 
 def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +38,7 @@ def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw sources to their target weights; a document stands as often as it is drawn."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    return mixing.mixed_documents(docs, shard=None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
