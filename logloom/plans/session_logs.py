@@ -31,6 +31,13 @@ def dashboard(spark: SparkSession, root: str, prices: DataFrame, base: dict[str,
     tools = TU.turn_tools(R.tool_uses_of(slim))
     turns = cut_lineage(TU.with_tool_counts(TU.collapse_turns(R.snapshots_of(slim)), tools))
     summary = cut_lineage(sessions.session_summary(facts, turns, tools, prices))
+    return dashboard_tables(facts, turns, tools, summary, list_files(spark, root), prices, base)
+
+
+def dashboard_tables(
+    facts: DataFrame, turns: DataFrame, tools: DataFrame, summary: DataFrame, files: DataFrame, prices: DataFrame, base: dict[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """The tables of :func:`dashboard` from record facts, turns with tool counts, tool calls, session summaries and files."""
     if base is None:
         rolled = {
             "activity": rollups.daily_activity(facts, turns), "daily_models": rollups.daily_model(turns, prices),
@@ -43,7 +50,7 @@ def dashboard(spark: SparkSession, root: str, prices: DataFrame, base: dict[str,
     return {
         "headline": headline_stats(summary, rolled["totals"], base["totals"] if base else None),
         "recent_sessions": sessions.list_sessions(summary, limit=10),
-        "projects": sessions.project_summary(summary, list_files(spark, root))
+        "projects": sessions.project_summary(summary, files)
         .join(sessions.project_names(facts), "project_id", "left").orderBy(F.desc_nulls_last("last_active"), "project_id"),
         "project_models": sessions.project_models(turns),
         "daily_activity": rolled["activity"],

@@ -1,0 +1,64 @@
+"""Queries on stored state: refreshed twice, and fed batch by batch."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.operators.pricing import MICRO, costs_rounded
+from logloom.plans import log_queries
+from logloom.session import cut_lineage, shared_folder
+from logloom.sources import logs, tables as t
+from logloom.sources.prices import default_prices
+from logloom.streaming import store as ST
+
+KEEP = ["session_id", "user_count", "assistant_count", "message_count", "tool_count", "compactions", "cwd", "input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens"]
+
+
+def _lines_and_middle(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    lines = cut_lineage(logs.with_path_dims(t.log_lines(spark, d)))
+    return lines, (lines.agg(F.max("seq")).first()[0] or 0) // 2
+
+
+def _sessions(state: ST.Store) -> DataFrame:
+    return state.table("sessions").select(*KEEP, *costs_rounded()).drop(*MICRO)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+def refreshed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Session totals of a store that was filled when half of the lines were written and refreshed when all were."""
+    lines, middle = _lines_and_middle(spark, d)
+    prices, folder = default_prices(spark), _folder(spark)
+    state = None
+    for part in (lines.filter(F.col("seq") <= middle), lines):
+        files = part.groupBy("file_path", *ST.SESSION, "top_level").agg(
+            F.concat_ws(":", F.count("*"), F.max("seq")).alias("signature"), F.lit(None).cast("timestamp").alias("modified_at"), F.sum(F.octet_length("value")).alias("bytes")
+        )
+        some = lambda changed, everything, part=part: part.join(changed.select("file_path"), "file_path", "left_semi").select(part.columns)
+        state = ST.refresh(spark, folder, files, some, prices)
+    return _sessions(state)
+
+
+def appended_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Session totals of a store that got the lines as two batches of chunks, the first of them twice."""
+    lines, middle = _lines_and_middle(spark, d)
+    prices, folder = default_prices(spark), _folder(spark)
+    number = F.when(F.col("seq") <= middle, 0).otherwise(1)
+    chunk = F.concat(F.lit("/chunks/"), number.cast("string"), F.regexp_replace("file_path", r"\A/logs", ""))
+    room = lines.agg(F.max("seq")).first()[0] or 0
+    chunks = lines.select("value", chunk.alias("chunk_path"), F.lit(room + 1).cast("bigint").alias("chunk_bytes"), F.col("seq").alias("offset"), number.alias("batch"))
+    chunks = cut_lineage(chunks.repartition("chunk_path").sortWithinPartitions("chunk_path", "offset"))
+    state = None
+    for batch in (0, 0, 1):
+        part = chunks.filter(F.col("batch") == batch).repartition("chunk_path").sortWithinPartitions("chunk_path", "offset")
+        state = ST.append_chunks(spark, folder, part, batch, prices)
+    return _sessions(state)
+
+
+QUERIES = {f.__name__: f for f in (refreshed_sessions, appended_sessions)}
+ORACLE = {name: log_queries.ORACLE["log_session_summary"] for name in QUERIES}

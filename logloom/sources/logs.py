@@ -30,8 +30,8 @@ def _plain_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
-def read_lines(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
-    """Every line of every log file with its file and place.
+def read_lines(spark: SparkSession, root: str, modified_after: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Every line of every log file, or of those in ``paths``, with its file and place.
 
     ``seq`` orders the lines of a file without a shuffle: twice the byte offset of the split plus the
     row's index in its task. A task reads at most one split's worth of bytes and a line takes at
@@ -41,7 +41,9 @@ def read_lines(spark: SparkSession, root: str, modified_after: str | None = None
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return reader.text(f"{root}/projects").select(
+    # Names are taken as they are, not as patterns.
+    chosen = f"{root}/projects" if paths is None else [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
+    return reader.text(chosen).select(
         "value", _plain_path().alias("file_path"),
         (F.col("_metadata.file_block_start") * 2 + index).alias("seq"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.text import non_empty
 from logloom.operators.records import turn_key
 from logloom.sources.logs import parse_envelope, with_path_dims
+from logloom.streaming.store import append_chunks
 
 CHUNK_SCHEMA = "value string"
 
@@ -20,6 +21,26 @@ def read_chunks(spark: SparkSession, folder: str, max_files: int | None = None)
     return reader.load(folder).select("value", F.col("_metadata.file_path").alias("file_path"), F.lit(0).cast("bigint").alias("seq"))
 
 
+def read_chunk_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Stream of log lines with their chunk and the place of their split in it, for :func:`store_stream`."""
+    reader = spark.readStream.schema(CHUNK_SCHEMA).format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    meta = F.col("_metadata")
+    return reader.load(folder).select(
+        "value", meta["file_path"].alias("chunk_path"), meta["file_size"].alias("chunk_bytes"), meta["file_block_start"].alias("offset")
+    )
+
+
+def store_stream(chunks: DataFrame, folder: str, checkpoint: str, prices: DataFrame, name: str = "stream"):
+    """Add all chunks that are there to a store and stop. A batch that is run again after a failure changes nothing."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        append_chunks(batch.sparkSession, folder, batch, number, prices, name)
+
+    return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_activity(lines: DataFrame, lateness: str = "2 hours", window: str = "1 day") -> DataFrame:
     """Turns per time window. Repeated snapshots of a turn count once; late ones beyond the bound are dropped."""
     records = parse_envelope(with_path_dims(lines)).filter("type = 'assistant'")
