@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import numpy as np
 
 # A line number as file viewers print it, and lines of brackets only.
 NUMBERED = re.compile(r"^\s*\d+\s*(?::|\||\s{2,})\s?")
@@ -41,10 +44,85 @@ def is_distinctive(lines: list[str]) -> bool:
     return len(said) > 1 or any(len(x) > 2 and BRACKETS.match(x) is None for x in said)
 
 
+# Bits of match history that are kept at once; larger problems are cut in two.
+MOST_BITS = 1 << 29
+# Lines that stand this often keep their bits; those of others are made when needed, so bits do not grow with the square.
+FREQUENT = 256
+
+
+def _bits(places: list[int]) -> int:
+    if len(places) < 4:
+        return sum(1 << p for p in places)
+    flags = np.zeros(places[-1] + 1, np.uint8)
+    flags[places] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After every line of ``a``: an integer whose zero bits mark where the common subsequence with ``b`` grows."""
+    places: dict[int, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    small = len(a) * len(b) <= MOST_BITS
+    kept = {y: _bits(p) for y, p in places.items() if small or len(p) >= FREQUENT}
+    full = state = (1 << len(b)) - 1
+    for x in a:
+        bits = kept.get(x)
+        hit = state & (_bits(places[x]) if bits is None else bits)
+        state = ((state + hit) | (state - hit)) & full
+        yield state
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with every prefix of ``b``."""
+    state = (1 << len(b)) - 1
+    for state in _rows(a, b):
+        pass
+    raw = np.frombuffer(state.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    zeros = 1 - np.unpackbits(raw, bitorder="little")[: len(b)].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(zeros)])
+
+
+def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in linear space.
+
+    A problem whose history fits is traced back. Otherwise ``a`` is halved and ``b`` cut where the lengths
+    of both sides add up to the most.
+    """
+    if len(a) * len(b) > MOST_BITS and len(a) > 1:
+        half = len(a) // 2
+        here = set(a[:half]) & set(b)
+        there = set(a[half:]) & set(b)
+        score = _lengths([x for x in a[:half] if x in here], b) + _lengths([x for x in reversed(a[half:]) if x in there], b[::-1])[::-1]
+        cut = int(score.argmax())
+        return _matched(a[:half], b[:cut], 0, 0) + _matched(a[half:], b[cut:], half, cut)
+    history = list(_rows(a, b))
+    kept: list[tuple[int, int]] = []
+    r, c = len(a), len(b)
+    while r and c:
+        if history[r - 1] >> (c - 1) & 1:
+            c -= 1
+            continue
+        r -= 1
+        if r and not history[r - 1] >> (c - 1) & 1:
+            continue
+        c -= 1
+        kept.append((r, c))
+    return kept[::-1]
+
+
+def _matched(a: list[int], b: list[int], rows: int, columns: int) -> list[tuple[int, int]]:
+    """:func:`_common` over the lines that both sides have, with places moved on."""
+    both = set(a) & set(b)
+    own = [i for i, x in enumerate(a) if x in both]
+    other = [j for j, y in enumerate(b) if y in both]
+    return [(own[i] + rows, other[j] + columns) for i, j in _common([a[i] for i in own], [b[j] for j in other])]
+
+
 def diff_lines(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """Minimal line diff as (context | remove | add, line); removals come before additions.
 
-    Longest common subsequence with one big integer of match bits per old line, after common ends
+    Longest common subsequence in linear space, with one big integer of match bits per old line, after common ends
     and lines that occur on one side only are set aside.
     """
     head = 0
@@ -54,32 +132,12 @@ def diff_lines(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     while tail < len(old) - head and tail < len(new) - head and old[-1 - tail] == new[-1 - tail]:
         tail += 1
     a, b = old[head : len(old) - tail], new[head : len(new) - tail]
-    in_a, in_b = set(a), set(b)
-    rows = [i for i, x in enumerate(a) if x in in_b]
-    cols = [j for j, x in enumerate(b) if x in in_a]
-    where: dict[str, int] = {}
-    for bit, j in enumerate(cols):
-        where[b[j]] = where.get(b[j], 0) | (1 << bit)
-    full = (1 << len(cols)) - 1
-    state, history = full, []
-    for i in rows:
-        hit = state & where[a[i]]
-        state = ((state + hit) | (state - hit)) & full
-        history.append(state)
-    kept: list[tuple[int, int]] = []
-    r, c = len(rows), len(cols)
-    while r and c:
-        if history[r - 1] >> (c - 1) & 1:
-            c -= 1
-            continue
-        r -= 1
-        if r and not history[r - 1] >> (c - 1) & 1:
-            continue
-        c -= 1
-        kept.append((rows[r], cols[c]))
+    codes: dict[str, int] = {}
+    numbers = [[codes.setdefault(x, len(codes)) for x in side] for side in (a, b)]
+    kept = _matched(*numbers, 0, 0)
     out = [("context", x) for x in old[:head]]
     i = j = 0
-    for x, y in [*reversed(kept), (len(a), len(b))]:
+    for x, y in [*kept, (len(a), len(b))]:
         out += [("remove", s) for s in a[i:x]] + [("add", s) for s in b[j:y]]
         if x < len(a):
             out.append(("context", a[x]))

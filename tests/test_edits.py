@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pathlib
 import random
 
 from logloom.functions.linediff import diff_lines, find_lines
@@ -98,6 +99,42 @@ def test_diff_is_minimal_and_rebuilds_both_sides():
         assert sum(k == "context" for k, _ in rows) == best[-1][-1]
 
 
+def test_diff_in_linear_space_is_minimal(monkeypatch):
+    from logloom.functions import linediff
+
+    rng = random.Random(8)
+    cases = [([rng.choice("abcdef") for _ in range(rng.randint(0, 40))], [rng.choice("abcdeg") for _ in range(rng.randint(0, 40))]) for _ in range(300)]
+    whole = [sum(k == "context" for k, _ in diff_lines(a, b)) for a, b in cases]
+    for bits, frequent in ((1, 1), (30, 3), (200, 5)):
+        monkeypatch.setattr(linediff, "MOST_BITS", bits)
+        monkeypatch.setattr(linediff, "FREQUENT", frequent)
+        for (a, b), n in zip(cases, whole):
+            rows = diff_lines(a, b)
+            assert [t for k, t in rows if k != "add"] == a and [t for k, t in rows if k != "remove"] == b
+            assert sum(k == "context" for k, _ in rows) == n
+
+
+def test_diff_of_many_lines_needs_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from logloom.functions.linediff import diff_lines
+rng = random.Random(1)
+old = [f"line {i % 60000}" for i in range(200000)]
+new = old[:]
+for _ in range(20000):
+    new[rng.randrange(len(new))] = f"line {rng.randrange(90000)}"
+new = new[100:150000] + new[20:30] + new[150000:]
+rows = diff_lines(old, new)
+assert [t for k, t in rows if k != "add"] == old and [t for k, t in rows if k != "remove"] == new
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(pathlib.Path(__file__).resolve().parents[1]))
+    assert done.returncode == 0 and int(done.stdout) < 500, (done.stdout, done.stderr[-500:])
+
+
 def test_find_lines_ignores_line_numbers_on_the_second_try():
     assert find_lines(["1: a", "2: b", "b"], ["b"]) == 2
     assert find_lines(["1: a", "2: b"], ["b"]) == 1
