@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import sys
+import unicodedata
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,16 +16,23 @@ from logloom.functions import variants as V
 from logloom.functions.text import non_blank, non_empty, trim_space
 from logloom.operators.records import DIMS, content, is_user, usage_columns
 from logloom.operators.scans import Stage, chunk_scan
+from logloom.session import cut_lineage
+
+# Ship the counter with the tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = ("system", "conversation", "files", "thinking", "tool", "other")
 # A counter maps an array of texts to an array of token counts (an Arrow UDF fits, too).
 Counter = Callable[[Column], Column]
+# A counter in Python, for :func:`count_texts`.
+TextCounter = Callable[[list[str]], list[int]]
 
 USAGE_SEGMENTS = {
     "input": "input_tokens", "cache-read": "cache_read_tokens", "output": "output_tokens", "cache-write": "cache_write_tokens",
 }
 # A word is cut into pieces of up to six characters; every other visible character counts alone.
 PIECES = r"\w{1,6}|[^\w\s]"
+_PIECES = re.compile(PIECES, re.ASCII)
 
 
 def count_tokens(text: Column) -> Column:
@@ -109,7 +121,57 @@ def _is_hidden(block: Column) -> Column:
 
 
 def prompt_contributions(records: DataFrame, counter: Counter = estimate) -> DataFrame:
-    """Tokens each top-level record adds to the context, in six buckets, and its hidden thinking blocks."""
+    """Tokens each top-level record adds to the context, in six buckets, and its hidden thinking blocks.
+
+    ``counter`` works on columns; :func:`counted_contributions` takes a Python one.
+    """
+    rows = _with_parts(records).withColumn("_counts", counter(F.transform("parts", lambda p: p["text"])))
+    paired = F.arrays_zip(F.transform("parts", lambda p: p["bucket"]).alias("bucket"), F.col("_counts").alias("n"))
+    rows = rows.withColumn("_paired", paired)
+    total = lambda b: F.aggregate(
+        "_paired", F.lit(0).cast("bigint"), lambda acc, p: acc + F.when(p["bucket"] == b, p["n"]).otherwise(0)
+    )
+    return rows.withColumns({b: total(b) for b in BUCKETS}).drop("parts", "_counts", "_paired")
+
+
+def normalised_estimate(texts: list[str]) -> list[int]:
+    """:func:`count_tokens` of texts in their compatibility form, where wide letters, ligatures and the like are plain ones."""
+    return [len(_PIECES.findall(unicodedata.normalize("NFKC", t.strip()))) for t in texts]
+
+
+def count_texts(texts: DataFrame, count: TextCounter) -> DataFrame:
+    """(digest, n) of the distinct texts in column ``text``, each counted once, in Arrow batches.
+
+    ``count`` maps a list of texts to a list of counts, for instance a tokenizer's. Equal texts are found by their SHA-256.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = count(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64())], names=["digest", "n"])
+
+    once = texts.filter("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"))
+    return once.mapInArrow(run, "digest string, n bigint")
+
+
+def counted_contributions(records: DataFrame, count: TextCounter = normalised_estimate) -> DataFrame:
+    """:func:`prompt_contributions` with a Python counter.
+
+    A text that stands often, such as a file read again and again, is counted once, and its count joined back by digest. A
+    digest that many records share is one row on the side of the counts, so the join can be split.
+    """
+    rows = cut_lineage(_with_parts(records))
+    place = ["file_path", "seq"]
+    parts = rows.select(*place, F.explode("parts").alias("p")).select(*place, "p.bucket", "p.text")
+    counts = cut_lineage(count_texts(parts, count))
+    met = parts.select(*place, "bucket", F.sha2("text", 256).alias("digest")).join(counts, "digest")
+    sums = met.groupBy(*place).agg(*[F.sum(F.when(F.col("bucket") == b, F.col("n")).otherwise(0)).alias(b) for b in BUCKETS])
+    out = rows.drop("parts").join(sums, place, "left")
+    return out.withColumns({b: F.coalesce(F.col(b), F.lit(0).cast("bigint")) for b in BUCKETS})
+
+
+def _with_parts(records: DataFrame) -> DataFrame:
+    """Top-level records with their ``parts`` (bucket and text), hidden thinking blocks and usage."""
     body = content().value
     blocks = V.items(body)
     text = V.as_string(body)
@@ -139,17 +201,10 @@ def prompt_contributions(records: DataFrame, counter: Counter = estimate) -> Dat
     )
     none = F.array().cast("array<struct<bucket:string,text:string>>")
     hidden = F.when(is_assistant, F.size(F.filter(blocks, _is_hidden)))
-    rows = records.filter("top_level").select(
+    return records.filter("top_level").select(
         *DIMS, "type", "timestamp", F.coalesce(parts, none).alias("parts"),
         F.greatest(F.coalesce(hidden, F.lit(0)), F.lit(0)).cast("bigint").alias("hidden_thinking"), *usage_columns()[:5],
     )
-    rows = rows.withColumn("_counts", counter(F.transform("parts", lambda p: p["text"])))
-    paired = F.arrays_zip(F.transform("parts", lambda p: p["bucket"]).alias("bucket"), F.col("_counts").alias("n"))
-    rows = rows.withColumn("_paired", paired)
-    total = lambda b: F.aggregate(
-        "_paired", F.lit(0).cast("bigint"), lambda acc, p: acc + F.when(p["bucket"] == b, p["n"]).otherwise(0)
-    )
-    return rows.withColumns({b: total(b) for b in BUCKETS}).drop("parts", "_counts", "_paired")
 
 
 def running_context(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.details import TOOL_ID_KEYS, detail_preferred
 from logloom.functions.text import basename, is_bare_name, is_likely_path, parse_line_count, trim_space
-from logloom.operators.scans import chunk_of, chunk_scan
+from logloom.operators.scans import LINE_SPAN, chunk_of, chunk_scan, running_sum
 
 SESSION = ["project_id", "session_id"]
 # Detail keys of a mentioned file, in order of preference.
@@ -121,6 +121,15 @@ def context_files(mentions: DataFrame) -> DataFrame:
     ).withColumn("file_name", basename(F.col("full_path")))
 
 
+def _under_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Add ``file_key`` to rows with a ``path_key``; bare names find their file (of :func:`context_files`) by its name."""
+    base = lambda c: F.lower(basename(F.col(c)))
+    bare = is_bare_name(F.col("path_key"))
+    homes = files.filter("is_home").select(*SESSION, base("full_path").alias("base"), F.col("file_key").alias("home"))
+    out = rows.withColumn("base", F.when(bare, base("path_key")).otherwise(F.concat(F.lit("\x00"), "path_key")))
+    return out.join(homes, [*SESSION, "base"], "left").withColumn("file_key", F.coalesce("home", "path_key"))
+
+
 def mention_ranges(mentions: DataFrame, files: DataFrame) -> DataFrame:
     """Line ranges of the mentions under the key of their file (``files`` from :func:`context_files`).
 
@@ -129,12 +138,18 @@ def mention_ranges(mentions: DataFrame, files: DataFrame) -> DataFrame:
     ranges = mentions.filter("start is not null").withColumn("path_key", F.lower("path")).groupBy(
         *SESSION, "path_key", "start"
     ).agg(F.max("end").alias("end"))
-    base = lambda c: F.lower(basename(F.col(c)))
-    bare = is_bare_name(F.col("path_key"))
-    homes = files.filter("is_home").select(*SESSION, base("full_path").alias("base"), F.col("file_key").alias("home"))
-    out = ranges.withColumn("base", F.when(bare, base("path_key")).otherwise(F.concat(F.lit("\x00"), "path_key")))
-    out = out.join(homes, [*SESSION, "base"], "left")
-    return out.select(*SESSION, F.coalesce("home", "path_key").alias("file_key"), "start", "end")
+    return _under_files(ranges, files).select(*SESSION, "file_key", "start", "end")
+
+
+def mention_places(mentions: DataFrame, files: DataFrame) -> DataFrame:
+    """The messages that mention a file, one row each: session, file_key, seq and ``place``, its number among them.
+
+    Places count by file, so they are dealt in chunks of the line axis with the counts before them carried over.
+    """
+    seen = mentions.select(*SESSION, F.lower("path").alias("path_key"), "seq").distinct()
+    rows = _under_files(seen, files).select(*SESSION, "file_key", "seq").distinct()
+    one = {"place": F.lit(1).cast("bigint")}
+    return running_sum(rows, [*SESSION, "file_key"], ["seq"], chunk_of(F.col("seq"), LINE_SPAN), one)
 
 
 def clamp_ranges(ranges: DataFrame, total: Column) -> DataFrame:

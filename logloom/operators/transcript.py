@@ -109,15 +109,18 @@ def assign_groups(messages: DataFrame, keys: list[str] = SESSION, span: int = LI
 def merge_runs(grouped: DataFrame, keys: list[str] = SESSION) -> DataFrame:
     """One row per run of assistant messages: counts and the fields of the last visible message.
 
+    A ``breakdown`` column, such as a struct of :func:`context.prompt_breakdown`, is that of the last visible message, even if NULL.
     The text stays in long form, see :func:`run_parts`: a run has no size limit.
     """
     rows = _assistant_rows(grouped)
     seen = F.when(F.col("visible"), F.col("seq"))
+    last = [F.max_by("breakdown", seen).alias("breakdown")] if "breakdown" in rows.columns else []
     out = rows.groupBy(*keys, F.col("lead_id").alias("run_id")).agg(
         F.count("*").alias("messages"), F.count_if("visible").alias("visible_messages"),
         F.sum(F.when(F.col("text") != "", F.length("text")).otherwise(0)).alias("chars"),
         F.max_by("seq", seen).alias("last_visible_seq"), F.bool_or(F.coalesce("is_meta", F.lit(False))).alias("is_meta"),
         *[F.coalesce(F.max_by(non_empty(F.col(c)), seen), F.min_by(non_empty(F.col(c)), "seq")).alias(c) for c in ("timestamp", "model", "stop_reason") if c in rows.columns],
+        *last,
     )
     return out.filter("visible_messages > 0")
 
@@ -226,14 +229,14 @@ def pair_tools(grouped: DataFrame, keys: list[str] = SESSION, span: int = LINE_S
     placed = placed.select(
         *keys, F.when(behind, F.col("prev_seq")).otherwise(F.coalesce("use_seq", own)).alias("_use"),
         F.when(behind, 0).otherwise(F.coalesce("use_pos", F.lit(0))).alias("pos"), F.col("seq").alias("result_seq"),
-        F.col("group_id").alias("_group"), F.col("tool_id").alias("_tool"), behind.alias("by_position"),
+        F.col("group_id").alias("_group"), F.col("tool_id").alias("_tool"), behind.alias("by_position"), F.col("timestamp").alias("result_at"),
     )
     calls = uses.withColumns({"_use": F.col("seq"), "use_seq": F.col("seq")})
     both = calls.join(placed, [*keys, "_use", "pos"], "full").filter("use_seq is null or not inline or result_seq is not null")
     return both.select(
         *keys, F.coalesce("group_id", "_group").alias("group_id"), "use_seq", "pos",
         F.when(F.col("use_seq").isNull(), F.col("_tool")).otherwise(F.col("tool_id")).alias("tool_id"), "tool_name", "result_seq",
-        F.coalesce("by_position", F.lit(False)).alias("by_position"), F.col("timestamp").alias("use_at"),
+        F.coalesce("by_position", F.lit(False)).alias("by_position"), F.col("timestamp").alias("use_at"), "result_at",
     )
 
 
@@ -318,9 +321,10 @@ def place_markers(groups: DataFrame, markers: DataFrame, keys: list[str], span:
     times are reduced to one row beforehand, so a chunk of ``span`` milliseconds is bounded.
     """
     ends = groups.filter("end_ms is not null").groupBy(*keys, F.col("end_ms").alias("t")).agg(F.min("group_id").alias("gid"))
+    kind = groups.schema["group_id"].dataType
     asked = markers.filter("at_ms is not null").select(*keys, F.col("at_ms").alias("t")).distinct()
     rows = ends.select(*keys, "t", F.lit(1).alias("side"), "gid").unionByName(
-        asked.select(*keys, "t", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("gid"))
+        asked.select(*keys, "t", F.lit(0).alias("side"), F.lit(None).cast(kind).alias("gid"))
     )
     scanned = chunk_scan(
         rows, keys, ["t", "side"], chunk_of(F.col("t"), span),
@@ -337,6 +341,45 @@ def place_markers(groups: DataFrame, markers: DataFrame, keys: list[str], span:
     return placed.select(*keys, "marker_no", "at_ms", "group_id", placement.alias("placement"))
 
 
+def _ms(text: Column) -> Column:
+    return F.unix_millis(non_empty(text).try_cast("timestamp"))
+
+
+def merged_ids(groups: DataFrame, keys: list[str] = SESSION, span: int = LINE_SPAN) -> DataFrame:
+    """(keys, group_id, merged_id): the group of :func:`merge_adjacent` that each group of ``groups`` becomes part of."""
+    runs = number_runs(groups.select(*keys, "group_id", "kind"), keys, "group_id", chunk_of(F.col("group_id"), span), F.col("kind"), F.col("kind") != "assistant")
+    first = runs.groupBy(*keys, "run_no").agg(F.min("group_id").alias("merged_id"))
+    return runs.join(first, [*keys, "run_no"]).select(*keys, "group_id", "merged_id")
+
+
+def place_in_steps(placed: DataFrame, groups: DataFrame, pairs: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Where markers inside an assistant group stand among its tool pairs.
+
+    ``placed`` is the result of :func:`place_markers`, ``groups`` has keys, group_id, kind and start_at, ``pairs`` are those of
+    :func:`pair_tools` under the group_id of ``groups``. A marker goes to the first pair, in order of their calls, that
+    ends at or after it: ``step_side`` is ``before`` or ``after`` the pair (step_seq, step_pos), or ``end`` behind all pairs.
+    A pair without time counts as standing at the start of its group. This is the as-of scan of
+    :func:`place_markers` once more, with the pairs as groups and the groups as keys.
+    """
+    of = [*keys, "group_id"]
+    talks = groups.filter("kind = 'assistant'").select(*of, _ms(F.col("start_at")).alias("_start"))
+    inside = placed.filter("placement = 'inside'").join(talks.select(*of), of, "left_semi")
+    call, answer = _ms(F.col("use_at")), _ms(F.col("result_at"))
+    start = F.coalesce(F.least(call, answer), F.col("_start"))
+    end = F.coalesce(F.greatest(call, answer), start)
+    step = F.struct(F.coalesce("use_seq", "result_seq").alias("seq"), F.col("pos").cast("int").alias("pos"))
+    steps = pairs.join(talks, of).select(*of, step.alias("step"), start.alias("start_ms"), end.alias("end_ms"))
+    wanted = inside.join(steps.select(*of).distinct(), of, "left_semi")
+    own = [*keys, "_group"]
+    found = place_markers(
+        steps.withColumnRenamed("group_id", "_group").withColumnRenamed("step", "group_id"),
+        wanted.select(*keys, F.col("group_id").alias("_group"), "marker_no", "at_ms"), own, span,
+    )
+    side = F.when(F.col("placement") == "tail", "end").when(F.col("placement") == "inside", "after").otherwise(F.col("placement"))
+    found = found.select(*keys, "marker_no", F.col("group_id.seq").alias("step_seq"), F.col("group_id.pos").alias("step_pos"), side.alias("step_side"))
+    return inside.select(*keys, "marker_no", "at_ms", "group_id").join(found, [*keys, "marker_no"], "left").withColumn("step_side", F.coalesce("step_side", F.lit("end")))
+
+
 def filter_tool(groups: DataFrame, uses: DataFrame, tool: str, keys: list[str] = SESSION) -> DataFrame:
     """Groups that use a tool, and all user groups; system groups go."""
     using = uses.filter(F.col("tool_name") == tool).select(*keys, "group_id").distinct().withColumn("_uses", F.lit(True))

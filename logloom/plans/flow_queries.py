@@ -49,7 +49,7 @@ def system_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tool_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return T.pair_tools(_flow(spark, d), span=SPAN).drop("use_at", "pos")
+    return T.pair_tools(_flow(spark, d), span=SPAN).drop("use_at", "result_at", "pos")
 
 
 def transcript_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +116,28 @@ def compaction_markers(spark: SparkSession, d: str) -> DataFrame:
     return T.place_markers(_gaps(spark, d), marks, ["session_id"], DAY_MS)
 
 
+def marker_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Errors as markers in the groups of the tools preset: those inside an assistant group, placed among its tool pairs."""
+    grouped = _flow(spark, d, "tools")
+    pairs = cut_lineage(T.pair_tools(grouped, span=SPAN))
+    groups = cut_lineage(T.transcript_groups(grouped, pairs))
+    ranges = groups.withColumns({f"{e}_ms": F.unix_millis(F.col(f"{e}_at").try_cast("timestamp")) for e in ("start", "end")})
+    marks = t.events_base(spark, d).filter("event_type = 'error'").select(
+        F.col("project_id").alias("session_id"), F.col("event_id").alias("marker_no"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")
+    )
+    placed = cut_lineage(T.place_markers(ranges, marks, ["session_id"], DAY_MS))
+    return T.place_in_steps(placed, groups, pairs, ["session_id"], DAY_MS)
+
+
+def run_breakdowns(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt breakdown of the last visible message of every assistant run."""
+    parts = ["system_tokens", "conversation_tokens", "thinking_tokens", "other_tokens", "total_tokens"]
+    known = prompt_breakdown(spark, d).select("session_id", "seq", F.struct(*parts).alias("breakdown"))
+    rows = t.messages(spark, d).join(known, ["session_id", "seq"], "left").withColumn("timestamp", F.lit(None).cast("string"))
+    runs = T.merge_runs(T.assign_groups(rows, span=SPAN))
+    return runs.select("session_id", "run_id", "last_visible_seq", "breakdown.*")
+
+
 def _context(spark: SparkSession, d: str) -> DataFrame:
     """Messages of the conversations with their token estimate as one bucket per role."""
     n = C.count_tokens(F.col("content"))
@@ -214,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         preset_counts, assistant_runs, run_texts, message_groups, system_batches, tool_pairs, transcript_groups, adjacent_groups,
-        group_usage, tool_filter, compaction_markers, running_context, prompt_breakdown, window_composition, range_resolution, merged_ranges,
+        group_usage, tool_filter, compaction_markers, marker_steps, run_breakdowns, running_context, prompt_breakdown, window_composition, range_resolution, merged_ranges,
         file_coverage, range_labels, line_tokens, change_summary, change_total,
     )
 }
@@ -306,6 +328,17 @@ ORACLE = {
         "e0 as (select project_id sid, event_id seq, micros // 1000 ms, event_type from ev)",
         "e1 as (select *, case when lag(ms) over w is null or ms - lag(ms) over w > 21600000 then seq end st from e0 where event_type <> 'error' window w as (partition by sid order by seq))",
         "gr as (select sid, gid, min(ms) start_ms, max(ms) end_ms from (select *, last_value(st ignore nulls) over (partition by sid order by seq) gid from e1) group by all)"),
+    "marker_steps": q.with_(["ev"], """select m.sid session_id, marker_no, ms at_ms, m.gid group_id, x.sq step_seq, x.pos step_pos, case when x.sq is null then 'end' when ms < x.s then 'before' else 'after' end step_side
+      from inside m left join st x on x.sid = m.sid and x.gid = m.gid and x.sq = (select min(sq) from st y where y.sid = m.sid and y.gid = m.gid and y.e >= m.ms)""",
+        F_TOOLS, PAIRS, GROUPS,
+        "mk as (select project_id sid, event_id marker_no, micros // 1000 ms from ev where event_type = 'error')",
+        "gt as (select *, epoch_ms(strptime(start_at, '%Y-%m-%dT%H:%M:%S.%gZ')) s, epoch_ms(strptime(end_at, '%Y-%m-%dT%H:%M:%S.%gZ')) e from groups)",
+        "tg as (select m.*, (select min(gid) from gt where gt.sid = m.sid and gt.e >= m.ms) gid from mk m)",
+        "inside as (select tg.* from tg join gt using (sid, gid) where ms >= s and kind = 'assistant')",
+        "tm as (select event_id seq, micros // 1000 ms from ev)",
+        "st as (select p.sid, p.gid, coalesce(use_seq, result_seq) sq, 0 pos, least(u.ms, r.ms) s, greatest(u.ms, r.ms) e from pairs p left join tm u on u.seq = use_seq left join tm r on r.seq = result_seq)"),
+    "run_breakdowns": "with " + RUNS + ", " + CTX + """ select l.sid session_id, run_id, last_visible_seq, system_tokens, conversation_tokens, thinking_tokens::bigint thinking_tokens, other_tokens::bigint other_tokens, coalesce(billed, known) total_tokens
+      from (select sid, run_id, max(seq) filter (where clean <> '') last_visible_seq from tr group by all having count(*) filter (where clean <> '') > 0) l left join bd on bd.sid = l.sid and bd.seq = last_visible_seq""",
     "running_context": "with " + CTX + " select sid session_id, seq, cs ctx_system, cc ctx_conversation, ch ctx_hidden_thinking from ctx",
     "prompt_breakdown": "with " + CTX + " select sid session_id, seq, system_tokens, conversation_tokens, thinking_tokens::bigint thinking_tokens, other_tokens::bigint other_tokens, coalesce(billed, known) total_tokens, ovf as overflow from bd",
     "window_composition": "with " + CTX + """, lastp as (select sid, arg_max(seq, seq) seq from bd where not ovf group by sid)

@@ -111,9 +111,20 @@ def context_file_coverage(spark: SparkSession, d: str) -> DataFrame:
     return FI.context_coverage(mentions, files)
 
 
+def context_file_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every message that mentions a file, numbered by file."""
+    mentions = cut_lineage(FI.file_mentions(*_calls_and_blocks(spark, d)))
+    return FI.mention_places(mentions, cut_lineage(FI.context_files(mentions)))
+
+
+def counted_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """Contributions with a Python counter over distinct, normalised texts; plain ASCII counts as with the default one."""
+    return C.counted_contributions(_records(spark, d)).select("session_id", "seq", "type", *C.BUCKETS, "hidden_thinking")
+
+
 def log_tool_pairs(spark: SparkSession, d: str) -> DataFrame:
     grouped = cut_lineage(T.assign_groups(M.classify_messages(_records(spark, d)), SESSION))
-    return T.pair_tools(grouped, SESSION).drop("project_id", "use_at", "pos")
+    return T.pair_tools(grouped, SESSION).drop("project_id", "use_at", "result_at", "pos")
 
 
 def _hunks(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +176,7 @@ QUERIES = {
     for f in (
         record_types, content_blocks, session_messages, tool_call_details, edit_texts, message_block_details, compaction_log,
         log_session_summary, log_search, prompt_contributions, context_before_replies, file_mentions, context_files,
-        context_file_coverage, log_tool_pairs, session_hunks, edit_line_diffs, file_change_list, session_patches,
+        context_file_coverage, context_file_messages, counted_contributions, log_tool_pairs, session_hunks, edit_line_diffs, file_change_list, session_patches,
         price_normalisation, prompt_history,
     )
 }
@@ -290,6 +301,9 @@ covered as (select project_id, session_id, file_key, sum(n)::bigint n, count(*)
 ORACLE |= {
     "file_mentions": q.with_(["ev"], "select * from mentioned", LINES, _MENTIONED),
     "context_files": q.with_(["ev"], "select * from found", LINES, _MENTIONED, _FILES),
+    "context_file_messages": q.with_(["ev"], """select *, row_number() over (partition by project_id, session_id, file_key order by seq) place
+      from (select distinct project_id, session_id, path file_key, seq from mentioned)""", LINES, _MENTIONED),
+    "counted_contributions": ORACLE["prompt_contributions"],
     "context_file_coverage": q.with_(["ev"], """select *, percent < 100 is_partial from (
       select project_id, session_id, file_key, coalesce(n, loaded_count) loaded_lines, coalesce(ranges, 0) range_count, total_count,
         case when total_count > 0 then least(100, floor(coalesce(n, loaded_count) * 100 / total_count + 0.5))::bigint else 100 end percent

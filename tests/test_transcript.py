@@ -193,3 +193,60 @@ def test_markers_equal_the_pointer_walk(spark):
     m = spark.createDataFrame(marks, "k int, marker_no long, at_ms long")
     got = {(r["k"], r["marker_no"]): (r["group_id"], r["placement"]) for r in T.place_markers(g, m, ["k"], 9).collect()}
     assert got == want
+
+
+def test_markers_among_tool_pairs_equal_the_pointer_walk(spark):
+    """The walk: markers before a pair's start stand before it, those up to its end after it, the rest behind all pairs."""
+    rng = random.Random(6)
+    stamp = lambda ms: None if ms is None else f"2026-05-03T10:{ms // 60:02d}:{ms % 60:02d}.000Z"
+    base = 1777802400000  # 2026-05-03T10:00:00Z
+    groups, pairs, marks, want = [], [], [], {}
+    for k in range(40):
+        start, steps = rng.randint(0, 20), []
+        for n in range(rng.randint(0, 6)):
+            a, b = (rng.randint(start, 90) if rng.random() < 0.7 else None for _ in range(2))
+            use, result = (10 * n + 1 if rng.random() < 0.8 else None), 10 * n + 4
+            steps.append((use, result if use is None or rng.random() < 0.8 else None, rng.randint(0, 1), a, b))
+        known = [t for s in steps for t in s[3:] if t is not None]
+        end = max([start + 5, *known])
+        start = min([start, *known])
+        groups.append((k, 7, "assistant" if k % 5 else "system", stamp(start), stamp(end), base + start * 1000, base + end * 1000))
+        pairs += [(k, 7, u, p, r, stamp(a), stamp(b)) for u, r, p, a, b in steps]
+        times = sorted(rng.randint(start, end) for _ in range(8))
+        marks += [(k, m, base + x * 1000) for m, x in enumerate(times)]
+        if not k % 5:
+            continue
+        at = 0
+        for u, r, p, a, b in steps:
+            have = [t for t in (a, b) if t is not None]
+            low, high = (min(have), max(have)) if have else (start, start)
+            place = (u if u is not None else r, p)
+            while at < len(times) and times[at] < low:
+                want[k, at] = (*place, "before")
+                at += 1
+            while at < len(times) and times[at] <= high:
+                want[k, at] = (*place, "after")
+                at += 1
+        want.update({(k, m): (None, None, "end") for m in range(at, len(times))})
+    g = spark.createDataFrame(groups, "k int, group_id long, kind string, start_at string, end_at string, start_ms long, end_ms long")
+    p = spark.createDataFrame(pairs, "k int, group_id long, use_seq long, pos int, result_seq long, use_at string, result_at string")
+    m = spark.createDataFrame(marks, "k int, marker_no long, at_ms long")
+    placed = T.place_markers(g, m, ["k"], 9000)
+    got = {(r["k"], r["marker_no"]): (r["step_seq"], r["step_pos"], r["step_side"]) for r in T.place_in_steps(placed, g, p, ["k"], 9000).collect()}
+    assert got == want
+
+
+def test_run_has_the_breakdown_of_its_last_visible_message(spark):
+    flow = [say("user"), say("assistant", "one"), say("assistant", "two"), say("assistant", " "), say("user"), say("assistant", "three")]
+    rows = frame(spark, flow).join(spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "seq long, total long"), "seq", "left")
+    rows = rows.selectExpr("*", "if(total is null, null, struct(total)) as breakdown")
+    got = {r["run_id"]: r["breakdown"] and r["breakdown"]["total"] for r in T.merge_runs(T.assign_groups(rows)).collect()}
+    assert got == {1: 20, 5: None}
+
+
+def test_merged_ids_name_the_joined_group(spark):
+    rows = [("s", i, k) for i, k in enumerate(["user", "assistant", "assistant", "system", "assistant", "assistant", "user"])]
+    g = spark.createDataFrame(rows, "session_id string, group_id long, kind string")
+    for span in (2, 100):
+        got = {r["group_id"]: r["merged_id"] for r in T.merged_ids(g, span=span).collect()}
+        assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
