@@ -97,9 +97,16 @@ def match_prices(models: DataFrame, prices: DataFrame, raw_id_first: bool = Fals
 
 
 def bounded(matched: DataFrame, most: int = 10_000) -> DataFrame:
-    """Matched prices with a broadcast hint if they are few, as counted; a large table is joined by a shuffle."""
-    matched = cut_lineage(matched)
-    return F.broadcast(matched) if matched.limit(most + 1).count() <= most else matched
+    """Matched prices as a local table with a broadcast hint if they are few; a large table is written and joined by a shuffle."""
+    rows = matched.limit(most + 1).collect()
+    if len(rows) > most:
+        return cut_lineage(matched)
+    return F.broadcast(matched.sparkSession.createDataFrame(rows, matched.schema))
+
+
+def match_used(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """The prices of the models in ``usage``, matched once for several calls that take ``matched``."""
+    return bounded(match_prices(usage.select("model").distinct(), prices))
 
 
 def with_costs(df: DataFrame, matched: DataFrame) -> DataFrame:
@@ -146,20 +153,22 @@ def pick_cost(mode: str | None = None) -> Column:
     return F.coalesce(F.col(f"micro_{chosen}"), F.col(f"micro_{DEFAULT_MODE}"))
 
 
-def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
+def price_usage(usage: DataFrame, prices: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """Match the models that occur in ``usage`` and add the cost columns.
 
-    ``usage`` should be aggregated: it is written once, as the match and the costs both read it. No
-    row of it moves when the matched prices are few.
+    ``usage`` should be aggregated: it is written once, as the match and the costs both read it, unless ``matched`` (of
+    :func:`match_used`) is given. No row of it moves when the matched prices are few.
     """
+    if matched is not None:
+        return with_costs(usage, matched)
     usage = cut_lineage(usage)
-    return with_costs(usage, bounded(match_prices(usage, prices)))
+    return with_costs(usage, match_used(usage, prices))
 
 
 def cache_savings(model_usage: DataFrame, prices: DataFrame) -> DataFrame:
     """What cache reads would have cost as plain input, minus what they cost (one row)."""
     model_usage = cut_lineage(model_usage)
-    priced = model_usage.join(bounded(match_prices(model_usage, prices)), "model", "left")
+    priced = model_usage.join(match_used(model_usage, prices), "model", "left")
     tokens = F.col("cache_read_tokens").cast("decimal(18,0)")
     saved = tokens * (F.col("input_price") - F.col("cache_read_price"))
     zero = F.lit(0).cast("decimal(38,10)")

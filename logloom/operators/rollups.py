@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import non_empty
-from logloom.operators.pricing import MICRO, TOKENS, allocate_costs, price_usage, sum_micro
+from logloom.operators.pricing import MICRO, TOKENS, allocate_costs, match_used, price_usage, sum_micro, with_costs
 from logloom.session import cut_lineage
 
 KEY = ["project_id", "session_id"]
@@ -59,18 +59,26 @@ def _token_sums() -> list[Column]:
     return [F.sum(F.coalesce(F.col(t), F.lit(0))).alias(t) for t in TOKENS]
 
 
-def daily_model(turns: DataFrame, prices: DataFrame, after: str | None = None) -> DataFrame:
+def _used(turns: DataFrame, after: str | None) -> DataFrame:
+    return _dated(turns, after).filter("has_usage and model <> ''")
+
+
+def daily_tokens(turns: DataFrame, after: str | None = None) -> DataFrame:
+    """Tokens per day and model, without costs."""
+    total = sum((F.coalesce(F.col(t), F.lit(0)) for t in TOKENS), F.lit(0))
+    return _used(turns, after).groupBy("date", "model").agg(F.sum(total).alias("tokens"))
+
+
+def daily_model(turns: DataFrame, prices: DataFrame, after: str | None = None, matched: DataFrame | None = None) -> DataFrame:
     """Tokens and costs per day and model."""
-    used = _dated(turns, after).filter("has_usage and model <> ''")
-    sums = used.groupBy("date", "model").agg(*_token_sums())
+    sums = _used(turns, after).groupBy("date", "model").agg(*_token_sums())
     total = sum((F.col(t) for t in TOKENS), F.lit(0))
-    return price_usage(sums, prices).select("date", "model", total.alias("tokens"), *MICRO)
+    return price_usage(sums, prices, matched).select("date", "model", total.alias("tokens"), *MICRO)
 
 
-def model_usage(turns: DataFrame, prices: DataFrame, after: str | None = None) -> DataFrame:
+def model_usage(turns: DataFrame, prices: DataFrame, after: str | None = None, matched: DataFrame | None = None) -> DataFrame:
     """The four token counters and costs per model."""
-    used = _dated(turns, after).filter("has_usage and model <> ''")
-    return price_usage(used.groupBy("model").agg(*_token_sums()), prices)
+    return price_usage(_used(turns, after).groupBy("model").agg(*_token_sums()), prices, matched)
 
 
 def hour_counts(turns: DataFrame, after: str | None = None) -> DataFrame:
@@ -101,15 +109,63 @@ def totals(facts: DataFrame, turns: DataFrame, prices: DataFrame, after: str | N
     counts = sums.groupBy(*KEY).agg(F.sum("messages").alias("messages"), F.sum(total).alias("tokens")).agg(
         F.count("*").alias("session_count"), F.sum("messages").alias("message_count"), F.sum("tokens").alias("total_tokens")
     )
-    by_model = sums.filter("model IS NOT NULL").groupBy("model").agg(*[F.sum(t).alias(t) for t in TOKENS])
-    costs = price_usage(by_model, prices).agg(*sum_micro())
-    rows = counts.unionByName(costs, allowMissingColumns=True)
+    named = sums.filter("model IS NOT NULL")
+    by_model = named.groupBy("model").agg(*[F.sum(t).alias(t) for t in TOKENS])
+    costs = with_costs(by_model, match_used(named, prices)).agg(*sum_micro())
+    return _one_row(counts.unionByName(costs, allowMissingColumns=True))
+
+
+def _one_row(rows: DataFrame) -> DataFrame:
+    """Totals from rows that each hold some of them."""
+    zero = F.lit(0).cast("bigint")
     return rows.agg(
         *[F.coalesce(F.sum(c), zero).alias(c) for c in ("session_count", "message_count", "total_tokens")],
         *[F.coalesce(F.sum(m).cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)")).alias(m) for m in MICRO],
     )
 
 
+def all_rollups(facts: DataFrame, turns: DataFrame, prices: DataFrame, after: str | None = None) -> dict[str, DataFrame]:
+    """activity, daily_models, models, hours and totals at once, equal to the functions of their own.
+
+    User records and turns are each read twice: once for the day on which a session counts, and once for everything else,
+    as grouping sets over one slim table. Its few rows (days, models, hours) are written, matched with the prices
+    once, and all tables are cut from them.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    text, hour = F.lit(None).cast("string"), F.substring("timestamp", 12, 2).try_cast("int")
+    used = F.col("has_usage")
+    users = _dated(user_records(facts), after).select(
+        "date", text.alias("model"), F.lit(None).cast("int").alias("hour"), zero.alias("used"), one.alias("messages"), zero.alias("tools"), *[zero.alias(t) for t in TOKENS]
+    )
+    top = F.when(F.col("top_level"), one).otherwise(zero)
+    said = _dated(turns, after).select(
+        "date", F.when(used, non_empty(F.col("model"))).alias("model"), hour.alias("hour"), F.when(used, one).otherwise(zero).alias("used"),
+        top.alias("messages"), (top * F.coalesce("tool_count", zero)).alias("tools"),
+        *[F.when(used, F.coalesce(F.col(t), zero)).otherwise(zero).alias(t) for t in TOKENS],
+    )
+    sums = [F.sum(c).alias(c) for c in ("used", "messages", "tools", *TOKENS)]
+    sets = [[F.col("date")], [F.col("date"), F.col("model")], [F.col("model")], [F.col("hour")]]
+    rolled = users.unionByName(said).groupingSets(sets, "date", "model", "hour").agg(F.grouping_id("date", "model", "hour").alias("by"), *sums)
+    rolled = cut_lineage(rolled)
+    # Bits of ``by``, from the left: date, model, hour left out.
+    days, daily, models, hours = (rolled.filter(F.col("by") == by) for by in (0b011, 0b001, 0b101, 0b110))
+    matched = match_used(models.filter("model IS NOT NULL"), prices)
+    began = cut_lineage(session_days(facts, turns, after).groupBy("date").agg(F.count("*").alias("session_count")))
+    usage = with_costs(models.filter("model IS NOT NULL").select("model", *TOKENS), matched)
+    total = sum((F.col(t) for t in TOKENS), F.lit(0))
+    counts = days.agg(F.sum("messages").alias("message_count"), F.sum(total).alias("total_tokens"))
+    rows = counts.unionByName(began.agg(F.sum("session_count").alias("session_count")), allowMissingColumns=True)
+    return {
+        "activity": days.filter("messages > 0").join(F.broadcast(began), "date", "left").select(
+            "date", F.col("messages").alias("message_count"), F.coalesce("session_count", zero).alias("session_count"), F.col("tools").alias("tool_call_count")
+        ),
+        "daily_models": with_costs(daily.filter("model IS NOT NULL"), matched).select("date", "model", total.alias("tokens"), *MICRO),
+        "models": usage,
+        "hours": hours.filter("used > 0").select("hour", F.col("used").alias("turn_count")),
+        "totals": _one_row(rows.unionByName(usage.agg(*sum_micro()), allowMissingColumns=True)),
+    }
+
+
 def merge_rollup(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Add a delta rollup to a base rollup: measures are summed per key, missing ones count as 0."""
     union = base.unionByName(delta, allowMissingColumns=True)
@@ -142,13 +198,14 @@ def merged_totals(base: DataFrame, usage: DataFrame, delta: DataFrame) -> DataFr
 
 def merged_rollups(facts: DataFrame, turns: DataFrame, prices: DataFrame, base: dict[str, DataFrame], after: str | None) -> dict[str, DataFrame]:
     """Rollups of everything after the day ``after`` added to those of a base (see ``read_rollup_base``)."""
-    usage = merge_rollup(price_usage(base["models"], prices), model_usage(turns, prices, after), ["model"])
+    delta = all_rollups(facts, turns, prices, after)
+    usage = merge_rollup(price_usage(base["models"], prices), delta["models"], ["model"])
     return {
         "models": usage,
-        "activity": merge_rollup(base["activity"], daily_activity(facts, turns, after), ["date"]),
-        "daily_models": merge_daily_models(base["daily_models"], daily_model(turns, prices, after), usage),
-        "hours": merge_rollup(base["hours"], hour_counts(turns, after), ["hour"]),
-        "totals": merged_totals(base["totals"], usage, totals(facts, turns, prices, after)),
+        "activity": merge_rollup(base["activity"], delta["activity"], ["date"]),
+        "daily_models": merge_daily_models(base["daily_models"], delta["daily_models"], usage),
+        "hours": merge_rollup(base["hours"], delta["hours"], ["hour"]),
+        "totals": merged_totals(base["totals"], usage, delta["totals"]),
     }
 
 

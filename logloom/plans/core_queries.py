@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.models import model_display, normalise_model
 from logloom.operators import charts, pricing, rollups, sessions, turns as turn_ops
-from logloom.operators.pricing import COST, MICRO, TOKENS, costs_rounded, usd_rounded
+from logloom.operators.pricing import COST, MICRO, TOKENS, costs_rounded, match_used, usd_rounded
 from logloom.plans import sqlparts as q
 from logloom.session import cut_lineage
 from logloom.sources import tables as t
@@ -221,9 +221,36 @@ def merged_daily_activity(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_daily_models(spark: SparkSession, d: str) -> DataFrame:
     prices = default_prices(spark)
-    base = rollups.daily_model(_base_turns(spark, d), prices).select("date", "model", "tokens")
-    delta = rollups.daily_model(t.turns(spark, d), prices, BASE)
-    return _drop_micro(rollups.merge_daily_models(base, delta, _usage(spark, d)), 2)
+    turns = t.turns(spark, d)
+    matched = match_used(turns, prices)
+    base = rollups.daily_tokens(_base_turns(spark, d))
+    usage = rollups.model_usage(turns, prices, matched=matched)
+    delta = rollups.daily_model(turns, prices, BASE, matched)
+    return _drop_micro(rollups.merge_daily_models(base, delta, usage), 2)
+
+
+def _all_rollups(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return rollups.all_rollups(t.facts(spark, d), t.turns(spark, d), default_prices(spark))
+
+
+def rolled_activity(spark: SparkSession, d: str) -> DataFrame:
+    return _all_rollups(spark, d)["activity"]
+
+
+def rolled_daily_models(spark: SparkSession, d: str) -> DataFrame:
+    return _drop_micro(_all_rollups(spark, d)["daily_models"])
+
+
+def rolled_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _drop_micro(_all_rollups(spark, d)["totals"])
+
+
+def rolled_hours(spark: SparkSession, d: str) -> DataFrame:
+    return _all_rollups(spark, d)["hours"]
+
+
+def rolled_models(spark: SparkSession, d: str) -> DataFrame:
+    return _drop_micro(_all_rollups(spark, d)["models"])
 
 
 def merged_hours(spark: SparkSession, d: str) -> DataFrame:
@@ -285,7 +312,7 @@ QUERIES = {
         compaction_times, project_summary, project_models, project_names, session_page, project_sessions,
         text_search, project_detail, top_project_tools, top_session_tools, daily_activity, daily_activity_delta,
         daily_model, model_usage, hour_counts, totals, merged_model_usage, merged_daily_activity,
-        merged_daily_models, merged_hours, headline, merged_headline, activity_heatmap, peak_hours, usage_over_time, model_share,
+        merged_daily_models, merged_hours, rolled_activity, rolled_daily_models, rolled_totals, rolled_hours, rolled_models, headline, merged_headline, activity_heatmap, peak_hours, usage_over_time, model_share,
         usage_composition,
     )
 }
@@ -457,3 +484,6 @@ ORACLE = {
 }
 ORACLE["merged_model_usage"] = ORACLE["model_usage"]
 ORACLE["merged_hours"] = ORACLE["hour_counts"]
+
+# The rollups of one pass equal those of their own.
+ORACLE |= {f"rolled_{new}": ORACLE[old] for new, old in (("activity", "daily_activity"), ("daily_models", "daily_model"), ("totals", "totals"), ("hours", "hour_counts"), ("models", "model_usage"))}

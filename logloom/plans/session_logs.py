@@ -39,11 +39,7 @@ def dashboard_tables(
 ) -> dict[str, DataFrame]:
     """The tables of :func:`dashboard` from record facts, turns with tool counts, tool calls, session summaries and files."""
     if base is None:
-        rolled = {
-            "activity": rollups.daily_activity(facts, turns), "daily_models": rollups.daily_model(turns, prices),
-            "models": rollups.model_usage(turns, prices), "hours": rollups.hour_counts(turns),
-            "totals": rollups.totals(facts, turns, prices),
-        }
+        rolled = rollups.all_rollups(facts, turns, prices)
     else:
         last = base["totals"].agg(F.max("last_date")).first()[0]  # one row of the base file
         rolled = rollups.merged_rollups(facts, turns, prices, base, last)
