@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from logloom.functions import linediff
 from logloom.functions.details import FILE_KEYS, START_KEYS, TOOL_ID_KEYS, detail_lookup
@@ -23,6 +25,8 @@ for _module in (linediff, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
 SESSION = ["project_id", "session_id"]
+# Below every line: what a node without shifts starts from.
+NEVER = -(1 << 62)
 # Diff rows carry how many old and new lines come before them, so numbering is an addition.
 DIFF_ROWS = T.ArrayType(T.StructType([
     T.StructField("type", T.StringType()), T.StructField("old_at", T.LongType()), T.StructField("new_at", T.LongType()),
@@ -95,43 +99,82 @@ def line_diff(edits: DataFrame) -> DataFrame:
 
 
 class LineShifts:
-    """Shifts of a file's lines, kept in line order: ``at[k]`` is the line behind which ``by[k]`` lines came or went."""
+    """Shifts of a file's lines, from all edits of the file: shift k stands at line ``at[k]`` and moves what lies behind it.
 
-    def __init__(self) -> None:
-        self.at: list[int] = []
-        self.by: list[int] = []
-        self._limits: list[int] | None = None
+    ``at`` and ``by`` are in the order of the edits, ``at`` is None where an edit has no place. Shifts are laid out in line
+    order (equal lines by time) as the leaves of a tree and switched on one after the other. A node knows the sum of its
+    shifts and the line from which on it takes them all, so undoing or doing them is a walk down the few nodes
+    that a line falls into: about log(edits) steps, not one for every edit.
+    """
+
+    def __init__(self, at: list[int | None] | None = None, by: list[int] | None = None) -> None:
+        self.at, self.by = at or [], by or []
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        at, by = self.at, self.by
+        held = sorted((line, k) for k, line in enumerate(at) if line is not None and by[k])
+        self.lines = [line for line, _ in held]
+        self.leaf = {k: n for n, (_, k) in enumerate(held)}
+        self.size = 1
+        while self.size < len(held):
+            self.size *= 2
+        self.sum = [0] * (2 * self.size)
+        # A line above ``back`` undoes all shifts of the node, one above ``forth`` crosses them all.
+        self.back_from = [NEVER] * (2 * self.size)
+        self.forth_from = [NEVER] * (2 * self.size)
+        # The lowest line of a node: what does not lie behind it meets none of its shifts.
+        self.lowest = [NEVER] * self.size + self.lines + [-NEVER] * (self.size - len(held))
+        for node in range(self.size - 1, 0, -1):
+            self.lowest[node] = self.lowest[2 * node]
 
     def add(self, line: int | None, lines: int) -> None:
-        if line is None or not lines:
+        """One more shift, all being on. The tree is laid out anew; where all edits are known, give them at once."""
+        self.__init__([*self.at, line], [*self.by, lines])
+        for k in range(len(self.at)):
+            self.switch_on(k)
+
+    def switch_on(self, k: int) -> None:
+        """From now on the shift of edit k counts."""
+        n = self.leaf.get(k)
+        if n is None:
             return
-        k = bisect_right(self.at, line)
-        self.at.insert(k, line)
-        self.by.insert(k, lines)
-        self._limits = None
+        node = n + self.size
+        self.sum[node] = self.by[k]
+        self.back_from[node] = self.forth_from[node] = self.lines[n]
+        node //= 2
+        while node:
+            left, right = 2 * node, 2 * node + 1
+            self.sum[node] = self.sum[left] + self.sum[right]
+            self.back_from[node] = max(self.back_from[right], self.back_from[left] + self.sum[right])
+            self.forth_from[node] = max(self.forth_from[left], self.forth_from[right] - self.sum[left])
+            node //= 2
 
     def back(self, line: int) -> int:
-        """Where a line stood before all shifts: undo them from the last one before the line on."""
-        k = bisect_left(self.at, line)
-        while k:
-            line -= self.by[k - 1]
-            k = min(k - 1, bisect_left(self.at, line))
+        """Where a line stood before all shifts that are on: undo them from the last one before the line on."""
+        todo = [1] if self.lines else []
+        while todo:
+            node = todo.pop()
+            if line > self.back_from[node]:
+                line -= self.sum[node]
+            elif node < self.size and line > self.lowest[node]:
+                todo += (2 * node, 2 * node + 1)  # the right half first
         return max(1, line)
 
     def forth(self, line: int) -> int:
-        """Where a line stands after all shifts.
-
-        A line crosses shift k if it lies behind ``at[k]`` less all shifts before k; the largest of these limits so
-        far only grows, so the first shift not crossed is found by bisection.
-        """
-        if self._limits is None:
-            before = [0, *accumulate(self.by)]
-            self._limits = list(accumulate((at - b for at, b in zip(self.at, before)), max))
-        return max(1, line + sum(self.by[: bisect_left(self._limits, line)]))
+        """Where a line stands after all shifts that are on, in line order."""
+        todo = [1] if self.lines else []
+        while todo:
+            node = todo.pop()
+            if line > self.forth_from[node]:
+                line += self.sum[node]
+            elif node < self.size and line > self.lowest[node]:
+                todo += (2 * node + 1, 2 * node)
+        return max(1, line)
 
 
 class SeenTexts:
-    """Texts of a file by the lines in them, so that a search opens only texts that hold its first line."""
+    """Texts of a file by the lines in them, so that a search opens only texts that hold its rarest line."""
 
     def __init__(self) -> None:
         self.texts: dict[tuple, tuple[int, list[str]]] = {}
@@ -147,8 +190,12 @@ class SeenTexts:
             self.holders[line].discard(order)
 
     def line_of(self, wanted: list[str], before: int | None = None) -> int | None:
-        """File line at which the text of highest order holds ``wanted``; ``before`` bounds the message."""
-        for order in sorted(self.holders.get(plain_line(wanted[0]), ()), reverse=True):
+        """File line at which the text of highest order holds ``wanted``; ``before`` bounds the message.
+
+        All of its lines must be in the text, so only the texts with the rarest of them are opened.
+        """
+        rarest = min((self.holders.get(line, set()) for line in {plain_line(x) for x in wanted}), key=len)
+        for order in sorted(rarest, reverse=True):
             if before is None or order[0] < before:
                 start, lines = self.texts[order]
                 at = find_lines(lines, wanted)
@@ -157,17 +204,72 @@ class SeenTexts:
         return None
 
 
-class FileHistory:
-    """Edits and snapshots of one file of one session, in order.
+class Passages:
+    """Net effects of edits that touch each other: each has its first line, its lines before and now.
 
-    A passage is the net effect of edits that touch each other: its first line, its lines before and now.
+    They are found by the lines they hold now and by their first line, so an edit is held against few of them.
     """
 
     def __init__(self) -> None:
-        self.shifts = LineShifts()
+        self.all: list[dict] = []
+        self.holders: dict[str, dict[int, int]] = {}
+        self.tops: list[tuple[int, int]] = []
+        self.longest = 0
+
+    def _hold(self, number: int, lines: list[str], change: int) -> None:
+        for line in lines:
+            held = self.holders.setdefault(plain_line(line), {})
+            held[number] = held.get(number, 0) + change
+            if not held[number]:
+                del held[number]
+
+    def touched(self, line: int | None, old: list[str]) -> tuple[int | None, int]:
+        """The first passage that holds the old text or whose lines the edit meets, and the place inside."""
+        if not old:
+            return (0, 0) if self.all else (None, 0)
+        near = set(min((self.holders.get(x, {}) for x in {plain_line(x) for x in old}), key=len))
+        if line is not None:
+            k = bisect_left(self.tops, (line - self.longest, -1))
+            while k < len(self.tops) and self.tops[k][0] <= line + max(len(old), 1):
+                near.add(self.tops[k][1])
+                k += 1
+        for number in sorted(near):
+            passage = self.all[number]
+            at = find_lines(passage["now"], old)
+            if at >= 0:
+                return number, at
+            top = passage["line"]
+            if line is None or top is None:
+                continue
+            if top - max(len(old), 1) <= line <= top + len(passage["before"]):
+                inside = top <= line <= top + len(passage["now"])
+                return (number, line - top) if inside else (None, 0)
+        return None, 0
+
+    def put(self, line: int | None, old: list[str], new: list[str], edit: dict) -> None:
+        number, at = self.touched(line, old)
+        if number is None:
+            if line is not None:
+                insort(self.tops, (line, len(self.all)))
+            self.longest = max(self.longest, len(old))
+            self._hold(len(self.all), new, 1)
+            self.all.append({"line": line, "before": old, "now": list(new), "first_edit": edit, "edit": edit})
+        else:
+            now = self.all[number]["now"]
+            self._hold(number, now[at : at + len(old)], -1)
+            now[at : at + len(old)] = new
+            self._hold(number, new, 1)
+            self.all[number]["edit"] = edit
+
+
+class FileHistory:
+    """Edits and snapshots of one file of one session, in order."""
+
+    def __init__(self) -> None:
         self.written, self.shown = SeenTexts(), SeenTexts()
         self.last_shown: dict[tuple[int, str], tuple] = {}
-        self.passages: list[dict] = []
+        self.passages = Passages()
+        self.edits: list[dict] = []
 
     def show(self, content: str, start: int, seq: int, pos: int) -> None:
         """Note a snapshot; a repeated one counts where it was seen last. In one message the first block leads."""
@@ -189,44 +291,32 @@ class FileHistory:
         found = self.written.line_of(lines)
         return self.shown.line_of(lines, seq) if found is None else found
 
-    def edit(self, row: dict) -> dict:
-        old, new = to_lines(row["old_text"]), to_lines(row["new_text"])
-        line = self.place(old, row["seq"]) if row["start_line"] is None else row["start_line"]
-        first = None if line is None else self.shifts.back(line)
+    def edit(self, old_text: str, new_text: str, start_line: int | None, lines: int, kept: dict) -> None:
+        """Take in an edit that makes the file longer by ``lines``; ``kept`` is what its hunks show of it."""
+        old, new = to_lines(old_text), to_lines(new_text)
+        line = self.place(old, kept["seq"]) if start_line is None else start_line
         if line is not None:
             self.written.put((len(self.written.texts),), line, new)
-        placed = {**row, "start_line": line, "original_line": first}
-        passage, at = self._touched(line, old)
-        if passage is None:
-            self.passages.append({"line": line, "first": first, "before": old, "now": list(new), "edit": placed})
-        else:
-            passage["now"][at : at + len(old)] = new
-            passage["edit"] = placed
-        self.shifts.add(line, row["added"] - row["removed"])
-        return placed
-
-    def _touched(self, line: int | None, old: list[str]) -> tuple[dict | None, int]:
-        """The first passage that holds the old text or whose lines the edit meets, and the place inside."""
-        for passage in self.passages:
-            at = find_lines(passage["now"], old)
-            if at >= 0:
-                return passage, at
-            top = passage["line"]
-            if line is None or top is None:
-                continue
-            meets = top - max(len(old), 1) <= line <= top + len(passage["before"])
-            if meets:
-                inside = top <= line <= top + len(passage["now"])
-                return (passage, line - top) if inside else (None, 0)
-        return None, 0
-
-    def net(self) -> Iterator[dict]:
+        placed = {**kept, "start_line": line, "lines": lines}
+        self.passages.put(line, old, new, placed)
+        self.edits.append(placed)
+
+    def place_edits(self) -> LineShifts:
+        """Give every edit its line before all earlier shifts; returns the shifts of all edits."""
+        shifts = LineShifts([e["start_line"] for e in self.edits], [e["lines"] for e in self.edits])
+        for k, e in enumerate(self.edits):
+            e["original_line"] = None if e["start_line"] is None else shifts.back(e["start_line"])
+            shifts.switch_on(k)
+        return shifts
+
+    def net(self, shifts: LineShifts) -> Iterator[dict]:
         """Net change of every passage that does not end as it began."""
-        for number, p in enumerate(self.passages):
-            here = p["line"] if p["first"] is None else self.shifts.forth(p["first"])
+        for number, p in enumerate(self.passages.all):
+            first = p["first_edit"]["original_line"]
+            here = p["line"] if first is None else shifts.forth(first)
             change = diff_lines(to_lines("\n".join(p["before"])), to_lines("\n".join(p["now"])))
             if any(kind != "context" for kind, _ in change):
-                yield {"hunk_no": number, "old_start": p["first"], "new_start": here, "rows": numbered(change, p["first"], here), "last": p["edit"]}
+                yield {"hunk_no": number, "old_start": first, "new_start": here, "rows": numbered(change, first, here), "last": p["edit"]}
 
 
 def numbered(rows: list[tuple[str, str]], old_line: int | None, new_line: int | None) -> list[dict]:
@@ -250,51 +340,56 @@ FOLD_SCHEMA = (
 )
 
 
-def _fold_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+ROWS_OUT = 2048
+
+
+def _hunks_of(key: tuple, fold: FileHistory) -> Iterator[dict]:
+    """Rows of a file whose edits are all in: one per edit, one per net change."""
+    shifts = fold.place_edits()
+    named = dict(zip(("project_id", "session_id", "path"), key))
+    for e in fold.edits:
+        start = e["start_line"]
+        yield {
+            **named, "hunk_kind": "edit", "hunk_no": None, **{n: e[n] for n in ("seq", "pos", "timestamp", "tool_name", "tool_id")},
+            "location": e["location"] or (None if start is None else f"line {start}"), "old_start": start, "new_start": start,
+            "original_line": e["original_line"], "rows": None,
+        }
+    for h in fold.net(shifts):
+        last, old = h["last"], h["old_start"]
+        yield {
+            **named, "hunk_kind": "net", "hunk_no": h["hunk_no"], **{n: last[n] for n in ("seq", "pos", "timestamp", "tool_id")}, "tool_name": "Net diff",
+            "location": None if old is None else f"line {old}", "old_start": old, "new_start": h["new_start"], "original_line": old, "rows": h["rows"],
+        }
+
+
+def _fold_files(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Stream sorted edits and snapshots through one fold per file; only the open file is held."""
-    key, fold = None, FileHistory()
-
-    def close() -> list[dict]:
-        if key is None:
-            return []
-        out = []
-        for h in fold.net():
-            last, old = h["last"], h["old_start"]
-            out.append({
-                "project_id": key[0], "session_id": key[1], "path": key[2], "hunk_kind": "net", "hunk_no": h["hunk_no"],
-                "seq": last["seq"], "pos": last["pos"], "timestamp": last["timestamp"], "tool_name": "Net diff", "tool_id": last["tool_id"],
-                "location": None if old is None else f"line {old}", "old_start": old, "new_start": h["new_start"],
-                "original_line": old, "rows": h["rows"],
-            })
-        return out
-
-    columns = [part.split(" ")[0] for part in FOLD_SCHEMA.split(", ")]
+    key, fold, out = None, FileHistory(), []
+    shown = ["seq", "pos", "timestamp", "tool_name", "tool_id", "location"]
     for batch in batches:
-        out = []
-        for row in batch.to_dict("records"):
-            row = {k: (None if not isinstance(v, (list, str, bytes)) and not hasattr(v, "__len__") and pd.isna(v) else v) for k, v in row.items()}
-            here = (row["project_id"], row["session_id"], row["path"])
+        columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        for i in range(batch.num_rows):
+            here = (columns["project_id"][i], columns["session_id"][i], columns["path"][i])
             if here != key:
-                out += close()
+                for row in _hunks_of(key, fold) if key else ():
+                    out.append(row)
+                    if len(out) == ROWS_OUT:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out = []
                 key, fold = here, FileHistory()
-            for name in ("start_line", "added", "removed", "seq", "pos"):
-                row[name] = None if row[name] is None else int(row[name])
-            if row["content"] is not None:
-                fold.show(row["content"], row["start_line"], row["seq"], row["pos"])
-                continue
-            placed = fold.edit(row)
-            start = placed["start_line"]
-            place = row["location"] or (None if start is None else f"line {start}")
-            out.append({
-                "project_id": key[0], "session_id": key[1], "path": key[2], "hunk_kind": "edit", "hunk_no": None, "seq": row["seq"],
-                "pos": row["pos"], "timestamp": row["timestamp"], "tool_name": row["tool_name"], "tool_id": row["tool_id"],
-                "location": place, "old_start": start, "new_start": start, "original_line": placed["original_line"], "rows": None,
-            })
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-    rest = close()
-    if rest:
-        yield pd.DataFrame(rest, columns=columns)
+            content, seq, pos, start = columns["content"][i], columns["seq"][i], columns["pos"][i], columns["start_line"][i]
+            if content is not None:
+                fold.show(content, start, seq, pos)
+            else:
+                kept = {name: columns[name][i] for name in shown}
+                fold.edit(columns["old_text"][i], columns["new_text"][i], start, columns["added"][i] - columns["removed"][i], kept)
+    for row in _hunks_of(key, fold) if key else ():
+        out.append(row)
+        if len(out) == ROWS_OUT:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
 def session_hunks(edits: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -316,7 +411,8 @@ def session_hunks(edits: DataFrame, snapshots: DataFrame) -> DataFrame:
         *keys, "seq", F.lit(0).alias("side"), "pos", *empty, "start_line", zero.alias("added"), zero.alias("removed"), "content"
     )
     ordered = rows.unionByName(seen).repartition(*keys).sortWithinPartitions(*keys, "seq", "side", "pos")
-    folded = ordered.mapInPandas(_fold_files, FOLD_SCHEMA)
+    schema = to_arrow_schema(StructType.fromDDL(FOLD_SCHEMA))
+    folded = ordered.mapInArrow(lambda batches: _fold_files(batches, schema), FOLD_SCHEMA)
     own = diffed.select(*keys, "seq", "pos", F.lit("edit").alias("hunk_kind"), F.col("rows").alias("edit_rows"))
     joined = folded.join(own, [*keys, "seq", "pos", "hunk_kind"], "left")
     rows_of_edit = number_rows(F.col("edit_rows"), F.col("old_start"), F.col("new_start"))

@@ -172,3 +172,81 @@ def test_many_edits_of_one_file_are_quick(spark):
     edits = [("f", f"value_{i} = old", f"value_{i} = new\nmore", 20 * i + 1) for i in range(1500)]
     _, net, _ = hunks(spark, edits)
     assert len(net) == 1500 and E.patch_lines(hunks(spark, edits[:2] + [("b", "k one", "k\nl\nm\nn two\no\np", 3)])[0]).filter("path = 'b'").first()["file_rank"] == 1
+
+
+def plain_fold(edits):
+    """(original line of every edit, net passages) by walking edits and passages one after the other, without any index."""
+    from logloom.functions.linediff import is_distinctive, to_lines
+
+    moves, written, passages, firsts = [], [], [], []
+    for old_text, new_text, line, added in edits:
+        old, new = to_lines(old_text), to_lines(new_text)
+        if line is None:
+            line = 1 if not old else None
+            if old and is_distinctive(old):
+                hits = [at + find_lines(text, old) for at, text in reversed(written) if find_lines(text, old) >= 0]
+                line = hits[0] if hits else None
+        first = line
+        if line is not None:
+            for at, by in sorted(moves, key=lambda m: m[0])[::-1]:
+                first -= by if first > at else 0
+            first = max(1, first)
+            written.append((line, new))
+        firsts.append(first)
+        hit = None
+        for p in passages:
+            at = find_lines(p["now"], old)
+            if at >= 0:
+                hit = p, at
+                break
+            if line is None or p["line"] is None:
+                continue
+            if p["line"] - max(len(old), 1) <= line <= p["line"] + len(p["before"]):
+                hit = (p, line - p["line"]) if p["line"] <= line <= p["line"] + len(p["now"]) else None
+                break
+        if hit is None:
+            passages.append({"line": line, "first": first, "before": old, "now": list(new)})
+        else:
+            hit[0]["now"][hit[1] : hit[1] + len(old)] = new
+        if line is not None and added:
+            moves.append((line, added))
+    out = []
+    for p in passages:
+        here = p["line"]
+        if p["first"] is not None:
+            here = p["first"]
+            for at, by in sorted(moves, key=lambda m: m[0]):
+                here += by if here > at else 0
+            here = max(1, here)
+        out.append((p["first"], here, p["before"], p["now"]))
+    return firsts, out
+
+
+def test_indexed_fold_equals_the_plain_one():
+    rng = random.Random(12)
+    words = ["alpha one", "beta two", "gamma three", "}", "", "delta four", "12: epsilon five"]
+    for n in range(250):
+        edits = []
+        for _ in range(rng.randrange(1, 40)):
+            old, new = ("\n".join(rng.choice(words) for _ in range(rng.randrange(4))) for _ in range(2))
+            edits.append((old, new, rng.randrange(1, 120 if n % 2 else 25) if rng.random() < 0.7 else None, rng.randrange(-4, 6)))
+        fold = E.FileHistory()
+        for k, (old, new, line, lines) in enumerate(edits):
+            fold.edit(old, new, line, lines, {"seq": k, "pos": 0, "tool_id": None, "timestamp": None})
+        shifts = fold.place_edits()
+        firsts, passages = plain_fold(edits)
+        assert [e["original_line"] for e in fold.edits] == firsts
+        got = [(p["first_edit"]["original_line"], p["line"] if p["first_edit"]["original_line"] is None else shifts.forth(p["first_edit"]["original_line"]), p["before"], p["now"]) for p in fold.passages.all]
+        assert got == passages
+
+
+def test_very_many_edits_of_one_file():
+    import time
+
+    rng, fold, began = random.Random(3), E.FileHistory(), time.time()
+    for k in range(100_000):
+        at = rng.randrange(400_000)
+        fold.edit(f"value_{at} = old\n}}", f"value_{at} = new\nmore of {k}\n}}", 20 * at + 1 if k % 3 else None, 1, {"seq": k, "pos": 0, "tool_id": None, "timestamp": None})
+    net = sum(1 for _ in fold.net(fold.place_edits()))
+    assert net > 60_000 and time.time() - began < 120
+    print("seconds", time.time() - began, net)
