@@ -55,3 +55,27 @@ def test_recall(spark):
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     print("recall", hits / sum(map(len, want.values())), len(want))
     assert got.keys() == want.keys() and hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_rows_that_share_an_id_are_queries_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (3, [1.0, 0.2]), (4, [0.1, 1.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 4)) for r in nearest.nearest(df).collect())
+    want = []
+    for q, x in rows[:3]:
+        others = list(rows)
+        others.remove((q, x))
+        ranked = sorted((-float(nearest.scores(np.array(x), np.array([v]))[0]), i) for i, v in others)
+        want += [(q, n, i, round(-s, 4)) for n, (s, i) in enumerate(ranked, 1)]
+    assert got == sorted(want) and len(got) == 12
+
+
+def test_deeper_trees_for_larger_tables(spark, monkeypatch):
+    assert [nearest.depth_for(n) for n in (0, 2000, 51_282, 102_400, 1_000_000, 10**7, 10**10)] == [2, 2, 2, 2, 3, 4, 4]
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 4)
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    assert nearest.depth_for(df.count()) == 3
+    got = collect(nearest.nearest(df))
+    want = brute([(r.vec_id, r.embedding) for r in df.collect()], 50)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert got.keys() == want.keys() and hits >= 0.9 * sum(map(len, want.values()))
