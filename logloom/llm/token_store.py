@@ -11,7 +11,7 @@ Files carry random names and count only once Spark commits the manifest that nam
 is run twice leaves an unused file and never a wrong one.
 
 Edge cases: a NULL text is empty and yields the end id alone; rows with one doc_id (NULL included) are kept
-side by side, ordered by text, and are told apart by ``copy``; NULL ids come first; an empty table gives
+side by side, ordered by text (by its first 64 characters where they fill several shards), and are told apart by ``copy``; NULL ids come first; an empty table gives
 no shard; other columns are ignored.
 """
 
@@ -23,13 +23,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, mix64
+from logloom.llm.common import Scratch, mix64, tasks_for
 from logloom.llm.tokens import default_vocabulary, encoder, ids_crc32
 
 MAGIC = b"TOKSHRD1"
@@ -38,6 +37,8 @@ LEVELS = 64
 GAMMA = 2
 MANIFEST = "doc_id bigint, copy bigint, shard int, file string, n_ids bigint"
 READ_ROWS = 4096
+SHARD_BYTES = 32 << 20
+BEGINNING = 64
 
 
 def _level_hash(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -121,13 +122,16 @@ class Shard:
         self.payload = files.open_input_file(base + ".bin")
 
     def find(self, keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
-        """Numbers of the documents with these keys, -1 where the shard has no such key."""
+        """Numbers of the documents with these keys and copies, -1 where the shard has no such key or not so many of it."""
         unsigned = keys.astype(np.int64).view(np.uint64)
         slot = self.hashed.slots(unsigned)
         found = slot >= 0
         found[found] = self.prints[slot[found]] == _fingerprint(unsigned[found])
         out = np.full(len(keys), -1, np.int64)
-        out[found] = self.first[slot[found]] + copies[found]
+        begins, ends = self.first[slot[found]], np.append(np.sort(self.first), len(self.offsets) - 1)
+        docs = begins + copies[found]
+        # The documents of a key end where those of the next one begin.
+        out[found] = np.where(docs < ends[np.searchsorted(ends, begins, "right")], docs, -1)
         return out
 
     def read(self, docs: np.ndarray) -> list[np.ndarray]:
@@ -149,7 +153,7 @@ def _writer(folder: str, vocabulary: str):
         task, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
         name = f"{folder}/shard-{task:06d}-{uuid.uuid4().hex}"
         files, base = pafs.FileSystem.from_uri(name)
-        keys, lengths, payload = [], [], None
+        keys, absent, lengths, payload = [], [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -158,7 +162,8 @@ def _writer(folder: str, vocabulary: str):
                 payload = files.open_output_stream(base + ".bin")
             ids = encode(batch.column(1).to_pylist())
             payload.write(np.concatenate(ids).tobytes())
-            keys.append(batch.column(0).cast(pa.int64()).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
+            keys.append(batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
+            absent.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             lengths.append(np.array([len(x) for x in ids], np.int64))
         if payload is None:
             return
@@ -170,7 +175,7 @@ def _writer(folder: str, vocabulary: str):
             f.write(write_index(distinct, first, offsets, encoder(vocabulary).dtype.itemsize))
         copy = np.arange(len(key)) - first[np.searchsorted(distinct, key)]
         yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(key, mask=key == NULL_KEY), "copy": pa.array(copy),
+            "doc_id": pa.array(key, mask=np.concatenate(absent)), "copy": pa.array(copy),
             "shard": pa.array(np.full(len(key), task, np.int32)), "file": pa.array([name] * len(key)),
             "n_ids": pa.array(length),
         })
@@ -178,35 +183,40 @@ def _writer(folder: str, vocabulary: str):
     return write
 
 
-def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write all texts as token shards; returns the manifest: a row per document with its shard's file.
 
-    The texts are dealt once into doc_id ranges, of which each becomes a shard; adaptive execution sets
-    their number by size.
+    The texts are dealt once into ranges of about ``shard_bytes`` of text, of which each becomes a shard; their number grows with
+    the texts. Ranges go by doc_id, then by the beginning of the text and the place of the row, so a doc_id, or no id, that
+    stands on a third of all rows, or one row that does, fills many shards.
     """
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    begins = F.coalesce(F.substring("text", 1, BEGINNING), F.lit(""))
     ordered = (
-        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        texts.withColumns({"begins": begins, "place": F.monotonically_increasing_id()})
+        .repartitionByRange(tasks_for(size, shard_bytes), "doc_id", "begins", "place").sortWithinPartitions("doc_id", "text")
     )
-    rows = ordered.mapInArrow(_writer(f"{scratch.path}/shards", vocabulary or default_vocabulary()), MANIFEST)
+    rows = ordered.select("doc_id", "text").mapInArrow(_writer(f"{scratch.path}/shards", vocabulary or default_vocabulary()), MANIFEST)
     return scratch.save(rows, "manifest")
 
 
-def _lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by file; each is found in it by key and copy."""
     shard, opened = None, None
     for batch in batches:
-        for file, rows in batch.groupby("file", sort=False):
-            if file != opened:
-                shard, opened = Shard(file), file
-            keys = rows["doc_id"].fillna(NULL_KEY).astype("int64").to_numpy()
-            docs = shard.find(keys, rows["copy"].to_numpy())
+        files = batch.column("file").to_pylist()
+        cuts = [i for i in range(batch.num_rows) if not i or files[i] != files[i - 1]] + [batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if files[low] != opened:
+                shard, opened = Shard(files[low]), files[low]
+            rows = batch.slice(low, high - low)
+            docs = shard.find(rows.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False), rows.column("copy").to_numpy())
             if (docs < 0).any():
-                raise ValueError(f"{file} lacks a key that its manifest names")
+                raise ValueError(f"{opened} lacks a key that its manifest names")
             ids = shard.read(docs)
-            yield pd.DataFrame({
-                "doc_id": rows["doc_id"].to_numpy(), "shard": rows["shard"].to_numpy(), "place": shard.offsets[docs],
-                "n_tokens": [len(x) for x in ids], "ids_crc32": [ids_crc32(x) for x in ids],
-            })
+            made = [pa.array(shard.offsets[docs], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([ids_crc32(x) for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("shard"), *made], names=["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -217,7 +227,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     keyed = manifest.select("file", "doc_id", "copy", "shard")
     # A task per shard: the manifest's own small size says nothing about the payload that its rows read.
     shards = manifest.agg(F.coalesce(F.max("shard") + 1, F.lit(1))).first()[0]
-    found = keyed.repartition(shards, "file").sortWithinPartitions("file", "doc_id", "copy").mapInPandas(
+    found = keyed.repartition(shards, "file").sortWithinPartitions("file", "doc_id", "copy").mapInArrow(
         _lookup, "doc_id bigint, shard int, place bigint, n_tokens bigint, ids_crc32 bigint"
     )
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -49,6 +49,40 @@ def test_foreign_keys_are_turned_away():
     assert sorted(hashed.slots(keys.view(np.uint64))) == list(range(len(keys)))
 
 
+def test_frequent_ids_fill_many_shards(spark):
+    """NULL, one id and one row stand on many rows; extreme ids stay what they are."""
+    from logloom.llm.common import Scratch
+
+    rows = [(None, f"none {i} " + "x" * 50) for i in range(300)] + [(7, f"seven {i} " + "y" * 50) for i in range(300)] + [(8, "the same row again and again " * 3)] * 300
+    rows += [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), ((1 << 53) + 1, "odd"), (1, None)]
+    docs, scratch = documents(spark, rows).repartition(4), Scratch(spark, "test")
+    manifest = token_store.write_tokens(docs, scratch, shard_bytes=4000)
+    per_shard = [r["count"] for r in manifest.groupBy("shard").count().collect()]
+    assert len(per_shard) >= 15 and max(per_shard) < 200
+    got = sorted(map(tuple, token_store.read_tokens(manifest).collect()), key=lambda r: r[1])
+    start, keys = 0, []
+    for key, at, n, _ in got:
+        assert at == start
+        start += n
+        keys.append(key)
+    assert keys == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    ids = {t: _ids(t) for _, t in rows}
+    assert sorted((str(k), n, crc) for k, _, n, crc in got) == sorted((str(k), len(ids[t]), _crc(ids[t])) for k, t in rows)
+
+
+def test_keys_of_no_document_are_not_found(spark, tmp_path):
+    from logloom.llm.common import Scratch
+
+    docs = documents(spark, [(k, f"text {k}") for k in range(0, 3000, 3)])
+    manifest = token_store.write_tokens(docs, Scratch(spark, "test"), shard_bytes=1 << 30)
+    shard = token_store.Shard(manifest.first()["file"])
+    own = np.arange(0, 3000, 3, dtype=np.int64)
+    assert (shard.find(own, np.zeros(len(own), np.int64)) >= 0).all()
+    foreign = np.arange(1, 300_000, 3, dtype=np.int64)
+    assert (shard.find(foreign, np.zeros(len(foreign), np.int64)) >= 0).sum() <= 2  # fingerprints have 32 bits
+    assert (shard.find(own, np.ones(len(own), np.int64)) < 0).all()
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [])
     assert token_store.store_and_read(empty).count() == 0
