@@ -10,9 +10,9 @@ link is confirmed on the full sets.
 2. A bucket yields star edges only: from its hub, the member that meets others in most bands, to the rest.
    In a group of near copies this is the common original. Pairs number at most the bucket entries.
 3. After the confirmed star edges are joined to components, buckets that still hold several components are
-   looked at once more: members pass by the members of other components, in blocks, and pairs that agree in at
-   least 72 % of the bins (four standard errors below 85 %) are confirmed on the spot. So a link that runs past
-   a hub is not lost. Pairs inside a component, which a large group is full of, are not looked at, a pair is
+   looked at once more: members pass by the members of other components, in blocks, and pairs that share one of the
+   rarest shingles of both are confirmed on the spot. Linked sets must share one of these, so a link that runs past
+   a hub is not lost, and pages of one template, which share the frequent shingles only, are not compared. Pairs inside a component, which a large group is full of, are not looked at, a pair is
    looked at in one bucket only, and no more links come out than join the components.
 
 Sets with fewer than six shingles can only be linked when equal (5 of 6 is below 85 %) and get no signature.
@@ -41,8 +41,8 @@ PERCENT = 85
 BANDS, BAND_BINS = 25, 5
 BINS = BANDS * BAND_BINS
 SMALLEST = 6
-LIKELY_BINS = int(BINS * 0.72)
-BLOCK = 2048
+BLOCK = 1024
+SEEKERS = 32  # whose candidate pairs are in memory at once
 LAST_ID = (1 << 63) - 1
 # Ids of candidate documents up to this number are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -148,13 +148,50 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 class _Members:
     """Members of one bucket block: ids, components, signatures and full sets."""
 
-    def __init__(self, batch: pa.RecordBatch, low: int, high: int):
-        part = batch.slice(low, high - low)
-        take = lambda name: part.column(name).to_numpy(zero_copy_only=False)
+    def __init__(self, parts: list[tuple[pa.RecordBatch, int, int]]):
+        batch = pa.Table.from_batches([p.slice(low, high - low) for p, low, high in parts]).combine_chunks()
+        take = lambda name: batch.column(name).to_numpy()
         self.ids, self.of, self.main = take("doc_id"), take("component"), take("main")
-        self.bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), "<u4").reshape(-1, BINS)
-        self.sets = [x.values.to_numpy().view(np.uint64) for x in part.column("shingles")]
+        self.bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), "<u4").reshape(-1, BINS)
+        self.sets = [x.values.to_numpy().view(np.uint64) for x in batch.column("shingles")]
         self.sizes = np.array([len(x) for x in self.sets])
+        self.values, self.member = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
+
+    def rarest(self, counts: np.ndarray) -> np.ndarray:
+        """Places in ``values`` of every member's rarest shingles, of which a linked pair must share one.
+
+        Linked sets have at least ``PERCENT`` of the larger one in common, so they cannot differ in all of the first
+        size - PERCENT * size + 1 shingles of both, in one order of all shingles: here by count, then by value.
+        """
+        order = np.lexsort([self.values, counts, self.member])
+        rank = np.arange(len(order)) - (np.cumsum(self.sizes) - self.sizes)[self.member[order]]
+        first = self.sizes + 1 - -(-PERCENT * self.sizes // 100)
+        return order[rank < first[self.member[order]]]
+
+
+class _Standing(_Members):
+    """Standing members with an index of their rarest shingles."""
+
+    def __init__(self, parts: list[tuple[pa.RecordBatch, int, int]]):
+        super().__init__(parts)
+        self.known, inverse, self.counts = np.unique(self.values, return_inverse=True, return_counts=True)
+        kept = self.rarest(self.counts[inverse])
+        kept = kept[np.argsort(self.values[kept], kind="stable")]
+        self.head, self.holder = self.values[kept], self.member[kept]
+
+    def candidates(self, seek: _Members) -> Iterator[tuple[int, int]]:
+        """(seeker, standing member) pairs that share one of the rarest shingles of both, by seeker."""
+        at = np.minimum(np.searchsorted(self.known, seek.values), len(self.known) - 1)
+        here = self.known[at] == seek.values
+        kept = seek.rarest(np.where(here, self.counts[at], 0))
+        kept = kept[here[kept]]
+        for low in range(0, len(seek.ids), SEEKERS):
+            own = kept[(seek.member[kept] >= low) & (seek.member[kept] < low + SEEKERS)]
+            begin, end = (np.searchsorted(self.head, seek.values[own], side) for side in ("left", "right"))
+            n = end - begin
+            holder = self.holder[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            for pair in np.unique(np.repeat(seek.member[own], n) * len(self.ids) + holder).tolist():
+                yield divmod(pair, len(self.ids))
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -165,7 +202,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * n >= PERCENT * (len(x) + len(y) - n)
 
 
-def _meet(seek: _Members, stand: list[_Members], band: int) -> Iterator[tuple[int, int]]:
+def _meet(seek: _Members, stand: _Standing, band: int) -> Iterator[tuple[int, int]]:
     """Confirmed links of seekers with standing members, no more than join their components."""
     joined: dict[int, int] = {}
 
@@ -174,62 +211,66 @@ def _meet(seek: _Members, stand: list[_Members], band: int) -> Iterator[tuple[in
             x = joined[x]
         return x
 
-    for i, me in enumerate(seek.ids.tolist()):
-        for others in stand:
-            same = others.bins == seek.bins[i]
-            likely = (same.sum(axis=1) >= LIKELY_BINS) & (others.of != seek.of[i])
-            likely &= 100 * np.minimum(others.sizes, seek.sizes[i]) >= PERCENT * np.maximum(others.sizes, seek.sizes[i])
-            likely &= (others.of == others.main) | (others.ids < me)  # two seekers meet once
-            at = np.flatnonzero(likely)
-            # A pair is looked at in its first common band only.
-            at = at[same[at].reshape(len(at), BANDS, BAND_BINS).all(axis=2).argmax(axis=1) == band] if len(at) else at
-            for k in at.tolist():
-                mine, theirs = root(int(seek.of[i])), root(int(others.of[k]))
-                if mine != theirs and linked(seek.sets[i], others.sets[k]):
-                    joined[mine] = theirs
-                    other = int(others.ids[k])
-                    yield min(me, other), max(me, other)
+    for i, k in stand.candidates(seek):
+        small, large = sorted((len(seek.sets[i]), len(stand.sets[k])))
+        if seek.of[i] == stand.of[k] or 100 * small < PERCENT * large:
+            continue
+        me, other = int(seek.ids[i]), int(stand.ids[k])
+        if stand.of[k] != stand.main[k] and other >= me:  # two seekers meet once
+            continue
+        mine, theirs = root(int(seek.of[i])), root(int(stand.of[k]))
+        if mine == theirs:
+            continue
+        # A pair is looked at in its first common band only.
+        same = (seek.bins[i] == stand.bins[k]).reshape(BANDS, BAND_BINS).all(axis=1)
+        if same.argmax() == band and linked(seek.sets[i], stand.sets[k]):
+            joined[mine] = theirs
+            yield min(me, other), max(me, other)
 
 
 def _seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket block, standing members first; these are held while seekers pass by."""
-    group, stand = None, []
+    group, parts, stand = None, [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("band", "block", "seeks")]
+        key = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("band", "block", "part", "seeks")]
         new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)])
         cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
         found = []
         for low, high in zip(cuts, cuts[1:]):
-            here = (key[0][low], key[1][low])
+            here = tuple(k[low] for k in key[:3])
             if here != group:
-                group, stand = here, []
-            members = _Members(batch, low, high)
-            if key[2][low]:
-                found += _meet(members, stand, batch.column("band_no")[low].as_py())
-            else:
-                stand.append(members)
+                group, parts, stand = here, [], None
+            if not key[3][low]:
+                parts.append((batch, low, high))
+            elif parts:
+                stand = stand or _Standing(parts)
+                found += _meet(_Members([(batch, low, high)]), stand, batch.column("band_no")[low].as_py())
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def second_look(entries: DataFrame, labels: DataFrame, details: DataFrame, scratch: Scratch) -> DataFrame:
     """Confirmed links between different components of one bucket.
 
-    Members outside the bucket's most frequent component seek; they pass by all members, a block at a time.
+    Members outside the bucket's most frequent component seek; they pass by all members. Both are cut into blocks, and every
+    block of seekers meets every block of standing members in a group of its own.
     """
     known = entries.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     known = known.withColumn("component", F.coalesce("component", "doc_id"))
     share = known.groupBy("band", "component").agg(F.count("*").alias("n"))
     split = share.groupBy("band").agg(
         F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts")
-    ).filter("parts > 1").select("band", F.col("top.component").alias("main"), "members")
+    ).filter("parts > 1").select("band", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.n")).alias("seekers"))
     rows = scratch.save(known.join(split, "band"), "open").join(details, "doc_id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    columns = ["band", "band_no", "block", "seeks", "doc_id", "component", "main", "bins", "shingles"]
-    stand = rows.withColumns({"block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), "seeks": F.lit(False)})
-    seek = rows.filter("component <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), blocks - 1)), "seeks": F.lit(True)})
-    ordered = stand.select(columns).union(seek.select(columns)).repartition("band", "block").sortWithinPartitions("band", "block", "seeks")
+    blocks, parts = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("members", "seekers"))
+    columns = ["band", "band_no", "block", "part", "seeks", "doc_id", "component", "main", "bins", "shingles"]
+    number = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    stand = rows.withColumns({"block": number(blocks, 1), "seeks": F.lit(False)}).withColumn("part", every(parts))
+    seek = rows.filter("component <> main").withColumns({"part": number(parts, 2), "seeks": F.lit(True)}).withColumn("block", every(blocks))
+    place = ["band", "block", "part"]
+    ordered = stand.select(columns).union(seek.select(columns)).repartition(*place).sortWithinPartitions(*place, "seeks")
     return ordered.mapInArrow(_seek, "a bigint, b bigint").distinct()
 
 

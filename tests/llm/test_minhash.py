@@ -104,3 +104,38 @@ def test_components(spark):
     got = {r.node: r.component for r in components(df, Scratch(spark, "t"), "c").collect()}
     assert got == {i: 100 for i in range(100, 131)} | {i: 3 for i in [3, 5, *range(10, 60)]}
     assert components(df.limit(0), Scratch(spark, "t"), "c").count() == 0
+
+
+def test_template_pages_cost_little_and_lose_no_link(spark, monkeypatch):
+    """Pages of one template, 60 to 75 % alike, with a few linked pairs among them, all in one bucket."""
+    frame = prose(77, 140, 5000)
+    rows = [(i, frame + " " + prose(1000 + i, 45, 100_000)) for i in range(1200)]
+    for i in range(0, 1200, 60):  # the same page but for its last words
+        rows.append((5000 + i, rows[i][1] + " " + prose(9000 + i, 8)))
+    monkeypatch.setattr(minhash, "BLOCK", 200)
+    sets = {k: np.sort(np.array([hash(x) for x in shingles(t)]).astype(np.int64).view(np.uint64)) for k, t in rows}
+    compared = []
+
+    class Part(minhash._Members):
+        def __init__(self, keys, own):
+            self.ids, self.sets = np.array(keys), [sets[k] for k in keys]
+            self.of, self.main, self.sizes = self.ids, np.full(len(keys), -1), np.array([len(x) for x in self.sets])
+            self.bins = np.zeros((len(keys), minhash.BINS), np.uint32)
+            self.values, self.member = np.concatenate(self.sets), np.repeat(np.arange(len(keys)), self.sizes)
+
+    class Block(Part, minhash._Standing):
+        def __init__(self, keys):
+            Part.__init__(self, keys, True)
+            self.known, inverse, self.counts = np.unique(self.values, return_inverse=True, return_counts=True)
+            kept = self.rarest(self.counts[inverse])
+            kept = kept[np.argsort(self.values[kept], kind="stable")]
+            self.head, self.holder = self.values[kept], self.member[kept]
+
+    keys = [k for k, _ in rows]
+    stand, seek = Block(keys), Part(keys, False)
+    compared = [(keys[i], keys[k]) for i, k in stand.candidates(seek) if keys[i] < keys[k]]
+    want = {(i, 5000 + i) for i in range(0, 1200, 60)}
+    assert want <= set(compared) and len(compared) < 5 * len(keys)
+    got = sorted(map(tuple, near_duplicates(documents(spark, rows)).collect()), key=repr)
+    links = {r[0]: r[2] for r in got}
+    assert all(links[5000 + i] == i for i in range(0, 1200, 60)) and sum(r[3] for r in got) == 1200
