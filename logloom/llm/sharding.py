@@ -35,6 +35,21 @@ class SlotMap:
         self.spark, self.path, self.slots = spark, path, slots
         self.version = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SlotMap:
+        """The map that an earlier run left in ``path``, at its last whole version, to be read or edited further."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath() for s in files.listStatus(folder)] if files.exists(folder) else []
+        # A version counts once its write is committed.
+        whole = [int(p.getName().removeprefix("version=")) for p in names if p.getName().startswith("version=") and files.exists(p.suffix("/_SUCCESS"))]
+        if not whole:
+            raise ValueError(f"no slot map at {path}")
+        found = cls(spark, path)
+        found.version = max(whole)
+        found.slots = found.table().count()
+        return found
+
     def store(self, shards: list[int]) -> None:
         """Write the next version; a map has one entry per slot."""
         self.version += 1
