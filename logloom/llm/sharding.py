@@ -33,7 +33,7 @@ class SlotMap:
 
     def __init__(self, spark: SparkSession, path: str, slots: int = SLOTS):
         self.spark, self.path, self.slots = spark, path, slots
-        self.version = 0
+        self.version = self.taken = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SlotMap:
@@ -41,18 +41,19 @@ class SlotMap:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         names = [s.getPath() for s in files.listStatus(folder)] if files.exists(folder) else []
-        # A version counts once its write is committed.
-        whole = [int(p.getName().removeprefix("version=")) for p in names if p.getName().startswith("version=") and files.exists(p.suffix("/_SUCCESS"))]
+        numbers = {int(p.getName().removeprefix("version=")): p for p in names if p.getName().startswith("version=")}
+        # A version counts once its write is committed; the number of one that never was stays unused.
+        whole = [n for n, p in numbers.items() if files.exists(p.suffix("/_SUCCESS"))]
         if not whole:
             raise ValueError(f"no slot map at {path}")
         found = cls(spark, path)
-        found.version = max(whole)
+        found.version, found.taken = max(whole), max(numbers)
         found.slots = found.table().count()
         return found
 
     def store(self, shards: list[int]) -> None:
         """Write the next version; a map has one entry per slot."""
-        self.version += 1
+        self.version = self.taken = max(self.version, self.taken) + 1
         rows = [(self.version, slot, shard) for slot, shard in enumerate(shards)]
         self.spark.createDataFrame(rows, _MAP).coalesce(1).write.parquet(f"{self.path}/version={self.version}")
 
