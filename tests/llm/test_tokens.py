@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -15,11 +16,15 @@ TEXTS = [
 ]
 
 
-def _ids(text):
+@functools.cache
+def _library():
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(default_vocabulary())
-    return [*library.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(default_vocabulary())
+
+
+def _ids(text):
+    return [*_library().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_encoder_equals_library():
