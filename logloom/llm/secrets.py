@@ -8,7 +8,7 @@ ids are identifiers; assigned values, hex runs and weak secrets are secrets.
 Parts are linked by an interval join inside scopes. A scope is a stretch of lines without a blank line or a ``[section]``
 head. Parts complement each other if they do not overlap and at most ``REACH`` code points lie between them. A weak
 id needs a secret, a weak secret an identifier, an endpoint both. The join goes by strips of ``REACH`` code points: every
-strip of a scope keeps the first and last place where a role begins and ends, every weak part asks the two strips
+strip of a scope keeps the first and last place where a role begins and ends, every part asks the two strips
 that its interval touches on either side, so a part costs at most four rows for each role it needs, however many parts
 lie around it, and no pairs are made. Only parts are shuffled, never texts.
 
@@ -34,7 +34,7 @@ KINDS = ["assign", "access", "hex", "id", "secret", "endpoint"]
 BASE = 3  # kinds before this one are reported always
 IDENTIFIER, SECRET, ENDPOINT = 0, 1, 2
 ROLES = [SECRET, IDENTIFIER, SECRET, IDENTIFIER, SECRET, ENDPOINT]  # by kind
-NEEDS = {3: [SECRET], 4: [IDENTIFIER], 5: [IDENTIFIER, SECRET]}  # by weak kind
+NEEDS = {0: [IDENTIFIER], 1: [SECRET], 2: [IDENTIFIER], 3: [SECRET], 4: [IDENTIFIER], 5: [IDENTIFIER, SECRET]}  # by kind
 REACH = 200
 
 # The base patterns, and the least lengths of group 2, of the match, of the match.
@@ -129,7 +129,7 @@ def _by_kind(kinds: dict[int, list[int] | int]) -> Column:
 
 
 def linked_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """(row, start, kind, end, scope) of the weak parts that their complements stand by.
+    """(row, start, kind, end, scope) of the parts that their complements stand by.
 
     ``found``: row, start, kind, end, scope of all parts of the rows concerned.
     """
@@ -144,7 +144,7 @@ def linked_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
         F.struct(F.lit("before").alias("side"), (F.col("start") - reach).alias("low"), F.col("start").alias("high")),
     ))
     part = ["row", "scope", "kind", "start", "end"]
-    asks = found.filter(F.col("kind") >= BASE).select(*part, F.explode(F.element_at(_by_kind(NEEDS), F.col("kind"))).alias("role"))
+    asks = found.select(*part, F.explode(F.element_at(_by_kind(NEEDS), F.col("kind"))).alias("role"))
     asks = asks.select(*part, "role", asked.alias("a")).select(*part, "role", "a.*")
     asks = asks.select("*", F.explode(F.sequence(strip(F.col("low")), strip(F.col("high")))).alias("strip"))
     inside = (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low"))
@@ -155,21 +155,30 @@ def linked_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def scan(documents: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and, of these, n_linked weak ones, for every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked and n_credentials of every document.
+
+    ``n_linked`` counts the weak parts among the spans, ``n_credentials`` the identifiers, strong or weak, that a secret stands by.
+    """
     scratch = Scratch(documents.sparkSession, "secrets")
     texts = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), "text")
     rows = scratch.save(texts.mapInArrow(_scan, SCANNED), "rows")
-    weak = F.exists("spans", lambda s: s["kind"] >= BASE)
-    found = rows.filter(weak).select("row", F.explode("spans").alias("s")).select("row", "s.*")
+    has = lambda role: F.exists("spans", lambda s: s["kind"].isin([k for k, r in enumerate(ROLES) if r == role]))
+    # Only where identifiers and secrets stand in one document can a part be linked.
+    both = has(IDENTIFIER) & has(SECRET)
+    found = rows.filter(both).select("row", F.explode("spans").alias("s")).select("row", "s.*")
     span = F.struct("start", "kind", "end", "scope")
-    added = linked_parts(found, reach).groupBy("row").agg(F.collect_list(span).alias("added"))
-    alone = rows.filter(~weak).withColumn("added", F.lit(None).cast(dict(added.dtypes)["added"]))
-    both = alone.unionByName(rows.filter(weak).join(added, "row", "left"))
+    linked = linked_parts(found, reach).groupBy("row").agg(
+        F.collect_list(F.when(F.col("kind") >= BASE, span)).alias("added"),
+        F.count_if(F.col("kind").isin([k for k, r in enumerate(ROLES) if r == IDENTIFIER])).alias("n_credentials"),
+    )
+    kinds = dict(linked.dtypes)
+    alone = rows.filter(~both).withColumns({c: F.lit(None).cast(kinds[c]) for c in ("added", "n_credentials")})
+    joined = alone.unionByName(rows.filter(both).join(linked, "row", "left"))
     base = F.filter("spans", lambda s: s["kind"] < BASE)
-    every = F.concat(base, F.coalesce("added", F.array().cast(dict(added.dtypes)["added"])))
+    every = F.concat(base, F.coalesce("added", F.array().cast(kinds["added"])))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
-    return both.select(
+    return joined.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_written(base), 256).alias("base_sha256"), _written(every).alias("spans"),
-        F.coalesce(F.size("added"), F.lit(0)).cast("bigint").alias("n_linked"),
+        F.coalesce(F.array_size("added"), F.lit(0)).cast("bigint").alias("n_linked"), F.coalesce("n_credentials", F.lit(0).cast("bigint")).alias("n_credentials"),
     )
