@@ -4,6 +4,11 @@ Repeated passages are found without moving texts: documents are written once as
 every chunk sends, per bucket of a key space, one sorted run of short keys; a bucket merges the runs of all
 chunks and answers each with a few bits per key; the answers are joined back to the chunks. A key, however
 frequent, travels once per chunk. All sizes follow the data: chunks and buckets are bounded, their number grows.
+
+Both numbers grow with the corpus, so a row for each pair of chunk and bucket would be the square of it. Runs
+travel in packets instead, in as many hops as the buckets need: no sender has more than ``FAN`` addresses, and
+what a panel of senders has for one range of buckets is put together and cut up for the next hop. Rows per hop
+are at most ``FAN`` times the chunks; answers go back the same way.
 """
 
 from __future__ import annotations
@@ -18,16 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from logloom.llm.common import Scratch, tasks_for, utf8
+from logloom.llm.common import Scratch, mix64, tasks_for, utf8
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 # Answers up to this size are broadcast to the chunks; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 CHUNK_ROWS = 2
+# The most addresses of a sender in one hop.
+FAN = 64
 LAST_ID = (1 << 63) - 1
-CHUNKS = "chunk bigint, n_docs bigint, n_bytes bigint, n_words bigint, doc_ids binary, sizes binary, texts binary, carry binary"
-RUNS = "bucket int, chunk bigint, run binary"
+CHUNKS = "chunk bigint, n_docs bigint, n_bytes bigint, n_words bigint, doc_ids binary, nulls binary, sizes binary, texts binary, carry binary"
+PACKETS = "toward bigint, panel bigint, packet binary"
 
 
 def _gather(chunk_bytes: int):
@@ -44,10 +51,11 @@ def _gather(chunk_bytes: int):
             with pa.ipc.new_stream(sink, carried.schema) as stream:
                 stream.write_batch(carried)
             values = [
-                number, len(texts), int(sizes.sum()), sum(len(t.split()) for t in texts), np.array(ids, np.int64).tobytes(),
+                number, len(texts), int(sizes.sum()), sum(len(t.split()) for t in texts),
+                np.array([LAST_ID if i is None else i for i in ids], np.int64).tobytes(), np.packbits([i is None for i in ids]).tobytes(),
                 sizes.tobytes(), b"".join(texts), sink.getvalue().to_pybytes(),
             ]
-            kinds = [pa.int64()] * 4 + [pa.binary()] * 4
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 5
             names = [c.split()[0] for c in CHUNKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
 
@@ -60,7 +68,7 @@ def _gather(chunk_bytes: int):
                 if texts and held + len(raw) > chunk_bytes:
                     yield row()
                     ids, texts, others, held, number = [], [], [], 0, number + 1
-                ids.append(LAST_ID if key is None else key)
+                ids.append(key)
                 texts.append(raw)
                 others.append(other)
                 held += len(raw)
@@ -71,7 +79,7 @@ def _gather(chunk_bytes: int):
 
 
 def stage_chunks(docs: DataFrame, scratch: Scratch, carry: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Write the texts as chunks. A NULL doc_id becomes ``LAST_ID``, larger than every other.
+    """Write the texts as chunks. A NULL doc_id ranks as ``LAST_ID``, the largest there is, and comes back as NULL.
 
     ``carry`` names further columns; they stay with their documents.
     """
@@ -92,13 +100,18 @@ class Chunk:
     def __init__(self, row: dict):
         self.number = row["chunk"]
         self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
+        self.nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(self.doc_ids)).astype(bool)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.raw, self._carry = row["texts"], row["carry"]
         self.answers = {
-            name: {a["bucket"]: a["answer"] for a in row[name] or []} for name in row if name.startswith("answers")
+            name: {b: part for p in row[name] or [] for b, _, part in frames(p)} for name in row if name.startswith("answers")
         }
 
+    def ids(self) -> list[int | None]:
+        """The doc_ids as they were given."""
+        return [None if empty else i for i, empty in zip(self.doc_ids.tolist(), self.nulls.tolist())]
+
     def carried(self) -> dict:
         """The further columns of the documents."""
         with pa.ipc.open_stream(self._carry) as stream:
@@ -125,31 +138,115 @@ def over_chunks(chunks: DataFrame, make: Callable[[Chunk], Iterator[dict]], sche
     return chunks.mapInArrow(_over_chunks(make, to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
+def pack(frames: list[tuple[int, int, bytes]]) -> bytes:
+    """A packet of frames: (bucket, chunk, bytes)."""
+    numbers = np.array([(b, c, len(part)) for b, c, part in frames], np.int64).T
+    return b"".join([np.int64(len(frames)).tobytes(), numbers.tobytes(), *[part for _, _, part in frames]])
+
+
+def frames(packet: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """The frames of a packet."""
+    n = int(np.frombuffer(packet, np.int64, 1)[0])
+    numbers, at = np.frombuffer(packet, np.int64, 3 * n, 8).reshape(3, n), 8 + 24 * n
+    for bucket, chunk, size in numbers.T.tolist():
+        yield bucket, chunk, packet[at:at + size]
+        at += size
+
+
+class Routes:
+    """The hops of an exchange between ``chunks`` senders and ``buckets``.
+
+    A bucket's number is read in digits to the base ``fan``, the highest first, one digit a hop. Chunks are dealt by hash
+    into panels of about ``fan``, panels into panels of panels. Runs for one range of buckets meet per panel.
+    """
+
+    def __init__(self, buckets: int, chunks: int):
+        self.buckets, self.chunks, self.hops = buckets, chunks, 1
+        while FAN ** self.hops < buckets:
+            self.hops += 1
+        self.fan = 2
+        while self.fan ** self.hops < buckets:
+            self.fan += 1
+        self.panels = tasks_for(chunks, self.fan)
+
+    def toward(self, bucket: int, hop: int) -> int:
+        """The range of buckets to which a run for ``bucket`` comes by this hop; the bucket itself by the last."""
+        return bucket // self.fan ** (self.hops - hop)
+
+    def panel(self, chunk: int, level: int) -> int:
+        """The panel of a chunk; itself at level 0."""
+        if level == 0:
+            return chunk
+        return int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(self.panels)) // self.fan ** (level - 1)
+
+    def tasks(self, level: int) -> int:
+        """Tasks of a hop out of panels of this level: a task handles several groups one after another once there are many."""
+        groups = self.fan ** level * tasks_for(self.panels, self.fan ** (level - 1))
+        return max(min(groups, 1024), groups // 16)
+
+
+def _packets(found: Iterator[tuple[int, int, bytes]], address: Callable[[int, int], tuple[int, int]]) -> dict:
+    """Rows of packets: the frames by the (toward, panel) that ``address`` gives for a bucket and chunk."""
+    sorted_out: dict = {}
+    for frame in found:
+        sorted_out.setdefault(address(frame[0], frame[1]), []).append(frame)
+    return {
+        "toward": [t for t, _ in sorted_out], "panel": [p for _, p in sorted_out], "packet": [pack(f) for f in sorted_out.values()],
+    }
+
+
+def _first_hop(send: Callable[[Chunk], Iterator[dict]], routes: Routes):
+    def hop(chunk: Chunk) -> Iterator[dict]:
+        panel = routes.panel(chunk.number, min(1, routes.hops - 1))
+        yield _packets(((b, chunk.number, run) for b, run in send(chunk)), lambda b, _: (routes.toward(b, 1), panel))
+
+    return hop
+
+
+def _further_hop(address: Callable[[int, int], tuple[int, int]]):
+    def hop(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_packets((f for p in rows["packet"] for f in frames(p)), address))
+
+    return hop
+
+
 def exchange(
-    chunks: DataFrame, scratch: Scratch, name: str, buckets: int,
-    send: Callable[[Chunk], Iterator[dict]], merge: Callable[[list[bytes], np.ndarray], list[bytes]],
+    chunks: DataFrame, scratch: Scratch, name: str, routes: Routes,
+    send: Callable[[Chunk], Iterator[tuple[int, bytes]]], merge: Callable[[list[bytes], np.ndarray], list[bytes]],
 ) -> DataFrame:
-    """Send runs to buckets, merge them there, and return (chunk, bucket, answer).
+    """Send runs to buckets, merge them there, and return packets of answers by chunk (``panel``).
 
-    ``merge`` gets the runs of one bucket with their chunk numbers, in chunk order, and answers each.
+    ``send`` yields (bucket, run). ``merge`` gets the runs of one bucket with their chunk numbers, in chunk order, and
+    answers each.
     """
+    last = routes.hops - 1
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk", kind="stable")
-        return pd.DataFrame({
-            "chunk": rows["chunk"], "bucket": rows["bucket"], "answer": merge(rows["run"].tolist(), rows["chunk"].to_numpy())
-        })
-
-    runs = over_chunks(chunks, send, RUNS).repartition(buckets, "bucket")
-    return scratch.save(
-        runs.groupBy("bucket").applyInPandas(answer, "chunk bigint, bucket int, answer binary"), name, rows=CHUNK_ROWS
-    )
+        found = sorted((f for p in rows["packet"] for f in frames(p)), key=lambda f: f[1])
+        answers = merge([run for _, _, run in found], np.array([c for _, c, _ in found], np.int64))
+        replies = ((b, c, reply) for (b, c, _), reply in zip(found, answers))
+        return pd.DataFrame(_packets(replies, lambda b, c: (routes.toward(b, max(1, last)), routes.panel(c, last))))
+
+    moved = over_chunks(chunks, _first_hop(send, routes), PACKETS)
+    for hop in range(2, routes.hops + 1):
+        ahead = _further_hop(lambda b, c, hop=hop: (routes.toward(b, hop), routes.panel(c, min(hop, last))))
+        moved = moved.repartition(routes.tasks(hop - 1), "toward", "panel").groupBy("toward", "panel").applyInPandas(ahead, PACKETS)
+    merged = moved.repartition(max(min(routes.buckets, 1024), routes.buckets // 16), "toward").groupBy("toward").applyInPandas(answer, PACKETS)
+    replies = scratch.save(merged, name if last == 0 else f"{name}-merged", rows=CHUNK_ROWS)
+    if last == 0:
+        return replies
+    for level in range(last, 0, -1):
+        home = _further_hop(lambda b, c, level=level: (routes.toward(b, max(1, level - 1)), routes.panel(c, level - 1)))
+        replies = replies.repartition(routes.tasks(level), "toward", "panel").groupBy("toward", "panel").applyInPandas(home, PACKETS)
+    replies = scratch.save(replies, name, rows=CHUNK_ROWS)
+    scratch.drop(f"{name}-merged")
+    return replies
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """Join the answers to their chunks as ``name``; they are broadcast only up to a measured size."""
-    size = answers.agg(F.sum(F.octet_length("answer") + 64)).first()[0] or 0
-    grouped = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
+    size = answers.agg(F.sum(F.octet_length("packet") + 64)).first()[0] or 0
+    grouped = answers.groupBy(F.col("panel").alias("chunk")).agg(F.collect_list("packet").alias(name))
     return chunks.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, "chunk", "left")
 
 

@@ -13,7 +13,7 @@ the same document before it.
 The words are compared by 64-bit hashes of each word, combined twice with random odd multipliers, so two
 different windows fall together with a chance of about 1 in 10^28 per pair.
 
-Edge cases: a NULL text has no words; a NULL doc_id counts as larger than all others; of rows with one doc_id
+Edge cases: a NULL text has no words; a NULL doc_id ranks as 2^63 - 1, the largest; of rows with one doc_id
 and one place the one staged first counts as earlier; texts below 20 words stay; other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.chunks import CHUNK_BYTES, CHUNK_ROWS, LAST_ID, Chunk, bucket_count, exchange, over_chunks, range_bucket, split_runs, stage_chunks, with_answers
+from logloom.llm.chunks import CHUNK_BYTES, CHUNK_ROWS, Chunk, Routes, bucket_count, exchange, over_chunks, range_bucket, split_runs, stage_chunks, with_answers
 from logloom.llm.common import Scratch, mix64
 
 WINDOW = 20
@@ -76,7 +76,7 @@ def _row_cells(windows: Windows, row: int, cells: int, buckets: int):
 
 
 def _send_cells(cells: int, buckets: int):
-    def send(chunk: Chunk) -> Iterator[dict]:
+    def send(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
         windows = Windows(chunk)
         for row in range(SKETCH_ROWS):
             cell, _, twice, bucket = _row_cells(windows, row, cells, buckets)
@@ -85,7 +85,7 @@ def _send_cells(cells: int, buckets: int):
                 wide = 2 if steps.max() < 1 << 16 else 4 if steps.max() < 1 << 32 else 8
                 head = np.array([e - s, wide, int(cell[s])], np.int64).tobytes()
                 run = head + steps.astype(f"<u{wide}").tobytes() + np.packbits(twice[s:e]).tobytes()
-                yield {"bucket": [b], "chunk": [chunk.number], "run": [run]}
+                yield b, run
 
     return send
 
@@ -139,12 +139,12 @@ class Keys:
 
 
 def _send_keys(cells: int, buckets: int):
-    def send(chunk: Chunk) -> Iterator[dict]:
+    def send(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
         windows = Windows(chunk)
         keys = Keys(windows, _estimated(chunk, windows, cells, buckets), buckets)
         for b, s, e in split_runs(keys.bucket):
             parts = (keys.high[s:e], keys.doc[s:e], keys.low[s:e], keys.place[s:e].astype(np.uint32))
-            yield {"bucket": [b], "chunk": [chunk.number], "run": [b"".join(p.tobytes() for p in parts)]}
+            yield b, b"".join(p.tobytes() for p in parts)
 
     return send
 
@@ -179,7 +179,7 @@ def _results(cells: int, buckets: int):
             out["n_words"].append(n)
             out["n_removed"].append(n - left)
             out["kept_sha256"].append(hashlib.sha256(text).hexdigest())
-        yield {"doc_id": [None if i == LAST_ID else i for i in chunk.doc_ids.tolist()]} | out
+        yield {"doc_id": chunk.ids()} | out
 
     return results
 
@@ -188,11 +188,11 @@ def remove_windows(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     scratch = Scratch(docs.sparkSession, "windows")
     chunks = stage_chunks(docs, scratch, chunk_bytes=chunk_bytes)
-    buckets = bucket_count(chunks)
+    buckets, n_chunks = bucket_count(chunks), chunks.count()
     cells = CELLS_PER_WORD * max(1, chunks.agg(F.sum("n_words")).first()[0] or 0)
-    sketch = exchange(chunks, scratch, "cells", buckets, _send_cells(cells, buckets), _merge_cells)
+    sketch = exchange(chunks, scratch, "cells", Routes(SKETCH_ROWS * buckets, n_chunks), _send_cells(cells, buckets), _merge_cells)
     estimated = with_answers(chunks, sketch, "answers_cells")
-    first = exchange(estimated, scratch, "keys", buckets, _send_keys(cells, buckets), _merge_keys)
+    first = exchange(estimated, scratch, "keys", Routes(buckets, n_chunks), _send_keys(cells, buckets), _merge_keys)
     answered = with_answers(estimated, first, "answers_keys")
     result = scratch.save(over_chunks(answered, _results(cells, buckets), ROWS), "results", rows=CHUNK_ROWS)
     scratch.drop("chunks", "cells", "keys")

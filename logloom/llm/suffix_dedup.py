@@ -17,12 +17,19 @@ strings have their anchors at equal places, so a string repeats exactly if its a
 
 Chunks keep one row per distinct suffix, so a passage that thousands of documents share travels once per chunk.
 
-Edge cases: a NULL text is empty; a NULL doc_id counts as larger than all others; rows with equal doc_id do not
+All suffixes of one 24-byte gram belong together and would meet in one task, however many texts hold the gram with
+other texts around it. The first exchange counts anchors per gram, and anchors of a gram with ``HOT`` or more send
+the strings that they stand for instead of a suffix: 128 bits of hash and the smallest doc_id of each distinct string
+of a chunk. These spread over all buckets by their own hash, and a bucket answers which strings an earlier document
+has, one bit each. Two different strings fall together with a chance of about 1 in 10^38 per pair.
+
+Edge cases: a NULL text is empty; a NULL doc_id ranks as 2^63 - 1, the largest; rows with equal doc_id do not
 remove each other's bytes; texts below 50 bytes stay; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -31,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.chunks import CHUNK_BYTES, CHUNK_ROWS, LAST_ID, Chunk, bucket_count, exchange, over_chunks, range_bucket, split_runs, stage_chunks, with_answers
+from logloom.llm.chunks import CHUNK_BYTES, CHUNK_ROWS, Chunk, Routes, bucket_count, exchange, over_chunks, range_bucket, split_runs, stage_chunks, with_answers
 from logloom.llm.common import Scratch, mix64
 
 LENGTH = 50
@@ -39,6 +46,8 @@ GRAM = 24
 PLACES = LENGTH - GRAM + 1
 LEFT = PLACES - 1
 KEY = LENGTH + LEFT + 2
+# Anchors of one gram from which on its strings are spread by their own hashes.
+HOT = 1 << 16
 _BLOCK = 1 << 18
 _BYTE_CODES = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(11)) >> np.uint64(32)).astype(np.uint32)
 ROWS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -85,7 +94,7 @@ class Anchors:
         anchor = anchor[start]
         if not len(anchor):
             self.at = self.low = self.high = self.doc = self.begin = self.end = np.zeros(0, np.int64)
-            self.gram = np.zeros(0, np.uint64)
+            self.gram, self.hot = np.zeros(0, np.uint64), np.zeros(0, bool)
             return
         new = np.flatnonzero(np.concatenate([[True], np.diff(anchor) != 0]))
         last = np.concatenate([new[1:], [len(anchor)]]) - 1
@@ -97,12 +106,13 @@ class Anchors:
         h = np.zeros(len(self.at), np.uint64)
         for k in range(GRAM // 8):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + grams[:, k])
-        self.gram = h
+        self.gram, self.hot = h, np.zeros(len(h), bool)
 
     def take(self, chosen: np.ndarray) -> Anchors:
-        for name in ("at", "low", "high", "doc", "begin", "end", "gram"):
-            setattr(self, name, getattr(self, name)[chosen])
-        return self
+        taken = copy.copy(self)
+        for name in ("at", "low", "high", "doc", "begin", "end", "gram", "hot"):
+            setattr(taken, name, getattr(self, name)[chosen])
+        return taken
 
 
 def _grams(anchors: Anchors, buckets: int):
@@ -117,48 +127,63 @@ def _grams(anchors: Anchors, buckets: int):
 
 
 def _send_grams(buckets: int):
-    def send(chunk: Chunk) -> Iterator[dict]:
+    def send(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
         anchors = Anchors(chunk)
         if not len(anchors.at):
             return
-        _, _, gram, several, bucket = _grams(anchors, buckets)
+        order, first, gram, several, bucket = _grams(anchors, buckets)
+        count = np.diff(np.append(first, len(order)))
         for b, s, e in split_runs(bucket):
-            part = gram[s:e]
+            part, often = gram[s:e], count[s:e] > 1
+            counts = (count[s:e][often] << 1 | several[s:e][often]).astype("<u4")
             run = (part >> np.uint64(8)).astype("<u4").tobytes() + (part & np.uint64(255)).astype(np.uint8).tobytes()
-            yield {"bucket": [b], "chunk": [chunk.number], "run": [run + np.packbits(several[s:e]).tobytes()]}
+            yield b, np.int64(e - s).tobytes() + run + np.packbits(often).tobytes() + counts.tobytes()
 
     return send
 
 
 def _merge_grams(runs: list[bytes], _: np.ndarray) -> list[bytes]:
-    """Bits of the grams that two documents hold."""
-    sizes = [next(n for n in range(len(r) * 8 // 41, len(r) * 8 // 41 + 2) if 5 * n + (n + 7) // 8 == len(r)) for r in runs]
-    high = np.concatenate([np.frombuffer(r, "<u4", n) for r, n in zip(runs, sizes)]).astype(np.uint64)
-    low = np.concatenate([np.frombuffer(r, np.uint8, n, 4 * n) for r, n in zip(runs, sizes)])
-    several = np.concatenate([np.unpackbits(np.frombuffer(r, np.uint8, -1, 5 * n), count=n) for r, n in zip(runs, sizes)])
-    gram = high << np.uint64(8) | low
+    """Bits of the grams that two documents hold, and of those that are hot."""
+    highs, lows, counts, severals, sizes = [], [], [], [], []
+    for run in runs:
+        n = int(np.frombuffer(run, np.int64, 1)[0])
+        highs.append(np.frombuffer(run, "<u4", n, 8))
+        lows.append(np.frombuffer(run, np.uint8, n, 8 + 4 * n))
+        bits = (n + 7) // 8
+        often = np.unpackbits(np.frombuffer(run, np.uint8, bits, 8 + 5 * n), count=n).astype(bool)
+        more = np.frombuffer(run, "<u4", -1, 8 + 5 * n + bits)
+        count, several = np.ones(n, np.int64), np.zeros(n, bool)
+        count[often], several[often] = more >> 1, (more & 1).astype(bool)
+        counts.append(count)
+        severals.append(several)
+        sizes.append(n)
+    gram = np.concatenate(highs).astype(np.uint64) << np.uint64(8) | np.concatenate(lows)
     order = np.argsort(gram)
     gram = gram[order]
     edge = np.concatenate([[True], gram[1:] != gram[:-1], [True]])
-    again = ~(edge[:-1] & edge[1:]) | several[order].astype(bool)
-    repeated = np.empty(len(gram), bool)
+    again = ~(edge[:-1] & edge[1:]) | np.concatenate(severals)[order]
+    total = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(edge[:-1]))
+    repeated, hot = np.empty(len(gram), bool), np.empty(len(gram), bool)
     repeated[order] = again
-    return [np.packbits(x).tobytes() for x in np.split(repeated, np.cumsum(sizes)[:-1])]
+    hot[order] = again & (total >= HOT)[np.cumsum(edge[:-1]) - 1]
+    cuts = np.cumsum(sizes)[:-1]
+    return [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(repeated, cuts), np.split(hot, cuts))]
 
 
 def _repeated(chunk: Chunk, buckets: int) -> Anchors:
-    """The anchors whose gram the first exchange found in two documents."""
+    """The anchors whose gram the first exchange found in two documents, and which of them are hot."""
     anchors = Anchors(chunk)
     if not len(anchors.at):
         return anchors
     order, first, _, _, bucket = _grams(anchors, buckets)
     answers = chunk.answers["answers_grams"]
     flags = np.concatenate([
-        np.unpackbits(np.frombuffer(answers[b], np.uint8), count=e - s) for b, s, e in split_runs(bucket)
-    ]).astype(bool)
-    chosen = np.zeros(len(order), bool)
-    chosen[order] = np.repeat(flags, np.diff(np.append(first, len(order))))
-    return anchors.take(np.flatnonzero(chosen))
+        np.unpackbits(np.frombuffer(answers[b], np.uint8).reshape(2, -1), axis=1, count=e - s) for b, s, e in split_runs(bucket)
+    ], axis=1).astype(bool)
+    chosen = np.zeros((2, len(order)), bool)
+    chosen[:, order] = np.repeat(flags, np.diff(np.append(first, len(order))), axis=1)
+    anchors.hot = chosen[1]
+    return anchors.take(np.flatnonzero(chosen[0]))
 
 
 class Suffixes:
@@ -186,6 +211,35 @@ class Suffixes:
         self.least = np.minimum.reduceat(anchors.doc[order], first) if n else np.zeros(0, np.int64)
 
 
+class Strings:
+    """Distinct strings that hot anchors stand for, by hash, with the smallest doc_id and where they occur."""
+
+    def __init__(self, anchors: Anchors, buckets: int):
+        room = anchors.high - anchors.low + 1
+        self.start = np.repeat(anchors.low - (np.cumsum(room) - room), room) + np.arange(int(room.sum()))
+        self.doc = np.repeat(anchors.doc, room)
+        n = len(self.start)
+        both = np.zeros((2, n), np.uint64)
+        for at in range(0, n, _BLOCK):
+            start = self.start[at:at + _BLOCK]
+            padded = np.zeros((len(start), -(-LENGTH // 8) * 8), np.uint8)
+            padded[:, :LENGTH] = anchors.text[start[:, None] + np.arange(LENGTH)]
+            words = padded.view(np.uint64)
+            for row, factor in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
+                h = both[row, at:at + _BLOCK]
+                for k in range(words.shape[1]):
+                    h[:] = mix64(h * np.uint64(factor) + words[:, k] + np.uint64(row))
+        order = np.lexsort([both[1], both[0]])
+        high, low = both[0][order], both[1][order]
+        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]) if n else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.of = np.empty(n, np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.high, self.low = high[first], low[first]
+        self.bucket = range_bucket(self.high >> np.uint64(32), buckets)
+        self.least = np.minimum.reduceat(self.doc[order], first) if n else np.zeros(0, np.int64)
+
+
 def _sort_words(keys: np.ndarray) -> list[np.ndarray]:
     """Columns for lexsort, least significant first: the key in big-endian 64-bit words."""
     padded = np.zeros((len(keys), -(-KEY // 8) * 8), np.uint8)
@@ -214,13 +268,32 @@ def front_decode(shared: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray
     return rest[np.maximum.accumulate(np.where(stored, at, 0), axis=0)]
 
 
+def _keys(chunk: Chunk, buckets: int) -> tuple[Suffixes, Strings]:
+    """What the chunk asks the second exchange about."""
+    anchors = _repeated(chunk, buckets)
+    return Suffixes(anchors.take(~anchors.hot), buckets), Strings(anchors.take(anchors.hot), buckets)
+
+
+def _join(first: bytes, second: bytes) -> bytes:
+    return np.int64(len(first)).tobytes() + first + second
+
+
+def _split(both: bytes) -> tuple[bytes, bytes]:
+    end = 8 + int(np.frombuffer(both, np.int64, 1)[0])
+    return both[8:end], both[end:]
+
+
 def _send_suffixes(buckets: int):
-    def send(chunk: Chunk) -> Iterator[dict]:
-        suffixes = Suffixes(_repeated(chunk, buckets), buckets)
+    def send(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+        suffixes, strings = _keys(chunk, buckets)
+        sorted_out, hashed = {}, {}
         for b, s, e in split_runs(suffixes.bucket):
             shared, rest = front_code(suffixes.keys[s:e])
-            run = np.int64(e - s).tobytes() + suffixes.least[s:e].tobytes() + shared.tobytes() + rest
-            yield {"bucket": [b], "chunk": [chunk.number], "run": [run]}
+            sorted_out[b] = np.int64(e - s).tobytes() + suffixes.least[s:e].tobytes() + shared.tobytes() + rest
+        for b, s, e in split_runs(strings.bucket):
+            hashed[b] = b"".join(part[s:e].tobytes() for part in (strings.high, strings.low, strings.least))
+        for b in sorted(sorted_out.keys() | hashed.keys()):
+            yield b, _join(sorted_out.get(b, b""), hashed.get(b, b""))
 
     return send
 
@@ -307,7 +380,31 @@ def _least_by_place(keys: np.ndarray, prefix: np.ndarray, least: np.ndarray) ->
         yield out
 
 
-def _merge_suffixes(runs: list[bytes], _: np.ndarray) -> list[bytes]:
+def _merge_keys(runs: list[bytes], _: np.ndarray) -> list[bytes]:
+    """Answers to the suffixes and strings of each run."""
+    suffixes, strings = zip(*map(_split, runs))
+    places = iter(_merge_suffixes([r for r in suffixes if r])) if any(suffixes) else iter(())
+    return [_join(next(places) if r else b"", bits) for r, bits in zip(suffixes, _merge_strings(strings))]
+
+
+def _merge_strings(runs: tuple[bytes, ...]) -> list[bytes]:
+    """Bits of the strings that a document before the run's first holds."""
+    sizes = [len(r) // 24 for r in runs]
+    if not sum(sizes):
+        return [b""] * len(runs)
+    high, low, least = (
+        np.concatenate([np.frombuffer(r, kind, n, 8 * n * at) for r, n in zip(runs, sizes) if n])
+        for at, kind in enumerate((np.uint64, np.uint64, np.int64))
+    )
+    order = np.lexsort([low, high])
+    high, low, own = high[order], low[order], least[order]
+    new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+    earlier = np.empty(len(order), bool)
+    earlier[order] = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1] < own
+    return [np.packbits(x).tobytes() for x in np.split(earlier, np.cumsum(sizes)[:-1])]
+
+
+def _merge_suffixes(runs: list[bytes]) -> list[bytes]:
     """For each suffix of each run the places, as bits, at which an earlier document holds the string."""
     least, numbers, shared, sizes, rows = [], [], [], [], []
     for run in runs:
@@ -340,11 +437,12 @@ def _merge_suffixes(runs: list[bytes], _: np.ndarray) -> list[bytes]:
 def removed_bytes(chunk: Chunk, buckets: int) -> np.ndarray:
     """Which bytes of the chunk go."""
     gone = np.zeros(len(chunk.raw) + 1, np.int32)
-    suffixes = Suffixes(_repeated(chunk, buckets), buckets)
+    suffixes, strings = _keys(chunk, buckets)
+    answers = {b: _split(both) for b, both in chunk.answers["answers_suffixes"].items()}
     if len(suffixes.keys):
-        anchors, answers = suffixes.anchors, chunk.answers["answers_suffixes"]
+        anchors = suffixes.anchors
         places = np.concatenate([
-            np.frombuffer(zlib.decompress(answers[b]), "<u4") for b, _, _ in split_runs(suffixes.bucket)
+            np.frombuffer(zlib.decompress(answers[b][0]), "<u4") for b, _, _ in split_runs(suffixes.bucket)
         ])[suffixes.of]
         places = np.where(anchors.doc > suffixes.least[suffixes.of], np.uint32((1 << PLACES) - 1), places)
         whole = places == (1 << PLACES) - 1
@@ -356,6 +454,13 @@ def removed_bytes(chunk: Chunk, buckets: int) -> np.ndarray:
             hit = (places[part] >> np.uint32(place) & 1).astype(bool) & (start >= anchors.low[part]) & (start <= anchors.high[part])
             np.add.at(gone, start[hit], 1)
             np.add.at(gone, start[hit] + LENGTH, -1)
+    if len(strings.start):
+        earlier = np.concatenate([
+            np.unpackbits(np.frombuffer(answers[b][1], np.uint8), count=e - s) for b, s, e in split_runs(strings.bucket)
+        ]).astype(bool)
+        start = strings.start[earlier[strings.of] | (strings.doc > strings.least[strings.of])]
+        np.add.at(gone, start, 1)
+        np.add.at(gone, start + LENGTH, -1)
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -374,8 +479,7 @@ def _results(buckets: int, texts: bool):
             columns["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             if texts:
                 kept_texts.append(kept.decode("utf-8", "ignore"))
-        ids = [None if i == LAST_ID else i for i in chunk.doc_ids.tolist()]
-        yield {"doc_id": ids, **columns} | ({"text": kept_texts} if texts else {}) | chunk.carried()
+        yield {"doc_id": chunk.ids(), **columns} | ({"text": kept_texts} if texts else {}) | chunk.carried()
 
     return results
 
@@ -388,10 +492,12 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, texts: bool
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     chunks = stage_chunks(docs, scratch, carry, chunk_bytes)
-    buckets = bucket_count(chunks)
-    grams = exchange(chunks, scratch, "grams", buckets, _send_grams(buckets), _merge_grams)
+    buckets, n_chunks = bucket_count(chunks), chunks.count()
+    grams = exchange(chunks, scratch, "grams", Routes(buckets, n_chunks), _send_grams(buckets), _merge_grams)
     flagged = with_answers(chunks, grams, "answers_grams")
-    suffixes = exchange(flagged, scratch, "suffixes", buckets, _send_suffixes(buckets), _merge_suffixes)
+    suffixes = exchange(
+        flagged, scratch, "suffixes", Routes(buckets, n_chunks), _send_suffixes(buckets), _merge_keys
+    )
     answered = with_answers(flagged, suffixes, "answers_suffixes")
     more = "".join(f", in_{c} {docs.schema[c].dataType.simpleString()}" for c in carry or [])
     out = over_chunks(answered, _results(buckets, texts), ROWS + (", text string" if texts else "") + more)

@@ -60,11 +60,18 @@ def test_shuffled_answers_and_many_buckets(spark, monkeypatch):
 
     monkeypatch.setattr(chunks, "BUCKET_BYTES", 3000)
     monkeypatch.setattr(chunks, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(chunks, "FAN", 3)
     rows = distinct(cases())
     got = remove_windows(documents(spark, rows).repartition(4), chunk_bytes=3000).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+def test_extreme_ids(spark):
+    rows = [((1 << 63) - 1, prose(1, 40)), (-(1 << 63), prose(1, 25)), (4, prose(1, 30))]
+    got = remove_windows(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
 def test_empty(spark):
     assert remove_windows(documents(spark, [])).count() == 0
     assert [tuple(r)[:3] for r in remove_windows(documents(spark, [(1, None)])).collect()] == [(1, 0, 0)]

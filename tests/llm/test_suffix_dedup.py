@@ -60,6 +60,40 @@ def test_small_buckets_and_shuffled_answers(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 6])
+def test_many_hops_and_hot_grams(spark, monkeypatch, hot):
+    """A header in every third text with other words around it, spread by string hashes, through several hops."""
+    from logloom.llm import chunks
+
+    monkeypatch.setattr(chunks, "BUCKET_BYTES", 2500)
+    monkeypatch.setattr(chunks, "FAN", 3)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    header = "all rights reserved by the people who wrote it"
+    rows = cases() + [(200 + i, f"{prose(300 + i, 4)} {header if i % 3 else header[:24]} {prose(400 + i % 7, 6)}") for i in range(40)]
+    got = remove_repeats(documents(spark, rows).repartition(4), chunk_bytes=1500).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_extreme_ids(spark):
+    rows = [((1 << 63) - 1, prose(1, 40)), (-(1 << 63), prose(1, 20)), (None, prose(2, 9)), (0, prose(2, 9) + " x")]
+    got = remove_repeats(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_rows_of_an_exchange_grow_with_the_chunks():
+    from logloom.llm.chunks import FAN, Routes
+
+    for chunks, buckets in ((50, 12), (5_000, 1_300), (26_000_000, 6_500_000)):
+        routes = Routes(buckets, chunks)
+        assert routes.fan <= FAN and routes.fan ** routes.hops >= buckets
+        # Every hop: groups of a level times the addresses of each.
+        for level in range(routes.hops):
+            groups = routes.fan ** level * max(1, -(-chunks // routes.fan ** level))
+            assert groups * routes.fan <= 2 * FAN * chunks
+        assert [routes.toward(buckets - 1, routes.hops), routes.panel(7, 0)] == [buckets - 1, 7]
+        assert all(routes.panel(c, level) == routes.panel(c, 1) // routes.fan ** (level - 1) for c in (0, 9 << 32) for level in range(1, routes.hops))
+
+
 def test_empty_and_texts(spark):
     assert remove_repeats(documents(spark, [])).count() == 0
     base = prose(1, 60)
