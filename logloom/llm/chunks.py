@@ -144,12 +144,13 @@ def pack(frames: list[tuple[int, int, bytes]]) -> bytes:
     return b"".join([np.int64(len(frames)).tobytes(), numbers.tobytes(), *[part for _, _, part in frames]])
 
 
-def frames(packet: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """The frames of a packet."""
+def frames(packet: bytes) -> Iterator[tuple[int, int, memoryview]]:
+    """The frames of a packet, their bytes as views of it."""
+    view = memoryview(packet)
     n = int(np.frombuffer(packet, np.int64, 1)[0])
     numbers, at = np.frombuffer(packet, np.int64, 3 * n, 8).reshape(3, n), 8 + 24 * n
     for bucket, chunk, size in numbers.T.tolist():
-        yield bucket, chunk, packet[at:at + size]
+        yield bucket, chunk, view[at:at + size]
         at += size
 
 
