@@ -30,8 +30,9 @@ BUCKET_BYTES = 16 << 20
 # Answers up to this size are broadcast to the chunks; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 CHUNK_ROWS = 2
-# The most addresses of a sender in one hop.
-FAN = 64
+# The most addresses of a sender in one hop. A hop moves all runs once more, so they should be few: two reach 16 million
+# buckets, some 250 TB of text, and packets of a chunk stay at a few hundred bytes.
+FAN = 4096
 LAST_ID = (1 << 63) - 1
 CHUNKS = "chunk bigint, n_docs bigint, n_bytes bigint, n_words bigint, doc_ids binary, nulls binary, sizes binary, texts binary, carry binary"
 PACKETS = "toward bigint, panel bigint, packet binary"
