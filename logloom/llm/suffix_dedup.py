@@ -49,6 +49,8 @@ KEY = LENGTH + LEFT + 2
 # Anchors of one gram from which on its strings are spread by their own hashes.
 HOT = 1 << 16
 _BLOCK = 1 << 18
+# Rows of bytes that are picked from a text at once: picking takes eight bytes of place for each.
+_ROWS = 1 << 14
 _BYTE_CODES = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(11)) >> np.uint64(32)).astype(np.uint32)
 ROWS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -102,11 +104,11 @@ class Anchors:
         number = np.searchsorted(chunk.ends, self.at, side="right")
         self.doc = chunk.doc_ids[number]
         self.begin, self.end = begin[number], chunk.ends[number]
-        grams = text[self.at[:, None] + np.arange(GRAM)].view(np.uint64)
-        h = np.zeros(len(self.at), np.uint64)
-        for k in range(GRAM // 8):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + grams[:, k])
-        self.gram, self.hot = h, np.zeros(len(h), bool)
+        self.gram, self.hot = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), bool)
+        for s in range(0, len(self.at), _ROWS):
+            grams, h = text[self.at[s:s + _ROWS, None] + np.arange(GRAM)].view(np.uint64), self.gram[s:s + _ROWS]
+            for k in range(GRAM // 8):
+                h[:] = mix64(h * np.uint64(0x9E3779B97F4A7C15) + grams[:, k])
 
     def take(self, chosen: np.ndarray) -> Anchors:
         taken = copy.copy(self)
@@ -196,8 +198,10 @@ class Suffixes:
         keys = np.zeros((n, KEY), np.uint8)
         right, left = np.minimum(anchors.end - at, LENGTH), np.minimum(at - anchors.begin, LEFT)
         ahead, back = np.arange(LENGTH), np.arange(1, LEFT + 1)
-        keys[:, :LENGTH] = np.where(ahead < right[:, None], text[np.minimum(at[:, None] + ahead, len(text) - 1)], 0)
-        keys[:, LENGTH:LENGTH + LEFT] = np.where(back <= left[:, None], text[np.maximum(at[:, None] - back, 0)], 0)
+        for s in range(0, n, _ROWS):
+            part, here, r, l = keys[s:s + _ROWS], at[s:s + _ROWS, None], right[s:s + _ROWS, None], left[s:s + _ROWS, None]
+            part[:, :LENGTH] = np.where(ahead < r, text[np.minimum(here + ahead, len(text) - 1)], 0)
+            part[:, LENGTH:LENGTH + LEFT] = np.where(back <= l, text[np.maximum(here - back, 0)], 0)
         keys[:, -2], keys[:, -1] = right, left
         bucket = range_bucket(anchors.gram >> np.uint64(32), buckets)
         order = np.lexsort(_sort_words(keys) + [bucket])
