@@ -15,6 +15,7 @@ from logloom.operators import transcript as T
 from logloom.operators.pricing import MICRO, costs_rounded
 from logloom.operators.scans import chunk_of
 from logloom.plans import sqlparts as q
+from logloom.plans.edit_sql import edit_answers
 from logloom.plans.flow_queries import FLOW, PAIRS
 from logloom.plans.session_logs import summarise_logs
 from logloom.session import cut_lineage
@@ -309,3 +310,7 @@ ORACLE |= {
         case when total_count > 0 then least(100, floor(coalesce(n, loaded_count) * 100 / total_count + 0.5))::bigint else 100 end percent
       from found left join covered using (project_id, session_id, file_key) where coalesce(n, loaded_count) is not null)""", LINES, _MENTIONED, _FILES, _COVERED),
 }
+
+# --- file changes: the fold over the edits of a file -------------------------------------------
+
+ORACLE |= edit_answers(q.with_(["ev"], "", LINES).rstrip())

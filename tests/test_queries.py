@@ -12,6 +12,7 @@ CHECKED = [
     "cost_by_model", "price_match", "collapsed_turns", "session_summary", "project_summary", "daily_activity", "merged_daily_models",
     "activity_heatmap", "extract_command", "path_functions", "tool_pairs", "transcript_groups", "compaction_markers", "running_context",
     "range_resolution", "merged_ranges", "change_summary", "session_messages", "tool_call_details", "message_block_details",
+    "session_hunks", "file_change_list", "session_patches",
 ]
 
 
