@@ -84,7 +84,21 @@ def detail_lookup(details: Column, candidates: Sequence[str]) -> Column:
 
 def detail_preferred(details: Column, candidates: Sequence[str]) -> Column:
     """Like :func:`detail_lookup` but the order of ``candidates`` decides."""
-    return F.coalesce(*[detail_lookup(details, [c]) for c in candidates])
+    return details_preferred(details, {"value": candidates})["value"]
+
+
+def details_preferred(details: Column, wanted: dict[str, Sequence[str]]) -> Column:
+    """Struct of one :func:`detail_preferred` value per entry of ``wanted``; keys and tails are taken out once for all."""
+
+    def found(d: Column, name: str) -> Column:
+        at = lambda side: F.nullif(F.array_position(d[side], F.lit(name)), F.lit(0))
+        return F.get(d["values"], (F.least(at("keys"), at("tails")) - 1).cast("int"))
+
+    parts = F.struct(
+        F.transform(details, lambda d: d["key"]).alias("keys"), F.transform(details, lambda d: key_tail(d["key"])).alias("tails"),
+        F.transform(details, lambda d: d["value"]).alias("values"),
+    )
+    return V.let(parts, lambda d: F.struct(*[F.coalesce(*[found(d, c) for c in names]).alias(n) for n, names in wanted.items()]))
 
 
 def humanise(key: Column) -> Column:
@@ -149,7 +163,7 @@ def _described(key: Column, value: Column, kind: Column) -> Column:
         F.when(V.is_null(value), "null").when(kind == "STRING", "string").when(kind.rlike(V.NUMBER), "number")
         .when(kind == "BOOLEAN", "boolean").when(V.is_array(value), "array").otherwise("object").alias("type"),
         _text_of(kind, value).alias("text"),
-        F.try_variant_get(value, "$", "double").alias("number"),
+        F.when(kind.rlike(V.NUMBER), F.try_variant_get(value, "$", "double")).alias("number"),
         F.filter(F.transform(V.items(value), _scalar_text), lambda s: s.isNotNull() & (s != "")).alias("texts"),
         F.size(V.items(value)).alias("n_items"),
         F.size(F.map_keys(V.fields(value))).alias("n_fields"),
@@ -197,10 +211,11 @@ def add_details(
     single = "value" if structured else "input"
     alone = F.array(F.struct(F.lit(single).alias("key"), doc.value.alias("value")))
     steps = df.withColumn("_pairs", F.when(V.is_object(doc.value), pairs).otherwise(alone))
-    keys = F.array_distinct(F.concat(wanted, F.transform("_pairs", lambda p: p["key"])))
-    known = F.filter(keys, lambda k: F.exists("_pairs", lambda p: p["key"] == k))
-    # Of repeated keys the last one counts.
-    value_of = lambda k: F.element_at(F.filter("_pairs", lambda p: p["key"] == k), -1)["value"]
+    # Of repeated keys the last one counts: they are looked up from the end.
+    steps = steps.withColumns({"_names": F.transform("_pairs", lambda p: p["key"]), "_backward": F.reverse("_pairs")})
+    steps = steps.withColumn("_names_backward", F.reverse("_names"))
+    known = F.array_intersect(F.concat(wanted, F.col("_names")), F.col("_names"))
+    value_of = lambda k: F.get(F.col("_backward"), (F.array_position("_names_backward", k) - 1).cast("int"))["value"]
     steps = steps.withColumn("_chosen", F.transform(known, lambda k: F.struct(k.alias("key"), value_of(k).alias("value"))))
     steps = steps.withColumn("_typed", F.transform("_chosen", lambda p: _typed(p["key"], p["value"])))
     tail = lambda k: [lookup(DETAIL_LABELS, key_tail(k))] if structured else []
@@ -209,7 +224,7 @@ def add_details(
         "_typed", lambda t: F.struct(t["key"].alias("key"), label(t["key"]).alias("label"), format_detail(t, structured).alias("value"))
     )
     kept = F.slice(F.filter(shown, lambda d: F.coalesce(d["value"], F.lit("")) != ""), 1, top)
-    return steps.withColumn("details", kept).drop("_chosen", "_typed")
+    return steps.withColumn("details", kept).drop("_chosen", "_typed", "_names", "_names_backward", "_backward")
 
 
 def tool_wanted(name: Column) -> Column:

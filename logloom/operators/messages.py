@@ -61,7 +61,8 @@ def message_blocks(records: DataFrame) -> DataFrame:
 
     blocks = V.elements(body)
     results = F.transform(F.filter(blocks, lambda e: _is(e["value"], "tool_result")), lambda e: item("tool-result", e["value"], e["text"]))
-    results = F.when(F.size(results) > 0, results).when(F.col("tool_use_result").isNotNull(), F.array(item("tool-result", empty, no_text)))
+    bare = F.when(F.col("tool_use_result").isNotNull(), F.array(item("tool-result", empty, no_text)))
+    results = V.let(results, lambda found: F.when(F.size(found) > 0, found).otherwise(bare))
     thinking = F.transform(F.filter(blocks, lambda e: _shown_thinking(e["value"])), lambda e: item("thinking", e["value"], e["text"]))
     attached = (F.col("type") == "attachment") & F.col("attachment").isNotNull()
     event = F.when(
