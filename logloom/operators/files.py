@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.details import TOOL_ID_KEYS, detail_preferred
+from logloom.functions import variants as V
+from logloom.functions.details import TOOL_ID_KEYS, details_preferred
 from logloom.functions.text import basename, is_bare_name, is_likely_path, parse_line_count, trim_space
 from logloom.operators.scans import LINE_SPAN, chunk_of, chunk_scan, running_sum
 
@@ -14,6 +15,7 @@ SESSION = ["project_id", "session_id"]
 PATH_KEYS = ["content.file.filePath", "filePath", "file_path", "path", "displayPath", "filename"]
 LOADED_KEYS = ["content.file.numLines", "numLines"]
 TOTAL_KEYS = ["content.file.totalLines", "totalLines"]
+LINE_KEYS = {"start": ["startLine"], "end": ["endLine"]}
 TOKENS_PER_LINE = 4
 LINE_CHUNK = 1 << 20
 
@@ -30,24 +32,23 @@ def build_range(start: Column, end: Column, loaded: Column) -> Column:
 
 def read_calls(tool_calls: DataFrame) -> DataFrame:
     """File, start and end line of every Read call."""
-    d = F.col("details")
-    return tool_calls.filter("tool_name = 'Read'").select(
-        *SESSION, "seq", "pos", "tool_id", detail_preferred(d, PATH_KEYS).alias("path"),
-        parse_line_count(detail_preferred(d, ["startLine"])).alias("start_line"),
-        parse_line_count(detail_preferred(d, ["endLine"])).alias("end_line"),
+    d = details_preferred(F.col("details"), {"path": PATH_KEYS, **LINE_KEYS})
+    rows = V.computed_once(tool_calls.filter("tool_name = 'Read'"), *SESSION, "seq", "pos", "tool_id", d.alias("d"))
+    return rows.select(
+        *SESSION, "seq", "pos", "tool_id", "d.path", parse_line_count(F.col("d.start")).alias("start_line"), parse_line_count(F.col("d.end")).alias("end_line"),
     )
 
 
 def block_mentions(blocks: DataFrame) -> DataFrame:
     """File, counts and own line numbers of every block that names a file."""
-    d = F.col("details")
-    return blocks.select(
-        *SESSION, "seq", "pos", detail_preferred(d, TOOL_ID_KEYS).alias("tool_id"), detail_preferred(d, PATH_KEYS).alias("path"),
-        detail_preferred(d, LOADED_KEYS).alias("loaded"), detail_preferred(d, TOTAL_KEYS).alias("total"),
-        parse_line_count(detail_preferred(d, ["startLine"])).alias("start_line"),
-        parse_line_count(detail_preferred(d, ["endLine"])).alias("end_line"),
-        "attached", F.col("content").isNotNull().alias("has_content"),
-    ).filter("path is not null")
+    names = {"tool_id": TOOL_ID_KEYS, "path": PATH_KEYS, "loaded": LOADED_KEYS, "total": TOTAL_KEYS, **LINE_KEYS}
+    d = details_preferred(F.col("details"), names)
+    has_content = F.col("content").isNotNull().alias("has_content")
+    rows = V.computed_once(blocks, *SESSION, "seq", "pos", d.alias("d"), "attached", has_content)
+    return rows.filter("d.path is not null").select(
+        *SESSION, "seq", "pos", "d.tool_id", "d.path", "d.loaded", "d.total",
+        parse_line_count(F.col("d.start")).alias("start_line"), parse_line_count(F.col("d.end")).alias("end_line"), "attached", "has_content",
+    )
 
 
 def resolve_ranges(mentions: DataFrame, reads: DataFrame, keys: list[str] = SESSION) -> DataFrame:

@@ -93,28 +93,30 @@ def context_before_replies(spark: SparkSession, d: str) -> DataFrame:
     return out.select("session_id", "seq", *[f"{b}_tokens" for b in C.BUCKETS], "total_tokens", "overflow")
 
 
-def _calls_and_blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mentions_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Read calls and all blocks, with what :func:`files.file_mentions` reads of them: the rest is not computed."""
     records = _records(spark, d)
-    return cut_lineage(M.tool_calls(records)), cut_lineage(M.message_blocks(records))
+    calls = M.tool_calls(records).filter("tool_name = 'Read'").select(*M.AT, "pos", "tool_name", "tool_id", "details")
+    return cut_lineage(calls), M.message_blocks(records).select(*M.AT, "pos", "details", "attached", "content")
 
 
 def file_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return FI.file_mentions(*_calls_and_blocks(spark, d)).drop("kind_order")
+    return FI.file_mentions(*_mentions_input(spark, d)).drop("kind_order")
 
 
 def context_files(spark: SparkSession, d: str) -> DataFrame:
-    return FI.context_files(FI.file_mentions(*_calls_and_blocks(spark, d)))
+    return FI.context_files(cut_lineage(FI.file_mentions(*_mentions_input(spark, d))))
 
 
 def context_file_coverage(spark: SparkSession, d: str) -> DataFrame:
-    mentions = cut_lineage(FI.file_mentions(*_calls_and_blocks(spark, d)))
+    mentions = cut_lineage(FI.file_mentions(*_mentions_input(spark, d)))
     files = cut_lineage(FI.context_files(mentions))
     return FI.context_coverage(mentions, files)
 
 
 def context_file_messages(spark: SparkSession, d: str) -> DataFrame:
     """Every message that mentions a file, numbered by file."""
-    mentions = cut_lineage(FI.file_mentions(*_calls_and_blocks(spark, d)))
+    mentions = cut_lineage(FI.file_mentions(*_mentions_input(spark, d)))
     return FI.mention_places(mentions, cut_lineage(FI.context_files(mentions)))
 
 
@@ -129,7 +131,10 @@ def log_tool_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hunks(spark: SparkSession, d: str) -> DataFrame:
-    calls, blocks = _calls_and_blocks(spark, d)
+    records = _records(spark, d)
+    calls = cut_lineage(M.tool_calls(records).drop("summary"))
+    results = M.message_blocks(records).filter("block_type = 'tool-result'")
+    blocks = cut_lineage(results.select(*M.AT, "pos", "block_type", "details", "full_content"))
     diffed = cut_lineage(E.line_diff(E.session_edits(calls)))
     return E.session_hunks(diffed, E.file_snapshots(blocks, calls))
 

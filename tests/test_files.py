@@ -39,3 +39,40 @@ def test_coverage_is_cut_to_the_file_and_falls_back_to_the_loaded_count(spark):
     )
     got = {r.file_key: (r.loaded_lines, r.range_count, r.percent, r.is_partial) for r in FI.context_coverage(mentions, files).collect()}
     assert got == {"one.py": (8, 1, 100, False), "two.py": (10, 0, 25, True)}
+
+
+def test_mention_queries_write_only_what_they_read(spark, monkeypatch):
+    from logloom.plans import log_queries as L
+
+    written = []
+
+    def keep(df):
+        written.append(df)
+        return df
+
+    monkeypatch.setattr(L, "cut_lineage", keep)
+    L.file_mentions(spark, "/root/testdata/sf0.001")
+    assert written and all(not {"summary", "title", "full_content", "old_text"} & set(df.columns) for df in written)
+    assert {r.tool_name for r in written[0].select("tool_name").distinct().collect()} == {"Read"}
+    written.clear()
+    L._hunks(spark, "/root/testdata/sf0.001")
+    assert all(not {"summary", "title"} & set(df.columns) for df in written)
+    assert {r.block_type for r in written[1].select("block_type").distinct().collect()} == {"tool-result"}
+
+
+def test_preferred_details_take_the_first_match_of_key_or_tail(spark):
+    from pyspark.sql import functions as F
+
+    from logloom.functions.details import detail_lookup, details_preferred
+
+    rows = [
+        (1, [("a.path", "A", "x"), ("path", "P", "y"), ("n", "N", "2")]), (2, [("path", "P", "y"), ("a.path", "A", "x")]),
+        (3, [("q", "Q", "z")]), (4, []), (5, None), (6, [("n.", "N", "1"), ("b.file", "F", "f")]),
+    ]
+    df = spark.createDataFrame(rows, "id int, d array<struct<key:string,label:string,value:string>>")
+    wanted = {"one": ["file", "path"], "two": ["n"], "three": ["a.path"]}
+    fast = details_preferred(F.col("d"), wanted)
+    slow = F.struct(*[F.coalesce(*[detail_lookup(F.col("d"), [c]) for c in names]).alias(n) for n, names in wanted.items()])
+    got = df.select("id", fast.alias("f"), slow.alias("s")).orderBy("id").collect()
+    assert [tuple(r.f) for r in got] == [tuple(r.s) for r in got]
+    assert got[0].f.one == "x" and got[0].f.two == "2" and got[4].f.one is None
