@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import variants as V
 from logloom.functions.text import non_blank, non_empty, trim_space
-from logloom.operators.records import DIMS, content, is_user, usage_columns
+from logloom.operators.records import DIMS, is_user, usage_columns
 from logloom.operators.scans import Stage, chunk_scan
 from logloom.session import cut_lineage
 
@@ -86,36 +86,44 @@ def _image(block: Column) -> Column:
     return F.when(V.is_object(source) & (inner_json != "{}"), with_source).otherwise(outer)
 
 
-def _user_part(block: Column) -> Column:
-    kind = V.string_at(block, "type")
+def _typed(blocks: Column) -> Column:
+    """Each block with its type, looked up once for all that ask for it."""
+    return F.transform(
+        blocks, lambda b: F.struct(b.alias("block"), V.is_object(b).alias("is_object"), V.string_at(b, "type").alias("kind"))
+    )
+
+
+def _user_part(typed: Column) -> Column:
+    block, kind = typed["block"], typed["kind"]
     return (
-        F.when(~V.is_object(block), _part("tool", serialised(block)))
-        .when(kind == "text", _part("conversation", serialised(_present(V.get(block, "text"), V.get(block, "content"), block))))
-        .when(kind == "tool_result", _part("tool", serialised(_present(V.get(block, "content"), block))))
+        F.when(~typed["is_object"], _part("tool", serialised(block)))
+        .when(kind == "text", _part("conversation", V.let(_present(V.get(block, "text"), V.get(block, "content"), block), serialised)))
+        .when(kind == "tool_result", _part("tool", V.let(_present(V.get(block, "content"), block), serialised)))
         .when(kind == "image", _part("other", _image(block)))
         .otherwise(_part("other", _type_only(block)))
     )
 
 
-def _assistant_part(block: Column) -> Column:
-    kind = V.string_at(block, "type")
+def _assistant_part(typed: Column) -> Column:
+    block, kind = typed["block"], typed["kind"]
     thought = F.coalesce(V.string_at(block, "thinking"), V.string_at(block, "text"))
     pair = lambda n: F.when(V.get(block, n).isNotNull(), F.concat(F.lit(f'"{n}":'), F.to_json(V.get(block, n))))
     call = F.concat(F.lit("{"), F.concat_ws(",", pair("name"), pair("input")), F.lit("}"))
     return (
-        F.when(~V.is_object(block), _part("other", serialised(block)))
-        .when(kind == "text", _part("conversation", serialised(V.get(block, "text"))))
+        F.when(~typed["is_object"], _part("other", serialised(block)))
+        .when(kind == "text", _part("conversation", V.let(V.get(block, "text"), serialised)))
         .when(kind.isin("thinking", "redacted_thinking"), _part("thinking", thought))
         .when(kind == "tool_use", _part("tool", call))
         .otherwise(_part("other", _type_only(block)))
     )
 
 
-def _is_hidden(block: Column) -> Column:
+def _is_hidden(typed: Column) -> Column:
     """Thinking without text but with a signature."""
+    block = typed["block"]
     thought = trim_space(F.coalesce(V.string_at(block, "thinking"), V.string_at(block, "text"), F.lit("")))
     return F.coalesce(
-        V.string_at(block, "type").isin("thinking", "redacted_thinking") & (thought == "") & non_blank(V.string_at(block, "signature")),
+        typed["kind"].isin("thinking", "redacted_thinking") & (thought == "") & non_blank(V.string_at(block, "signature")),
         F.lit(False),
     )
 
@@ -172,9 +180,20 @@ def counted_contributions(records: DataFrame, count: TextCounter = normalised_es
 
 def _with_parts(records: DataFrame) -> DataFrame:
     """Top-level records with their ``parts`` (bucket and text), hidden thinking blocks and usage."""
-    body = content().value
-    blocks = V.items(body)
-    text = V.as_string(body)
+    message, result = F.col("message"), F.col("tool_use_result")
+    is_assistant = F.col("type") == "assistant"
+    # Columns of their own, as every use inside one expression would cut the content out of the message again.
+    rows = records.filter("top_level").withColumns({
+        "_is_user": is_user(),
+        "_blocks": V.get(message, "content", "array<variant>"),
+    })
+    scalar = F.col("_blocks").isNull() & V.get(message, "content", "struct<>").isNull()
+    rows = rows.withColumns({
+        "_is_text": F.coalesce(F.when(scalar, V.kind_at(message, "content")) == "STRING", F.lit(False)),
+        "_typed": F.when(is_assistant | (F.col("_is_user") & result.isNull()), _typed(F.col("_blocks"))),
+    })
+    has_blocks, typed = F.col("_blocks").isNotNull(), F.col("_typed")
+    text = V.get(message, "content", "string")
     attachment = F.col("attachment")
     kind = F.coalesce(V.string_at(attachment, "type"), F.lit("attachment"))
     file_text = V.string_at(attachment, "content.file.content")
@@ -185,23 +204,19 @@ def _with_parts(records: DataFrame) -> DataFrame:
     )
     command = text.rlike("<command-name>|<local-command-stdout>|<local-command-caveat>")
     said = F.when(command | F.coalesce("is_meta", F.lit(False)), _part("system", text)).otherwise(_part("conversation", text))
-    result = F.col("tool_use_result")
     user_parts = (
-        F.when(V.is_string(body), F.array(said))
-        .when(V.is_array(body) & result.isNotNull(), F.array(_part("tool", serialised(result))))
-        .when(V.is_array(body), F.transform(blocks, _user_part))
-    )
-    assistant_parts = F.when(V.is_string(body), F.array(_part("conversation", text))).when(
-        V.is_array(body), F.transform(blocks, _assistant_part)
+        F.when(F.col("_is_text"), F.array(said))
+        .when(has_blocks & result.isNotNull(), F.array(_part("tool", serialised(result))))
+        .when(has_blocks, F.transform(typed, _user_part))
     )
-    is_assistant = F.col("type") == "assistant"
+    assistant_parts = F.when(F.col("_is_text"), F.array(_part("conversation", text))).when(has_blocks, F.transform(typed, _assistant_part))
     parts = (
-        F.when(is_user(), user_parts).when(is_assistant, assistant_parts)
+        F.when(F.col("_is_user"), user_parts).when(is_assistant, assistant_parts)
         .when((F.col("type") == "attachment") & attachment.isNotNull(), F.array(attached))
     )
     none = F.array().cast("array<struct<bucket:string,text:string>>")
-    hidden = F.when(is_assistant, F.size(F.filter(blocks, _is_hidden)))
-    return records.filter("top_level").select(
+    hidden = F.when(is_assistant, F.size(F.filter(typed, _is_hidden)))
+    return rows.select(
         *DIMS, "type", "timestamp", F.coalesce(parts, none).alias("parts"),
         F.greatest(F.coalesce(hidden, F.lit(0)), F.lit(0)).cast("bigint").alias("hidden_thinking"), *usage_columns()[:5],
     )
@@ -244,9 +259,10 @@ def running_context(
                 **each(lambda m: lambda w: F.col(f"_c_{m}"), "_c_"),
             },
         ],
+        scratch=["_prev", *[f"_p_{m}" for m in measures]],
     )
     out = out.withColumns({f"{prefix}{m}": F.coalesce(F.col(f"_c_{m}") + F.col(f"_s_{m}"), F.col(f"_open_{m}")) for m in measures})
-    return out.drop("_a", "_prev", *[f"{p}{m}" for p in ("_v_", "_p_", "_s_", "_c_", "_open_") for m in measures])
+    return out.drop("_a", *[f"{p}{m}" for p in ("_v_", "_s_", "_c_", "_open_") for m in measures])
 
 
 def prompt_breakdown(ctx: DataFrame, drop_overflow: bool = False) -> DataFrame:

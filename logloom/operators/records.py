@@ -20,25 +20,24 @@ def is_user() -> Column:
     return F.coalesce((F.col("type") == "user") & (V.string_at(F.col("message"), "role") == "user"), F.lit(False))
 
 
-def _tokens(usage: Column) -> dict[str, Column]:
+def _tokens(message: Column) -> dict[str, Column]:
     return {
-        "input_tokens": V.number_at(usage, "input_tokens"),
-        "output_tokens": V.number_at(usage, "output_tokens"),
-        "cache_write_tokens": V.number_at(usage, "cache_creation_input_tokens"),
-        "cache_read_tokens": V.number_at(usage, "cache_read_input_tokens"),
+        "input_tokens": V.number_at(message, "usage.input_tokens"),
+        "output_tokens": V.number_at(message, "usage.output_tokens"),
+        "cache_write_tokens": V.number_at(message, "usage.cache_creation_input_tokens"),
+        "cache_read_tokens": V.number_at(message, "usage.cache_read_input_tokens"),
     }
 
 
 def usage_columns() -> list[Column]:
     """has_usage, the four counters, the cache split and the service tier of a message."""
-    usage = V.get(F.col("message"), "usage")
-    has = V.is_object(usage)
-    split = V.get(usage, "cache_creation")
+    message = F.col("message")
+    has = V.get(message, "usage", "struct<>").isNotNull()
     return [
-        has.alias("has_usage"), *[F.when(has, c).alias(n) for n, c in _tokens(usage).items()],
-        V.number_at(split, "ephemeral_5m_input_tokens").alias("cache_5m_tokens"),
-        V.number_at(split, "ephemeral_1h_input_tokens").alias("cache_1h_tokens"),
-        V.string_at(usage, "service_tier").alias("service_tier"),
+        has.alias("has_usage"), *[F.when(has, c).alias(n) for n, c in _tokens(message).items()],
+        V.number_at(message, "usage.cache_creation.ephemeral_5m_input_tokens").alias("cache_5m_tokens"),
+        V.number_at(message, "usage.cache_creation.ephemeral_1h_input_tokens").alias("cache_1h_tokens"),
+        V.string_at(message, "usage.service_tier").alias("service_tier"),
     ]
 
 

@@ -9,7 +9,7 @@ deep scans are nested.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -41,13 +41,17 @@ def chunk_scan(
     summary: dict[str, Column],
     carry: list[Stage],
     descending: bool = False,
+    scratch: Sequence[str] = (),
 ) -> DataFrame:
-    """Add the ``local`` columns (per chunk) and the last ``carry`` stage (per chunk, from before)."""
+    """Add the ``local`` columns (per chunk) and the last ``carry`` stage (per chunk, from before).
+
+    ``scratch`` names columns that only the ``local`` stages read; they are not written.
+    """
     parts = df.withColumn("_chunk", chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*_ordered(order, descending))
     for stage in local:
         parts = parts.withColumns({name: make(inside) for name, make in stage.items()})
-    parts = cut_lineage(parts)
+    parts = cut_lineage(parts.drop(*scratch))
     table = parts.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in summary.items()])
     across = Window.partitionBy(*keys).orderBy(*_ordered(["_chunk"], descending))
     for stage in carry:

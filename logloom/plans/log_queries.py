@@ -87,7 +87,7 @@ def prompt_contributions(spark: SparkSession, d: str) -> DataFrame:
 
 def context_before_replies(spark: SparkSession, d: str) -> DataFrame:
     """Contributions, running context and reconciliation of every assistant record."""
-    given = cut_lineage(C.prompt_contributions(_records(spark, d)))
+    given = C.prompt_contributions(_records(spark, d)).drop("file_path", "top_level", "timestamp", "output_tokens")
     ctx = C.running_context(given, SESSION, "seq", chunk_of(F.col("seq"), 1 << 20), F.col("type") == "assistant", [*C.BUCKETS, "hidden_thinking"])
     out = C.prompt_breakdown(ctx.filter("type = 'assistant'"))
     return out.select("session_id", "seq", *[f"{b}_tokens" for b in C.BUCKETS], "total_tokens", "overflow")

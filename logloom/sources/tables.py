@@ -35,13 +35,19 @@ def model_of_event() -> Column:
     )
 
 
-def events_base(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with session naming: one session per user and day, every tenth event a sub-agent's."""
+def events_base(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """Events with session naming: one session per user and day, every tenth event a sub-agent's.
+
+    ``spread`` deals the events to all tasks first: a few row groups of small rows are few tasks of much work.
+    """
+    events = load(spark, folder, "events")
+    if spread:
+        events = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *events.columns)
     user = F.col("user_id").cast("string")
     day = F.date_format("ts", "yyyy-MM-dd")
     top = (F.col("event_id") % 10) != 0
     session = F.concat_ws("-", user, day)
-    return load(spark, folder, "events").select(
+    return events.select(
         "event_id", "ts", "user_id", "event_type", "value", _k().alias("k"),
         user.alias("project_id"), session.alias("session_id"), top.alias("top_level"),
         F.when(top, F.concat(session, F.lit(".jsonl")))
@@ -185,20 +191,22 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     Clicks are tool calls, purchases tool results, views thinking and text with usage, sign-ups user
     texts or commands, errors attachments or compactions. Some lines are broken or wrongly typed.
     """
+    # Columns of their own: in one expression with the lines, the generated method is too large for the JVM to compile.
     file = "concat('src/f', k % 10, '.ts')"
-    call_input = f"""named_struct(
+    result = "concat('line ', k % 12, '\\nkeep ', k % 5)"
+    call_input = f"""if(event_type = 'click', named_struct(
         'command', if(k % 4 = 2, concat('run ', k), null), 'timeout', if(k % 4 = 2, k * 1000, null),
         'query', if(k % 4 = 3, concat('q', k), null), 'file_path', if(k % 4 < 2, {file}, null),
         'startLine', if(k % 4 = 0 or (k % 4 = 1 and k % 8 = 1), k + 1, null), 'endLine', if(k % 4 = 0, k + 10, null),
-        'old_string', if(k % 4 = 1, concat('line ', k % 12, '\\nkeep ', k % 5), null),
-        'new_string', if(k % 4 = 1, concat('line ', k % 12 + 4, '\\nkeep ', k % 5, '\\nadded'), null))"""
+        'old_string', if(k % 4 = 1, {result}, null),
+        'new_string', if(k % 4 = 1, concat('line ', k % 12 + 4, '\\nkeep ', k % 5, '\\nadded'), null)), null)"""
     name = "case k % 4 when 0 then 'Read' when 1 then 'Edit' when 2 then 'Bash' else 'Grep' end"
     usage = """named_struct('input_tokens', cast(floor(value * 10) as bigint), 'output_tokens', cast(floor(value) as bigint),
         'cache_creation_input_tokens', k * 10, 'cache_read_input_tokens', k * 1000)"""
     message = lambda role, content, more="": f"'message', named_struct('role', '{role}', 'content', {content}{more})"
-    own = "'id', concat('m', event_id), 'model', model, 'usage', " + usage
+    own = "'id', concat('m', event_id), 'model', model, 'usage', _usage"
     bodies = {
-        "click": "'type', 'assistant', " + message("assistant", f"array(named_struct('type', 'tool_use', 'id', concat('t', k % 3), 'name', {name}, 'input', {call_input}))", ", 'stop_reason', 'tool_use', " + own),
+        "click": "'type', 'assistant', " + message("assistant", f"array(named_struct('type', 'tool_use', 'id', concat('t', k % 3), 'name', {name}, 'input', _call))", ", 'stop_reason', 'tool_use', " + own),
         "purchase": "'type', 'user', " + message("user", "array(named_struct('type', 'tool_result', 'tool_use_id', concat('t', k % 3), 'content', concat('line ', k % 12, '\\nkeep ', k % 5)))")
         + f", 'toolUseResult', named_struct('type', 'text', 'filePath', {file}, 'numLines', k, 'totalLines', k * 2, 'exitCode', k % 3)",
         "view": "'type', 'assistant', " + message("assistant", "array(named_struct('type', 'thinking', 'thinking', if(k % 2 = 0, concat('Thought ', k), ''), 'signature', 'sig', 'text', null), named_struct('type', 'text', 'thinking', null, 'signature', null, 'text', concat('Seen ', event_id)))", ", 'stop_reason', 'end_turn', " + own),
@@ -210,7 +218,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     json = lambda body: f"to_json(named_struct({stamp}{body}))"
     cases = " ".join(f"when event_type = '{kind}' then {json(body)}" for kind, body in bodies.items())
     line = f"case {cases} when k % 2 = 0 then {json(attachment)} else {json(compaction)} end"
-    base = events_base(spark, folder).withColumn("model", model_of_event())
+    base = events_base(spark, folder, spread=True).withColumns({"model": model_of_event(), "_call": F.expr(call_input), "_usage": F.expr(usage)})
     base = base.select("event_id", "user_id", F.explode(F.array(F.expr(line))).alias("line"))
     broken = F.when(F.col("event_id") % 97 == 5, F.substring("line", 1, 40)).when(
         F.col("event_id") % 97 == 6, F.regexp_replace("line", '"timestamp":"[^"]*"', '"timestamp":5')

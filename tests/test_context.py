@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
 from logloom.operators import context as C
 from logloom.operators import files as FI
+from logloom.sources import tables
 from logloom.sources.logs import read_records
 from tests.logtree import assistant, user, write_session
 
@@ -34,3 +39,46 @@ def test_places_of_a_file_join_bare_names(spark):
     )
     rows = FI.mention_places(mentions, FI.context_files(mentions)).collect()
     assert sorted((r["file_key"], r["seq"], r["place"]) for r in rows) == [("b.py", 4, 1), ("src/a.py", 2, 1), ("src/a.py", 5, 2), ("src/a.py", 9, 3)]
+
+
+def _few_events(spark, folder):
+    rows = spark.range(400).selectExpr(
+        "id event_id", "timestamp'2024-01-15 10:00:00' ts", "id % 7 user_id", "element_at(array('click', 'view', 'purchase', 'signup', 'error'), cast(id % 5 + 1 as int)) event_type",
+        "id / 2D value", "to_json(named_struct('k', id % 13)) props",
+    )
+    rows.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_lines_of_one_row_group_are_made_by_many_tasks(spark, tmp_path):
+    lines = tables.log_lines(spark, _few_events(spark, tmp_path))
+    assert lines.count() == 400
+    assert lines.select(F.spark_partition_id().alias("p"), "value").groupBy("p").agg(F.count("value")).count() > 4
+
+
+def test_line_code_is_small_enough_to_be_compiled(spark, tmp_path, capsys):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        tables.log_lines(spark, _few_events(spark, tmp_path)).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM only interprets larger methods
+
+
+def test_contributions_cut_the_content_out_few_times(spark, tmp_path, capsys):
+    at = "2026-01-01T10:00:00Z"
+    odd = [
+        7, None, "x", {"type": "text", "text": None}, {"type": "text", "content": "a b"}, {"type": 3}, {"type": "text", "text": {"b": 1}},
+        {"type": "tool_result", "content": ["y"]}, {"type": "thinking", "thinking": " ", "signature": "s"}, {"type": "tool_use", "name": "n", "input": {"q": 1}}, [1],
+    ]
+    bodies = [odd, [], None, 5, True, {"type": "text"}, "said <command-name>", " plain "]
+    lines = [user(at, b) for b in bodies] + [user(at, odd) | {"toolUseResult": {"a": 1}}] + [assistant(at, b, "m") for b in bodies]
+    write_session(tmp_path, "-p", "s1", lines)
+    given = C.prompt_contributions(read_records(spark, str(tmp_path)))
+    rows = [[r[b] for b in (*C.BUCKETS, "hidden_thinking")] for r in given.orderBy("seq").collect()]
+    said = [[7, 0, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0, 0], [0, 0, 0, 0, 7, 0, 0]]
+    none = [0] * 7
+    assert rows == [[0, 24, 0, 0, 10, 27, 0], *[none] * 5, *said, [0, 7, 0, 0, 21, 22, 1], *[none] * 5, [0, 7, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0, 0]]
+    given.explain("simple")
+    assert capsys.readouterr().out.count("$.content") < 20
