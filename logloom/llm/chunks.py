@@ -9,27 +9,38 @@ Both numbers grow with the corpus, so a row for each pair of chunk and bucket wo
 travel in packets instead, in as many hops as the buckets need: no sender has more than ``FAN`` addresses, and
 what a panel of senders has for one range of buckets is put together and cut up for the next hop. Rows per hop
 are at most ``FAN`` times the chunks; answers go back the same way.
+
+Memory of a worker does not follow the corpus: rows come in batches of bounded bytes and are looked at in place, runs
+are merged a stretch of keys at a time (``stretches``), and what a chunk or a group took goes back to the system.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from logloom.llm.common import Scratch, mix64, tasks_for, utf8
+from logloom.llm.common import ROWS_PER_BATCH, Scratch, mix64, tasks_for, utf8
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 # Answers up to this size are broadcast to the chunks; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 CHUNK_ROWS = 2
+# Bytes from which on a batch of packets goes to a worker, and rows that are merged at once.
+BATCH_BYTES = 4 << 20
+STRETCH_ROWS = 1 << 17
+# A row of chunks may take megabytes: readers hold few of them, and pages are cut by size from the first row on.
+READ_ROWS = 4
+PAGES = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 # The most addresses of a sender in one hop. A hop moves all runs once more, so they should be few: two reach 16 million
 # buckets, some 250 TB of text, and packets of a chunk stay at a few hundred bytes.
 FAN = 4096
@@ -38,6 +49,33 @@ CHUNKS = "chunk bigint, n_docs bigint, n_bytes bigint, n_words bigint, doc_ids b
 PACKETS = "toward bigint, panel bigint, packet binary"
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def save(scratch: Scratch, df: DataFrame, name: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Write what is made from chunks or packets; their rows are read and sent to workers a few megabytes at a time."""
+    limits = {"spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    with _settings(scratch.spark, **limits):
+        return scratch.save(df, name, rows=rows)
+
+
+def give_back() -> None:
+    """Return free memory to the system; a worker would keep it for as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _gather(chunk_bytes: int):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -87,7 +125,7 @@ def stage_chunks(docs: DataFrame, scratch: Scratch, carry: list[str] | None = No
     texts = docs.select(
         F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *[F.col(c).alias(f"in_{c}") for c in carry or []]
     )
-    return scratch.save(texts.mapInArrow(_gather(chunk_bytes), CHUNKS), "chunks", compression="zstd")
+    return scratch.save(texts.mapInArrow(_gather(chunk_bytes), CHUNKS), "chunks", **PAGES)
 
 
 def bucket_count(chunks: DataFrame) -> int:
@@ -121,15 +159,27 @@ class Chunk:
 
     def texts(self) -> Iterator[bytes]:
         for end, size in zip(self.ends.tolist(), self.sizes.tolist()):
-            yield self.raw[end - size:end]
+            yield bytes(self.raw[end - size:end])
+
+
+def _in_place(value: pa.Scalar):
+    """A value of a batch; bytes as a view of the batch."""
+    if not value.is_valid:
+        return None
+    if isinstance(value, pa.BinaryScalar):
+        return memoryview(value.as_buffer())
+    return [_in_place(v) for v in value] if isinstance(value, pa.ListScalar) else value.as_py()
 
 
 def _over_chunks(make: Callable[[Chunk], Iterator[dict]], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = {name: _in_place(column[k]) for name, column in zip(batch.schema.names, batch.columns)}
                 for columns in make(Chunk(row)):
                     yield pa.RecordBatch.from_pydict(columns, schema=schema)
+                    del columns
+                give_back()
 
     return run
 
@@ -187,27 +237,48 @@ class Routes:
         return max(min(groups, 1024), groups // 16)
 
 
-def _packets(found: Iterator[tuple[int, int, bytes]], address: Callable[[int, int], tuple[int, int]]) -> dict:
-    """Rows of packets: the frames by the (toward, panel) that ``address`` gives for a bucket and chunk."""
-    sorted_out: dict = {}
-    for frame in found:
-        sorted_out.setdefault(address(frame[0], frame[1]), []).append(frame)
-    return {
-        "toward": [t for t, _ in sorted_out], "panel": [p for _, p in sorted_out], "packet": [pack(f) for f in sorted_out.values()],
-    }
+def _packets(found: Iterable[tuple[int, int, bytes]], address: Callable[[int, int], tuple[int, int]]) -> Iterator[dict]:
+    """Rows of packets: the frames by the (toward, panel) that ``address`` gives for a bucket and chunk.
+
+    ``found`` is in order of its addresses. Rows are handed on at every ``BATCH_BYTES``.
+    """
+    rows, held = {"toward": [], "panel": [], "packet": []}, 0
+    for (toward, panel), part in groupby(found, key=lambda f: address(f[0], f[1])):
+        packet = pack(list(part))
+        for name, value in zip(rows, (toward, panel, packet)):
+            rows[name].append(value)
+        held += len(packet)
+        if held >= BATCH_BYTES:
+            yield rows
+            rows, held = {"toward": [], "panel": [], "packet": []}, 0
+    if held:
+        yield rows
 
 
 def _first_hop(send: Callable[[Chunk], Iterator[dict]], routes: Routes):
     def hop(chunk: Chunk) -> Iterator[dict]:
         panel = routes.panel(chunk.number, min(1, routes.hops - 1))
-        yield _packets(((b, chunk.number, run) for b, run in send(chunk)), lambda b, _: (routes.toward(b, 1), panel))
+        yield from _packets(((b, chunk.number, run) for b, run in send(chunk)), lambda b, _: (routes.toward(b, 1), panel))
 
     return hop
 
 
+_PACKETS = pa.schema([("toward", pa.int64()), ("panel", pa.int64()), ("packet", pa.binary())])
+
+
+def _frames_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, memoryview]]:
+    for batch in batches:
+        for packet in batch.column("packet"):
+            yield from frames(_in_place(packet))
+
+
 def _further_hop(address: Callable[[int, int], tuple[int, int]]):
-    def hop(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_packets((f for p in rows["packet"] for f in frames(p)), address))
+    def hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(_frames_of(batches), key=lambda f: address(f[0], f[1]))
+        for columns in _packets(found, address):
+            yield pa.RecordBatch.from_pydict(columns, schema=_PACKETS)
+        del found
+        give_back()
 
     return hop
 
@@ -218,29 +289,34 @@ def exchange(
 ) -> DataFrame:
     """Send runs to buckets, merge them there, and return packets of answers by chunk (``panel``).
 
-    ``send`` yields (bucket, run). ``merge`` gets the runs of one bucket with their chunk numbers, in chunk order, and
+    ``send`` yields (bucket, run), buckets ascending. ``merge`` gets the runs of one bucket with their chunk numbers, in chunk order, and
     answers each.
     """
     last = routes.hops - 1
 
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        found = sorted((f for p in rows["packet"] for f in frames(p)), key=lambda f: f[1])
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(_frames_of(batches), key=lambda f: f[1])
         answers = merge([run for _, _, run in found], np.array([c for _, c, _ in found], np.int64))
-        replies = ((b, c, reply) for (b, c, _), reply in zip(found, answers))
-        return pd.DataFrame(_packets(replies, lambda b, c: (routes.toward(b, max(1, last)), routes.panel(c, last))))
+        replies = [(b, c, reply) for (b, c, _), reply in zip(found, answers)]
+        del found, answers
+        home = lambda b, c: (routes.toward(b, max(1, last)), routes.panel(c, last))
+        for columns in _packets(sorted(replies, key=lambda f: home(f[0], f[1])), home):
+            yield pa.RecordBatch.from_pydict(columns, schema=_PACKETS)
+        del replies
+        give_back()
 
     moved = over_chunks(chunks, _first_hop(send, routes), PACKETS)
     for hop in range(2, routes.hops + 1):
         ahead = _further_hop(lambda b, c, hop=hop: (routes.toward(b, hop), routes.panel(c, min(hop, last))))
-        moved = moved.repartition(routes.tasks(hop - 1), "toward", "panel").groupBy("toward", "panel").applyInPandas(ahead, PACKETS)
-    merged = moved.repartition(max(min(routes.buckets, 1024), routes.buckets // 16), "toward").groupBy("toward").applyInPandas(answer, PACKETS)
-    replies = scratch.save(merged, name if last == 0 else f"{name}-merged", rows=CHUNK_ROWS)
+        moved = moved.repartition(routes.tasks(hop - 1), "toward", "panel").groupBy("toward", "panel").applyInArrow(ahead, PACKETS)
+    merged = moved.repartition(max(min(routes.buckets, 1024), routes.buckets // 16), "toward").groupBy("toward").applyInArrow(answer, PACKETS)
+    replies = save(scratch, merged, name if last == 0 else f"{name}-merged", rows=ROWS_PER_BATCH)
     if last == 0:
         return replies
     for level in range(last, 0, -1):
         home = _further_hop(lambda b, c, level=level: (routes.toward(b, max(1, level - 1)), routes.panel(c, level - 1)))
-        replies = replies.repartition(routes.tasks(level), "toward", "panel").groupBy("toward", "panel").applyInPandas(home, PACKETS)
-    replies = scratch.save(replies, name, rows=CHUNK_ROWS)
+        replies = replies.repartition(routes.tasks(level), "toward", "panel").groupBy("toward", "panel").applyInArrow(home, PACKETS)
+    replies = save(scratch, replies, name, rows=ROWS_PER_BATCH)
     scratch.drop(f"{name}-merged")
     return replies
 
@@ -261,6 +337,20 @@ def split_runs(buckets_of: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(buckets_of[s]), int(s), int(e)) for s, e in zip(starts, ends)]
 
 
+def stretches(runs: list[np.ndarray]) -> Iterator[list[tuple[int, int]]]:
+    """Cut ascending runs of hashes alike, at some ``STRETCH_ROWS`` rows of all: start and end in every run.
+
+    Equal values never part. Hashes spread evenly, so equal ranges of values hold about as many.
+    """
+    least = min((int(r[0]) for r in runs if len(r)), default=0)
+    most = max((int(r[-1]) for r in runs if len(r)), default=0)
+    parts = tasks_for(sum(map(len, runs)), STRETCH_ROWS)
+    bounds = [least + (most - least) * k // parts for k in range(1, parts)]
+    cuts = [[0, *np.searchsorted(r, np.array(bounds, r.dtype)).tolist(), len(r)] for r in runs]
+    for k in range(parts):
+        yield [(cut[k], cut[k + 1]) for cut in cuts]
+
+
 def range_bucket(high32: np.ndarray, buckets: int) -> np.ndarray:
     """Equal ranges of a 32-bit hash: ascending hashes give ascending buckets."""
     return ((high32.astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)

@@ -11,6 +11,7 @@ strings have their anchors at equal places, so a string repeats exactly if its a
    its predecessor and the rest. A bucket combines its runs with a loser tree that keeps, for every run, the
    known common prefix with the last suffix put out: the run with the longer one wins without a comparison, and
    equal ones are compared behind it only.
+   Runs are decoded and merged a stretch at a time, so a bucket takes little more than its coded runs, whatever repeats.
 3. The merged order gives groups of common right parts, and the sorted left parts groups of common left parts;
    from both follows, for each of the 27 places of a string around its anchor, the smallest doc_id that has it.
    The answer is one bit per place and suffix.
@@ -31,15 +32,16 @@ from __future__ import annotations
 
 import copy
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from logloom.llm.chunks import CHUNK_BYTES, CHUNK_ROWS, Chunk, Routes, bucket_count, exchange, over_chunks, range_bucket, split_runs, stage_chunks, with_answers
-from logloom.llm.common import Scratch, mix64
+from logloom.llm.chunks import CHUNK_BYTES, STRETCH_ROWS, Chunk, Routes, bucket_count, exchange, over_chunks, range_bucket, save, split_runs, stage_chunks, stretches, with_answers
+from logloom.llm.common import Scratch, mix64, tasks_for
 
 LENGTH = 50
 GRAM = 24
@@ -51,6 +53,11 @@ HOT = 1 << 16
 _BLOCK = 1 << 18
 # Rows of bytes that are picked from a text at once: picking takes eight bytes of place for each.
 _ROWS = 1 << 14
+# Anchors whose keys or strings are made at once, and merged rows that are answered at once, up to the end of a bucket or gram.
+_PART = 1 << 15
+# Rows that are decoded at once of all runs that are merged, and of one run: decoding takes some 2 KB for each.
+_DECODED = 1 << 16
+_DECODED_RUN = 1 << 11
 _BYTE_CODES = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(11)) >> np.uint64(32)).astype(np.uint32)
 ROWS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -79,28 +86,33 @@ class Anchors:
 
     def __init__(self, chunk: Chunk):
         self.text = text = np.frombuffer(chunk.raw, np.uint8)
+        begin = chunk.ends - chunk.sizes
+        long = np.flatnonzero(chunk.sizes >= LENGTH)
+        first, behind = begin[long], chunk.ends[long] - LENGTH + 1
         found = []
         for at in range(0, max(0, len(text) - LENGTH + 1), _BLOCK):
             part = text[at:at + _BLOCK + LENGTH - 1]
             starts = len(part) - LENGTH + 1
+            some = slice(np.searchsorted(behind, at, side="right"), np.searchsorted(first, at + starts))
+            inside = np.zeros(starts + 1, np.int32)
+            np.add.at(inside, np.maximum(first[some] - at, 0), 1)
+            np.add.at(inside, np.minimum(behind[some] - at, starts), -1)
+            start = np.flatnonzero(np.cumsum(inside[:-1]) > 0) + at
+            if not len(start):
+                continue
             h = _place_hash(part)[: starts + PLACES - 1].astype(np.uint64) << np.uint64(32)
             h |= np.arange(at, at + len(h), dtype=np.uint64)
-            found.append((_least(h)[:starts] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        anchor = np.concatenate(found) if found else np.zeros(0, np.int64)
-        begin = chunk.ends - chunk.sizes
-        long = chunk.sizes >= LENGTH
-        inside = np.zeros(len(anchor) + 1, np.int32)
-        np.add.at(inside, begin[long], 1)
-        np.add.at(inside, np.minimum(chunk.ends[long] - LENGTH + 1, len(anchor)), -1)
-        start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        anchor = anchor[start]
-        if not len(anchor):
+            anchor = (_least(h)[start - at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            found.append((anchor[new], start[new], start[np.append(new[1:], len(anchor)) - 1]))
+        if not found:
             self.at = self.low = self.high = self.doc = self.begin = self.end = np.zeros(0, np.int64)
             self.gram, self.hot = np.zeros(0, np.uint64), np.zeros(0, bool)
             return
-        new = np.flatnonzero(np.concatenate([[True], np.diff(anchor) != 0]))
-        last = np.concatenate([new[1:], [len(anchor)]]) - 1
-        self.at, self.low, self.high = anchor[new], start[new], start[last]
+        # An anchor of two blocks is one.
+        anchor, low, high = (np.concatenate(x) for x in zip(*found))
+        new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        self.at, self.low, self.high = anchor[new], low[new], high[np.append(new[1:], len(anchor)) - 1]
         number = np.searchsorted(chunk.ends, self.at, side="right")
         self.doc = chunk.doc_ids[number]
         self.begin, self.end = begin[number], chunk.ends[number]
@@ -146,30 +158,28 @@ def _send_grams(buckets: int):
 
 def _merge_grams(runs: list[bytes], _: np.ndarray) -> list[bytes]:
     """Bits of the grams that two documents hold, and of those that are hot."""
-    highs, lows, counts, severals, sizes = [], [], [], [], []
-    for run in runs:
-        n = int(np.frombuffer(run, np.int64, 1)[0])
-        highs.append(np.frombuffer(run, "<u4", n, 8))
-        lows.append(np.frombuffer(run, np.uint8, n, 8 + 4 * n))
-        bits = (n + 7) // 8
+    sizes = [int(np.frombuffer(run, np.int64, 1)[0]) for run in runs]
+    ends, total = np.cumsum(sizes), sum(sizes)
+    gram, count, several = np.empty(total, np.uint64), np.ones(total, np.uint32), np.zeros(total, bool)
+    for run, end, n in zip(runs, ends.tolist(), sizes):
+        here, bits = slice(end - n, end), (n + 7) // 8
+        gram[here] = np.frombuffer(run, "<u4", n, 8).astype(np.uint64) << np.uint64(8) | np.frombuffer(run, np.uint8, n, 8 + 4 * n)
         often = np.unpackbits(np.frombuffer(run, np.uint8, bits, 8 + 5 * n), count=n).astype(bool)
         more = np.frombuffer(run, "<u4", -1, 8 + 5 * n + bits)
-        count, several = np.ones(n, np.int64), np.zeros(n, bool)
-        count[often], several[often] = more >> 1, (more & 1).astype(bool)
-        counts.append(count)
-        severals.append(several)
-        sizes.append(n)
-    gram = np.concatenate(highs).astype(np.uint64) << np.uint64(8) | np.concatenate(lows)
-    order = np.argsort(gram)
-    gram = gram[order]
-    edge = np.concatenate([[True], gram[1:] != gram[:-1], [True]])
-    again = ~(edge[:-1] & edge[1:]) | np.concatenate(severals)[order]
-    total = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(edge[:-1]))
-    repeated, hot = np.empty(len(gram), bool), np.empty(len(gram), bool)
-    repeated[order] = again
-    hot[order] = again & (total >= HOT)[np.cumsum(edge[:-1]) - 1]
-    cuts = np.cumsum(sizes)[:-1]
-    return [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(repeated, cuts), np.split(hot, cuts))]
+        count[here][often], several[here][often] = more >> 1, (more & 1).astype(bool)
+    repeated, hot, parts = np.empty(total, bool), np.empty(total, bool), tasks_for(total, STRETCH_ROWS)
+    for k in range(parts):  # grams are hashes, so their remainders are even
+        at = np.flatnonzero(gram % np.uint64(parts) == k)
+        if not len(at):
+            continue
+        at = at[np.argsort(gram[at])]
+        ranked = gram[at]
+        edge = np.concatenate([[True], ranked[1:] != ranked[:-1], [True]])
+        again = ~(edge[:-1] & edge[1:]) | several[at]
+        anchors = np.add.reduceat(count[at].astype(np.int64), np.flatnonzero(edge[:-1]))
+        repeated[at] = again
+        hot[at] = again & (anchors >= HOT)[np.cumsum(edge[:-1]) - 1]
+    return [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(repeated, ends[:-1]), np.split(hot, ends[:-1]))]
 
 
 def _repeated(chunk: Chunk, buckets: int) -> Anchors:
@@ -189,13 +199,14 @@ def _repeated(chunk: Chunk, buckets: int) -> Anchors:
 
 
 class Suffixes:
-    """Distinct suffix keys of a chunk by bucket and key, with the smallest doc_id and where they occur."""
+    """Distinct suffix keys of anchors by bucket and key, with the smallest doc_id and where they occur."""
 
     def __init__(self, anchors: Anchors, buckets: int):
         self.anchors = anchors
         text, at = anchors.text, anchors.at
         n = len(at)
-        keys = np.zeros((n, KEY), np.uint8)
+        padded = np.zeros((n, -(-KEY // 8) * 8), np.uint8)
+        keys = padded[:, :KEY]
         right, left = np.minimum(anchors.end - at, LENGTH), np.minimum(at - anchors.begin, LEFT)
         ahead, back = np.arange(LENGTH), np.arange(1, LEFT + 1)
         for s in range(0, n, _ROWS):
@@ -204,8 +215,12 @@ class Suffixes:
             part[:, LENGTH:LENGTH + LEFT] = np.where(back <= l, text[np.maximum(here - back, 0)], 0)
         keys[:, -2], keys[:, -1] = right, left
         bucket = range_bucket(anchors.gram >> np.uint64(32), buckets)
-        order = np.lexsort(_sort_words(keys) + [bucket])
+        words, order = padded.view(">u8"), np.arange(n)
+        for k in range(words.shape[1] - 1, -1, -1):  # a lexsort that holds one word of the keys at a time
+            order = order[np.argsort(words[order, k].astype(np.uint64), kind="stable")]
+        order = order[np.argsort(bucket[order], kind="stable")]
         keys, bucket = keys[order], bucket[order]
+        del padded, words
         shared = common_prefix(keys[1:], keys[:-1]) if n else np.zeros(0, np.int64)
         new = np.concatenate([[True], (shared < KEY) | (bucket[1:] != bucket[:-1])]) if n else np.zeros(0, bool)
         first = np.flatnonzero(new)
@@ -215,47 +230,81 @@ class Suffixes:
         self.least = np.minimum.reduceat(anchors.doc[order], first) if n else np.zeros(0, np.int64)
 
 
+def _suffixes(anchors: Anchors, buckets: int) -> Iterator[Suffixes]:
+    """The suffixes of a chunk, some buckets at a time."""
+    bucket = range_bucket(anchors.gram >> np.uint64(32), buckets)
+    for part in _parts(bucket):
+        yield Suffixes(anchors.take(part), buckets)
+
+
+def _parts(values: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the rows in ascending order of their values, some ``_PART`` at a time and all of a value together."""
+    order, at = np.argsort(values, kind="stable"), 0
+    ranked = values[order]
+    while at < len(order):
+        end = int(np.searchsorted(ranked, ranked[min(at + _PART, len(order)) - 1], side="right"))
+        yield order[at:end]
+        at = end
+
+
 class Strings:
-    """Distinct strings that hot anchors stand for, by hash, with the smallest doc_id and where they occur."""
+    """Distinct strings that hot anchors stand for, by hash, with the smallest doc_id.
+
+    Equal strings have equal grams, so they are made and told apart some grams at a time.
+    """
 
     def __init__(self, anchors: Anchors, buckets: int):
+        self.anchors, self.parts = anchors, list(_parts(anchors.gram))
+        found = [self._made(part)[2:] for part in self.parts] or [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)]
+        high, low, least = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort([low, high])
+        self.high, self.low, self.least = high[order], low[order], least[order]
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.bucket = range_bucket(self.high >> np.uint64(32), buckets)
+
+    def _made(self, part: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Starts of the strings of some anchors and which distinct one each is; hashes and smallest doc_ids of these."""
+        anchors = self.anchors.take(part)
         room = anchors.high - anchors.low + 1
-        self.start = np.repeat(anchors.low - (np.cumsum(room) - room), room) + np.arange(int(room.sum()))
-        self.doc = np.repeat(anchors.doc, room)
-        n = len(self.start)
+        starts = np.repeat(anchors.low - (np.cumsum(room) - room), room) + np.arange(int(room.sum()))
+        n = len(starts)
         both = np.zeros((2, n), np.uint64)
-        for at in range(0, n, _BLOCK):
-            start = self.start[at:at + _BLOCK]
+        for at in range(0, n, _ROWS):
+            start = starts[at:at + _ROWS]
             padded = np.zeros((len(start), -(-LENGTH // 8) * 8), np.uint8)
             padded[:, :LENGTH] = anchors.text[start[:, None] + np.arange(LENGTH)]
             words = padded.view(np.uint64)
             for row, factor in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
-                h = both[row, at:at + _BLOCK]
+                h = both[row, at:at + _ROWS]
                 for k in range(words.shape[1]):
                     h[:] = mix64(h * np.uint64(factor) + words[:, k] + np.uint64(row))
         order = np.lexsort([both[1], both[0]])
         high, low = both[0][order], both[1][order]
-        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]) if n else np.zeros(0, bool)
+        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
         first = np.flatnonzero(new)
-        self.of = np.empty(n, np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.high, self.low = high[first], low[first]
-        self.bucket = range_bucket(self.high >> np.uint64(32), buckets)
-        self.least = np.minimum.reduceat(self.doc[order], first) if n else np.zeros(0, np.int64)
-
+        of = np.empty(n, np.int64)
+        of[order] = np.cumsum(new) - 1
+        return starts, of, high[first], low[first], np.minimum.reduceat(np.repeat(anchors.doc, room)[order], first)
 
-def _sort_words(keys: np.ndarray) -> list[np.ndarray]:
-    """Columns for lexsort, least significant first: the key in big-endian 64-bit words."""
-    padded = np.zeros((len(keys), -(-KEY // 8) * 8), np.uint8)
-    padded[:, :KEY] = keys
-    words = padded.view(">u8").astype(np.uint64)
-    return [words[:, k] for k in range(words.shape[1] - 1, -1, -1)]
+    def gone(self, earlier: np.ndarray) -> Iterator[np.ndarray]:
+        """Starts of the strings that an earlier document has; ``earlier`` than the chunk's first, for each distinct one."""
+        before = 0
+        for part in self.parts:
+            starts, of, high, _, _ = self._made(part)
+            own = self.rank[before:before + len(high)][of]
+            room = self.anchors.high[part] - self.anchors.low[part] + 1
+            yield starts[earlier[own] | (np.repeat(self.anchors.doc[part], room) > self.least[own])]
+            before += len(high)
 
 
 def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each pair of rows."""
-    differ = a != b
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+    out = np.empty(len(a), np.int64)
+    for s in range(0, len(a), _ROWS):
+        differ = a[s:s + _ROWS] != b[s:s + _ROWS]
+        out[s:s + _ROWS] = np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+    return out
 
 
 def front_code(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -272,10 +321,17 @@ def front_decode(shared: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray
     return rest[np.maximum.accumulate(np.where(stored, at, 0), axis=0)]
 
 
-def _keys(chunk: Chunk, buckets: int) -> tuple[Suffixes, Strings]:
-    """What the chunk asks the second exchange about."""
-    anchors = _repeated(chunk, buckets)
-    return Suffixes(anchors.take(~anchors.hot), buckets), Strings(anchors.take(anchors.hot), buckets)
+def decoded(shared: np.ndarray, rest: np.ndarray, width: int, rows: int) -> Iterator[tuple[int, int]]:
+    """The rows of ``front_code`` as numbers, with their shared prefix lengths; ``rows`` of them are decoded at once."""
+    last, at = np.zeros(0, np.uint8), 0
+    for s in range(0, len(shared), rows):
+        part = shared[s:s + rows].astype(np.int64)
+        size, ahead = int((width - part).sum()), int(s > 0)
+        keys = front_decode(np.concatenate([[0] * ahead, part]).astype(np.int64), np.concatenate([last, rest[at:at + size]]), width)[ahead:]
+        last, at, raw = keys[-1].copy(), at + size, keys.tobytes()
+        del keys
+        for i, k in enumerate(part.tolist()):
+            yield int.from_bytes(raw[i * width:(i + 1) * width], "big"), k
 
 
 def _join(first: bytes, second: bytes) -> bytes:
@@ -289,31 +345,37 @@ def _split(both: bytes) -> tuple[bytes, bytes]:
 
 def _send_suffixes(buckets: int):
     def send(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
-        suffixes, strings = _keys(chunk, buckets)
-        sorted_out, hashed = {}, {}
-        for b, s, e in split_runs(suffixes.bucket):
-            shared, rest = front_code(suffixes.keys[s:e])
-            sorted_out[b] = np.int64(e - s).tobytes() + suffixes.least[s:e].tobytes() + shared.tobytes() + rest
-        for b, s, e in split_runs(strings.bucket):
-            hashed[b] = b"".join(part[s:e].tobytes() for part in (strings.high, strings.low, strings.least))
-        for b in sorted(sorted_out.keys() | hashed.keys()):
-            yield b, _join(sorted_out.get(b, b""), hashed.get(b, b""))
+        anchors = _repeated(chunk, buckets)
+
+        def sorted_out() -> Iterator[tuple[int, int, bytes]]:
+            for suffixes in _suffixes(anchors.take(~anchors.hot), buckets):
+                for b, s, e in split_runs(suffixes.bucket):
+                    shared, rest = front_code(suffixes.keys[s:e])
+                    yield b, 0, np.int64(e - s).tobytes() + suffixes.least[s:e].tobytes() + shared.tobytes() + rest
+
+        def hashed() -> Iterator[tuple[int, int, bytes]]:
+            strings = Strings(anchors.take(anchors.hot), buckets)
+            for b, s, e in split_runs(strings.bucket):
+                yield b, 1, b"".join(part[s:e].tobytes() for part in (strings.high, strings.low, strings.least))
+
+        for b, kinds in groupby(heapq.merge(sorted_out(), hashed()), key=lambda x: x[0]):
+            both = {kind: run for _, kind, run in kinds}
+            yield b, _join(both.get(0, b""), both.get(1, b""))
 
     return send
 
 
-def merge_sorted(keys: list[list[int]], shared: list[list[int]], width: int) -> tuple[list[int], list[int]]:
-    """Merge sorted runs of ``width``-byte numbers: the run of each output row, and the length of the prefix
-    that the row shares with the row before it.
+def merge_runs(runs: list[Iterator[tuple[int, int]]], width: int) -> Iterator[tuple[int, int, int]]:
+    """Merge sorted runs of ``width``-byte numbers, each with the length of the prefix it shares with the one before:
+    the run of each output row, the length of the prefix that the row shares with the row before it, and the row.
 
     A loser tree over runs. Beside each run stands the length of the prefix that its head shares with the last
     output; a longer one means a smaller head. Heads are compared only if these lengths are equal.
     """
-    runs = len(keys)
-    leaves = 1 << max(0, runs - 1).bit_length()
-    place, bits = [0] * runs, width * 8
-    head = [k[0] if k else 0 for k in keys] + [0] * (leaves - runs)
-    known = [0 if k else -1 for k in keys] + [-1] * (leaves - runs)
+    leaves = 1 << max(0, len(runs) - 1).bit_length()
+    bits, none = width * 8, (0, -1)
+    first = [next(run, none) for run in runs] + [none] * (leaves - len(runs))
+    head, known = [key for key, _ in first], [-1 if k < 0 else 0 for _, k in first]
     loser = [0] * leaves
 
     def play(node: int) -> int:
@@ -328,16 +390,9 @@ def merge_sorted(keys: list[list[int]], shared: list[list[int]], width: int) ->
         return a
 
     winner = play(1) if leaves > 1 else 0
-    out, prefix = [], []
     while known[winner] >= 0:
-        out.append(winner)
-        prefix.append(known[winner])
-        place[winner] = i = place[winner] + 1
-        if i < len(keys[winner]):
-            head[winner] = keys[winner][i]
-            k = shared[winner][i]
-        else:
-            k = -1
+        yield winner, known[winner], head[winner]
+        head[winner], k = next(runs[winner], none)
         node = (winner + leaves) >> 1
         while node:
             other = loser[node]
@@ -355,7 +410,12 @@ def merge_sorted(keys: list[list[int]], shared: list[list[int]], width: int) ->
                     known[other] = common
             node >>= 1
         known[winner] = k
-    return out, prefix
+
+
+def merge_sorted(keys: list[list[int]], shared: list[list[int]], width: int) -> tuple[list[int], list[int]]:
+    """``merge_runs`` of lists: the run and the shared prefix length of every output row."""
+    out = list(merge_runs([zip(k, s) for k, s in zip(keys, shared)], width))
+    return [run for run, _, _ in out], [prefix for _, prefix, _ in out]
 
 
 def _least_by_place(keys: np.ndarray, prefix: np.ndarray, least: np.ndarray) -> Iterator[np.ndarray]:
@@ -396,54 +456,78 @@ def _merge_strings(runs: tuple[bytes, ...]) -> list[bytes]:
     sizes = [len(r) // 24 for r in runs]
     if not sum(sizes):
         return [b""] * len(runs)
-    high, low, least = (
-        np.concatenate([np.frombuffer(r, kind, n, 8 * n * at) for r, n in zip(runs, sizes) if n])
+    highs, lows, leasts = (
+        [np.frombuffer(r, kind, n, 8 * n * at) if n else np.zeros(0, kind) for r, n in zip(runs, sizes)]
         for at, kind in enumerate((np.uint64, np.uint64, np.int64))
     )
-    order = np.lexsort([low, high])
-    high, low, own = high[order], low[order], least[order]
-    new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-    earlier = np.empty(len(order), bool)
-    earlier[order] = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1] < own
-    return [np.packbits(x).tobytes() for x in np.split(earlier, np.cumsum(sizes)[:-1])]
+    ends = np.cumsum(sizes)
+    earlier = np.empty(int(ends[-1]), bool)
+    for cuts in stretches(highs):
+        high, low, own = (np.concatenate([x[s:e] for x, (s, e) in zip(columns, cuts)]) for columns in (highs, lows, leasts))
+        if not len(high):
+            continue
+        at = np.concatenate([np.arange(s, e) + end - n for (s, e), end, n in zip(cuts, ends.tolist(), sizes)])
+        order = np.lexsort([low, high])
+        high, low, own = high[order], low[order], own[order]
+        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        earlier[at[order]] = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1] < own
+    return [np.packbits(x).tobytes() for x in np.split(earlier, ends[:-1])]
 
 
 def _merge_suffixes(runs: list[bytes]) -> list[bytes]:
-    """For each suffix of each run the places, as bits, at which an earlier document holds the string."""
-    least, numbers, shared, sizes, rows = [], [], [], [], []
+    """For each suffix of each run the places, as bits, at which an earlier document holds the string.
+
+    Rows are decoded and answered as the merge comes to them, some ``_PART`` at a time and all of a gram together.
+    """
+    least, coded, sizes = [], [], []
+    rows = min(max(16, _DECODED // len(runs)), _DECODED_RUN)
     for run in runs:
         n = int(np.frombuffer(run, np.int64, 1)[0])
         least.append(np.frombuffer(run, np.int64, n, 8))
-        prefix = np.frombuffer(run, np.uint8, n, 8 + 8 * n)
-        decoded = front_decode(prefix.astype(np.int64), np.frombuffer(run, np.uint8, -1, 8 + 9 * n), KEY)
-        raw = decoded.tobytes()
-        numbers.append([int.from_bytes(raw[i:i + KEY], "big") for i in range(0, n * KEY, KEY)])
-        shared.append(prefix.tolist())
+        coded.append(decoded(np.frombuffer(run, np.uint8, n, 8 + 8 * n), np.frombuffer(run, np.uint8, -1, 8 + 9 * n), KEY, rows))
         sizes.append(n)
-        rows.append(decoded)
-    order, prefix = merge_sorted(numbers, shared, KEY)
-    order, prefix = np.array(order), np.array(prefix)
-    # The k-th output row of a run is its k-th row.
-    back = np.empty(len(order), np.int64)
-    back[np.argsort(order, kind="stable")] = np.arange(len(order))
-    own, keys = np.concatenate(least)[back], np.concatenate(rows)
-    first = np.flatnonzero(prefix < KEY)
-    of = np.cumsum(prefix < KEY) - 1
-    distinct_least = np.minimum.reduceat(own, first)
-    places = np.zeros(len(order), np.uint32)
-    for place, earliest in enumerate(_least_by_place(keys[back[first]], prefix[first], distinct_least)):
-        places |= (earliest[of] < own).astype(np.uint32) << np.uint32(place)
-    result = np.empty(len(order), "<u4")
-    result[back] = places
-    return [zlib.compress(x.tobytes(), 1) for x in np.split(result, np.cumsum(sizes)[:-1])]
+    ends = np.cumsum(sizes)
+    taken = ends - sizes
+    result = np.empty(int(ends[-1]), "<u4")
+
+    def settle() -> None:
+        of_run, shared = np.array(order), np.array(prefix)
+        # The k-th output row of a run is its k-th row.
+        by_run = np.argsort(of_run, kind="stable")
+        count = np.bincount(of_run, minlength=len(runs))
+        back = np.empty(len(of_run), np.int64)
+        back[by_run] = np.repeat(taken - (np.cumsum(count) - count), count) + np.arange(len(of_run))
+        own = np.empty(len(of_run), np.int64)
+        own[by_run] = np.concatenate([x[s:s + n] for x, s, n in zip(least, (taken - ends + sizes).tolist(), count.tolist())])
+        first = np.flatnonzero(shared < KEY)
+        of = np.cumsum(shared < KEY) - 1
+        distinct = np.frombuffer(b"".join(k.to_bytes(KEY, "big") for k in keys), np.uint8).reshape(-1, KEY)
+        places = np.zeros(len(of_run), np.uint32)
+        for place, earliest in enumerate(_least_by_place(distinct, shared[first], np.minimum.reduceat(own, first))):
+            places |= (earliest[of] < own).astype(np.uint32) << np.uint32(place)
+        result[back] = places
+        np.add(taken, count, out=taken)
+
+    order, prefix, keys = [], [], []
+    for run, shared, key in merge_runs(coded, KEY):
+        if shared < GRAM and len(order) >= _PART:
+            settle()
+            order, prefix, keys = [], [], []
+        order.append(run)
+        prefix.append(shared)
+        if shared < KEY:
+            keys.append(key)
+    if order:
+        settle()
+    return [zlib.compress(x.tobytes(), 1) for x in np.split(result, ends[:-1])]
 
 
 def removed_bytes(chunk: Chunk, buckets: int) -> np.ndarray:
     """Which bytes of the chunk go."""
     gone = np.zeros(len(chunk.raw) + 1, np.int32)
-    suffixes, strings = _keys(chunk, buckets)
+    repeated = _repeated(chunk, buckets)
     answers = {b: _split(both) for b, both in chunk.answers["answers_suffixes"].items()}
-    if len(suffixes.keys):
+    for suffixes in _suffixes(repeated.take(~repeated.hot), buckets):
         anchors = suffixes.anchors
         places = np.concatenate([
             np.frombuffer(zlib.decompress(answers[b][0]), "<u4") for b, _, _ in split_runs(suffixes.bucket)
@@ -458,14 +542,16 @@ def removed_bytes(chunk: Chunk, buckets: int) -> np.ndarray:
             hit = (places[part] >> np.uint32(place) & 1).astype(bool) & (start >= anchors.low[part]) & (start <= anchors.high[part])
             np.add.at(gone, start[hit], 1)
             np.add.at(gone, start[hit] + LENGTH, -1)
-    if len(strings.start):
+    strings = Strings(repeated.take(repeated.hot), buckets)
+    if len(strings.high):
         earlier = np.concatenate([
             np.unpackbits(np.frombuffer(answers[b][1], np.uint8), count=e - s) for b, s, e in split_runs(strings.bucket)
         ]).astype(bool)
-        start = strings.start[earlier[strings.of] | (strings.doc > strings.least[strings.of])]
-        np.add.at(gone, start, 1)
-        np.add.at(gone, start + LENGTH, -1)
-    return np.cumsum(gone[:-1]) > 0
+        for start in strings.gone(earlier):
+            np.add.at(gone, start, 1)
+            np.add.at(gone, start + LENGTH, -1)
+    np.cumsum(gone, out=gone)
+    return gone[:-1] > 0
 
 
 def _results(buckets: int, texts: bool):
@@ -476,7 +562,7 @@ def _results(buckets: int, texts: bool):
         for end, size in zip(chunk.ends.tolist(), chunk.sizes.tolist()):
             cut = gone[end - size:end]
             n = int(np.count_nonzero(cut))
-            kept = raw[end - size:end][~cut].tobytes() if n else chunk.raw[end - size:end]
+            kept = raw[end - size:end][~cut].tobytes() if n else bytes(chunk.raw[end - size:end])
             columns["n_bytes"].append(size)
             columns["n_removed"].append(n)
             columns["n_spans"].append(int(np.count_nonzero(cut[1:] & ~cut[:-1])) + int(n > 0 and cut[0]))
@@ -505,6 +591,6 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, texts: bool
     answered = with_answers(flagged, suffixes, "answers_suffixes")
     more = "".join(f", in_{c} {docs.schema[c].dataType.simpleString()}" for c in carry or [])
     out = over_chunks(answered, _results(buckets, texts), ROWS + (", text string" if texts else "") + more)
-    result = scratch.save(out, "results", rows=CHUNK_ROWS)
+    result = save(scratch, out, "results")
     scratch.drop("chunks", "grams", "suffixes")
     return result
