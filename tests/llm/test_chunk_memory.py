@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logloom.llm import chunks, suffix_dedup
+from logloom.llm import chunks, substring_dedup, suffix_dedup
 from logloom.llm.chunks import LAST_ID, Chunk, pack
-from tests.llm import test_suffix_dedup
+from tests.llm import test_substring_dedup, test_suffix_dedup
 from tests.llm.helpers import prose
 
 
@@ -102,3 +102,45 @@ def test_anchors_of_a_chunk_need_little_memory():
     row = long_chunk()
     assert 3 << 20 < len(row["texts"]) < 5 << 20
     assert peak_mb(lambda: [None for _ in suffix_dedup._send_grams(4)(Chunk(row))]) < 70
+
+
+def windowed(rows, buckets):
+    cells = substring_dedup.CELLS_PER_WORD * sum(len(row["texts"].split()) for row in rows)
+    held = exchanged(rows, "cells", substring_dedup._send_cells(cells, buckets), substring_dedup._merge_cells)
+    held = exchanged(held, "keys", substring_dedup._send_keys(cells, buckets), substring_dedup._merge_keys)
+    return results(held, substring_dedup._results(cells, buckets))
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_window_steps_in_small_pieces(monkeypatch, buckets):
+    monkeypatch.setattr(chunks, "STRETCH_ROWS", 50)
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 30)
+    rows = test_substring_dedup.distinct(test_suffix_dedup.cases() + [(200 + i, prose(1, 40 + i % 5)) for i in range(20)])
+    assert windowed(staged(rows, 6), buckets) == test_substring_dedup.brute(rows)
+
+
+def test_windows_of_one_doc_id_go_by_place():
+    """Of rows with one doc_id the smaller place counts as earlier, whichever row stands first in the chunk."""
+    repeat = prose(1, 30)
+    found = windowed(staged([(1, f"{prose(2, 25)} {repeat}"), (1, repeat)], 1), 1)
+    assert sorted(x[1:3] for x in found) == [(30, 0), (55, 30)]
+
+
+def test_windows_of_a_chunk_need_little_memory():
+    row = long_chunk()
+    cells = substring_dedup.CELLS_PER_WORD * 210 * 3500
+    assert peak_mb(lambda: [None for _ in substring_dedup._send_cells(cells, 1)(Chunk(row))]) < 100
+
+
+def test_merges_of_windows_need_little_memory():
+    """The sketch range and the keys of a bucket of 16 MB of text."""
+    row = long_chunk()
+    cells, n = substring_dedup.CELLS_PER_WORD * 4 * 210 * 3500, 500_000
+    runs = [dict(substring_dedup._send_cells(cells, 1)(Chunk(row)))[0] for _ in range(2)]
+    assert peak_mb(lambda: substring_dedup._merge_cells(runs * 2, None)) < 50
+    high = np.sort(np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64))
+    places = np.arange(n).astype(np.uint32)
+    runs = [b"".join(x.tobytes() for x in (high, np.full(n, k), places, places)) for k in (2, 1, 3)]
+    replies = []
+    assert peak_mb(lambda: replies.extend(substring_dedup._merge_keys(runs, None))) < 30
+    assert [int(np.unpackbits(np.frombuffer(r, np.uint8)).sum()) for r in replies] == [0, n, 0]
